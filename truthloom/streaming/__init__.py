@@ -1,0 +1 @@
+"""Truth discovery here is a batch job family: there are no streaming operators."""
