@@ -8,27 +8,19 @@ from pyspark.sql import functions as F
 from truthloom.functions.scores import accuracy_log_odds, dependence_posterior, tie_key
 
 
-def agreement(same: DataFrame, common: DataFrame, true_pairs: DataFrame, group: list[str]) -> DataFrame:
+def agreement(pairs: DataFrame, true_pairs: DataFrame, group: list[str]) -> DataFrame:
     """``group, s1, s2, kt, kf, kd`` for s1 < s2.
 
-    Of the ``common`` items of two sources they agree on ``same``; of these ``true_pairs``
-    are true.  Only the last table changes from round to round.
+    ``pairs`` counts the items two sources share (``n_common``) and those on which they agree
+    (``n_same``); ``true_pairs`` how many of the latter are true (``n_true``).  Only the
+    last table changes from round to round.
     """
-    keys = [*group, "m1", "m2"]
-    joined = (
-        common.withColumnRenamed("n", "n_common")
-        .join(same.withColumnRenamed("n", "n_same"), keys, "left")
-        .join(true_pairs.withColumnRenamed("n", "n_true"), keys, "left")
-    )
-    n_same = F.coalesce("n_same", F.lit(0))
-    n_true = F.coalesce("n_true", F.lit(0))
+    joined = pairs.join(true_pairs, [*group, "s1", "s2"], "left").fillna(0, ["n_true"])
     return joined.select(
-        *group,
-        F.col("m1").alias("s1"),
-        F.col("m2").alias("s2"),
-        n_true.alias("kt"),
-        (n_same - n_true).alias("kf"),
-        (F.col("n_common") - n_same).alias("kd"),
+        *group, "s1", "s2",
+        F.col("n_true").alias("kt"),
+        (F.col("n_same") - F.col("n_true")).alias("kf"),
+        (F.col("n_common") - F.col("n_same")).alias("kd"),
     )
 
 

@@ -13,9 +13,9 @@ def confusion(claims: DataFrame, truth: DataFrame, found: DataFrame, group: list
     """Per-claim confusion counts; ``n_unmatched`` counts claims on items without truth or result.
 
     Equal claims are counted once per (item, value) first, so the joins carry values
-    instead of claims.  ``found`` may hold several results told apart by ``group``.
+    instead of claims; ``claims`` may already be such vote counts.  ``found`` may hold several results told apart by ``group``.
     """
-    counts = vote_counts(claims)
+    counts = claims if "votes" in claims.columns else vote_counts(claims)
     known = truth.select(*ITEM, F.col("value").alias("true_value"))
     result = found.select(*group, *ITEM, F.col("value").alias("found_value"))
     joined = counts.join(known, ITEM, "left").join(result, ITEM, "left")

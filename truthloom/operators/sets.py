@@ -44,14 +44,14 @@ def set_members(memberships: DataFrame, units: DataFrame, unit: list[str], membe
 
 
 def pair_counts(members: DataFrame, weights: DataFrame, member: str, group: list[str],
-                hot_sets: DataFrame | None = None) -> DataFrame:
+                hot_sets: DataFrame | None = None, biggest: int | None = None) -> DataFrame:
     """``group, m1, m2, n`` for m1 < m2: total weight of the sets that hold both members.
 
     ``weights`` has ``group, SET, n``.  The pairs are summed as they leave the join.
     """
     left = spread_join(members, weights, SET, hot_sets, SET, F.col(member))
-    right = members
-    pairs = pair_join(left, right, SET, "set_size", member, F.col(f"l.{member}") < F.col(f"r.{member}"))
+    smaller_first = F.col(f"l.{member}") < F.col(f"r.{member}")
+    pairs = pair_join(left, members, SET, "set_size", member, smaller_first, biggest)
     keys = [F.col(f"l.{g}").alias(g) for g in group]
     return pairs.groupBy(*keys, F.col(f"l.{member}").alias("m1"), F.col(f"r.{member}").alias("m2")).agg(
         F.sum("l.n").alias("n")

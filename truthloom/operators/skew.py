@@ -8,6 +8,8 @@ the join is repeated once per piece.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +17,13 @@ SHARE = 1000
 FLOOR = 200_000
 
 
-def hot_keys(sizes: DataFrame, keys: list[str], size: str, total: int,
-             share: int = SHARE, floor: int = FLOOR) -> DataFrame | None:
+def hot_keys(sizes: Callable[[], DataFrame], keys: list[str], size: str, total: int,
+             share: int | None = None, floor: int | None = None) -> DataFrame | None:
     """``keys, pieces`` of the hot keys of a table of key sizes; ``None`` when there are none."""
-    limit = max(floor, total // share)
+    limit = max(floor or FLOOR, total // (share or SHARE))
     if total <= limit:
         return None
-    hot = sizes.where(F.col(size) > limit).select(
+    hot = sizes().where(F.col(size) > limit).select(
         *keys, F.ceil(F.col(size) / F.lit(limit)).cast("int").alias("pieces")
     )
     return None if hot.isEmpty() else hot
@@ -54,14 +56,18 @@ PAIR_CUT = 2048
 
 
 def pair_join(left: DataFrame, right: DataFrame, keys: list[str], size: str, member: str,
-              condition: Column, cut: int = PAIR_CUT) -> DataFrame:
+              condition: Column, biggest: int | None = None, cut: int | None = None) -> DataFrame:
     """Self-join of group members, ``l`` and ``r``, for pairs that satisfy ``condition``.
 
+    ``size`` names the column with the group size and ``biggest`` its maximum if known.
+
     Groups of more than ``cut`` members are cut into pieces and every pair of pieces gets a
     join key of its own, so no task meets more than ``cut`` x ``cut`` pairs of one group at
     a time.  The caller aggregates the pairs at once: they live only inside the join stage.
     """
-    biggest = right.agg(F.max(size)).first()[0] or 0
+    cut = cut or PAIR_CUT
+    if biggest is None:
+        biggest = right.agg(F.max(size)).first()[0] or 0
     if biggest <= cut:
         on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
     else:

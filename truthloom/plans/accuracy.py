@@ -28,8 +28,7 @@ def majority_sets(base: ClaimBase) -> DataFrame:
 
 def source_dependence(base: ClaimBase, sets: DataFrame, trust: DataFrame, c: float, n: float, alpha: float) -> DataFrame:
     """Dependence of every ordered pair of sources that share an item."""
-    same, common = base.pair_tables
-    counts = agreement(same, common, base.true_pairs(sets), BLOCK)
+    counts = agreement(base.pairs, base.true_pairs(sets), BLOCK)
     return dependence(counts, trust, BLOCK, c, n, alpha)
 
 
@@ -40,7 +39,7 @@ def discounted_votes(base: ClaimBase, factors: DataFrame) -> DataFrame:
     before it.  Pairs are joined to their factor and multiplied up within the join stage.
     """
     left = base.member_values(base.block_sets.select(*BLOCK, *SET))
-    pairs = pair_join(left, base.members, SET, "set_size", "source", F.lit(True)).select(
+    pairs = pair_join(left, base.members, SET, "set_size", "source", F.lit(True), base.size.biggest_set).select(
         "l.block_id", *[f"l.{k}" for k in SET], F.col("l.source").alias("s1"), F.col("r.source").alias("s2")
     )
     votes = pairs.join(factors, [*BLOCK, "s1", "s2"]).groupBy(*BLOCK, *SET, "s1").agg(
@@ -50,7 +49,7 @@ def discounted_votes(base: ClaimBase, factors: DataFrame) -> DataFrame:
 
 
 def accuracy_model(
-    claims: DataFrame,
+    claims: DataFrame | ClaimBase,
     algo: str = "DEPEN",
     rho: float = 0.5,
     max_iterations: int = 5,
@@ -109,15 +108,15 @@ def accuracy_model(
     return result_of(base, found, state, rounds)
 
 
-def depen(claims: DataFrame, **options) -> TruthResult:
+def depen(claims: DataFrame | ClaimBase, **options) -> TruthResult:
     return accuracy_model(claims, "DEPEN", **options)
 
 
-def accu(claims: DataFrame, **options) -> TruthResult:
+def accu(claims: DataFrame | ClaimBase, **options) -> TruthResult:
     return accuracy_model(claims, "ACCU", **options)
 
 
-def accusim(claims: DataFrame, **options) -> TruthResult:
+def accusim(claims: DataFrame | ClaimBase, **options) -> TruthResult:
     return accuracy_model(claims, "ACCUSIM", **options)
 
 

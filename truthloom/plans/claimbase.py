@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from truthloom.operators.sets import SET, pair_counts, set_members, units_with_sets
@@ -20,8 +21,10 @@ BLOCK = ["block_id"]
 class ClaimBase:
     """Claims prepared once for an iterative model.
 
-    ``facts``    object, property, value, SET   one row per claimed value; SET = its supporters
-    ``members``  SET, source                    the sources of each distinct supporter set
+    ``facts``      object, property, value, SET   one row per claimed value; SET = its supporters
+    ``members``    SET, source                    the sources of each distinct supporter set
+    ``items``      object, property, SET          one row per item; SET = all its claimants
+    ``claimants``  SET, source                    the sources of each distinct claimant set
 
     A round works on facts and on distinct supporter sets.  The claims themselves are not
     read again.  ``blocks`` (block_id, property) runs the model separately for each block of
@@ -31,68 +34,100 @@ class ClaimBase:
     claims: DataFrame
     work: Workspace
     blocks: DataFrame | None = None
-    hot: dict = field(default_factory=dict)
+    shared: dict = field(default_factory=dict)
 
     @classmethod
-    def of(cls, claims: DataFrame, blocks: DataFrame | None = None, deduped: bool = False,
-           work: Workspace | None = None) -> ClaimBase:
-        work = work or Workspace(claims.sparkSession)
+    def of(cls, claims: DataFrame | ClaimBase, blocks: DataFrame | None = None, deduped: bool = False) -> ClaimBase:
+        if isinstance(claims, ClaimBase):
+            return claims if blocks is None else claims.with_blocks(blocks)
         ready = claims.select(*CLAIM) if deduped else dedupe_claims(as_claims(claims))
-        return cls(ready, work, blocks)
+        return cls(ready, Workspace(claims.sparkSession), blocks)
 
-    def _hot(self, name: str, sizes: DataFrame, keys: list[str], size: str, total: int) -> DataFrame | None:
-        if name not in self.hot:
+    def with_blocks(self, blocks: DataFrame) -> ClaimBase:
+        """The same prepared tables, resolved in other blocks."""
+        return ClaimBase(self.claims, self.work, blocks, self.shared)
+
+    def _once(self, name: str, make: Callable):
+        if name not in self.shared:
+            self.shared[name] = make()
+        return self.shared[name]
+
+    def _table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return self._once(name, lambda: self.work.keep(make(), name))
+
+    def _hot(self, name: str, sizes: Callable[[], DataFrame], keys: list[str], size: str, total: int) -> DataFrame | None:
+        def find():
             found = hot_keys(sizes, keys, size, total)
-            self.hot[name] = None if found is None else self.work.keep(found, f"hot-{name}")
-        return self.hot[name]
+            return None if found is None else self.work.keep(found, f"hot-{name}")
 
-    @cached_property
+        return self._once(f"hot-{name}", find)
+
+    @property
     def facts(self) -> DataFrame:
-        return self.work.keep(units_with_sets(self.claims, FACT, "source"), "facts")
+        return self._table("facts", lambda: units_with_sets(self.claims, FACT, "source"))
 
-    @cached_property
-    def totals(self) -> tuple[int, int]:
-        row = self.facts.agg(F.count(F.lit(1)), F.sum("set_size")).first()
-        return row[0], row[1] or 0
+    @property
+    def size(self) -> Row:
+        """Numbers of facts and claims and the greatest supporter set, in one small job."""
+        return self._once("size", lambda: self.facts.agg(
+            F.count(F.lit(1)).alias("facts"),
+            F.coalesce(F.sum("set_size"), F.lit(0)).alias("claims"),
+            F.coalesce(F.max("set_size"), F.lit(0)).alias("biggest_set"),
+        ).first())
 
-    @cached_property
+    @property
+    def members(self) -> DataFrame:
+        return self._table("members", lambda: set_members(self.claims, self.facts, FACT, "source", self.hot_facts))
+
+    @property
     def items(self) -> DataFrame:
-        """Items with their claimant set: the XOR sums of its values' disjoint sets add up."""
-        return self.facts.groupBy(*ITEM).agg(
+        """The sets of an item's values are disjoint, so their XOR sums add up to the item's."""
+        return self._table("items", lambda: self.facts.groupBy(*ITEM).agg(
             F.bit_xor("set_hi").alias("set_hi"),
             F.bit_xor("set_lo").alias("set_lo"),
             F.sum("set_size").alias("set_size"),
             F.count(F.lit(1)).alias("n_values"),
-        )
+        ))
+
+    @property
+    def claimants(self) -> DataFrame:
+        hot = self._hot("item-claims", lambda: self.items, ITEM, "set_size", self.size.claims)
+        return self._table("claimants", lambda: set_members(self.claims, self.items, ITEM, "source", hot))
+
+    @property
+    def n_members(self) -> int:
+        return self._once("n_members", self.members.count)
+
+    @property
+    def hot_facts(self) -> DataFrame | None:
+        return self._hot("facts", lambda: self.facts, FACT, "set_size", self.size.claims)
 
     @property
     def hot_items(self) -> DataFrame | None:
-        return self._hot("items", self.items, ITEM, "n_values", self.totals[0])
+        return self._hot("items", lambda: self.items, ITEM, "n_values", self.size.facts)
 
     @property
     def hot_fact_sets(self) -> DataFrame | None:
         """Sets shared by very many facts, such as the set of one very busy source."""
-        sizes = self.facts.groupBy(*SET).agg(F.count(F.lit(1)).alias("n_facts"))
-        return self._hot("fact-sets", sizes, SET, "n_facts", self.totals[0])
+        def sizes():
+            return self.facts.groupBy(*SET).agg(F.count(F.lit(1)).alias("n_facts"))
 
-    @cached_property
-    def members(self) -> DataFrame:
-        hot = self._hot("facts", self.facts, FACT, "set_size", self.totals[1])
-        return self.work.keep(set_members(self.claims, self.facts, FACT, "source", hot), "members")
-
-    @cached_property
-    def n_members(self) -> int:
-        return self.members.count()
+        return self._hot("fact-sets", sizes, SET, "n_facts", self.size.facts)
 
     @property
     def hot_member_sets(self) -> DataFrame | None:
-        return self._hot("member-sets", self.members.select(*SET).distinct(), SET, "set_size", self.n_members)
+        return self._hot("member-sets", lambda: self.members.select(*SET).distinct(), SET, "set_size", self.n_members)
 
     @property
     def hot_sources(self) -> DataFrame | None:
-        sizes = self.members.groupBy("source").agg(F.count(F.lit(1)).alias("n_sets"))
+        def sizes():
+            return self.members.groupBy("source").agg(F.count(F.lit(1)).alias("n_sets"))
+
         return self._hot("sources", sizes, ["source"], "n_sets", self.n_members)
 
+    def votes_per_value(self) -> DataFrame:
+        return self.facts.select(*FACT, F.col("set_size").alias("votes"))
+
     def in_blocks(self, rows: DataFrame) -> DataFrame:
         """Rows with a ``property`` once per block that contains it."""
         if self.blocks is None:
@@ -101,6 +136,7 @@ class ClaimBase:
 
     @cached_property
     def block_sets(self) -> DataFrame:
+        """``block, SET, n_facts`` of the supporter sets that occur in a block."""
         counted = self.in_blocks(self.facts).groupBy(*BLOCK, *SET).agg(F.count(F.lit(1)).alias("n_facts"))
         return self.work.keep(counted, "block-sets")
 
@@ -108,28 +144,31 @@ class ClaimBase:
         """``per_set`` (block, SET, ...) once per member of the set."""
         return spread_join(self.members, per_set, SET, self.hot_member_sets, SET, F.col("source"))
 
+    def _pairs(self, weights: DataFrame) -> DataFrame:
+        return pair_counts(self.members, weights, "source", BLOCK, self.hot_member_sets, self.size.biggest_set)
+
     def same_pairs(self) -> DataFrame:
         """Values claimed by both sources, per block and pair of sources."""
-        weights = self.block_sets.select(*BLOCK, *SET, F.col("n_facts").alias("n"))
-        return pair_counts(self.members, weights, "source", BLOCK, self.hot_member_sets)
+        return self._pairs(self.block_sets.select(*BLOCK, *SET, F.col("n_facts").alias("n")))
 
     def common_pairs(self) -> DataFrame:
         """Items claimed by both sources, per block and pair of sources."""
-        items = self.work.keep(self.items, "items")
-        hot_claims = self._hot("item-claims", items, ITEM, "set_size", self.totals[1])
-        members = self.work.keep(set_members(self.claims, items, ITEM, "source", hot_claims), "claimants")
-        weights = self.in_blocks(items).groupBy(*BLOCK, *SET).agg(F.count(F.lit(1)).alias("n"))
-        hot_sets = hot_keys(members.select(*SET).distinct(), SET, "set_size", self.totals[1])
-        return pair_counts(members, weights, "source", BLOCK, hot_sets)
-
-    @cached_property
-    def pair_tables(self) -> tuple[DataFrame, DataFrame]:
-        return self.work.keep(self.same_pairs(), "same-pairs"), self.work.keep(self.common_pairs(), "common-pairs")
+        weights = self.in_blocks(self.items).groupBy(*BLOCK, *SET).agg(F.count(F.lit(1)).alias("n"))
+        hot = self._hot("claimant-sets", lambda: self.claimants.select(*SET).distinct(), SET, "set_size", self.size.claims)
+        return pair_counts(self.claimants, weights, "source", BLOCK, hot)
 
     def true_pairs(self, per_set: DataFrame) -> DataFrame:
         """True values claimed by both sources; ``per_set`` has ``block, SET, n_true``."""
         weights = per_set.where(F.col("n_true") > 0).select(*BLOCK, *SET, F.col("n_true").alias("n"))
-        return pair_counts(self.members, weights, "source", BLOCK, self.hot_member_sets)
+        return self._pairs(weights).withColumnsRenamed({"m1": "s1", "m2": "s2", "n": "n_true"})
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """``block, s1, s2, n_common, n_same`` for s1 < s2 that share an item."""
+        same = self.same_pairs().withColumnRenamed("n", "n_same")
+        common = self.common_pairs().withColumnRenamed("n", "n_common")
+        joined = common.join(same, [*BLOCK, "m1", "m2"], "left").fillna(0, ["n_same"])
+        return self.work.keep(joined.withColumnsRenamed({"m1": "s1", "m2": "s2"}), "pairs")
 
     def initial_trust(self, trust: float) -> DataFrame:
         """Every source of every block starts with the same trust."""
@@ -137,11 +176,7 @@ class ClaimBase:
         start = seen.withColumn("trust", F.lit(float(trust))).withColumn("old_trust", F.lit(float(trust)))
         return self.work.keep(start, "trust-0")
 
-    def scored_facts(self, set_scores: DataFrame, carry: list[str] = ("score",)) -> DataFrame:
+    def scored_facts(self, set_scores: DataFrame) -> DataFrame:
         """Facts of every block with the score of their supporter set."""
-        facts = self.in_blocks(self.facts)
-        scores = set_scores.select(*BLOCK, *SET, *carry)
-        hot = self.hot_fact_sets
-        return spread_join(facts, scores, [*BLOCK, *SET], hot, SET, F.struct(*FACT))
-
-
+        scores = set_scores.select(*BLOCK, *SET, "score")
+        return spread_join(self.in_blocks(self.facts), scores, [*BLOCK, *SET], self.hot_fact_sets, SET, F.struct(*FACT))

@@ -15,7 +15,7 @@ from truthloom.schema import FACT
 
 
 def truth_finder(
-    claims: DataFrame,
+    claims: DataFrame | ClaimBase,
     rho: float = 0.5,
     theta: float = 0.1,
     max_iterations: int = 5,
