@@ -49,7 +49,8 @@ def implied_scores(scored: DataFrame, rho: float, kind: str, group: list[str] =
                    hot_items: DataFrame | None = None) -> DataFrame:
     """Add to each score ``rho`` times the similarity-weighted scores of the item's other values.
 
-    ``scored`` has ``group, object, property, value, score`` and keeps its other columns.
+    ``scored`` has ``group, object, property, value, score`` and keeps its other columns; a
+    column ``weights`` with the character weights of the value is used and dropped.
 
     Character similarity is a dot product of unit vectors, so the sum over the other values
     is the dot product with one vector per item, the score-weighted sum of all its value
@@ -58,15 +59,17 @@ def implied_scores(scored: DataFrame, rho: float, kind: str, group: list[str] =
     """
     keys = [*group, *ITEM]
     if kind == "char":
-        weighted = scored.select(*keys, "score", F.inline(char_weights(F.col("value"))))
+        if "weights" not in scored.columns:
+            scored = scored.withColumn("weights", char_weights(F.col("value")))
+        weighted = scored.select(*keys, "score", F.inline("weights"))
         by_char = weighted.groupBy(*keys, "ch").agg(F.sum(F.col("w") * F.col("score")).alias("w"))
         vector = by_char.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("ch", "w"))).alias("vector"))
         joined = spread_join(scored, vector, keys, hot_items, ITEM, F.col("value"), "left")
-        others = weights_dot(char_weights(F.col("value")), F.col("vector")) - F.when(
+        others = weights_dot(F.col("weights"), F.col("vector")) - F.when(
             F.length("value") > 0, F.col("score")
         ).otherwise(0.0)
         boosted = F.when(F.col("vector").isNull(), F.col("score")).otherwise(F.col("score") + rho * others)
-        return joined.withColumn("score", boosted).drop("vector")
+        return joined.withColumn("score", boosted).drop("vector", "weights")
     if kind != "numeric":
         raise ValueError(f"unknown similarity {kind!r}")
     numbers = _with_size(scored.select(*keys, "value", "score", _number(F.col("value")).alias("x")), keys)

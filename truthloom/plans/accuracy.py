@@ -38,8 +38,7 @@ def discounted_votes(base: ClaimBase, factors: DataFrame) -> DataFrame:
     A source's vote is multiplied by one factor per source of the same set that ranks
     before it.  Pairs are joined to their factor and multiplied up within the join stage.
     """
-    left = base.member_values(base.block_sets.select(*BLOCK, *SET))
-    pairs = pair_join(left, base.members, SET, "set_size", "source", F.lit(True), base.size.biggest_set).select(
+    pairs = pair_join(base.block_members(), base.members, SET, "set_size", "source", F.lit(True), base.size.biggest_set).select(
         "l.block_id", *[f"l.{k}" for k in SET], F.col("l.source").alias("s1"), F.col("r.source").alias("s2")
     )
     votes = pairs.join(factors, [*BLOCK, "s1", "s2"]).groupBy(*BLOCK, *SET, "s1").agg(
@@ -76,7 +75,7 @@ def accuracy_model(
     base = ClaimBase.of(claims, blocks, deduped)
 
     def scored(scores: DataFrame) -> DataFrame:
-        facts = base.scored_facts(scores)
+        facts = base.scored_facts(scores, algo == "ACCUSIM" and similarity == "char")
         if algo == "ACCUSIM":
             return implied_scores(facts, rho, similarity, BLOCK, base.hot_items)
         return facts
@@ -87,7 +86,7 @@ def accuracy_model(
         facts = scored(scores)
         if algo == "ACCUSIM":
             facts = base.work.keep(facts, f"facts-{number}")
-        sets = with_outcome(base, facts).groupBy(*BLOCK, *SET).agg(
+        sets = with_outcome(facts, base.hot_items).groupBy(*BLOCK, *SET).agg(
             F.count(F.lit(1)).alias("n_facts"),
             F.sum("probability").alias("total"),
             F.sum(F.col("is_best").cast("bigint")).alias("n_true"),

@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from truthloom.functions.text import char_weights
 from truthloom.operators.sets import SET, pair_counts, set_members, units_with_sets
 from truthloom.operators.skew import hot_keys, spread_join
 from truthloom.plans.workspace import Workspace
@@ -140,6 +141,17 @@ class ClaimBase:
         counted = self.in_blocks(self.facts).groupBy(*BLOCK, *SET).agg(F.count(F.lit(1)).alias("n_facts"))
         return self.work.keep(counted, "block-sets")
 
+    @property
+    def spelled_facts(self) -> DataFrame:
+        """Facts with the character weights of their value, worked out once for all rounds."""
+        return self._table("spelled", lambda: self.facts.withColumn("weights", char_weights(F.col("value"))))
+
+    def block_members(self) -> DataFrame:
+        """``block, SET, source`` for the supporter sets of each block."""
+        if self.blocks is None:
+            return self.members.withColumn("block_id", F.lit(0))
+        return self.member_values(self.block_sets.select(*BLOCK, *SET))
+
     def member_values(self, per_set: DataFrame) -> DataFrame:
         """``per_set`` (block, SET, ...) once per member of the set."""
         return spread_join(self.members, per_set, SET, self.hot_member_sets, SET, F.col("source"))
@@ -172,11 +184,12 @@ class ClaimBase:
 
     def initial_trust(self, trust: float) -> DataFrame:
         """Every source of every block starts with the same trust."""
-        seen = self.member_values(self.block_sets).select(*BLOCK, "source").distinct()
+        seen = self.block_members().select(*BLOCK, "source").distinct()
         start = seen.withColumn("trust", F.lit(float(trust))).withColumn("old_trust", F.lit(float(trust)))
         return self.work.keep(start, "trust-0")
 
-    def scored_facts(self, set_scores: DataFrame) -> DataFrame:
+    def scored_facts(self, set_scores: DataFrame, spelled: bool = False) -> DataFrame:
         """Facts of every block with the score of their supporter set."""
         scores = set_scores.select(*BLOCK, *SET, "score")
-        return spread_join(self.in_blocks(self.facts), scores, [*BLOCK, *SET], self.hot_fact_sets, SET, F.struct(*FACT))
+        facts = self.spelled_facts if spelled else self.facts
+        return spread_join(self.in_blocks(facts), scores, [*BLOCK, *SET], self.hot_fact_sets, SET, F.struct(*FACT))

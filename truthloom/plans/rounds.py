@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from truthloom.functions.scores import log_bucket, log_of_buckets, scaled_exp, tie_key
@@ -102,28 +103,44 @@ def trust_from_sets(base: ClaimBase, sets: DataFrame, trust: DataFrame, total: s
     return per_source.join(before, [*BLOCK, "source"])
 
 
-def item_outcome(base: ClaimBase, scored: DataFrame) -> DataFrame:
-    """Per item: the winning value, its score and the logarithm of the softmax mass.
+def item_outcome(scored: DataFrame) -> DataFrame:
+    """Per item: the winning value and the logarithm of the softmax mass, by partial aggregates.
 
     Scores may exceed what exp() can take, so masses are summed per score range and the few
     ranges of an item are combined relative to the highest one.
     """
     keys = [*BLOCK, *ITEM]
-    won = F.struct((-tie_key(F.col("score"))).alias("below"), F.col("value").alias("value"), F.col("score").alias("score"))
+    won = F.struct((-tie_key(F.col("score"))).alias("below"), F.col("value").alias("value"))
     ranges = scored.groupBy(*keys, log_bucket(F.col("score")).alias("bucket")).agg(
         F.sum(scaled_exp(F.col("score"))).alias("mass"), F.min(won).alias("won")
     )
     whole = ranges.groupBy(*keys).agg(
         log_of_buckets(F.collect_list(F.struct("bucket", "mass"))).alias("log_mass"), F.min("won").alias("won")
     )
-    return whole.select(*keys, "log_mass", F.col("won.value").alias("best_value"), F.col("won.score").alias("best_score"))
+    return whole.select(*keys, "log_mass", F.col("won.value").alias("best_value"))
 
 
-def with_outcome(base: ClaimBase, scored: DataFrame) -> DataFrame:
-    """Add the softmax probability of each fact and whether it wins its item."""
-    joined = spread_join(scored, item_outcome(base, scored), [*BLOCK, *ITEM], base.hot_items, ITEM, F.col("value"))
-    return joined.withColumn("probability", F.exp(F.col("score") - F.col("log_mass"))).withColumn(
-        "is_best", F.col("value") == F.col("best_value")
+def with_outcome(scored: DataFrame, hot_items: DataFrame | None = None) -> DataFrame:
+    """Add the softmax probability of each fact and whether it wins its item.
+
+    Items of ordinary size take one shuffle and window sums over the item.  When some item
+    holds a large share of all facts, its window would be a single task: then outcomes are
+    aggregated per item and joined back with the hot items cut into pieces.
+    """
+    keys = [*BLOCK, *ITEM]
+    if hot_items is not None:
+        joined = spread_join(scored, item_outcome(scored), keys, hot_items, ITEM, F.col("value"))
+        return joined.withColumn("probability", F.exp(F.col("score") - F.col("log_mass"))).withColumn(
+            "is_best", F.col("value") == F.col("best_value")
+        )
+    item = W.partitionBy(*keys)
+    topped = scored.withColumn("tie", tie_key(F.col("score"))).withColumn("top", F.max("score").over(item))
+    topped = topped.withColumn("tied_value", F.when(F.col("tie") == tie_key(F.col("top")), F.col("value")))
+    weighed = topped.withColumn("weight", F.exp(F.col("score") - F.col("top")))
+    return weighed.select(
+        *scored.columns,
+        (F.col("weight") / F.sum("weight").over(item)).alias("probability"),
+        F.coalesce(F.col("tied_value") == F.min("tied_value").over(item), F.lit(False)).alias("is_best"),
     )
 
 

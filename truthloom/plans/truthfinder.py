@@ -31,13 +31,12 @@ def truth_finder(
     base = ClaimBase.of(claims, blocks, deduped)
 
     def set_scores(trust: DataFrame) -> DataFrame:
-        support = base.member_values(base.block_sets.select(*BLOCK, *SET))
-        weighted = spread_join(support, trust.select(*BLOCK, "source", "trust"), [*BLOCK, "source"],
+        weighted = spread_join(base.block_members(), trust.select(*BLOCK, "source", "trust"), [*BLOCK, "source"],
                                base.hot_sources, ["source"], F.struct(*SET))
         return weighted.groupBy(*BLOCK, *SET).agg(F.sum(trust_score(F.col("trust"))).alias("score"))
 
     def confidences(scores: DataFrame) -> DataFrame:
-        implied = implied_scores(base.scored_facts(scores), rho, similarity, BLOCK, base.hot_items)
+        implied = implied_scores(base.scored_facts(scores, similarity == "char"), rho, similarity, BLOCK, base.hot_items)
         return implied.withColumn("score", sigmoid(theta * F.col("score")))
 
     def step(state: Round, number: int) -> Round:
@@ -50,7 +49,7 @@ def truth_finder(
         return Round(base.work.keep(trust, f"trust-{number}"), scores)
 
     first = base.initial_trust(initial_trust)
-    start = Round(first, base.block_sets.withColumn("score", F.lit(0.0)))
+    start = Round(first, base.block_sets)
     state, rounds = run_rounds(start, step, max_iterations, threshold, stop)
     found = confidences(state.sets).select(*BLOCK, *FACT, "score")
     return result_of(base, found, state, rounds)
