@@ -12,7 +12,7 @@ from truthloom.functions.draws import seeded_index
 from truthloom.functions.scores import log_bucket, log_of_buckets, scaled_exp
 from truthloom.functions.text import char_weights, weights_dot
 from truthloom.operators.quality import source_stats
-from truthloom.operators.sets import pair_counts, set_members, units_with_sets, SET
+from truthloom.operators.sets import distinct_sets, pair_counts, set_members, units_with_sets
 from truthloom.operators.votes import restrict_properties, tied_values
 
 
@@ -120,9 +120,8 @@ def test_pairs_from_distinct_sets(spark):
     draw = random.Random(1)
     units = {u: draw.sample("abcdef", draw.randint(1, 5)) for u in range(60)}
     df = spark.createDataFrame([(u, m) for u, ms in units.items() for m in ms], "unit int, member string").cache()
-    sets = units_with_sets(df, ["unit"], "member")
-    members = set_members(df, sets, ["unit"], "member")
-    weights = sets.groupBy(*SET).agg(F.count(F.lit(1)).alias("n"))
+    weights = distinct_sets(units_with_sets(df, ["unit"], "member"), ["unit"])
+    members = set_members(df, weights, ["unit"], "member")
     got = {(r.m1, r.m2): r.n for r in pair_counts(members, weights, "member", []).collect()}
     want = {}
     for ms in units.values():

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from truthloom.operators.sets import SET, pair_counts, set_members, units_with_sets
+from truthloom.operators.sets import SET, distinct_sets, pair_counts, set_members, units_with_sets
 from truthloom.operators.skew import spread_join
 from truthloom.plans.workspace import Workspace
 from truthloom.schema import CLAIM, FACT, ITEM
@@ -38,9 +38,10 @@ def property_distance(matrix: DataFrame, properties: list[str], work: Workspace)
     counted together (at most 2^properties sets), so pairs are formed per set, not per cell.
     """
     matrix = work.keep(matrix, "matrix")
-    cells = work.keep(units_with_sets(matrix, CELL, "property"), "cells")
-    sets = work.keep(cells.groupBy(*SET).agg(F.count(F.lit(1)).alias("n")), "cell-sets")
-    members = work.keep(set_members(matrix, cells, CELL, "property"), "cell-properties")
+    cells = units_with_sets(matrix, CELL, "property")
+    sets = work.keep(distinct_sets(cells, CELL), "cell-sets")
+    members = work.keep(set_members(matrix, sets, CELL, "property"), "cell-properties")
+    sets = sets.drop("unit")
     both = pair_counts(members, sets, "property", [], biggest=len(properties))
     ones = members.join(sets, SET).groupBy("property").agg(F.sum("n").alias("ones"))
     names = F.array(*[F.lit(name) for name in properties])

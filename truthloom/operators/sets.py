@@ -33,13 +33,18 @@ def units_with_sets(memberships: DataFrame, unit: list[str], member: str) -> Dat
     return memberships.groupBy(*unit).agg(*set_key(member))
 
 
-def set_members(memberships: DataFrame, units: DataFrame, unit: list[str], member: str,
-                hot: DataFrame | None = None) -> DataFrame:
-    """``SET, member``: the members of each distinct set, read off one unit that has it.
+def distinct_sets(units: DataFrame, unit: list[str]) -> DataFrame:
+    """``SET, unit, n``: each distinct set, one unit that has it, and how many units do.
 
     The smallest unit is taken, not just any: a recomputed task must choose the same one.
     """
-    chosen = units.groupBy(*SET).agg(F.min(F.struct(*unit)).alias("unit")).select(*SET, "unit.*")
+    return units.groupBy(*SET).agg(F.min(F.struct(*unit)).alias("unit"), F.count(F.lit(1)).alias("n"))
+
+
+def set_members(memberships: DataFrame, sets: DataFrame, unit: list[str], member: str,
+                hot: DataFrame | None = None) -> DataFrame:
+    """``SET, member``: the members of each distinct set, read off its unit."""
+    chosen = sets.select(*SET, "unit.*")
     return spread_join(memberships, chosen, unit, hot, unit, F.col(member)).select(*SET, member)
 
 

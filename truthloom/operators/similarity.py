@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from truthloom.functions.text import char_weights, numeric_similarity, weights_dot
 from truthloom.operators.skew import pair_join, spread_join
+from truthloom.plans.workspace import Workspace
 from truthloom.schema import FACT, ITEM
 
 KINDS = ("char", "numeric")
@@ -21,7 +22,7 @@ def _with_size(values: DataFrame, keys: list[str]) -> DataFrame:
     return values.join(size, keys)
 
 
-def value_similarity(claims: DataFrame, kind: str = "char") -> DataFrame:
+def value_similarity(claims: DataFrame, kind: str = "char", work: Workspace | None = None) -> DataFrame:
     """``object, property, v1, v2, sim`` for all ordered pairs of distinct values of an item.
 
     This table is quadratic in the values of an item by definition.  The models below do
@@ -36,8 +37,9 @@ def value_similarity(claims: DataFrame, kind: str = "char") -> DataFrame:
     else:
         values = values.withColumn("feature", _number(F.col("value")))
         sim = numeric_similarity(F.col("l.feature"), F.col("r.feature"))
-    values = _with_size(values, ITEM)
-    half = pair_join(values, values, ITEM, "n_values", "value", F.col("l.value") < F.col("r.value")).select(
+    values = (work or Workspace(claims.sparkSession)).keep(values, "values")
+    sized = _with_size(values, ITEM)
+    half = pair_join(sized, sized, ITEM, "n_values", "value", F.col("l.value") < F.col("r.value")).select(
         "l.object", "l.property", F.col("l.value").alias("a"), F.col("r.value").alias("b"), sim.alias("sim")
     )
     both = F.array(F.struct(F.col("a").alias("v1"), F.col("b").alias("v2")),
@@ -46,7 +48,7 @@ def value_similarity(claims: DataFrame, kind: str = "char") -> DataFrame:
 
 
 def implied_scores(scored: DataFrame, rho: float, kind: str, group: list[str] = (),
-                   hot_items: DataFrame | None = None) -> DataFrame:
+                   hot_items: DataFrame | None = None, biggest: int | None = None) -> DataFrame:
     """Add to each score ``rho`` times the similarity-weighted scores of the item's other values.
 
     ``scored`` has ``group, object, property, value, score`` and keeps its other columns; a
@@ -55,7 +57,9 @@ def implied_scores(scored: DataFrame, rho: float, kind: str, group: list[str] =
     Character similarity is a dot product of unit vectors, so the sum over the other values
     is the dot product with one vector per item, the score-weighted sum of all its value
     vectors, less the value's own share.  No pair of values is ever formed; the item vector
-    has at most one entry per distinct character.
+    has at most one entry per distinct character.  Numeric similarity has no such form: its
+    pairs are summed within the join stage, and ``biggest`` is the greatest number of values
+    of an item, if known.
     """
     keys = [*group, *ITEM]
     if kind == "char":
@@ -75,7 +79,7 @@ def implied_scores(scored: DataFrame, rho: float, kind: str, group: list[str] =
     numbers = _with_size(scored.select(*keys, "value", "score", _number(F.col("value")).alias("x")), keys)
     gap = numeric_similarity(F.col("l.x"), F.col("r.x"))
     sums = (
-        pair_join(numbers, numbers, keys, "n_values", "value", F.col("l.value") != F.col("r.value"))
+        pair_join(numbers, numbers, keys, "n_values", "value", F.col("l.value") != F.col("r.value"), biggest)
         .groupBy(*[F.col(f"l.{k}").alias(k) for k in keys], F.col("l.value").alias("value"))
         .agg(F.sum(F.col("r.score") * gap).alias("others"))
     )

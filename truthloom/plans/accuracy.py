@@ -10,7 +10,6 @@ from truthloom.operators.dependence import agreement, dependence, vote_factors
 from truthloom.operators.sets import SET
 from truthloom.operators.similarity import implied_scores
 from truthloom.operators.skew import pair_join
-from truthloom.operators.votes import best_values
 from truthloom.plans.claimbase import BLOCK, ClaimBase
 from truthloom.plans.rounds import Round, TruthResult, result_of, run_rounds, trust_from_sets, with_outcome
 from truthloom.schema import FACT, ITEM
@@ -20,9 +19,8 @@ ALGORITHMS = ("DEPEN", "ACCU", "ACCUSIM")
 
 def majority_sets(base: ClaimBase) -> DataFrame:
     """``block, SET, n_true`` when the majority value of each item is taken as true."""
-    votes = base.facts.withColumn("votes", F.col("set_size"))
-    won = best_values(votes).select(*ITEM, F.col("value").alias("best_value"))
-    true_facts = base.facts.join(won, ITEM).where(F.col("value") == F.col("best_value"))
+    votes = base.facts.withColumns({"block_id": F.lit(0), "score": F.col("set_size").cast("double")})
+    true_facts = with_outcome(votes, base.hot_items).where("is_best").select(*ITEM, *SET)
     return base.in_blocks(true_facts).groupBy(*BLOCK, *SET).agg(F.count(F.lit(1)).alias("n_true"))
 
 
@@ -73,11 +71,12 @@ def accuracy_model(
     if algo not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algo!r}")
     base = ClaimBase.of(claims, blocks, deduped)
+    biggest = base.biggest_item if similarity == "numeric" else None
 
     def scored(scores: DataFrame) -> DataFrame:
         facts = base.scored_facts(scores, algo == "ACCUSIM" and similarity == "char")
         if algo == "ACCUSIM":
-            return implied_scores(facts, rho, similarity, BLOCK, base.hot_items)
+            return implied_scores(facts, rho, similarity, BLOCK, base.hot_items, biggest)
         return facts
 
     def step(state: Round, number: int) -> Round:

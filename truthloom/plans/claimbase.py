@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from truthloom.functions.text import char_weights
-from truthloom.operators.sets import SET, pair_counts, set_members, units_with_sets
+from truthloom.operators.sets import SET, distinct_sets, pair_counts, set_members, units_with_sets
 from truthloom.operators.skew import hot_keys, spread_join
 from truthloom.plans.workspace import Workspace
 from truthloom.schema import CLAIM, FACT, ITEM, as_claims, dedupe_claims
@@ -76,9 +76,14 @@ class ClaimBase:
             F.coalesce(F.max("set_size"), F.lit(0)).alias("biggest_set"),
         ).first())
 
+    @property
+    def sets(self) -> DataFrame:
+        """Distinct supporter sets with the number of facts that have them."""
+        return self._table("sets", lambda: distinct_sets(self.facts, FACT))
+
     @property
     def members(self) -> DataFrame:
-        return self._table("members", lambda: set_members(self.claims, self.facts, FACT, "source", self.hot_facts))
+        return self._table("members", lambda: set_members(self.claims, self.sets, FACT, "source", self.hot_facts))
 
     @property
     def items(self) -> DataFrame:
@@ -90,10 +95,19 @@ class ClaimBase:
             F.count(F.lit(1)).alias("n_values"),
         ))
 
+    @property
+    def biggest_item(self) -> int:
+        return self._once("biggest-item", lambda: self.items.agg(F.max("n_values")).first()[0] or 0)
+
+    @property
+    def item_sets(self) -> DataFrame:
+        """Distinct claimant sets with the number of items that have them."""
+        return self._table("item-sets", lambda: distinct_sets(self.items, ITEM))
+
     @property
     def claimants(self) -> DataFrame:
         hot = self._hot("item-claims", lambda: self.items, ITEM, "set_size", self.size.claims)
-        return self._table("claimants", lambda: set_members(self.claims, self.items, ITEM, "source", hot))
+        return self._table("claimants", lambda: set_members(self.claims, self.item_sets, ITEM, "source", hot))
 
     @property
     def n_members(self) -> int:
@@ -110,14 +124,11 @@ class ClaimBase:
     @property
     def hot_fact_sets(self) -> DataFrame | None:
         """Sets shared by very many facts, such as the set of one very busy source."""
-        def sizes():
-            return self.facts.groupBy(*SET).agg(F.count(F.lit(1)).alias("n_facts"))
-
-        return self._hot("fact-sets", sizes, SET, "n_facts", self.size.facts)
+        return self._hot("fact-sets", lambda: self.sets, SET, "n", self.size.facts)
 
     @property
     def hot_member_sets(self) -> DataFrame | None:
-        return self._hot("member-sets", lambda: self.members.select(*SET).distinct(), SET, "set_size", self.n_members)
+        return self._hot("member-sets", lambda: self.sets, SET, "set_size", self.n_members)
 
     @property
     def hot_sources(self) -> DataFrame | None:
@@ -138,6 +149,8 @@ class ClaimBase:
     @cached_property
     def block_sets(self) -> DataFrame:
         """``block, SET, n_facts`` of the supporter sets that occur in a block."""
+        if self.blocks is None:
+            return self.sets.select(F.lit(0).alias("block_id"), *SET, F.col("n").alias("n_facts"))
         counted = self.in_blocks(self.facts).groupBy(*BLOCK, *SET).agg(F.count(F.lit(1)).alias("n_facts"))
         return self.work.keep(counted, "block-sets")
 
@@ -165,8 +178,11 @@ class ClaimBase:
 
     def common_pairs(self) -> DataFrame:
         """Items claimed by both sources, per block and pair of sources."""
-        weights = self.in_blocks(self.items).groupBy(*BLOCK, *SET).agg(F.count(F.lit(1)).alias("n"))
-        hot = self._hot("claimant-sets", lambda: self.claimants.select(*SET).distinct(), SET, "set_size", self.size.claims)
+        if self.blocks is None:
+            weights = self.item_sets.select(F.lit(0).alias("block_id"), *SET, "n")
+        else:
+            weights = self.in_blocks(self.items).groupBy(*BLOCK, *SET).agg(F.count(F.lit(1)).alias("n"))
+        hot = self._hot("claimant-sets", lambda: self.item_sets, SET, "set_size", self.size.claims)
         return pair_counts(self.claimants, weights, "source", BLOCK, hot)
 
     def true_pairs(self, per_set: DataFrame) -> DataFrame:

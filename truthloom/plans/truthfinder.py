@@ -29,6 +29,7 @@ def truth_finder(
     """Iterate: score values by the trust of their sources, let similar values support each
     other, squash to a confidence, and set each source's trust to its mean confidence."""
     base = ClaimBase.of(claims, blocks, deduped)
+    biggest = base.biggest_item if similarity == "numeric" else None
 
     def set_scores(trust: DataFrame) -> DataFrame:
         weighted = spread_join(base.block_members(), trust.select(*BLOCK, "source", "trust"), [*BLOCK, "source"],
@@ -36,7 +37,7 @@ def truth_finder(
         return weighted.groupBy(*BLOCK, *SET).agg(F.sum(trust_score(F.col("trust"))).alias("score"))
 
     def confidences(scores: DataFrame) -> DataFrame:
-        implied = implied_scores(base.scored_facts(scores, similarity == "char"), rho, similarity, BLOCK, base.hot_items)
+        implied = implied_scores(base.scored_facts(scores, similarity == "char"), rho, similarity, BLOCK, base.hot_items, biggest)
         return implied.withColumn("score", sigmoid(theta * F.col("score")))
 
     def step(state: Round, number: int) -> Round:
