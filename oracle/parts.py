@@ -236,7 +236,7 @@ def kmeans(n: int = len(PROPERTIES), max_iter: int = 10) -> list[tuple[str, str]
 (SELECT {j}, p FROM (SELECT p, min(d2) AS d2 FROM d2 JOIN seed_{j - 1} USING (q)
   WHERE p NOT IN (SELECT q FROM seed_{j - 1}) GROUP BY p) ORDER BY d2 DESC, p LIMIT 1)"""))
     ctes.append(("labels_0", f"""SELECT k, p AS property, cluster
-FROM (SELECT unnest(range(2, {n})) AS k) JOIN (SELECT d2.*, s.cluster FROM d2 JOIN seed_{n - 2} s USING (q)) ON cluster < k
+FROM (SELECT unnest(range(2, {n}))::INT AS k) JOIN (SELECT d2.*, s.cluster FROM d2 JOIN seed_{n - 2} s USING (q)) ON cluster < k
 QUALIFY row_number() OVER (PARTITION BY k, p ORDER BY d2, cluster) = 1"""))
     for r in range(1, max_iter + 1):
         ctes += [

@@ -57,7 +57,7 @@ def test_accuracy(table, keys, algo):
     assert trust == pytest.approx(want_trust, abs=1e-9)
     assert truths == want_truths
     if keys == "hot":
-        assert None not in (base.hot_items, base.hot_fact_sets, base.hot_member_sets, base.hot_facts)
+        assert None not in (base.hot_pairs, base.hot_items, base.hot_fact_sets, base.hot_member_sets, base.hot_facts)
 
 
 @pytest.mark.parametrize("kind,sim", [("char", plain.char_cosine), ("numeric", plain.numeric)])

@@ -12,28 +12,36 @@ from truthloom.schema import FACT, ITEM
 def confusion(claims: DataFrame, truth: DataFrame, found: DataFrame, group: list[str] = ()) -> DataFrame:
     """Per-claim confusion counts; ``n_unmatched`` counts claims on items without truth or result.
 
-    Equal claims are counted once per (item, value) first, so the joins carry values
-    instead of claims; ``claims`` may already be such vote counts.  ``found`` may hold several results told apart by ``group``.
+    Only three numbers per item matter: all its votes, those for the true value and those for
+    the found value.  So every join has at most one row per item on each side, however many
+    claims or values an item has.  ``claims`` may already be vote counts; ``found`` may hold
+    several results told apart by ``group``.
     """
     counts = claims if "votes" in claims.columns else vote_counts(claims)
-    known = truth.select(*ITEM, F.col("value").alias("true_value"))
-    result = found.select(*group, *ITEM, F.col("value").alias("found_value"))
-    joined = counts.join(known, ITEM, "left").join(result, ITEM, "left")
+    totals = counts.groupBy(*ITEM).agg(F.sum("votes").alias("all_votes"))
+
+    def supported(values: DataFrame, name: str, keys: list[str]) -> DataFrame:
+        votes = F.coalesce("votes", F.lit(0)).alias(f"{name}_votes")
+        return values.select(*keys, *FACT).join(counts, FACT, "left").select(
+            *keys, *ITEM, F.col("value").alias(f"{name}_value"), votes
+        )
+
+    joined = totals.join(supported(truth, "true", []), ITEM, "left").join(supported(found, "found", group), ITEM, "left")
     matched = F.col("true_value").isNotNull() & F.col("found_value").isNotNull()
-    predicted = F.col("value") == F.col("found_value")
-    actual = F.col("value") == F.col("true_value")
-
-    def votes_if(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("votes")).otherwise(0)), F.lit(0))
-
-    aggregates = [
-        votes_if(matched & predicted & actual).alias("tp"),
-        votes_if(matched & predicted & ~actual).alias("fp"),
-        votes_if(matched & ~predicted & actual).alias("fn"),
-        votes_if(matched & ~predicted & ~actual).alias("tn"),
-        votes_if(~matched).alias("n_unmatched"),
-    ]
-    return joined.groupBy(*group).agg(*aggregates)
+    right = F.col("true_value") == F.col("found_value")
+    true_votes, found_votes, all_votes = F.col("true_votes"), F.col("found_votes"), F.col("all_votes")
+
+    def total(condition: Column, votes: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, votes)), F.lit(0))
+
+    others = F.when(right, all_votes - true_votes).otherwise(all_votes - true_votes - found_votes)
+    return joined.groupBy(*group).agg(
+        total(matched & right, true_votes).alias("tp"),
+        total(matched & ~right, found_votes).alias("fp"),
+        total(matched & ~right, true_votes).alias("fn"),
+        total(matched, others).alias("tn"),
+        total(~matched, all_votes).alias("n_unmatched"),
+    )
 
 
 def ratios(counts: DataFrame) -> DataFrame:

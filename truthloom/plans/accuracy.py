@@ -9,7 +9,7 @@ from truthloom.functions.scores import clamp_trust
 from truthloom.operators.dependence import agreement, dependence, vote_factors
 from truthloom.operators.sets import SET
 from truthloom.operators.similarity import implied_scores
-from truthloom.operators.skew import pair_join
+from truthloom.operators.skew import pair_join, spread_join
 from truthloom.plans.claimbase import BLOCK, ClaimBase
 from truthloom.plans.rounds import Round, TruthResult, result_of, run_rounds, trust_from_sets, with_outcome
 from truthloom.schema import FACT, ITEM
@@ -34,12 +34,15 @@ def discounted_votes(base: ClaimBase, factors: DataFrame) -> DataFrame:
     """``block, SET, score``: sum over the sources of a set of their discounted votes.
 
     A source's vote is multiplied by one factor per source of the same set that ranks
-    before it.  Pairs are joined to their factor and multiplied up within the join stage.
+    before it.  The factors are broadcast while Spark finds them small; then pairs are
+    formed, joined and multiplied up in one stage.  Beyond that, pairs of sources that meet
+    very often are spread over several join keys.
     """
     pairs = pair_join(base.block_members(), base.members, SET, "set_size", "source", F.lit(True), base.size.biggest_set).select(
         "l.block_id", *[f"l.{k}" for k in SET], F.col("l.source").alias("s1"), F.col("r.source").alias("s2")
     )
-    votes = pairs.join(factors, [*BLOCK, "s1", "s2"]).groupBy(*BLOCK, *SET, "s1").agg(
+    joined = spread_join(pairs, factors, [*BLOCK, "s1", "s2"], base.hot_pairs, ["s1", "s2"], F.struct(*SET))
+    votes = joined.groupBy(*BLOCK, *SET, "s1").agg(
         F.product("factor").alias("vote")
     )
     return votes.groupBy(*BLOCK, *SET).agg(F.sum("vote").alias("score"))

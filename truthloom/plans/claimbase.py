@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from truthloom.functions.text import char_weights
+from truthloom.operators import skew
+from truthloom.operators.dependence import both_directions
 from truthloom.operators.sets import SET, distinct_sets, pair_counts, set_members, units_with_sets
 from truthloom.operators.skew import hot_keys, spread_join
 from truthloom.plans.workspace import Workspace
@@ -198,6 +200,16 @@ class ClaimBase:
         joined = common.join(same, [*BLOCK, "m1", "m2"], "left").fillna(0, ["n_same"])
         return self.work.keep(joined.withColumnsRenamed({"m1": "s1", "m2": "s2"}), "pairs")
 
+    @cached_property
+    def hot_pairs(self) -> DataFrame | None:
+        """Ordered pairs of sources that meet in very many sets; none while all pairs are few."""
+        if self.pairs.count() <= skew.FLOOR:
+            return None
+        sizes = both_directions(self.pairs.groupBy("s1", "s2").agg(F.sum("n_same").alias("n")))
+        total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        found = hot_keys(lambda: sizes, ["s1", "s2"], "n", total)
+        return None if found is None else self.work.keep(found, "hot-pairs")
+
     def initial_trust(self, trust: float) -> DataFrame:
         """Every source of every block starts with the same trust."""
         seen = self.block_members().select(*BLOCK, "source").distinct()
