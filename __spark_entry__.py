@@ -20,6 +20,7 @@ from truthloom.operators.dependence import agreement, dependence, max_dependence
 from truthloom.operators.matrix import property_distance, property_names, truth_matrix
 from truthloom.operators.partitions import set_partitions
 from truthloom.operators.quality import source_stats
+from truthloom.operators.skew import use_all_cores
 from truthloom.operators.votes import best_values, restrict_properties, tied_values
 from truthloom.plans.accuracy import majority_sets
 from truthloom.plans.claimbase import BLOCK, ClaimBase
@@ -43,7 +44,8 @@ GEN_ACCURACY = Accuracy(m1=0.8, m2=0.3, m3=0.8)
 # --- claims from the given tables -------------------------------------------------------
 
 def wide_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    used = ["l_partkey", "l_suppkey", *NEWEST, "l_returnflag", "l_linestatus", "l_discount", "l_tax"]
+    lines = use_all_cores(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*used), "l_orderkey", "l_linenumber")
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
     return lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
 

@@ -51,6 +51,16 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFram
     return cut.join(copies, [*keys, "piece"], how).drop("piece")
 
 
+def use_all_cores(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread the rows of an input with fewer partitions than cores by ``keys``.
+
+    For small inputs ahead of much work per row, such as a file with a single row group.
+    An input with enough partitions is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 # Members of one group that meet inside a single join key.
 PAIR_CUT = 2048
 

@@ -86,7 +86,7 @@ def accuracy_model(
         factors = vote_factors(state.dependence, state.trust, BLOCK, algo, c, n, order)
         scores = base.work.keep(discounted_votes(base, factors), f"scores-{number}")
         facts = scored(scores)
-        if algo == "ACCUSIM":
+        if algo == "ACCUSIM" and base.hot_items is not None:  # read twice only then
             facts = base.work.keep(facts, f"facts-{number}")
         sets = with_outcome(facts, base.hot_items).groupBy(*BLOCK, *SET).agg(
             F.count(F.lit(1)).alias("n_facts"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from truthloom.functions.draws import draw, uniform
+from truthloom.operators.skew import use_all_cores
 from truthloom.schema import CLAIM
 
 # Fixed values of the data format: true values start at 100000 (399,999 of them), wrong
@@ -40,21 +41,13 @@ def named_range(spark: SparkSession, prefix: str, column: str, count: int) -> Da
     return names.withColumn(column, F.concat(F.lit(prefix), F.col(f"{column}_idx") + 1))
 
 
-def _spread(objects: DataFrame) -> DataFrame:
-    """A few object rows grow into many claims: use every core before they do."""
-    cores = objects.sparkSession.sparkContext.defaultParallelism
-    if objects.rdd.getNumPartitions() >= cores:
-        return objects
-    return objects.repartition(cores, "object")
-
-
 def generate_truth(objects: DataFrame, properties: list[str], seed: str = "0") -> DataFrame:
     """One true value and 20 distinct wrong values per (object, property).
 
     Wrong values step through the 499,999 candidates by a constant stride.  499,999 is
     31 * 127 * 127, so no stride repeats within the first 31 steps.
     """
-    items = _spread(objects).withColumn("property", F.explode(F.array(*[F.lit(p) for p in properties])))
+    items = use_all_cores(objects, "object").withColumn("property", F.explode(F.array(*[F.lit(p) for p in properties])))
     name = ["object", "property"]
     true_value = F.lit(TRUE_START) + F.pmod(draw(F.lit(seed), F.lit("true"), *map(F.col, name)), F.lit(TRUE_COUNT))
     start = F.pmod(draw(F.lit(seed), F.lit("start"), *map(F.col, name)), F.lit(FALSE_COUNT))
