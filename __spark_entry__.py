@@ -35,6 +35,14 @@ from truthloom.sources import (
 )
 from truthloom.sources.generate import Accuracy
 
+try:  # the training-data operators are optional; nothing else needs them
+    import corpus_pipeline
+    from truthloom.llm import registry as llm
+except ModuleNotFoundError as error:
+    if not (error.name or "").startswith(("truthloom.llm", "corpus_pipeline")):
+        raise
+    corpus_pipeline = llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 NEWEST = ["l_shipdate", "l_orderkey", "l_linenumber"]
 GEN_PROPERTIES = [f"Property{i}" for i in range(1, 7)]
@@ -377,11 +385,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         found[f"{name}_r1"] = lambda s, d, a=algo: truths_of(accuracy(s, d, a, 1))
         found[f"{name}_r2"] = lambda s, d, a=algo: truths_of(accuracy(s, d, a, 2))
         found[f"{name}_trust_r2"] = lambda s, d, a=algo: trust_of(accuracy(s, d, a, 2))
+    if llm:
+        found |= llm.queries() | {"pipeline": corpus_pipeline.run}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return statements()
+    found = statements()
+    if llm:
+        found |= llm.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
 
 
 def entry(spark: SparkSession) -> DataFrame:
