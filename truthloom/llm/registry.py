@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from truthloom.llm.chat import CHAT_SQL, chat_digest
+from truthloom.llm.decontaminate import find_leaks
 from truthloom.llm.packing import pack
 from truthloom.llm.personal import find_personal
 from truthloom.llm.quality import quality_rules
@@ -50,6 +51,10 @@ def op5_personal(spark, sf_dir):
     return find_personal(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark, sf_dir):
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": op3_secrets,
         "op4_warc": op4_warc,
         "op5_personal": op5_personal,
+        "op6_decontamination": op6_decontamination,
         "op7_packing": op7_packing,
         "op10_quality": op10_quality,
     }

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from truthloom.llm.words import chunks, distinct, span_hashes, split_words
+from truthloom.llm.words import chunks, distinct, ranges, span_hashes, split_words
 
 BITS = 18
 #: Leading bytes of a word that are features of their own, beside the whole word.
@@ -143,17 +143,11 @@ def fit(found: Bags, labels: np.ndarray, steps: int = 700, rate: float = 0.3, de
     return model
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """All positions of the given ranges, one after another."""
-    before = np.concatenate([[0], np.cumsum(sizes)])
-    return np.arange(before[-1]) + np.repeat(starts - before[:-1], sizes)
-
-
 def _take(found: Bags, docs: np.ndarray) -> Bags:
-    sentences = _ranges(found.documents[docs], np.diff(found.documents)[docs])
+    sentences = ranges(found.documents[docs], np.diff(found.documents)[docs])
     sizes = np.diff(found.sentences)[sentences]
     return Bags(
-        found.features[_ranges(found.sentences[sentences], sizes)],
+        found.features[ranges(found.sentences[sentences], sizes)],
         np.concatenate([[0], np.cumsum(sizes)]),
         np.concatenate([[0], np.cumsum(np.diff(found.documents)[docs])]),
         found.places[sentences],

@@ -148,6 +148,12 @@ def ngrams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, n
     return mix(total[inside]), inside
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of the given ranges, one range after another."""
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    return np.arange(before[-1]) + np.repeat(starts - before[:-1], sizes)
+
+
 def distinct(keys: np.ndarray) -> np.ndarray:
     """The keys in order, each once."""
     ordered = np.sort(keys)
