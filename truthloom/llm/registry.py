@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from truthloom.llm.chat import CHAT_SQL, chat_digest
 from truthloom.llm.decontaminate import find_leaks
+from truthloom.llm.jaccard import JACCARD_SQL, jaccard_components
 from truthloom.llm.packing import pack
 from truthloom.llm.personal import find_personal
 from truthloom.llm.quality import quality_rules
@@ -59,6 +60,10 @@ def op7_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_jaccard(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -72,9 +77,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_personal": op5_personal,
         "op6_decontamination": op6_decontamination,
         "op7_packing": op7_packing,
+        "op9_jaccard": op9_jaccard,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": CHAT_SQL, "op4_warc": WARC_SQL}
+    return {"op2_chat": CHAT_SQL, "op4_warc": WARC_SQL, "op9_jaccard": JACCARD_SQL}
