@@ -2,24 +2,52 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from truthloom.llm.decontaminate import drop_leaks
+from truthloom.llm.jaccard import keep_one
+from truthloom.llm.packing import pack
 from truthloom.llm.secrets import redact_secrets
 from truthloom.llm.toxicity import drop_toxic, train
 from truthloom.plans.workspace import Workspace
 
+TOKENIZER = "word_bpe_49k.json"
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model rejects go.  The model is fitted on the stage's own documents."""
+    """Documents that the model rejects go.  The model is fitted on labelled rows among ``docs``."""
     return drop_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
     return redact_secrets(docs)
 
 
-STAGES = [("toxicity", toxicity), ("secrets", secrets)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every token of every document, placed in sequences of at most 2048."""
+    return pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("packing", packing),
+]
+#: The fitted model, the tokenizer and the packing have no SQL form; tests hold them against plain Python.
 ORACLE_SQL = None
 
 

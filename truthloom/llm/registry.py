@@ -15,6 +15,7 @@ from truthloom.llm.packing import pack
 from truthloom.llm.personal import find_personal
 from truthloom.llm.quality import quality_rules
 from truthloom.llm.secrets import scan_secrets
+from truthloom.llm.substrings import SUBSTRING_SQL, drop_repeats
 from truthloom.llm.toxicity import score_documents, train
 from truthloom.llm.warc import WARC_SQL, archive_pages
 
@@ -60,6 +61,10 @@ def op7_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_substrings(spark, sf_dir):
+    return drop_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -77,10 +82,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_personal": op5_personal,
         "op6_decontamination": op6_decontamination,
         "op7_packing": op7_packing,
+        "op8_substrings": op8_substrings,
         "op9_jaccard": op9_jaccard,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": CHAT_SQL, "op4_warc": WARC_SQL, "op9_jaccard": JACCARD_SQL}
+    return {"op2_chat": CHAT_SQL, "op4_warc": WARC_SQL, "op8_substrings": SUBSTRING_SQL, "op9_jaccard": JACCARD_SQL}
