@@ -75,7 +75,7 @@ class FMIndex:
         before = np.where(self.suffixes > 0, text[self.suffixes - 1], 0)
         self.bwt = WaveletMatrix(before, size)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
-        self.size = len(text)
+        self.text, self.size, self.common = text, len(text), None
         self.low, self.high, _ = self._groups(half, width - 1)
         _, _, self.group = self._groups(half, width)
 
@@ -93,29 +93,54 @@ class FMIndex:
         start = self.first[symbols]
         return start + self.bwt.rank(symbols, low), start + self.bwt.rank(symbols, high)
 
+    def bounds(self, rows: np.ndarray, depths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that share their first ``depths`` symbols with each of ``rows``."""
+        if self.common is None:  # symbols that neighbouring rows share, up to the width
+            self.common = np.zeros(self.size, np.int8)
+            alike = np.arange(1, self.size)
+            for step in range(self.width):
+                above, below = self.suffixes[alike - 1] + step, self.suffixes[alike] + step
+                inside = np.maximum(above, below) < self.size
+                alike, above, below = alike[inside], above[inside], below[inside]
+                alike = alike[self.text[above] == self.text[below]]
+                self.common[alike] += 1
+        low, high = np.zeros(len(rows), np.int64), np.full(len(rows), self.size)
+        for depth in np.unique(depths[depths > 0]).tolist():
+            own = depths == depth
+            breaks = np.append(np.flatnonzero(self.common < depth), self.size)
+            at = np.searchsorted(breaks, rows[own], "right")
+            low[own], high[own] = breaks[at - 1], breaks[at]
+        return low, high
+
     def matches(self, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics of many sequences, streamed from their ends: for each position of
         ``text`` the rows of the index that match ``width`` symbols from there (empty: none do).
 
-        A pattern that has reached the full width loses its last symbol (its rows widen to all that
-        share the rest) before it grows at the front.  A pattern without rows starts anew.
+        A pattern that has reached the full width, or has no rows, loses symbols at its end (its
+        rows widen to all that share the rest) and then grows at the front.
         """
         low, high = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
         live = np.flatnonzero(np.diff(first) > 0)
-        at = first[1:][live] - 1
-        stop = first[:-1][live]
+        at, stop = first[1:][live] - 1, first[:-1][live]
         rows = np.zeros(len(live), np.int64), np.full(len(live), self.size)
         length = np.zeros(len(live), np.int64)
         while len(at):
             full = length == self.width
-            a = np.where(full, self.low[np.minimum(rows[0], self.size - 1)], rows[0])
-            b = np.where(full, self.high[np.minimum(rows[0], self.size - 1)], rows[1])
-            a, b = self.extend(text[at], a, b)
-            lost = a >= b
-            length = np.where(lost, 0, np.minimum(length + 1, self.width))
-            a, b = np.where(lost, 0, a), np.where(lost, self.size, b)
-            done = length == self.width
-            low[at[done]], high[at[done]] = a[done], b[done]
+            length = length - full
+            a0, b0 = np.where(full, self.low[rows[0]], rows[0]), np.where(full, self.high[rows[0]], rows[1])
+            a, b = self.extend(text[at], a0, b0)
+            lost = np.flatnonzero(a >= b)
+            while len(lost):
+                done = lost[length[lost] == 0]  # the symbol is not in the index
+                length[done], a[done], b[done] = -1, 0, self.size
+                lost = lost[length[lost] > 0]
+                length[lost] -= 1
+                wider = self.bounds(a0[lost], length[lost])
+                a[lost], b[lost] = self.extend(text[at[lost]], *wider)
+                lost = lost[a[lost] >= b[lost]]
+            length += 1
+            reached = length == self.width
+            low[at[reached]], high[at[reached]] = a[reached], b[reached]
             going = at > stop
             at, stop, length, rows = at[going] - 1, stop[going], length[going], (a[going], b[going])
         return low, high

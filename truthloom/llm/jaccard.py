@@ -481,7 +481,7 @@ def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     gone = jaccard_components(docs, block).where("doc_id <> component_id").select("doc_id").distinct()
     gone = Workspace(docs.sparkSession).keep(gone, "gone")
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 # DuckDB: all pairs that share a shingle, then reachability.
