@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oracle import statements
+from oracle.statements import COSINE_STOP, DELTA_STOP
 from truthloom import (
     accuracy_model, claims_from_wide, coverage, dedupe_claims, evaluate, majority_vote, truth_finder,
     value_similarity, vote_counts,
@@ -18,7 +19,6 @@ from truthloom.operators.cluster import (
 )
 from truthloom.operators.dependence import agreement, dependence, max_dependence, ranked_before
 from truthloom.operators.matrix import property_distance, property_names, truth_matrix
-from truthloom.operators.partitions import set_partitions
 from truthloom.operators.quality import source_stats
 from truthloom.operators.skew import use_all_cores
 from truthloom.operators.votes import best_values, restrict_properties, tied_values
@@ -31,7 +31,7 @@ from truthloom.plans.workspace import Workspace
 from truthloom.schema import CLAIM, FACT, ITEM
 from truthloom.sources import (
     assign_sources, generate_claims, generate_truth, read_claims, read_truth, split_properties,
-    write_claims, write_truth,
+    write_claims, write_partition_report, write_truth,
 )
 from truthloom.sources.generate import Accuracy
 
@@ -47,6 +47,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 NEWEST = ["l_shipdate", "l_orderkey", "l_linenumber"]
 GEN_PROPERTIES = [f"Property{i}" for i in range(1, 7)]
 GEN_ACCURACY = Accuracy(m1=0.8, m2=0.3, m3=0.8)
+BLOCKS = {"returnflag": 1, "linestatus": 1, "discount": 2, "tax": 2, "shipyear": 3}
 
 
 # --- claims from the given tables -------------------------------------------------------
@@ -111,8 +112,13 @@ def claims_dedupe(spark, sf_dir):
 
 
 def claims_csv_roundtrip(spark, sf_dir):
+    """All claims, and all texts as claims: these hold line breaks, quotes, blanks and separators."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = F.col("doc_id").cast("string").alias("object"), F.col("source")
+    texts = docs.select(*names, F.lit("text").alias("property"), F.concat(F.lit(" "), "text", F.lit(" ")).alias("value"))
+    blanks = docs.select(*names, F.lit("blank").alias("property"), F.lit("").alias("value"))
     path = f"{Workspace(spark).path}/claims-csv"
-    write_claims(claims_of(spark, sf_dir), path)
+    write_claims(claims_of(spark, sf_dir).unionByName(texts.where("value IS NOT NULL")).unionByName(blanks), path)
     return read_claims(spark, path).select(*CLAIM)
 
 
@@ -151,8 +157,7 @@ def similarity_char(spark, sf_dir):
 
 
 def similarity_numeric(spark, sf_dir):
-    numeric = restrict_properties(claims_of(spark, sf_dir), ["discount", "tax", "shipyear"])
-    return r6(value_similarity(numeric, "numeric"), "sim")
+    return r6(value_similarity(claims_of(spark, sf_dir), "numeric"), "sim")
 
 
 def finder(spark, sf_dir, rounds, **options):
@@ -172,13 +177,12 @@ def confidence_of(result) -> DataFrame:
 
 
 def convergence_query(spark, sf_dir):
-    base = prepared(spark, sf_dir)
-    rounds = None
-    for number in (1, 2):
-        trust = truth_finder(base, max_iterations=number, threshold=0.0).trust
-        row = convergence(trust, []).select(F.lit(number).alias("round"), "cosine", "max_abs_delta")
-        rounds = row if rounds is None else rounds.unionByName(row)
-    rounds = base.work.keep(rounds, "convergence")
+    result = finder(spark, sf_dir, 2)
+    rows = [
+        convergence(trust, []).select(F.lit(number).alias("round"), "cosine", "max_abs_delta")
+        for number, trust in enumerate(result.history, 1)
+    ]
+    rounds = result.work.keep(reduce(DataFrame.unionByName, rows), "convergence")
     before = rounds.select((F.col("round") + 1).alias("round"), F.col("cosine").alias("before"))
     change = F.abs(F.coalesce("before", F.lit(1.0)) - F.col("cosine"))
     joined = rounds.join(before, "round", "left").select("round", "cosine", change.alias("change"), "max_abs_delta")
@@ -221,15 +225,41 @@ def accuracy(spark, sf_dir, algo, rounds, **options):
     return accuracy_model(prepared(spark, sf_dir), algo, max_iterations=rounds, threshold=0.0, **options)
 
 
+def full(spark, sf_dir, algo, **options):
+    """A model with its own number of rounds and stop rule."""
+    base = prepared(spark, sf_dir)
+    return base, truth_finder(base, **options) if algo == "TF" else accuracy_model(base, algo, **options)
+
+
+def full_truths(spark, sf_dir, algo):
+    return truths_of(full(spark, sf_dir, algo)[1])
+
+
+def blocks_stop(spark, sf_dir, stop, threshold):
+    """Three blocks of properties in one job, each of which stops when it has settled."""
+    names = F.array(*[F.struct(F.lit(b).alias("block_id"), F.lit(p).alias("property")) for p, b in BLOCKS.items()])
+    base = prepared(spark, sf_dir).with_blocks(spark.range(1).select(F.inline(names)))
+    result = accuracy_model(base, "ACCU", stop=stop, threshold=threshold)
+    return r6(result.trust.select("block_id", "source", "trust"), "trust")
+
+
+def judged(base: ClaimBase, found: DataFrame) -> DataFrame:
+    return ratios6(evaluate(base.votes_per_value(), chosen_truth(base.claims), found))
+
+
 def evaluate_vote(spark, sf_dir):
     base = prepared(spark, sf_dir)
-    return ratios6(evaluate(base.claims, chosen_truth(base.claims), majority_vote(base.claims)))
+    return judged(base, best_values(base.votes_per_value()))
 
 
-def evaluate_accu(spark, sf_dir):
+def evaluate_model(spark, sf_dir, algo):
+    base, result = full(spark, sf_dir, algo)
+    return judged(base, result.truths)
+
+
+def evaluate_clustered(spark, sf_dir):
     base = prepared(spark, sf_dir)
-    found = accuracy_model(base, "ACCU", max_iterations=1, threshold=0.0).truths
-    return ratios6(evaluate(base.votes_per_value(), chosen_truth(base.claims), found))
+    return judged(base, clustered_truth(base, partial(accuracy_model, algo="ACCU")).truths)
 
 
 def gen_tables(spark, sf_dir):
@@ -246,10 +276,6 @@ def gen_truth(spark, sf_dir):
     return truth.select(*FACT, F.array_join("false_values", ",").alias("false_values"))
 
 
-def gen_partition(spark, sf_dir):
-    return gen_tables(spark, sf_dir)[2]
-
-
 def gen_sources(spark, sf_dir):
     _, sources, groups = gen_tables(spark, sf_dir)
     n_groups = groups.first().n_groups
@@ -280,13 +306,13 @@ def gen_accu_trust(spark, sf_dir):
 
 def truth_matrix_query(spark, sf_dir):
     base = prepared(spark, sf_dir)
-    return truth_matrix(base.claims, majority_vote(base.claims))
+    return truth_matrix(base.claims, best_values(base.votes_per_value()), base.hot_facts)
 
 
 def distances_of(spark, sf_dir):
     base = prepared(spark, sf_dir)
-    names = property_names(base.claims, 100)
-    matrix = truth_matrix(base.claims, majority_vote(base.claims))
+    names = property_names(base.facts)
+    matrix = truth_matrix(base.claims, best_values(base.votes_per_value()), base.hot_facts)
     return base.work.keep(property_distance(matrix, names, base.work), "distances"), names, base.work
 
 
@@ -299,7 +325,8 @@ def kmeans_query(spark, sf_dir):
 
 
 def kmeans_partitions(spark, sf_dir):
-    lists = labels_to_partition(kmeans_sweep(*distances_of(spark, sf_dir)))
+    distances, names, work = distances_of(spark, sf_dir)
+    lists = labels_to_partition(kmeans_sweep(distances, names, work, k_max=len(names)))
     text = F.array_join(F.transform("partition", lambda block: F.array_join(block, ",")), ";")
     return lists.select("k", text.alias("partition"))
 
@@ -314,19 +341,26 @@ def best_partition(spark, sf_dir):
 
 
 def clustered_truth_query(spark, sf_dir):
-    model = partial(accuracy_model, algo="ACCU", max_iterations=1, threshold=0.0)
-    found = clustered_truth(prepared(spark, sf_dir), model, max_iter_part_check=1)
+    found = clustered_truth(prepared(spark, sf_dir), partial(accuracy_model, algo="ACCU"))
     return r6(found.truths.select("block_id", *FACT, "confidence"), "confidence")
 
 
-def set_partitions_query(spark, sf_dir):
-    return set_partitions(spark, property_names(claims_of(spark, sf_dir), 8))
+def report_of(spark, sf_dir, limit=None):
+    base = prepared(spark, sf_dir)
+    return partition_report(base, chosen_truth(base.claims), limit=limit), base.work
+
+
+def partition_report_file(spark, sf_dir):
+    """The report as written to its file, read back."""
+    report, work = report_of(spark, sf_dir)
+    write_partition_report(report, f"{work.path}/report")
+    names = ["accuracy_max", "accuracy_avg", "accuracy_oracle", "precision", "recall", "accuracy", "f1_score"]
+    schema = ", ".join(["partition string", *[f"{n} double" for n in names]])
+    return r6(spark.read.schema(schema).option("sep", ";").csv(f"{work.path}/report"), *names)
 
 
 def partition_report_query(spark, sf_dir, limit=None):
-    base = prepared(spark, sf_dir)
-    model = partial(accuracy_model, algo="DEPEN", max_iterations=1, threshold=0.0)
-    report = partition_report(base, chosen_truth(base.claims), model, limit)
+    report, _ = report_of(spark, sf_dir, limit)
     text = F.array_join(F.transform("partition", lambda block: F.array_join(block, ",")), ";")
     return r6(ratios6(report.withColumn("partition", text)), "accuracy_max", "accuracy_avg")
 
@@ -360,11 +394,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "source_order": source_order,
         "accu_confidence_r1": lambda s, d: confidence_of(accuracy(s, d, "ACCU", 1)),
         "accu_name_order_trust_r2": lambda s, d: trust_of(accuracy(s, d, "ACCU", 2, order="name")),
-        "accu_full": lambda s, d: truths_of(accuracy(s, d, "ACCU", 5)),
+        "accu_seeded_r1": lambda s, d: truths_of(accuracy(s, d, "ACCU", 1, tie="seeded")),
+        "truthfinder_full": partial(full_truths, algo="TF"),
+        "truthfinder_stop": lambda s, d: trust_of(full(s, d, "TF", threshold=1e-3)[1]),
+        "blocks_stop_cosine": partial(blocks_stop, stop="cosine", threshold=COSINE_STOP),
+        "blocks_stop_delta": partial(blocks_stop, stop="max_abs_delta", threshold=DELTA_STOP),
         "evaluate_vote": evaluate_vote,
-        "evaluate_accu": evaluate_accu,
+        "evaluate_truthfinder": partial(evaluate_model, algo="TF"),
+        "evaluate_clustered": evaluate_clustered,
         "gen_truth": gen_truth,
-        "gen_partition": gen_partition,
         "gen_sources": gen_sources,
         "gen_claims": gen_claims,
         "gen_evaluate_vote": gen_evaluate_vote,
@@ -376,14 +414,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "silhouette_by_k": silhouette_query,
         "best_partition": best_partition,
         "clustered_truth": clustered_truth_query,
-        "set_partitions": set_partitions_query,
         "partition_report": partition_report_query,
         "partition_report_first_ten": partial(partition_report_query, limit=10),
+        "partition_report_file": partition_report_file,
     }
     for algo in ("DEPEN", "ACCU", "ACCUSIM"):
         name = algo.lower()
         found[f"{name}_r1"] = lambda s, d, a=algo: truths_of(accuracy(s, d, a, 1))
         found[f"{name}_r2"] = lambda s, d, a=algo: truths_of(accuracy(s, d, a, 2))
+        found[f"{name}_full"] = partial(full_truths, algo=algo)
+        found[f"evaluate_{name}"] = partial(evaluate_model, algo=algo)
         found[f"{name}_trust_r2"] = lambda s, d, a=algo: trust_of(accuracy(s, d, a, 2))
     if llm:
         found |= llm.queries() | {"pipeline": corpus_pipeline.run}

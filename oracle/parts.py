@@ -6,6 +6,13 @@ Each function returns a list of (name, query) pairs for one WITH clause.
 
 from __future__ import annotations
 
+import random
+import re
+
+# Position that random.Random(10).choice picks in a sorted list of each size: no item has more
+# tied values than there are sources, 25 nations.
+SEEDED_PICK = {size: random.Random(10).choice(range(size)) for size in range(1, 26)}
+
 PROPERTIES = ["returnflag", "linestatus", "discount", "tax", "shipyear"]
 
 
@@ -138,14 +145,57 @@ FROM (SELECT a.*, 1 - t.trust AS e FROM agree_{r} a JOIN trust_{r} t ON t.block_
     ]
 
 
+def winners(rows: str, score: str, tie: str) -> str:
+    """The best value per item of ``rows`` (block, item, value, score)."""
+    item = "PARTITION BY block_id, object, property"
+    if tie == "min":
+        return f"SELECT * FROM {rows} QUALIFY row_number() OVER ({item} ORDER BY {score} DESC, value) = 1"
+    picks = " ".join(f"WHEN {size} THEN {place}" for size, place in SEEDED_PICK.items())
+    return f"""SELECT * EXCLUDE (top, n_tied, place) FROM (
+  SELECT *, count(*) OVER ({item}) AS n_tied, row_number() OVER ({item} ORDER BY value) - 1 AS place
+  FROM (SELECT *, max({score}) OVER ({item}) AS top FROM {rows}) WHERE {score} = top)
+WHERE place = CASE n_tied {picks} END"""
+
+
+def stopping(rounds: int, threshold: float, stop: str = "cosine") -> list[tuple[str, str]]:
+    """``last_round`` (block, round): the first round whose change is below the threshold, else the last."""
+    cosine = "sum(trust * old_trust) / (sqrt(sum(trust * trust)) * sqrt(sum(old_trust * old_trust)))"
+    each = "\nUNION ALL\n".join(
+        f"SELECT block_id, {r} AS round, {cosine} AS cosine, max(abs(trust - old_trust)) AS delta FROM trust_{r} GROUP BY block_id"
+        for r in range(1, rounds + 1))
+    change = "delta" if stop == "max_abs_delta" else (
+        "abs(coalesce(lag(cosine) OVER (PARTITION BY block_id ORDER BY round), 1.0::DOUBLE) - cosine)")
+    return [
+        ("moves", each),
+        ("changes", f"SELECT block_id, round, {change} AS change FROM moves"),
+        ("last_round", f"SELECT block_id, coalesce(min(round) FILTER (change < {threshold}::DOUBLE), {rounds}) AS round FROM changes GROUP BY block_id"),
+    ]
+
+
+def frozen(name: str, each: str, rounds: int) -> tuple[str, str]:
+    """Rows of the table ``each`` (one per round) of the round in which a block stopped."""
+    return (name, "\nUNION ALL\n".join(
+        f"SELECT t.* FROM {each}_{r} t JOIN last_round l ON l.block_id = t.block_id AND l.round = {r}" for r in range(1, rounds + 1)))
+
+
+def renamed(ctes: list[tuple[str, str]], suffix: str) -> list[tuple[str, str]]:
+    """The same tables once more under other names."""
+    own = {name for name, _ in ctes}
+
+    def other(match: re.Match) -> str:
+        word, name, alias = match.groups()
+        return f"{word} {name}{suffix} {alias or name}" if name in own else match[0]
+
+    return [(name + suffix, re.sub(r"(FROM|JOIN)\s+(\w+)(?:[ \t]+([a-z]\w*))?", other, query)) for name, query in ctes]
+
+
 def accuracy_rounds(algo: str, rounds: int, rho: float = 0.5, c: float = 0.3, n: float = 100,
-                    order: str = "dependence") -> list[tuple[str, str]]:
+                    order: str = "dependence", tie: str = "min") -> list[tuple[str, str]]:
     """``conf_r``, ``truth_r``, ``trust_r`` for r = 1..rounds; needs claims_b and met."""
     ctes = [
         start_trust(),
-        ("truth_0", """SELECT block_id, object, property, value
-FROM (SELECT block_id, object, property, value, count(*) AS votes FROM claims_b GROUP BY ALL)
-QUALIFY row_number() OVER (PARTITION BY block_id, object, property ORDER BY votes DESC, value) = 1"""),
+        ("votes_b", "SELECT block_id, object, property, value, count(*) AS votes FROM claims_b GROUP BY ALL"),
+        ("truth_0", winners("votes_b", "votes", tie)),
         *dependence_of(0, "truth_0", c, n),
     ]
     if order == "name":
@@ -180,8 +230,8 @@ GROUP BY ALL"""),
         ctes += [
             (f"prob_{r}", f"""SELECT *, exp(score - top) / sum(exp(score - top)) OVER (PARTITION BY block_id, object, property) AS prob
 FROM (SELECT *, max(score) OVER (PARTITION BY block_id, object, property) AS top FROM conf_{r})"""),
-            (f"truth_{r}", f"""SELECT block_id, object, property, value, score FROM conf_{r}
-QUALIFY row_number() OVER (PARTITION BY block_id, object, property ORDER BY round(score, 9) DESC, value) = 1"""),
+            (f"best_{r}", winners(f"conf_{r}", "round(score, 9)", tie)),
+            (f"truth_{r}", f"SELECT block_id, object, property, value, score FROM best_{r}"),
             (f"raw_{r}", f"""SELECT c.block_id, c.source, avg(f.prob) AS raw
 FROM claims_b c JOIN prob_{r} f USING (block_id, object, property, value) GROUP BY ALL"""),
             (f"trust_{r}", f"""SELECT block_id, source, {clamp('raw')} AS trust, t.trust AS old_trust
@@ -228,15 +278,15 @@ FROM ones x CROSS JOIN ones y LEFT JOIN shared b ON b.p = x.property AND b.q = y
     ]
 
 
-def kmeans(n: int = len(PROPERTIES), max_iter: int = 10) -> list[tuple[str, str]]:
-    """``labels`` (k, property, cluster) for k = 2..n-1, from d2."""
+def kmeans(k_max: int = len(PROPERTIES) - 1, max_iter: int = 20) -> list[tuple[str, str]]:
+    """``labels`` (k, property, cluster) for k = 2..k_max, from d2; an error if they still move."""
     ctes = [("seed_0", "SELECT 0 AS cluster, min(property) AS q FROM names")]
-    for j in range(1, n - 1):
+    for j in range(1, k_max):
         ctes.append((f"seed_{j}", f"""SELECT * FROM seed_{j - 1} UNION ALL
 (SELECT {j}, p FROM (SELECT p, min(d2) AS d2 FROM d2 JOIN seed_{j - 1} USING (q)
   WHERE p NOT IN (SELECT q FROM seed_{j - 1}) GROUP BY p) ORDER BY d2 DESC, p LIMIT 1)"""))
     ctes.append(("labels_0", f"""SELECT k, p AS property, cluster
-FROM (SELECT unnest(range(2, {n}))::INT AS k) JOIN (SELECT d2.*, s.cluster FROM d2 JOIN seed_{n - 2} s USING (q)) ON cluster < k
+FROM (SELECT unnest(range(2, {k_max + 1}))::INT AS k) JOIN (SELECT d2.*, s.cluster FROM d2 JOIN seed_{k_max - 1} s USING (q)) ON cluster < k
 QUALIFY row_number() OVER (PARTITION BY k, p ORDER BY d2, cluster) = 1"""))
     for r in range(1, max_iter + 1):
         ctes += [
@@ -247,7 +297,8 @@ FROM mean_{r} m JOIN labels_{r - 1} l ON l.k = m.k AND l.property = m.p AND l.cl
             (f"labels_{r}", f"""SELECT m.k, m.p AS property, m.cluster FROM mean_{r} m JOIN inner_{r} i USING (k, cluster)
 QUALIFY row_number() OVER (PARTITION BY m.k, m.p ORDER BY round(m.mean - i.inner_mean / 2, 9), m.cluster) = 1"""),
         ]
-    ctes.append(("labels", f"SELECT * FROM labels_{max_iter}"))
+    moved = f"SELECT count(*) FROM (SELECT * FROM labels_{max_iter} EXCEPT SELECT * FROM labels_{max_iter - 1})"
+    ctes.append(("labels", f"SELECT k, property, CASE WHEN ({moved}) > 0 THEN error('points still move')::INT ELSE cluster END AS cluster FROM labels_{max_iter}"))
     return ctes
 
 

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from oracle.parts import (
-    BASE, CLAIMS, LONG, ONE_BLOCK, PROPERTIES, TRUTH, VOTED, VOTES, WIDE,
-    accuracy_rounds, char_similarity, common_items, confusion, dependence_of, distances,
-    kmeans, numeric_similarity, r6, ratio_columns, silhouettes, start_trust, statement,
+    BASE, CLAIMS, LONG, ONE_BLOCK, PROPERTIES, SEEDED_PICK, TRUTH, VOTED, VOTES, WIDE,
+    accuracy_rounds, char_similarity, common_items, confusion, dependence_of, distances, frozen,
+    kmeans, numeric_similarity, r6, ratio_columns, renamed, silhouettes, start_trust, statement, stopping,
     truthfinder_rounds,
 )
 
-# Position that random.Random(10).choice picks in a sorted list of the given size.
-SEEDED_PICK = {1: 0, 2: 0, 3: 2, 4: 0, 5: 4, 6: 4, 7: 4, 8: 0, 9: 0, 10: 9, 11: 9, 12: 9}
+ROUNDS, THRESHOLD = 5, 1e-6  # of all models, unless a query says otherwise
+COSINE_STOP, DELTA_STOP = 1e-4, 2e-2
 
 TRUST = f"SELECT source, {r6('trust')} AS trust FROM"
 FOUND = f"SELECT object, property, value, {r6('score')} AS confidence FROM"
@@ -76,12 +76,36 @@ FROM grown_{len(names)} CROSS JOIN numbered"""),
     ]
 
 
+def clustered_passes(passes: int = 5) -> list[tuple[str, str]]:
+    """``found`` (block, item, value, score): the loop over partitions, stopped by its own rule."""
+    ctes = [*BASE, VOTES, VOTED]
+    for number in range(passes):
+        before = "voted" if number == 0 else f"found_p{number - 1}"
+        own = [
+            ("voted_now", f"SELECT object, property, value FROM {before}"),
+            *[(name, query.replace("voted", "voted_now")) for name, query in distances()],
+            *kmeans(), *silhouettes(),
+            ("claims_b", "SELECT b.block_id, c.* FROM claims c JOIN blocks b USING (property)"),
+            *common_items(), *accuracy_rounds("ACCU", ROUNDS), *stopping(ROUNDS, THRESHOLD), frozen("found", "truth", ROUNDS),
+        ]
+        ctes += renamed(own, f"_p{number}")
+    # pass i ends the loop when its partition is that of pass i - 1, or when its matrix is close to the first one
+    rules = " UNION ALL ".join(f"""SELECT {i} AS pass,
+  (SELECT count(*) FROM ((SELECT * FROM blocks_p{i} EXCEPT SELECT * FROM blocks_p{i - 1}) UNION ALL (SELECT * FROM blocks_p{i - 1} EXCEPT SELECT * FROM blocks_p{i}))) = 0
+  OR 1 - (SELECT count(*) FROM cells_p{i} JOIN cells_p0 USING (property, object, source))
+    / (sqrt((SELECT count(*) FROM cells_p{i})) * sqrt((SELECT count(*) FROM cells_p0))) < {THRESHOLD}::DOUBLE AS stops""" for i in range(1, passes))
+    chosen = " UNION ALL ".join(f"SELECT * FROM found_p{i} WHERE (SELECT pass FROM ended) = {i}" for i in range(passes))
+    return [*ctes, ("rules", rules), ("ended", f"SELECT coalesce(min(pass) FILTER (stops) - 1, {passes - 1}) AS pass FROM rules"), ("found", chosen)]
+
+
 def statements() -> dict[str, str]:
     out: dict[str, str] = {}
     long_columns = "SELECT object, property, value, source FROM"
     out["claims_unpivot"] = statement([WIDE, LONG], f"{long_columns} long")
     out["claims_dedupe"] = statement(BASE, f"{long_columns} claims")
-    out["claims_csv_roundtrip"] = out["claims_dedupe"]
+    out["claims_csv_roundtrip"] = statement(BASE, f"""{long_columns} claims
+UNION ALL SELECT doc_id::VARCHAR, 'text', ' ' || text || ' ', source FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id::VARCHAR, 'blank', '', source FROM documents""")
     out["truth_csv_roundtrip"] = statement([*BASE, TRUTH], "SELECT object, property, value FROM truth")
 
     out["vote_counts"] = statement([*BASE, VOTES], "SELECT * FROM votes")
@@ -107,7 +131,7 @@ JOIN vsim s ON s.property = a.property AND s.v1 = a.value AND s.v2 = b.value{whe
     out["similarity_char"] = statement([*BASE, VOTES, *char_similarity()], pairs.format(sim=r6("s.sim"), where=""))
     out["similarity_numeric"] = statement(
         [*BASE, VOTES, *numeric_similarity()],
-        pairs.format(sim=r6("s.sim"), where="\nWHERE a.property IN ('discount', 'tax', 'shipyear')"))
+        pairs.format(sim=r6("s.sim"), where=""))
 
     finder = [*BASE, ONE_BLOCK, *char_similarity()]
     confidence = f"SELECT object, property, value, {r6('conf')} AS confidence FROM"
@@ -145,19 +169,32 @@ FROM (SELECT 1 AS round, {cosine} AS cosine, max(abs(trust - old_trust)) AS delt
         out[f"{name}_trust_r2"] = statement(accuracy(algo, 2), f"{TRUST} trust_2")
     out["accu_confidence_r1"] = statement(accuracy("ACCU", 1), f"{FOUND} conf_1")
     out["accu_name_order_trust_r2"] = statement(accuracy("ACCU", 2, order="name"), f"{TRUST} trust_2")
-    out["accu_full"] = statement(accuracy("ACCU", 5), f"{FOUND} truth_5")
-
+    out["accu_seeded_r1"] = statement(accuracy("ACCU", 1, tie="seeded"), f"{FOUND} truth_1")
     counts = "tp, fp, fn, tn, n_unmatched"
+    stops = stopping(ROUNDS, THRESHOLD)
+    found_finder = [
+        *finder, *truthfinder_rounds(ROUNDS), *stops, frozen("last_conf", "conf", ROUNDS),
+        ("found", f"SELECT object, property, value, conf FROM last_conf {best_conf}")]
+    out["truthfinder_full"] = statement(found_finder, f"{confidence} found")
+    early = [*finder, *truthfinder_rounds(ROUNDS), *stopping(ROUNDS, 1e-3), frozen("found", "trust", ROUNDS)]
+    out["truthfinder_stop"] = statement(early, f"{TRUST} found")
+    judge = [VOTES, TRUTH, ("counts", confusion("votes", "truth", "found"))]
+    out["evaluate_truthfinder"] = statement([*found_finder, *judge], f"SELECT {counts}, {ratio_columns()} FROM counts")
+    for algo in ("DEPEN", "ACCU", "ACCUSIM"):
+        run = [*accuracy(algo, ROUNDS), *stops, frozen("found", "truth", ROUNDS)]
+        out[f"{algo.lower()}_full"] = statement(run, f"{FOUND} found")
+        out[f"evaluate_{algo.lower()}"] = statement([*run, *judge], f"SELECT {counts}, {ratio_columns()} FROM counts")
+    three = ("claims_b", """SELECT CASE WHEN property IN ('returnflag', 'linestatus') THEN 1 WHEN property IN ('discount', 'tax') THEN 2
+  ELSE 3 END AS block_id, * FROM claims""")
+    for stop, threshold in (("cosine", COSINE_STOP), ("max_abs_delta", DELTA_STOP)):
+        run = [*BASE, three, *common_items(), *accuracy_rounds("ACCU", ROUNDS), *stopping(ROUNDS, threshold, stop), frozen("found", "trust", ROUNDS)]
+        out[f"blocks_stop_{stop.split('_')[-1]}"] = statement(run, f"SELECT block_id, source, {r6('trust')} AS trust FROM found")
+
     out["evaluate_vote"] = statement(
         [*BASE, VOTES, VOTED, TRUTH, ("counts", confusion("votes", "truth", "voted"))],
         f"SELECT {counts}, {ratio_columns()} FROM counts")
-    out["evaluate_accu"] = statement(
-        [*accuracy("ACCU", 1), VOTES, TRUTH, ("counts", confusion("votes", "truth", "truth_1"))],
-        f"SELECT {counts}, {ratio_columns()} FROM counts")
-
     out["gen_truth"] = statement(
         generated(), "SELECT object, property, value, array_to_string(false_values, ',') AS false_values FROM gen_truth")
-    out["gen_partition"] = statement(generated(), "SELECT * FROM gen_groups")
     out["gen_sources"] = statement(generated(), "SELECT * FROM gen_sources")
     out["gen_claims"] = statement(generated(), f"{long_columns} claims")
     out["gen_evaluate_vote"] = statement(
@@ -171,22 +208,22 @@ FROM (SELECT 1 AS round, {cosine} AS cosine, max(abs(trust - old_trust)) AS delt
     out["property_distance"] = statement(matrix, "SELECT p, q, d2 FROM d2")
     clustered = [*matrix, *kmeans(), *silhouettes()]
     out["kmeans_sweep"] = statement(clustered, "SELECT k, property, cluster FROM labels")
-    out["kmeans_partitions"] = statement(clustered, """SELECT k, string_agg(block, ';' ORDER BY block) AS partition
+    out["kmeans_partitions"] = statement([*matrix, *kmeans(len(PROPERTIES))], """SELECT k, string_agg(block, ';' ORDER BY block) AS partition
 FROM (SELECT k, cluster, string_agg(property, ',' ORDER BY property) AS block FROM labels GROUP BY ALL) GROUP BY k""")
     out["silhouette_by_k"] = statement(clustered, f"SELECT k, {r6('silhouette')} AS silhouette FROM sil")
     out["best_partition"] = statement(clustered, "SELECT block_id, property FROM blocks")
     by_block = ("claims_b", "SELECT b.block_id, c.* FROM claims c JOIN blocks b USING (property)")
-    out["clustered_truth"] = statement(
-        [*clustered, by_block, *common_items(), *accuracy_rounds("ACCU", 1)],
-        f"SELECT block_id, object, property, value, {r6('score')} AS confidence FROM truth_1")
+    passes = clustered_passes()
+    out["clustered_truth"] = statement(passes, f"SELECT block_id, object, property, value, {r6('score')} AS confidence FROM found")
+    out["evaluate_clustered"] = statement([*passes, TRUTH, ("counts", confusion("votes", "truth", "found"))],
+                                          f"SELECT {counts}, {ratio_columns()} FROM counts")
 
-    out["set_partitions"] = statement(partition_tables(), "SELECT partition_id, property, label FROM parted")
     all_blocks = ("blocks", """SELECT DISTINCT b.block_id, p.property
 FROM part_blocks b JOIN parted p USING (partition_id, label)""")
     report = [
-        *BASE, VOTES, TRUTH, *partition_tables(), all_blocks, by_block, *common_items(), *accuracy_rounds("DEPEN", 1),
-        ("found", "SELECT block_id, object, property, value FROM truth_1"),
-        ("block_trust", "SELECT block_id, avg(trust) AS mean_trust FROM trust_1 GROUP BY ALL"),
+        *BASE, VOTES, TRUTH, *partition_tables(), all_blocks, by_block, *common_items(), *accuracy_rounds("DEPEN", ROUNDS), *stops,
+        frozen("found", "truth", ROUNDS), frozen("last_trust", "trust", ROUNDS),
+        ("block_trust", "SELECT block_id, avg(trust) AS mean_trust FROM last_trust GROUP BY ALL"),
         ("block_counts", confusion("votes", "truth", "found", "block_id")),
         ("summed", """SELECT partition_id, string_agg(block, ';' ORDER BY block) AS partition, count(*) AS n_blocks,
   max(mean_trust) AS best_trust, avg(mean_trust) AS mean_trust, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp,
@@ -197,4 +234,9 @@ FROM part_blocks JOIN block_trust USING (block_id) JOIN block_counts USING (bloc
   {r6('mean_trust')} AS accuracy_avg, {counts}, {ratio_columns()} FROM summed"""
     out["partition_report"] = statement(report, columns)
     out["partition_report_first_ten"] = statement(report, f"{columns} ORDER BY partition_id LIMIT 10")
+    quote = "chr(39)"
+    listed = (f"replace(replace(partition, ',', {quote} || ', ' || {quote}), ';', {quote} || '], [' || {quote})")
+    out["partition_report_file"] = statement(report, f"""SELECT '[[' || {quote} || {listed} || {quote} || ']]' AS partition,
+  {r6('best_trust')} AS accuracy_max, {r6('mean_trust')} AS accuracy_avg, {ratio_columns()},
+  {r6('coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0)')} AS accuracy_oracle FROM summed""")
     return out

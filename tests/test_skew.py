@@ -31,7 +31,7 @@ CLAIMS = lopsided()
 @pytest.fixture(params=["ordinary", "hot"])
 def keys(request, monkeypatch):
     if request.param == "hot":
-        monkeypatch.setattr(skew, "FLOOR", 5)
+        monkeypatch.setattr(skew, "FLOOR", 2)
         monkeypatch.setattr(skew, "SHARE", 10**9)
         monkeypatch.setattr(skew, "PAIR_CUT", 4)
     return request.param

@@ -14,6 +14,10 @@ from truthloom.functions.scores import tie_key
 from truthloom.plans.workspace import Workspace
 
 
+# Rounds after which a sweep that still moves is an error, not a result.
+MAX_ITER = 300
+
+
 def spread_out_seeds(distances: DataFrame, first: str, count: int) -> list[str]:
     """Farthest-first seeds: each next one is farthest from those chosen, ties by name.
 
@@ -45,8 +49,9 @@ def _reassign(assigned: DataFrame, distances: DataFrame) -> DataFrame:
 
 
 def kmeans_sweep(distances: DataFrame, properties: list[str], work: Workspace,
-                 k_max: int | None = None, max_iter: int = 10) -> DataFrame:
-    """``k, property, cluster`` for every k from 2 to ``k_max`` (by default one less than the points)."""
+                 k_max: int | None = None, max_iter: int = MAX_ITER) -> DataFrame:
+    """``k, property, cluster`` for every k from 2 to ``k_max`` (by default one less than the points),
+    each repeated until no point moves."""
     k_max = len(properties) - 1 if k_max is None else k_max
     if k_max < 2:
         return distances.select(F.lit(1).alias("k"), F.col("p").alias("property"), F.lit(0).alias("cluster")).distinct()
@@ -65,8 +70,8 @@ def kmeans_sweep(distances: DataFrame, properties: list[str], work: Workspace,
         following = work.keep(_reassign(assigned, distances), f"clusters-{number}")
         assigned = following.drop("moved")
         if following.where("moved").isEmpty():
-            break
-    return assigned
+            return assigned
+    raise RuntimeError(f"points still move after {max_iter} rounds")
 
 
 def silhouette_by_k(assigned: DataFrame, distances: DataFrame) -> DataFrame:
@@ -105,7 +110,7 @@ def labels_to_partition(assigned: DataFrame) -> DataFrame:
 
 
 def best_blocks(distances: DataFrame, properties: list[str], work: Workspace,
-                max_iter: int = 10, k_max: int | None = None) -> DataFrame:
+                max_iter: int = MAX_ITER, k_max: int | None = None) -> DataFrame:
     """``block_id, property`` of the clustering with the best silhouette.
 
     Two or fewer properties leave nothing to compare: they form one block.

@@ -23,10 +23,14 @@ def truth_matrix(claims: DataFrame, found: DataFrame, hot_facts: DataFrame | Non
     return joined.select("property", *CELL)
 
 
-def property_names(claims: DataFrame, limit: int) -> list[str]:
-    """The distinct property names, sorted; refuses to list more than ``limit`` of them."""
-    rows = claims.select("property").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
+def property_names(claims: DataFrame, limit: int | None = None) -> list[str]:
+    """The distinct property names, sorted; with ``limit`` refuses to list more than that.
+
+    Properties are the columns of the data, and the distance table has a row per pair of them.
+    """
+    names = claims.select("property").distinct()
+    rows = (names if limit is None else names.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"more than {limit} properties")
     return sorted(row.property for row in rows)
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # Number of set partitions by number of properties: 5 -> 52, 8 -> 4140, 10 -> 115975.
 MAX_PROPERTIES = 8
-LABELS = "0123456789abcdefghijklmnopqrstuvwxyz"
 
 
 def set_partitions(spark: SparkSession, properties: list[str], limit: int | None = None,
@@ -15,7 +14,7 @@ def set_partitions(spark: SparkSession, properties: list[str], limit: int | None
     """``partition_id, property, label``: one row per partition and property.
 
     The label of a property is the number of its block, counted by first appearance in
-    name order, and the partition id is the string of labels.  Each step extends every
+    name order, and the partition id lists the labels, with zeros in front so that ids sort like labels.  Each step extends every
     label array by an existing block or one new block.  ``limit`` keeps the first
     partitions in id order.
     """
@@ -26,8 +25,9 @@ def set_partitions(spark: SparkSession, properties: list[str], limit: int | None
     for _ in names[1:]:
         following = F.explode(F.sequence(F.lit(0), F.array_max("labels") + 1))
         grown = grown.withColumn("label", following).select(F.array_append("labels", F.col("label")).alias("labels"))
-    digits = F.transform("labels", lambda label: F.substring(F.lit(LABELS), label + 1, F.lit(1)))
-    named = grown.select(F.array_join(digits, "").alias("partition_id"), "labels")
+    width = len(str(max(len(names) - 1, 0)))
+    digits = F.transform("labels", lambda label: F.lpad(label.cast("string"), width, "0"))
+    named = grown.select(F.array_join(digits, "" if width == 1 else "-").alias("partition_id"), "labels")
     if limit is not None:
         named = named.orderBy("partition_id").limit(limit)
     pairs = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("property"), F.col("labels").alias("label"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from truthloom.operators.votes import vote_counts
-from truthloom.schema import FACT, ITEM
+from truthloom.schema import FACT, ITEM, as_truth
 
 
 def confusion(claims: DataFrame, truth: DataFrame, found: DataFrame, group: list[str] = ()) -> DataFrame:
@@ -26,7 +26,7 @@ def confusion(claims: DataFrame, truth: DataFrame, found: DataFrame, group: list
             *keys, *ITEM, F.col("value").alias(f"{name}_value"), votes
         )
 
-    joined = totals.join(supported(truth, "true", []), ITEM, "left").join(supported(found, "found", group), ITEM, "left")
+    joined = totals.join(supported(as_truth(truth), "true", []), ITEM, "left").join(supported(found, "found", group), ITEM, "left")
     matched = F.col("true_value").isNotNull() & F.col("found_value").isNotNull()
     right = F.col("true_value") == F.col("found_value")
     true_votes, found_votes, all_votes = F.col("true_votes"), F.col("found_votes"), F.col("all_votes")
@@ -66,10 +66,10 @@ def evaluate(claims: DataFrame, truth: DataFrame, found: DataFrame) -> DataFrame
 
 def coverage(claims: DataFrame) -> DataFrame:
     """Share of the (source, property) slots of each object that hold a claim, over all objects."""
-    rows = claims.groupBy("object").agg(F.count(F.lit(1)).alias("n_claims"))
-    sources = claims.select("object", "source").distinct().groupBy("object").agg(F.count(F.lit(1)).alias("n_sources"))
-    properties = claims.select(*ITEM).distinct().groupBy("object").agg(F.count(F.lit(1)).alias("n_properties"))
-    slots = rows.join(sources, "object").join(properties, "object")
+    slots = claims.groupBy("object").agg(
+        F.count(F.lit(1)).alias("n_claims"), F.count_distinct("source").alias("n_sources"),
+        F.count_distinct("property").alias("n_properties"),
+    )
     total = F.sum(F.col("n_sources") * F.col("n_properties"))
     return slots.agg(
         F.count(F.lit(1)).alias("n_objects"),
@@ -85,7 +85,3 @@ def source_stats(claims: DataFrame) -> DataFrame:
     objects = claims.select("source", "object").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n_objects"))
     return counts.join(objects, "source")
 
-
-def found_claims(claims: DataFrame, found: DataFrame) -> DataFrame:
-    """Claims whose value is the one found for their item."""
-    return claims.join(found.select(*FACT), FACT, "left_semi")

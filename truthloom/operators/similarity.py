@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from truthloom.functions.text import char_weights, numeric_similarity, weights_dot
-from truthloom.operators.skew import pair_join, spread_join
+from truthloom.operators.skew import hot_keys, pair_join, spread_join
 from truthloom.plans.workspace import Workspace
 from truthloom.schema import FACT, ITEM
 
@@ -18,8 +18,13 @@ def _number(value: Column) -> Column:
 
 
 def _with_size(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Values with the number of values of their item; items with very many are spread.
+
+    ``values`` is a written table: it is read three times.
+    """
     size = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_values"))
-    return values.join(size, keys)
+    hot = hot_keys(lambda: size, keys, "n_values", values.count())
+    return spread_join(values, size, keys, hot, keys, F.col("value"))
 
 
 def value_similarity(claims: DataFrame, kind: str = "char", work: Workspace | None = None) -> DataFrame:
@@ -51,8 +56,8 @@ def implied_scores(scored: DataFrame, rho: float, kind: str, group: list[str] =
                    hot_items: DataFrame | None = None, biggest: int | None = None) -> DataFrame:
     """Add to each score ``rho`` times the similarity-weighted scores of the item's other values.
 
-    ``scored`` has ``group, object, property, value, score`` and keeps its other columns; a
-    column ``weights`` with the character weights of the value is used and dropped.
+    ``scored`` has ``group, object, property, value, score`` and keeps its other columns; it is
+    read several times and should be a written table.  A column ``weights`` with the character weights of the value is used and dropped.
 
     Character similarity is a dot product of unit vectors, so the sum over the other values
     is the dot product with one vector per item, the score-weighted sum of all its value

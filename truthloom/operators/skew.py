@@ -1,9 +1,9 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-A key is *hot* when it holds more than 1/SHARE of a table (and more than FLOOR rows), so at
-most SHARE keys are hot and the list of them is always small enough to broadcast.  Rows of
-a hot key are spread over several pieces by the hash of another column; the other side of
-the join is repeated once per piece.
+A key is *hot* when it holds more than FLOOR rows, what one task may well take, however large
+the table.  Rows of a hot key are spread over several pieces by the hash of another column; the
+other side of the join is repeated once per piece.  The list of hot keys is a table like any
+other: Spark broadcasts it while it is small.
 """
 
 from __future__ import annotations
@@ -13,14 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHARE = 1000
+SHARE: int | None = None  # if set, also more than 1/SHARE of the table
 FLOOR = 200_000
 
 
 def hot_keys(sizes: Callable[[], DataFrame], keys: list[str], size: str, total: int,
              share: int | None = None, floor: int | None = None) -> DataFrame | None:
     """``keys, pieces`` of the hot keys of a table of key sizes; ``None`` when there are none."""
-    limit = max(floor or FLOOR, total // (share or SHARE))
+    share = share or SHARE
+    limit = max(floor or FLOOR, total // share if share else 0)
     if total <= limit:
         return None
     hot = sizes().where(F.col(size) > limit).select(
@@ -39,12 +40,12 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFram
         return big.join(small, keys, how)
     pieces = F.coalesce(F.col("pieces"), F.lit(1))
     cut = (
-        big.join(F.broadcast(hot), hot_on, "left")
+        big.join(hot, hot_on, "left")
         .withColumn("piece", F.pmod(F.xxhash64(by), pieces).cast("int"))
         .drop("pieces")
     )
     copies = (
-        small.join(F.broadcast(hot), hot_on, "left")
+        small.join(hot, hot_on, "left")
         .withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
         .drop("pieces")
     )

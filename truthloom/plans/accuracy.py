@@ -12,15 +12,15 @@ from truthloom.operators.similarity import implied_scores
 from truthloom.operators.skew import pair_join, spread_join
 from truthloom.plans.claimbase import BLOCK, ClaimBase
 from truthloom.plans.rounds import Round, TruthResult, result_of, run_rounds, trust_from_sets, with_outcome
-from truthloom.schema import FACT, ITEM
+from truthloom.schema import ITEM
 
 ALGORITHMS = ("DEPEN", "ACCU", "ACCUSIM")
 
 
-def majority_sets(base: ClaimBase) -> DataFrame:
+def majority_sets(base: ClaimBase, tie: str = "min", seed: int = 10) -> DataFrame:
     """``block, SET, n_true`` when the majority value of each item is taken as true."""
     votes = base.facts.withColumns({"block_id": F.lit(0), "score": F.col("set_size").cast("double")})
-    true_facts = with_outcome(votes, base.hot_items).where("is_best").select(*ITEM, *SET)
+    true_facts = with_outcome(votes, base.hot_items, tie, seed).where("is_best").select(*ITEM, *SET)
     return base.in_blocks(true_facts).groupBy(*BLOCK, *SET).agg(F.count(F.lit(1)).alias("n_true"))
 
 
@@ -63,6 +63,8 @@ def accuracy_model(
     stop: str = "cosine",
     blocks: DataFrame | None = None,
     deduped: bool = False,
+    tie: str = "min",
+    seed: int = 10,
 ) -> TruthResult:
     """Start from the majority vote, then repeat: discount votes of likely copiers, turn vote
     counts into probabilities, set each source's trust to its mean probability, pick the
@@ -76,19 +78,14 @@ def accuracy_model(
     base = ClaimBase.of(claims, blocks, deduped)
     biggest = base.biggest_item if similarity == "numeric" else None
 
-    def scored(scores: DataFrame) -> DataFrame:
-        facts = base.scored_facts(scores, algo == "ACCUSIM" and similarity == "char")
-        if algo == "ACCUSIM":
-            return implied_scores(facts, rho, similarity, BLOCK, base.hot_items, biggest)
-        return facts
-
     def step(state: Round, number: int) -> Round:
         factors = vote_factors(state.dependence, state.trust, BLOCK, algo, c, n, order)
         scores = base.work.keep(discounted_votes(base, factors), f"scores-{number}")
-        facts = scored(scores)
-        if algo == "ACCUSIM" and base.hot_items is not None:  # read twice only then
-            facts = base.work.keep(facts, f"facts-{number}")
-        sets = with_outcome(facts, base.hot_items).groupBy(*BLOCK, *SET).agg(
+        spelled = algo == "ACCUSIM" and similarity == "char"
+        facts = base.work.keep(base.scored_facts(scores, spelled), f"scored-{number}")
+        if algo == "ACCUSIM":
+            facts = base.work.keep(implied_scores(facts, rho, similarity, BLOCK, base.hot_items, biggest), f"facts-{number}")
+        sets = with_outcome(facts, base.hot_items, tie, seed).groupBy(*BLOCK, *SET).agg(
             F.count(F.lit(1)).alias("n_facts"),
             F.sum("probability").alias("total"),
             F.sum(F.col("is_best").cast("bigint")).alias("n_true"),
@@ -100,13 +97,12 @@ def accuracy_model(
         dep = source_dependence(base, sets, trust, c, n, alpha)
         if number < max_iterations:  # after the last round it is only computed when asked for
             dep = base.work.keep(dep, f"dependence-{number}")
-        return Round(trust, scores, dep)
+        return Round(trust, facts, dep)
 
     trust = base.initial_trust(initial_trust)
-    dep = base.work.keep(source_dependence(base, majority_sets(base), trust, c, n, alpha), "dependence-0")
-    state, rounds = run_rounds(Round(trust, base.block_sets, dep), step, max_iterations, threshold, stop)
-    found = scored(state.sets).select(*BLOCK, *FACT, "score")
-    return result_of(base, found, state, rounds)
+    dep = base.work.keep(source_dependence(base, majority_sets(base, tie, seed), trust, c, n, alpha), "dependence-0")
+    state, rounds = run_rounds(Round(trust, None, dep), step, max_iterations, threshold, stop)
+    return result_of(base, state, rounds, tie, seed)
 
 
 def depen(claims: DataFrame | ClaimBase, **options) -> TruthResult:

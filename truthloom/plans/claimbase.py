@@ -202,10 +202,12 @@ class ClaimBase:
 
     @cached_property
     def hot_pairs(self) -> DataFrame | None:
-        """Ordered pairs of sources that meet in very many sets; none while all pairs are few."""
-        if self.pairs.count() <= skew.FLOOR:
+        """Ordered pairs of sources that meet in very many sets; none while no pair can."""
+        if self.sets.count() <= skew.FLOOR:
             return None
-        sizes = both_directions(self.pairs.groupBy("s1", "s2").agg(F.sum("n_same").alias("n")))
+        met = self._pairs(self.block_sets.select(*BLOCK, *SET, F.lit(1).alias("n")))
+        met = met.groupBy(F.col("m1").alias("s1"), F.col("m2").alias("s2")).agg(F.sum("n").alias("n"))
+        sizes = self.work.keep(both_directions(met), "meetings")
         total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         found = hot_keys(lambda: sizes, ["s1", "s2"], "n", total)
         return None if found is None else self.work.keep(found, "hot-pairs")

@@ -8,15 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from truthloom.operators.cluster import best_blocks
+from truthloom.operators.cluster import MAX_ITER, best_blocks
 from truthloom.operators.matrix import property_distance, property_names, truth_matrix
 from truthloom.operators.votes import best_values
 from truthloom.plans.accuracy import depen
 from truthloom.plans.claimbase import ClaimBase
 from truthloom.schema import FACT, ITEM
 
-MAX_CLUSTERED_PROPERTIES = 1000
-
 
 @dataclass
 class ClusteredResult:
@@ -48,7 +46,7 @@ def clustered_truth(
     model: Callable = depen,
     max_iter_part_check: int = 5,
     threshold: float = 1e-6,
-    max_iter: int = 10,
+    max_iter: int = MAX_ITER,
     k_max: int | None = None,
     deduped: bool = False,
 ) -> ClusteredResult:
@@ -60,7 +58,7 @@ def clustered_truth(
     """
     base = ClaimBase.of(claims, deduped=deduped)
     work = base.work
-    names = property_names(base.facts, MAX_CLUSTERED_PROPERTIES)
+    names = property_names(base.facts)
     votes = base.votes_per_value()
     truths = first = work.keep(best_values(votes).select(*FACT), "voted")
     partition, result, blocks, rounds = None, None, None, 0

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from truthloom.functions.draws import seeded_index
 from truthloom.functions.scores import log_bucket, log_of_buckets, scaled_exp, tie_key
 from truthloom.operators.skew import spread_join
 from truthloom.operators.sets import SET
 from truthloom.plans.claimbase import BLOCK, ClaimBase
-from truthloom.schema import ITEM
+from truthloom.schema import FACT, ITEM
+
+TIES = ("min", "seeded")
 
 
 def convergence(trust: DataFrame, group: list[str] = BLOCK) -> DataFrame:
@@ -35,21 +38,24 @@ def trust_summary(trust: DataFrame, group: list[str] = ()) -> DataFrame:
 
 @dataclass
 class Round:
-    """Tables after one round: source trust, supporter-set state and, if used, dependence."""
+    """Tables after one round: source trust, scored facts (none at the start) and, if used, dependence."""
 
     trust: DataFrame
-    sets: DataFrame
+    facts: DataFrame | None = None
     dependence: DataFrame | None = None
+    history: tuple[DataFrame, ...] = ()
 
     def only(self, blocks: list) -> Round:
         keep = F.col("block_id").isin(blocks)
         dep = None if self.dependence is None else self.dependence.where(keep)
-        return Round(self.trust.where(keep), self.sets.where(keep), dep)
+        return Round(self.trust.where(keep), self.facts.where(keep), dep)
 
 
 def run_rounds(start: Round, step: Callable[[Round, int], Round], max_iterations: int,
                threshold: float, stop: str) -> tuple[Round, int]:
-    """Apply ``step`` until every block has converged; a converged block is left as it is.
+    """The state after the last round, with the trust of all rounds as ``history``, and their number.
+
+    Apply ``step`` until every block has converged; a converged block is left as it is.
 
     ``stop="cosine"``: the cosine between successive trust vectors changes by less than
     ``threshold`` from one round to the next.  ``stop="max_abs_delta"``: no trust moves by
@@ -57,11 +63,20 @@ def run_rounds(start: Round, step: Callable[[Round, int], Round], max_iterations
     """
     if stop not in ("cosine", "max_abs_delta"):
         raise ValueError(f"unknown stop rule {stop!r}")
-    current, finished, cosines = start, [], {}
+    if max_iterations < 1:
+        raise ValueError("a model needs at least one round")
+    current, finished, cosines, history = start, [], {}, []
+
+    def end(parts: list[Round]) -> Round:
+        merged = _merge(parts)
+        merged.history = tuple(history)
+        return merged
+
     for number in range(1, max_iterations + 1):
         current = step(current, number)
+        history.append(current.trust)
         if number == max_iterations:
-            return _merge([*finished, current]), number
+            return end([*finished, current]), number
         running, done = [], []
         for row in convergence(current.trust).collect():
             if stop == "cosine":
@@ -71,11 +86,11 @@ def run_rounds(start: Round, step: Callable[[Round, int], Round], max_iterations
                 change = row.max_abs_delta
             (done if change < threshold else running).append(row.block_id)
         if not running:
-            return _merge([*finished, current]), number
+            return end([*finished, current]), number
         if done:
             finished.append(current.only(done))
             current = current.only(running)
-    return start, 0
+    raise AssertionError("the last round returns")
 
 
 def _merge(parts: list[Round]) -> Round:
@@ -84,7 +99,7 @@ def _merge(parts: list[Round]) -> Round:
     has_dep = parts[0].dependence is not None
     return Round(
         reduce(DataFrame.unionByName, [p.trust for p in parts]),
-        reduce(DataFrame.unionByName, [p.sets for p in parts]),
+        reduce(DataFrame.unionByName, [p.facts for p in parts]),
         reduce(DataFrame.unionByName, [p.dependence for p in parts]) if has_dep else None,
     )
 
@@ -120,14 +135,37 @@ def item_outcome(scored: DataFrame) -> DataFrame:
     return whole.select(*keys, "log_mass", F.col("won.value").alias("best_value"))
 
 
-def with_outcome(scored: DataFrame, hot_items: DataFrame | None = None) -> DataFrame:
+def seeded_winners(scored: DataFrame, hot_items: DataFrame | None, seed: int) -> DataFrame:
+    """``block, item, value`` at the position that a seeded choice picks among the tied values.
+
+    Only tied values are ranked, within their item.
+    """
+    keys = [*BLOCK, *ITEM]
+    tie = tie_key(F.col("score"))
+    top = scored.groupBy(*keys).agg(F.max(tie).alias("top"))
+    tied = spread_join(scored, top, keys, hot_items, ITEM, F.col("value")).where(tie == F.col("top"))
+    item = W.partitionBy(*keys)
+    placed = tied.select(*keys, "value", F.count(F.lit(1)).over(item).alias("n"), F.row_number().over(item.orderBy("value")).alias("place"))
+    return placed.where(F.col("place") - 1 == seeded_index(F.col("n"), seed)).select(*keys, "value")
+
+
+def with_outcome(scored: DataFrame, hot_items: DataFrame | None = None, tie: str = "min", seed: int = 10) -> DataFrame:
     """Add the softmax probability of each fact and whether it wins its item.
 
+    ``tie="min"`` prefers the smallest tied value, ``tie="seeded"`` a seeded choice; then
+    ``scored`` is read twice.
+
     Items of ordinary size take one shuffle and window sums over the item.  When some item
     holds a large share of all facts, its window would be a single task: then outcomes are
     aggregated per item and joined back with the hot items cut into pieces.
     """
+    if tie not in TIES:
+        raise ValueError(f"unknown tie policy {tie!r}")
     keys = [*BLOCK, *ITEM]
+    if tie == "seeded":
+        picked = seeded_winners(scored, hot_items, seed).withColumn("picked", F.lit(True))
+        judged = with_outcome(scored, hot_items).drop("is_best").join(picked, [*keys, "value"], "left")
+        return judged.withColumn("is_best", F.coalesce("picked", F.lit(False))).drop("picked")
     if hot_items is not None:
         joined = spread_join(scored, item_outcome(scored), keys, hot_items, ITEM, F.col("value"))
         return joined.withColumn("probability", F.exp(F.col("score") - F.col("log_mass"))).withColumn(
@@ -152,6 +190,7 @@ class TruthResult:
     ``confidence``  object, property, value, confidence for every claimed value
     ``trust``       source, trust, old_trust
     ``dependence``  s1, s2, kt, kf, kd, dep (copy-aware models only)
+    ``history``     the trust tables of all rounds, of the blocks that were still running
     """
 
     truths: DataFrame
@@ -160,19 +199,26 @@ class TruthResult:
     dependence: DataFrame | None
     rounds: int
     work: object
+    history: tuple[DataFrame, ...] = ()
 
     def summary(self) -> DataFrame:
         return trust_summary(self.trust, [c for c in BLOCK if c in self.trust.columns])
 
 
-def result_of(base: ClaimBase, confidence: DataFrame, state: Round, rounds: int) -> TruthResult:
-    """``confidence`` has ``block, object, property, value, score``."""
-    truths = item_outcome_best(confidence)
+def result_of(base: ClaimBase, state: Round, rounds: int, tie: str = "min", seed: int = 10) -> TruthResult:
+    """The result is read off the facts that the last round wrote."""
+    confidence = state.facts.select(*BLOCK, *FACT, "score")
+    if tie == "min":
+        truths = item_outcome_best(confidence)
+    else:
+        picked = seeded_winners(confidence, base.hot_items, seed)
+        truths = confidence.join(picked, [*BLOCK, *FACT], "left_semi").withColumnRenamed("score", "confidence")
     named = confidence.withColumnRenamed("score", "confidence")
-    tables = [truths, named, state.trust, state.dependence]
+    tables, history = [truths, named, state.trust, state.dependence], state.history
     if base.blocks is None:
         tables = [t if t is None else t.drop("block_id") for t in tables]
-    return TruthResult(*tables, rounds, base.work)
+        history = tuple(t.drop("block_id") for t in history)
+    return TruthResult(*tables, rounds, base.work, history)
 
 
 def item_outcome_best(scored: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from truthloom.operators.similarity import implied_scores
 from truthloom.operators.skew import spread_join
 from truthloom.plans.claimbase import BLOCK, ClaimBase
 from truthloom.plans.rounds import Round, TruthResult, result_of, run_rounds, trust_from_sets
-from truthloom.schema import FACT
 
 
 def truth_finder(
@@ -25,6 +24,8 @@ def truth_finder(
     stop: str = "cosine",
     blocks: DataFrame | None = None,
     deduped: bool = False,
+    tie: str = "min",
+    seed: int = 10,
 ) -> TruthResult:
     """Iterate: score values by the trust of their sources, let similar values support each
     other, squash to a confidence, and set each source's trust to its mean confidence."""
@@ -36,21 +37,18 @@ def truth_finder(
                                base.hot_sources, ["source"], F.struct(*SET))
         return weighted.groupBy(*BLOCK, *SET).agg(F.sum(trust_score(F.col("trust"))).alias("score"))
 
-    def confidences(scores: DataFrame) -> DataFrame:
-        implied = implied_scores(base.scored_facts(scores, similarity == "char"), rho, similarity, BLOCK, base.hot_items, biggest)
-        return implied.withColumn("score", sigmoid(theta * F.col("score")))
-
     def step(state: Round, number: int) -> Round:
         scores = base.work.keep(set_scores(state.trust), f"scores-{number}")
-        sets = confidences(scores).groupBy(*BLOCK, *SET).agg(
+        scored = base.work.keep(base.scored_facts(scores, similarity == "char"), f"scored-{number}")
+        implied = implied_scores(scored, rho, similarity, BLOCK, base.hot_items, biggest)
+        facts = base.work.keep(implied.withColumn("score", sigmoid(theta * F.col("score"))), f"facts-{number}")
+        sets = facts.groupBy(*BLOCK, *SET).agg(
             F.count(F.lit(1)).alias("n_facts"), F.sum("score").alias("total")
         )
         trust = trust_from_sets(base, sets, state.trust, "total")
         trust = trust.select(*BLOCK, "source", clamp_trust(F.col("raw")).alias("trust"), "old_trust")
-        return Round(base.work.keep(trust, f"trust-{number}"), scores)
+        return Round(base.work.keep(trust, f"trust-{number}"), facts)
 
     first = base.initial_trust(initial_trust)
-    start = Round(first, base.block_sets)
-    state, rounds = run_rounds(start, step, max_iterations, threshold, stop)
-    found = confidences(state.sets).select(*BLOCK, *FACT, "score")
-    return result_of(base, found, state, rounds)
+    state, rounds = run_rounds(Round(first), step, max_iterations, threshold, stop)
+    return result_of(base, state, rounds, tie, seed)

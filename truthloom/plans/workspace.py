@@ -8,43 +8,51 @@ broadcast.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only in local mode."""
+    """``spark.checkpoint.dir`` of the session; in one process without it, the session's warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="truthloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.sql.warehouse.dir")
 
 
 class Workspace:
-    """One folder per job run below the shared folder."""
+    """One folder per job run below the shared folder.
 
-    def __init__(self, spark: SparkSession):
+    Results read their tables when they are asked for, so a folder lasts as long as its
+    application: the JVM deletes it on exit.  ``drop`` deletes it earlier.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
         app = spark.sparkContext.applicationId
-        self.path = f"{shared_folder(spark).rstrip('/')}/truthloom/{app}/{uuid.uuid4().hex}"
+        self.path = f"{(folder or shared_folder(spark)).rstrip('/')}/truthloom/{app}/{uuid.uuid4().hex}"
         self._count = 0
+        self._marked = False
+
+    def _folder(self):
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return the table that was written."""
         self._count += 1
         path = f"{self.path}/{self._count:03d}-{name}"
         df.write.parquet(path)
+        if not self._marked:
+            folder, system = self._folder()
+            self._marked = system.deleteOnExit(folder.getParent())
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
         """Delete the folder; only after the results have been written elsewhere."""
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        folder.getFileSystem(conf).delete(folder, True)
+        folder, system = self._folder()
+        system.delete(folder, True)

@@ -28,7 +28,9 @@ def as_claims(df: DataFrame) -> DataFrame:
 
 
 def as_truth(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(name).cast("string").alias(name) for name in FACT])
+    """One true value per item: of rows that contradict each other the greatest value counts."""
+    typed = df.select(*[F.col(name).cast("string").alias(name) for name in FACT]).dropna(subset=FACT)
+    return typed.groupBy(*ITEM).agg(F.max("value").alias("value")).select(*FACT)
 
 
 def dedupe_claims(claims: DataFrame, order_by: list[str] | None = None) -> DataFrame:

@@ -7,26 +7,38 @@ from pyspark.sql import functions as F
 
 from truthloom.schema import CLAIM, as_claims, as_truth
 
-CLAIMS_CSV = "ID string, Object string, Property string, Value string, Source string"
-TRUTH_CSV = "Object string, Property string, Value string, `False` string"
+# Every text comes back as it was: blanks at the edges, quotes, line breaks, the empty text.
+# An empty field without quotes is null.
+CSV = {
+    "header": True, "escape": '"', "multiLine": True, "nullValue": "\u0001", "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
+def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """CSV rows with too few or too many fields are an error, not a loss.
+
+    Line breaks inside values mean that one task reads one CSV file; keep large tables in parquet.
+    """
+    if fmt == "csv":
+        return spark.read.options(**CSV, mode="FAILFAST").csv(path)
+    return spark.read.format(fmt).load(path)
+
+
+def _write_csv(out: DataFrame, path: str, mode: str) -> None:
+    out.write.mode(mode).options(**(CSV | {"emptyValue": '""', "quoteAll": True})).csv(path)
 
 
 def read_claims(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Claims from a headed CSV (``ID,Object,Property,Value,Source``) or a parquet table."""
-    if fmt == "csv":
-        raw = spark.read.schema(CLAIMS_CSV).option("header", True).csv(path)
-    else:
-        raw = spark.read.format(fmt).load(path)
+    raw = _read(spark, path, fmt)
     lowered = raw.select(*[F.col(c).alias(c.lower()) for c in raw.columns if c.lower() in CLAIM])
     return as_claims(lowered)
 
 
 def read_truth(spark: SparkSession, path: str, fmt: str = "csv", with_false: bool = False) -> DataFrame:
     """Ground truth; ``with_false`` also parses the list of wrong values of each item."""
-    if fmt == "csv":
-        raw = spark.read.schema(TRUTH_CSV).option("header", True).csv(path)
-    else:
-        raw = spark.read.format(fmt).load(path)
+    raw = _read(spark, path, fmt)
     lowered = raw.select(*[F.col(f"`{c}`").alias(c.lower()) for c in raw.columns])
     if not with_false:
         return as_truth(lowered)
@@ -43,7 +55,7 @@ def write_claims(claims: DataFrame, path: str, fmt: str = "csv", mode: str = "er
         F.lit(0).alias("ID"),
         *[F.col(name).alias(name.capitalize()) for name in CLAIM],
     )
-    out.write.mode(mode).option("header", True).csv(path)
+    _write_csv(out, path, mode)
 
 
 def write_truth(truth: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
@@ -63,7 +75,7 @@ def write_truth(truth: DataFrame, path: str, fmt: str = "csv", mode: str = "erro
             F.col("value").alias("Value"),
             listed.alias("False"),
         )
-    out.write.mode(mode).option("header", True).csv(path)
+    _write_csv(out, path, mode)
 
 
 def write_partition_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:

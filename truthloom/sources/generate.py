@@ -138,8 +138,12 @@ def generate_claims(
     else:
         # Few property names would mean few shuffle keys: cut the plan by source as well.
         cuts = -(-n_plan // BROADCAST_ROWS)
-        asked = truth.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1)))).join(
-            plan.withColumn("cut", F.pmod(F.col("source_idx"), F.lit(cuts)).cast("int")), ["property", "cut"]
+        # Objects are cut too, so a key holds a part of the objects and a part of the sources.
+        slices = truth.sparkSession.sparkContext.defaultParallelism
+        whole = truth.withColumn("slice", F.pmod(F.col("object_idx"), F.lit(slices)).cast("int"))
+        asked = whole.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1)))).join(
+            plan.withColumn("cut", F.pmod(F.col("source_idx"), F.lit(cuts)).cast("int"))
+            .withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), ["property", "cut", "slice"]
         )
     position = F.col("object_idx") * F.col("group_size") + F.col("place")
     pick = F.pmod(draw(F.lit(seed), F.lit("wrong"), F.col("object"), F.col("property"), F.col("source")), F.lit(N_FALSE))
