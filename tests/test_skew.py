@@ -87,3 +87,32 @@ def test_hot_list_is_bounded(spark):
     total = sizes.agg({"n": "sum"}).first()[0]
     hot = skew.hot_keys(lambda: sizes, ["key"], "n", total, share=2000, floor=1)
     assert hot is None or hot.count() <= 2000
+
+
+def test_hot_pairs_count_sets(spark, monkeypatch):
+    """A pair is hot by the sets it meets in, not by the facts that have these sets."""
+    monkeypatch.setattr(skew, "FLOOR", 3)
+    claims = [(f"x{i}", "p", "v", s) for i in range(100) for s in ("a", "b")]
+    claims += [(f"y{i}", "p", "v", s) for i in range(10) for s in ("c", "d", f"e{i}")]
+    base = ClaimBase.of(spark.createDataFrame(claims, SCHEMA), deduped=True)
+    assert sorted((r.s1, r.s2) for r in base.hot_pairs.collect()) == [("c", "d"), ("d", "c")]
+
+
+def test_a_model_needs_a_round(table):
+    with pytest.raises(ValueError, match="round"):
+        truth_finder(table, max_iterations=0)
+    with pytest.raises(ValueError, match="round"):
+        accuracy_model(table, "ACCU", max_iterations=0)
+
+
+def test_seeded_ties(spark, monkeypatch):
+    """Among tied values the one that Python's seeded choice picks, also on hot items."""
+    claims = [(f"o{i}", "p", f"v{j:02d}", f"s{j}") for i in range(3) for j in range(2 + 5 * i)]
+    frame = spark.createDataFrame(claims, SCHEMA)
+    want = {f"o{i}": random.Random(10).choice([f"v{j:02d}" for j in range(2 + 5 * i)]) for i in range(3)}
+    for floor in (10**6, 2):
+        monkeypatch.setattr(skew, "FLOOR", floor)
+        found = truth_finder(frame, max_iterations=1, rho=0.0, tie="seeded").truths
+        assert {r.object: r.value for r in found.collect()} == want
+    with pytest.raises(ValueError, match="tie"):
+        accuracy_model(frame, "ACCU", max_iterations=1, tie="other")

@@ -10,7 +10,7 @@ from truthloom.operators.dependence import agreement, dependence
 from truthloom.plans.accuracy import majority_sets
 from truthloom.plans.claimbase import BLOCK
 from truthloom.plans.workspace import Workspace, shared_folder
-from truthloom.schema import CLAIM, FACT
+from truthloom.schema import CLAIM, FACT, as_truth
 from truthloom.sources import (
     assign_sources, generate_claims, generate_truth, read_claims, read_truth, split_properties,
     write_claims, write_partition_report, write_truth,
@@ -35,6 +35,33 @@ def test_claims_csv_with_commas_and_quotes(spark, tmp_path):
     assert rows(read_claims(spark, str(tmp_path / "odd"))) == rows(odd)
 
 
+ODD = [" lead", "trail ", "x\ny", "", 'q"q', "a,b", "b\\", "\\", '"', '""', "\r\n", "a\rb", "\t", "'", "\\N", "null", "#c", "é"]
+
+
+def test_claims_csv_keeps_every_text(spark, tmp_path):
+    odd = spark.createDataFrame([(f"o{i}", v, v, "s") for i, v in enumerate(ODD)], "object string, property string, value string, source string")
+    write_claims(odd, str(tmp_path / "odd"))
+    assert rows(read_claims(spark, str(tmp_path / "odd"))) == rows(odd)
+    truth = odd.select(*FACT)
+    write_truth(truth, str(tmp_path / "truth"))
+    assert rows(read_truth(spark, str(tmp_path / "truth"))) == rows(truth)
+
+
+def test_malformed_csv_is_an_error(spark, tmp_path):
+    path = tmp_path / "short.csv"
+    path.write_text("ID,Object,Property,Value,Source\n0,O1,P1\n0,O1,P1,3,S2\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_claims(spark, str(path)).collect()
+
+
+def test_one_true_value_per_item(spark):
+    claims = spark.createDataFrame([("o", "p", "a", "s")], "object string, property string, value string, source string")
+    truth = spark.createDataFrame([("o", "p", "a"), ("o", "p", "a"), ("o", None, "x"), ("o", "q", "a"), ("o", "q", "b")], "object string, property string, value string")
+    row = evaluate(claims, truth, majority_vote(claims)).first()
+    assert (row.tp, row.fp, row.fn, row.tn) == (1, 0, 0, 0)
+    assert rows(as_truth(truth)) == [("o", "p", "a"), ("o", "q", "b")]
+
+
 def test_exchange_format(spark, tmp_path):
     path = tmp_path / "data.csv"
     path.write_text("ID,Object,Property,Value,Source\n0,Object1,Property1,123456,Source1\n0,Object1,Property1,7,Source2\n")
