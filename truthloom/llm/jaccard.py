@@ -176,7 +176,7 @@ def signed_texts(texts: DataFrame) -> DataFrame:
 def _sets(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """Slices of candidate sets: names, sizes and shingles, packed."""
     wanted = classes.where("candidate").select(F.col("doc_id").alias("rep"), F.col("sig").alias("wanted"))
-    picked = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "wanted")
+    picked = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "wanted")
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = slice_ids()
@@ -432,7 +432,7 @@ def _join(ordered: DataFrame, shards: DataFrame, work: Workspace, block: int) ->
     placed = placed.withColumn("piece", F.pmod(F.xxhash64("sig"), F.col("pieces")).cast("int"))
     placed = work.keep(placed.join(ordered.drop("prefix"), "sig"), "shards")
     total, most = placed.agg(F.count(F.lit(1)), F.max("pieces")).first()
-    groups = max(1, -(-int(total) // block) * 2)
+    groups = max(8, int(total) // 500)
     task = F.when(F.col("pieces") == 1, F.pmod(F.xxhash64("shard"), F.lit(groups))).otherwise(F.xxhash64("shard", "piece"))
     heads = placed.where("pieces > 1 AND sig = shard")
     heads = heads.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
@@ -481,7 +481,7 @@ def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     gone = jaccard_components(docs, block).where("doc_id <> component_id").select("doc_id").distinct()
     gone = Workspace(docs.sparkSession).keep(gone, "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
 # DuckDB: all pairs that share a shingle, then reachability.
