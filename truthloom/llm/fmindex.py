@@ -71,7 +71,8 @@ class FMIndex:
         for step in (1, 2, 4, 8, 16):
             half = ranks if step == 16 else half
             ranks = _ranks(ranks * (len(text) + 1) + _after(ranks, step))
-        self.suffixes = np.argsort(ranks, kind="stable")
+        self.suffixes = np.argsort(ranks, kind="stable").astype(np.int32)
+        del ranks
         before = np.where(self.suffixes > 0, text[self.suffixes - 1], 0)
         self.bwt = WaveletMatrix(before, size)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
@@ -86,7 +87,8 @@ class FMIndex:
         fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         starts = np.flatnonzero(fresh)
         number = np.cumsum(fresh) - 1
-        return starts[number], np.append(starts[1:], self.size)[number], number
+        bounds = starts[number], np.append(starts[1:], self.size)[number], number
+        return tuple(x.astype(np.int32) for x in bounds)
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: rows of the patterns with ``symbols`` put in front."""
@@ -130,7 +132,7 @@ class FMIndex:
             a0, b0 = np.where(full, self.low[rows[0]], rows[0]), np.where(full, self.high[rows[0]], rows[1])
             a, b = self.extend(text[at], a0, b0)
             lost = np.flatnonzero(a >= b)
-            while len(lost):
+            while len(lost):  # never while the index holds the sequences themselves
                 done = lost[length[lost] == 0]  # the symbol is not in the index
                 length[done], a[done], b[done] = -1, 0, self.size
                 lost = lost[length[lost] > 0]

@@ -43,7 +43,7 @@ ANCHOR = 5
 #: Anchors in at least this many slices are cut into windows.
 HOT_SLICES = 256
 #: Text of one shard, relative to what a bucket of hashes stands for.
-SHARDS_PER_BUCKET = 4
+SHARDS_PER_BUCKET = 32
 
 
 @dataclass
@@ -258,6 +258,7 @@ _FIRST = "doc_id long, mark long, firsts binary"
 
 def _search(table: pa.Table) -> pa.Table:
     """One shard: per text, the windows that are the first with their words."""
+    pa.default_memory_pool().release_unused()
     docs, _ = unpack(table["docs"].to_pylist(), "<i8")
     null, _ = unpack(table["nulls"].to_pylist(), "u1")
     marks, _ = unpack(table["marks"].to_pylist(), "<i8")
@@ -278,13 +279,14 @@ def _search(table: pa.Table) -> pa.Table:
     index = FMIndex(text, len(known) + 1, WINDOW)
 
     owner = np.repeat(np.arange(len(one)), lengths + 1)
-    offset = np.arange(len(text)) - first[owner]
-    place = starts[one][owner] + offset
+    place = starts[one][owner] + np.arange(len(text)) - first[owner]
     rows_doc, rows_place = docs[one][owner][index.suffixes], place[index.suffixes]
+    del owner, place, text
     borders = np.flatnonzero(np.diff(index.group, prepend=-1))
     least_doc = np.minimum.reduceat(rows_doc, borders)
-    far = np.where(rows_doc == least_doc[index.group], rows_place, np.iinfo(np.int64).max)
-    least_place = np.minimum.reduceat(far, borders)
+    rows_place[rows_doc != least_doc[index.group]] = np.iinfo(np.int64).max
+    least_place = np.minimum.reduceat(rows_place, borders)
+    del rows_doc, rows_place
 
     low, high = index.matches(flat, np.concatenate([[0], np.cumsum(lengths)]))
     window = np.flatnonzero(high > low)
@@ -356,8 +358,11 @@ def _strip(marked: DataFrame, with_text: bool) -> DataFrame:
 
 
 def _beside(texts: DataFrame, notes: DataFrame) -> DataFrame:
-    """Texts with their notes; a text may have none."""
-    keyed = notes.withColumnsRenamed({"doc_id": "_doc", "mark": "_mark"})
+    """Texts with their notes; a text may have none.
+
+    Notes are a small part of the texts' size: they are hashed in each task, texts stream by unsorted.
+    """
+    keyed = notes.withColumnsRenamed({"doc_id": "_doc", "mark": "_mark"}).hint("shuffle_hash")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark"))
     return texts.join(keyed, same, "left").drop("_doc", "_mark")
 
