@@ -56,8 +56,8 @@ def implied_scores(scored: DataFrame, rho: float, kind: str, group: list[str] =
                    hot_items: DataFrame | None = None, biggest: int | None = None) -> DataFrame:
     """Add to each score ``rho`` times the similarity-weighted scores of the item's other values.
 
-    ``scored`` has ``group, object, property, value, score`` and keeps its other columns; it is
-    read several times and should be a written table.  A column ``weights`` with the character weights of the value is used and dropped.
+    ``scored`` has ``group, object, property, value, score`` and keeps its other columns; for
+    numeric similarity it is read several times and should be a written table.  A column ``weights`` with the character weights of the value is used and dropped.
 
     Character similarity is a dot product of unit vectors, so the sum over the other values
     is the dot product with one vector per item, the score-weighted sum of all its value

@@ -82,7 +82,9 @@ def accuracy_model(
         factors = vote_factors(state.dependence, state.trust, BLOCK, algo, c, n, order)
         scores = base.work.keep(discounted_votes(base, factors), f"scores-{number}")
         spelled = algo == "ACCUSIM" and similarity == "char"
-        facts = base.work.keep(base.scored_facts(scores, spelled), f"scored-{number}")
+        facts = base.scored_facts(scores, spelled)
+        if not spelled:  # read several times
+            facts = base.work.keep(facts, f"scored-{number}")
         if algo == "ACCUSIM":
             facts = base.work.keep(implied_scores(facts, rho, similarity, BLOCK, base.hot_items, biggest), f"facts-{number}")
         sets = with_outcome(facts, base.hot_items, tie, seed).groupBy(*BLOCK, *SET).agg(

@@ -39,7 +39,9 @@ def truth_finder(
 
     def step(state: Round, number: int) -> Round:
         scores = base.work.keep(set_scores(state.trust), f"scores-{number}")
-        scored = base.work.keep(base.scored_facts(scores, similarity == "char"), f"scored-{number}")
+        scored = base.scored_facts(scores, similarity == "char")
+        if similarity == "numeric":  # read several times
+            scored = base.work.keep(scored, f"scored-{number}")
         implied = implied_scores(scored, rho, similarity, BLOCK, base.hot_items, biggest)
         facts = base.work.keep(implied.withColumn("score", sigmoid(theta * F.col("score"))), f"facts-{number}")
         sets = facts.groupBy(*BLOCK, *SET).agg(
