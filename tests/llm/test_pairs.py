@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tests.llm import plain
+from truthloom.llm import jaccard
 from truthloom.llm.decontaminate import drop_leaks, find_leaks
 from truthloom.llm.fmindex import FMIndex
 from truthloom.llm.graph import components
@@ -46,6 +47,31 @@ def test_components_against_all_pairs(spark, texts, block):
     assert found == plain.components(list(enumerate(texts)))
 
 
+def shared_passages(count=240, seed=4):
+    """Unlike texts put together from a few passages: one shard, few links."""
+    draw = random.Random(seed)
+    passages = [[f"p{i}_{k}" for k in range(25)] for i in range(12)]
+    texts = []
+    for i in range(count):
+        own = [w for p in draw.sample(passages, 3) for w in p]
+        texts.append(" ".join(own + [f"u{i}_{k}" for k in range(draw.randint(0, 3))]))
+    return texts
+
+
+def test_pieces_of_shared_passages_stay_small(spark, monkeypatch):
+    block, inner = 20, jaccard.join_pieces
+
+    def join_pieces(table):
+        assert table.num_rows <= 4 * block, f"{table.num_rows} sets in one task"
+        return inner(table)
+
+    monkeypatch.setattr(jaccard, "join_pieces", join_pieces)
+    texts = shared_passages()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, block).collect()}
+    assert found == plain.components(list(enumerate(texts)))
+
+
 def test_components_of_odd_rows(spark):
     docs = plain.frame(spark, plain.edge_texts())
     rows = jaccard_components(docs).collect()

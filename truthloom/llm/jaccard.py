@@ -13,7 +13,8 @@ similarity of 0.75 or more.  The result is the connected component of every text
    left when the overlap so far and the lengths that remain cannot reach the threshold, or when
    all of its sets are in the same component already.
 4. Shards with more than ``BLOCK`` classes are cut.  Each piece also holds the shard's first class;
-   classes that a piece does not connect with it are then compared with all other pieces.
+   classes that a piece does not connect with it ('loose') are then compared with the other pieces,
+   two pieces a task, and only classes that share a shingle of both beginnings are sent there.
 
 No link between different sets is lost, no pair of texts is written.  Shingles are 64-bit hashes
 and sets are named by 128 bits; two different sets of one corpus share a name with a probability
@@ -260,8 +261,8 @@ def _order_slice(sets: pa.Table, ranks: pa.Table) -> pa.Table:
     })
 
 
-def _star_edges(ordered: DataFrame) -> DataFrame:
-    """Sets that share a shingle of both beginnings, tied to the least set with this shingle.
+def _posts(sets: DataFrame, *carried: str) -> DataFrame:
+    """token, band and the ``carried`` columns of every shingle in the beginning of a set.
 
     Sizes are filed in bands a ratio of 3/4 wide, and each set under its own band and the next,
     so that sets whose sizes allow a link meet.
@@ -278,11 +279,17 @@ def _star_edges(ordered: DataFrame) -> DataFrame:
             which = np.repeat(np.arange(len(sizes)), taken)
             for step in (0, 1):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat, pa.int64()), pa.array(band[which] + step, pa.int32()), batch.column("sig").take(pa.array(which))],
-                    ["token", "band", "sig"],
+                    [pa.array(flat, pa.int64()), pa.array(band[which] + step, pa.int32()), *[batch.column(c).take(pa.array(which)) for c in carried]],
+                    ["token", "band", *carried],
                 )
 
-    posts = ordered.mapInArrow(post, "token long, band int, sig binary")
+    kinds = ", ".join(f"{c} {sets.schema[c].dataType.simpleString()}" for c in carried)
+    return sets.mapInArrow(post, f"token long, band int, {kinds}")
+
+
+def _star_edges(ordered: DataFrame) -> DataFrame:
+    """Sets that share a shingle of both beginnings, tied to the least set with this shingle."""
+    posts = _posts(ordered, "sig")
     stars = posts.groupBy("token", "band").agg(F.min("sig").alias("a"), F.max("sig").alias("last")).where("a <> last")
     return posts.join(stars, ["token", "band"]).where("sig <> a").select("a", F.col("sig").alias("b")).distinct()
 
@@ -403,7 +410,7 @@ def join_shards(table: pa.Table) -> pa.Table:
 
 
 def join_pieces(table: pa.Table) -> pa.Table:
-    """One piece of a large shard and the sets to be compared with it: components that link."""
+    """Sets of one piece of a large shard and loose sets of another: components that link."""
     names, sizes, sets = _local(table)
     labels, probe = table["label"].to_pylist(), table["probe"].to_pylist()
     tree, union, found = PrefixTree(sizes, sets), Union(), set()
@@ -424,29 +431,54 @@ def join_pieces(table: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(c, pa.binary()) for k, c in zip(("a", "b"), columns)})
 
 
+def _meetings(large: DataFrame) -> DataFrame:
+    """Copies of the sets of cut shards for each ``piece`` and each ``asker`` whose loose sets probe it.
+
+    Sets that link share a shingle of both beginnings.  So a loose set goes only to pieces that hold
+    such a shingle, and a piece shows an asker only sets that have one of a loose set there.  Two
+    loose sets meet once, in the task of the lower piece.
+    """
+    posts = _posts(large, "sig", "piece", "loose")
+
+    def pieces(loose: bool):
+        return F.array_sort(F.collect_set(F.when(F.col("loose") == F.lit(loose), F.col("piece"))))
+
+    places = posts.groupBy("token", "band").agg(pieces(True).alias("loose_in"), pieces(False).alias("tied_in"))
+    places = places.where(F.size(F.array_union("loose_in", "tied_in")) > 1).where(F.size("loose_in") > 0)
+
+    def either(name: str):
+        return F.array_distinct(F.flatten(F.collect_set(name))).alias(name)
+
+    seen = posts.select("token", "band", "sig").join(places, ["token", "band"])
+    seen = large.join(seen.groupBy("sig").agg(either("loose_in"), either("tied_in")), "sig").drop("prefix")
+    lower = F.filter("loose_in", lambda p: p < F.col("piece"))
+    asked = seen.withColumn("asker", F.explode("loose_in")).where("asker <> piece AND (NOT loose OR asker > piece)")
+    asking = seen.where("loose").withColumn("asker", F.col("piece")).withColumn("piece", F.explode(F.array_union("tied_in", lower)))
+    both = asked.withColumn("probe", F.lit(False)).unionByName(asking.where("asker <> piece").withColumn("probe", F.lit(True)))
+    return both.select("shard", "piece", "asker", "probe", "sig", "n", "tokens", "label")
+
+
 def _join(ordered: DataFrame, shards: DataFrame, work: Workspace, block: int) -> DataFrame:
     """sig, label for all sets in shards; sets with one label are one component."""
     sizes = shards.groupBy(F.col("component").alias("shard")).agg(F.count(F.lit(1)).alias("members"))
     sizes = sizes.withColumn("pieces", F.ceil(F.col("members") / block).cast("int"))
     placed = shards.select(F.col("node").alias("sig"), F.col("component").alias("shard")).join(sizes, "shard").drop("members")
     placed = placed.withColumn("piece", F.pmod(F.xxhash64("sig"), F.col("pieces")).cast("int"))
-    placed = work.keep(placed.join(ordered.drop("prefix"), "sig"), "shards")
+    placed = work.keep(placed.join(ordered, "sig"), "shards")
     total, most = placed.agg(F.count(F.lit(1)), F.max("pieces")).first()
     groups = max(8, int(total) // 500)
     task = F.when(F.col("pieces") == 1, F.pmod(F.xxhash64("shard"), F.lit(groups))).otherwise(F.xxhash64("shard", "piece"))
     heads = placed.where("pieces > 1 AND sig = shard")
     heads = heads.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     heads = heads.join(placed.where("pieces > 1").select("sig", "piece"), ["sig", "piece"], "left_anti")
-    members = placed.unionByName(heads.select(placed.columns)).withColumn("task", task)
+    members = placed.unionByName(heads.select(placed.columns)).withColumn("task", task).drop("prefix")
     joined = members.groupBy("task").applyInArrow(join_shards, "shard binary, sig binary, label binary")
     joined = work.keep(joined.distinct(), "joined")
     if (most or 1) == 1:
         return joined.select("sig", "label")
-    # classes not tied to their shard's first class are compared with every piece
-    large = placed.where("pieces > 1").join(joined.drop("shard"), "sig")
-    loose = large.where("label <> shard").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    both = large.withColumn("probe", F.lit(False)).unionByName(loose.withColumn("probe", F.lit(True)))
-    ties = both.groupBy("shard", "piece").applyInArrow(join_pieces, "a binary, b binary")
+    # classes not tied to their shard's first class are compared with the other pieces
+    large = placed.where("pieces > 1").join(joined.drop("shard"), "sig").withColumn("loose", F.col("label") != F.col("shard"))
+    ties = _meetings(large).groupBy("shard", "piece", "asker").applyInArrow(join_pieces, "a binary, b binary")
     names = components(ties, work)
     merged = joined.join(names, joined["label"] == names["node"], "left")
     return merged.select("sig", F.coalesce("component", "label").alias("label"))
