@@ -72,6 +72,28 @@ def test_pieces_of_shared_passages_stay_small(spark, monkeypatch):
     assert found == plain.components(list(enumerate(texts)))
 
 
+def test_rows_with_one_id_are_not_paired_with_each_other(spark, monkeypatch):
+    texts = near_copies(40)
+    rows = [(None, t) for t in texts] + [(7, t + " end") for t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pairs, inner = [], type(docs).mapInArrow
+
+    def mapInArrow(frame, func, schema, *more):
+        if "wanted" in frame.columns:
+            pairs.append(frame.count())
+        return inner(frame, func, schema, *more)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", mapInArrow)
+    found = jaccard_components(docs)
+    assert 0 < pairs[0] <= len(rows)
+    plain_rows = plain.components([(i, t) for i, (_, t) in enumerate(rows)])
+    members = {}
+    for i, (_, component) in plain_rows.items():
+        members.setdefault(component, []).append(rows[i][0])
+    want = sorted((str(rows[i][0]), n, str(max(members[c], key=lambda d: d or 0))) for i, (n, c) in plain_rows.items())
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found.collect()) == want
+
+
 def test_components_of_odd_rows(spark):
     docs = plain.frame(spark, plain.edge_texts())
     rows = jaccard_components(docs).collect()

@@ -93,8 +93,13 @@ def spare(n: np.ndarray) -> np.ndarray:
 # --- 1: which texts can link at all -------------------------------------------------------
 
 _ASK = "bucket int, slice long, keys binary, owners binary, about binary"
-_ABOUT = np.dtype([("doc", "<i8"), ("null", "u1"), ("n", "<u4"), ("asked", "<u4"), ("known", "<u4"), ("a", "<u8"), ("b", "<u8")])
-_SIGNED = "doc_id long, n long, sig binary, candidate boolean"
+_ABOUT = np.dtype([("doc", "<i8"), ("null", "u1"), ("mark", "<i8"), ("n", "<u4"), ("asked", "<u4"), ("known", "<u4"), ("a", "<u8"), ("b", "<u8")])
+_SIGNED = "doc_id long, mark long, n long, sig binary, candidate boolean"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def _questions(texts: DataFrame, buckets: int) -> DataFrame:
@@ -119,6 +124,7 @@ def _questions(texts: DataFrame, buckets: int) -> DataFrame:
         about = np.zeros(part.num_rows, _ABOUT)
         ids = part.column("doc_id")
         about["doc"], about["null"] = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
+        about["mark"] = part.column("mark").to_numpy()
         about["n"], about["asked"] = np.diff(first), np.bincount(owner, minlength=part.num_rows)
         about["known"] = np.bincount(owner[again], minlength=part.num_rows)
         marks = signatures(keys, first)
@@ -160,13 +166,14 @@ def _judge_slice(table: pa.Table) -> pa.Table:
     candidate = (n > 0) & (matched >= about["asked"].astype(np.int64) - spare(n))
     names = _names(np.stack([about["a"], about["b"]], axis=1))
     return pa.table({
-        "doc_id": pa.array(about["doc"], pa.int64(), mask=about["null"].astype(bool)), "n": pa.array(n, pa.int64()),
+        "doc_id": pa.array(about["doc"], pa.int64(), mask=about["null"].astype(bool)),
+        "mark": pa.array(about["mark"], pa.int64()), "n": pa.array(n, pa.int64()),
         "sig": pa.array(names, pa.binary()), "candidate": pa.array(candidate, pa.bool_()),
     })
 
 
 def signed_texts(texts: DataFrame) -> DataFrame:
-    """doc_id, n, sig (name of the set), candidate."""
+    """doc_id, mark (hash of the text), n, sig (name of the set), candidate; ``texts`` has doc_id, mark, text."""
     asked = _questions(texts, bucket_count(text_bytes_of(texts)))
     answers = asked.groupBy("bucket").applyInArrow(_found_again, "slice long, owners binary, about binary")
     return answers.groupBy("slice").applyInArrow(_judge_slice, _SIGNED)
@@ -174,10 +181,27 @@ def signed_texts(texts: DataFrame) -> DataFrame:
 
 # --- 2: ordered sets and shards -------------------------------------------------------------
 
+def _picked(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """text, wanted: the texts that stand for candidate classes, with the names of these."""
+    wanted = classes.where("candidate").select(F.col("rep.doc_id").alias("rep"), F.col("rep.mark").alias("rep_mark"), F.col("sig").alias("wanted"))
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("mark") == F.col("rep_mark"))
+    return texts.join(wanted.hint("shuffle_hash"), same).select("text", "wanted")
+
+
+def _classes(signed: DataFrame) -> DataFrame:
+    """sig, doc_id (the least), rep (id and text hash of one row), candidate."""
+    rep = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "mark"))
+    return signed.where("n > 0").groupBy("sig").agg(
+        F.min("doc_id").alias("doc_id"), rep.alias("rep"), F.max("candidate").alias("candidate"),
+    )
+
+
 def _sets(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Slices of candidate sets: names, sizes and shingles, packed."""
-    wanted = classes.where("candidate").select(F.col("doc_id").alias("rep"), F.col("sig").alias("wanted"))
-    picked = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "wanted")
+    """Slices of candidate sets: names, sizes and shingles, packed.
+
+    Ids may be null or repeated, so the row that stands for a class is named by its id and its text's hash.
+    """
+    picked = _picked(texts, classes)
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = slice_ids()
@@ -185,7 +209,7 @@ def _sets(texts: DataFrame, classes: DataFrame) -> DataFrame:
             for part in chunks(batch):
                 keys, first = shingle_sets(part.column("text"))
                 names = _names(signatures(keys, first))
-                # rows with a repeated id may hold another text
+                # two texts of one id may share a hash
                 stays = [i for i, (a, b) in enumerate(zip(names, part.column("wanted").to_pylist())) if a == b]
                 yield pa.RecordBatch.from_pydict({
                     "slice": pa.array([next(numbers)], pa.int64()),
@@ -487,10 +511,9 @@ def _join(ordered: DataFrame, shards: DataFrame, work: Workspace, block: int) ->
 def jaccard_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
     work = Workspace(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = _texts(docs)
     signed = work.keep(signed_texts(texts), "signed")
-    classes = signed.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("candidate").alias("candidate"))
-    classes = work.keep(classes, "classes")
+    classes = work.keep(_classes(signed), "classes")
     sets = work.keep(_sets(texts, classes), "sets")
     total = sets.agg(F.sum(F.octet_length("keys").cast("long"))).first()[0]
     ranks = _frequencies(sets, bucket_count(total))
