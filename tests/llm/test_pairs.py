@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import plain
-from truthloom.llm import jaccard
+from truthloom.llm import jaccard, substrings
 from truthloom.llm.decontaminate import drop_leaks, find_leaks
 from truthloom.llm.fmindex import FMIndex
 from truthloom.llm.graph import components
@@ -214,6 +215,23 @@ def test_repeats_against_all_windows(spark, texts, hot):
     assert rows == plain.strip(list(zip(ids, texts)))
 
 
+def test_anchors_with_many_words_are_hot():
+    # two slices; anchor 5 has 1 and 2 segments, anchor 9 has 3000 in each
+    blobs = {"keys": ([5, 9], [5, 9]), "owners": ([0, substrings._NONE], [substrings._NONE, substrings._NONE]),
+             "groups": ([1, 3000, *range(1, 3001)], [2, 3000, *range(3002)])}
+    table = pa.table({k: pa.array([np.array(b, "<u4").tobytes() for b in v], pa.binary()) for k, v in blobs.items()} | {
+        "slice": pa.array([1, 2], pa.int64()), "about": pa.array([b"", b""], pa.binary())})
+    hot = [np.frombuffer(b, "<u4").tolist() for b in substrings._answer(256)(table)["hot"].to_pylist()]
+    assert hot == [list(range(1, 3001)), list(range(2, 3002))]
+
+
+def test_templated_lines_against_all_windows(spark):
+    texts = [" ".join(["every line begins like this", *(f"w{(i * 7 + k) % 50}" for k in range(24))]) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rows = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in drop_repeats(docs, hot_words=350).collect()}
+    assert rows == plain.strip(list(enumerate(texts)))
+
+
 def test_repeats_of_odd_rows(spark):
     docs = plain.frame(spark, plain.edge_texts())
     rows = drop_repeats(docs, with_text=True).collect()

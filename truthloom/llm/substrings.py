@@ -7,8 +7,8 @@ smaller id, or earlier in the same one.
    a text falls into segments, one per anchor.  Equal windows have equal anchors.  Anchors are
    counted over all texts; windows whose anchor occurs once are unique and done with.
 2. Segments of the other anchors go to the shard of their anchor: one row per distinct segment of a
-   slice, its earliest.  Anchors found in very many slices are cut into single windows, dealt by
-   the window's own hash, so that no anchor fills a shard.
+   slice, its earliest.  Anchors found in very many slices, or with very many words in all, are cut
+   into single windows, dealt by the window's own hash, so that no anchor fills a shard.
 3. A shard builds a compressed FM-index of its distinct segments.  Every segment is streamed through
    it by backward search over the wavelet matrix; the matching statistics give, per window, the rows
    that match 20 words, and the earliest place among them.  The shard answers which windows are
@@ -42,6 +42,10 @@ WINDOW = 20
 ANCHOR = 5
 #: Anchors in at least this many slices are cut into windows.
 HOT_SLICES = 256
+#: Anchors that could send this many words to their shard, from all slices, are cut as well.
+HOT_WORDS = 1 << 17
+#: Words of the longest segment: all of its windows hold the anchor.
+SEGMENT_WORDS = 2 * WINDOW - ANCHOR
 #: Text of one shard, relative to what a bucket of hashes stands for.
 SHARDS_PER_BUCKET = 32
 
@@ -128,24 +132,28 @@ def _questions(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.mapInArrow(ask, _ASK)
 
 
-def _answer(hot_slices: int):
+def _answer(hot_slices: int, hot_words: int = HOT_WORDS):
     def answer(table: pa.Table) -> pa.Table:
         """One bucket: for each slice the segments whose anchor occurs again, and those with a hot one."""
         keys, sizes = unpack(table["keys"].to_pylist(), "<u4")
         owners, _ = unpack(table["owners"].to_pylist(), "<u4")
         order = np.argsort(keys, kind="stable")
-        _, lengths = runs(keys[order])
-        slices = np.zeros(len(keys), np.int64)
-        slices[order] = np.repeat(lengths, lengths)
+        starts, lengths = runs(keys[order])
+        seen_in = np.zeros(len(keys), np.int64)
+        seen_in[order] = np.repeat(lengths, lengths)
+        counted = [np.frombuffer(g, "<u4")[:n] for n, g in zip(sizes.tolist(), table["groups"].to_pylist())]
+        counted = np.concatenate([np.zeros(0, "<u4"), *counted]).astype(np.int64)
+        total = np.add.reduceat(counted[order], starts) if len(starts) else starts
+        heat = np.zeros(len(keys), bool)
+        heat[order] = np.repeat((lengths >= hot_slices) | (total * SEGMENT_WORDS >= hot_words), lengths)
         again, hot, at = [], [], 0
         for n, groups in zip(sizes.tolist(), table["groups"].to_pylist()):
-            own, seen = owners[at : at + n], slices[at : at + n]
+            own, seen, warm = owners[at : at + n], seen_in[at : at + n], heat[at : at + n]
             groups = np.frombuffer(groups, "<u4")
             counts, twice = groups[:n].astype(np.int64), groups[n:]
             single = own != _NONE
             again.append(pack(own[single & (seen > 1)], "<u4"))
-            warm = np.repeat((seen >= hot_slices)[~single], counts[~single])
-            hot.append(pack(np.concatenate([own[single & (seen >= hot_slices)], twice[warm]]), "<u4"))
+            hot.append(pack(np.concatenate([own[single & warm], twice[np.repeat(warm[~single], counts[~single])]]), "<u4"))
             at += n
         return pa.table({
             "slice": table["slice"], "again": pa.array(again, pa.binary()), "hot": pa.array(hot, pa.binary()), "about": table["about"],
@@ -367,13 +375,13 @@ def _beside(texts: DataFrame, notes: DataFrame) -> DataFrame:
     return texts.join(keyed, same, "left").drop("_doc", "_mark")
 
 
-def drop_repeats(docs: DataFrame, hot_slices: int = HOT_SLICES, with_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, hot_slices: int = HOT_SLICES, with_text: bool = False, hot_words: int = HOT_WORDS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, n_removed, kept_sha256, and the kept words if wanted."""
     work = Workspace(docs.sparkSession)
     texts = _texts(docs)
     buckets = bucket_count(text_bytes_of(texts))
     answers = _questions(texts, buckets).groupBy("bucket").applyInArrow(
-        _answer(hot_slices), "slice long, again binary, hot binary, about binary")
+        _answer(hot_slices, hot_words), "slice long, again binary, hot binary, about binary")
     flags = answers.groupBy("slice").applyInArrow(_flag_slice, "doc_id long, mark long, again binary, hot binary")
     flags = work.keep(flags.dropDuplicates(["doc_id", "mark"]), "flags")
     flagged = _beside(texts, flags).where("again IS NOT NULL")
