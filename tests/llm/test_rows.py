@@ -107,6 +107,14 @@ def test_checksums_and_context():
     assert near > far
 
 
+def test_addresses_with_thousands_of_zeros(spark):
+    texts = ["1.2.3." + "0" * 5000, "at 10." + "0" * 4400 + "7.1.255 now", "1.2.3." + "0" * 5000 + "256"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: (r.n_ip, r.spans) for r in find_personal(docs).collect()}
+    assert [rows[i][0] for i in range(3)] == [1, 1, 0]
+    assert f"ip:3:{len(texts[1]) - 4}" in rows[1][1].split(",")
+
+
 def test_sentences_and_places():
     text = "One two. Three!\nfour é five\n\nsix"
     found = bags(pa.array([text, None, "", "x"]))

@@ -95,7 +95,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 def _plausible(kind: str, match: re.Match) -> bool:
     found = match.group()
     if kind == "ip":
-        return all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in found.split("."))
+        return all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255 for part in found.split("."))
     digits = _digits(found)
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
