@@ -87,6 +87,32 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert out.where("doc_id = 1").first().n_chars == len("é [SECRET] end")
 
 
+def test_private_keys_go_as_a_whole(spark):
+    draw = random.Random(3)
+    body = ["".join(draw.choice("ABCDEFGHIJKLMNOPqrstuvwxyz0189+/") for _ in range(64)) for _ in range(20)] + ["Qx7/aA=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    keys = [
+        "\n".join([begin, *body, end]), "\r\n".join([begin, *body, end]), "\\n".join([begin, *body, end]), " ".join([begin, *body, end]),
+        "\n".join([begin, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0011AABB", "", *body, end]),
+        "\n".join("# " + line for line in [begin, *body, end])[2:], ' +\n'.join(f'"{line}\\n"' for line in [begin, *body, end])[1:-3],
+        "\n".join([begin, *body[:-1]]), begin + "".join(body) + end,
+    ]
+    texts = [f"see {key}\nSome words after it." for key in keys] + [f"the line {begin} begins a key file.\nNote: words stay."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in S.redact_secrets(docs).collect()}
+    assert [out[i] for i in range(len(keys))] == ["see [SECRET]\nSome words after it."] * len(keys)
+    assert out[len(keys)] == "the line [SECRET] begins a key file.\nNote: words stay."
+
+
+def test_private_key_expression_stays_linear():
+    import time
+    began, rule = time.time(), re.compile(S.PRIVATE_KEY, re.ASCII)
+    begin = "-----BEGIN PRIVATE KEY-----"
+    for text in (begin * 20_000, begin + "a" * 500_000, begin + " a" * 200_000, begin + "\n" * 300_000 + "a b", (begin + "\nab \\") * 20_000, begin + "a\n" * 200_000):
+        assert rule.search(text) and len(list(rule.finditer(text))) >= 1
+    assert time.time() - began < 10
+
+
 def test_personal_against_expressions(spark):
     draw = random.Random(4)
     parts = ["a", "b.c", "@", ".", "-", "1", "12", "255", "300", ".1", "4111111111111111", " ", "+", "(", ")", "+49 ", "é", "_", "%", "2.2.2.2", "\n"]

@@ -54,12 +54,20 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+# The BEGIN line, the key's lines of base64 and headers, and the END line if the key is whole.  Line breaks may be
+# escaped, lines quoted or indented; a short run of base64 belongs to the key only where its line ends.
+_BREAK = r"(?:[\r\n]|\\[rn]|-----END )"
+_BETWEEN = r"(?:\\[nrt]?|-(?!----)|[^A-Za-z0-9+/=\\-])*+"
+_REST = r"(?:\\(?![rn])|-(?!----)|[^A-Za-z0-9+/=\\\r\n-])*+"
+_HEADER = r"(?:Proc-Type|DEK-Info|Comment|Subject|X-[A-Za-z-]{1,30}):[^\r\n\\]*+"
+_BODY = rf"(?:{_BETWEEN}(?:[A-Za-z0-9+/=]{{16,}}+|{_HEADER}|[A-Za-z0-9+/=]++(?={_REST}{_BREAK})))*+"
+PRIVATE_KEY = rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----{_BODY}(?:{_BETWEEN}-----END [A-Z ]{{0,20}}PRIVATE KEY-----)?+"
 MORE_RULES = (
     Rule("github", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
 )
 RULES = BASE_RULES + MORE_RULES
 
