@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from tests.llm import plain
 from truthloom.llm import secrets as S
 from truthloom.llm.personal import find, find_personal, luhn, mod97
 from truthloom.llm.quality import LINE_LIMIT, NGRAM_LIMITS, SYMBOL_LIMIT, measure, quality_rules
-from truthloom.llm.toxicity import bags, drop_toxic, fit, score_documents, train
+from truthloom.llm.toxicity import bags, drop_toxic, fit, labelled_sample, score_documents, train
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -169,6 +170,31 @@ def test_noisy_or_finds_the_offending_sentence():
         assert "vile" in texts[doc][a:b]
 
 
+def test_long_clean_documents_stay():
+    draw = random.Random(2)
+
+    def line():
+        return " ".join(f"w{draw.randrange(60)}" for _ in range(8)) + "."
+
+    texts = [" ".join([*(line() for _ in range(draw.randint(1, 12))), *(["w1 vile w2 nasty w3."] if i % 4 == 0 else [])]) for i in range(400)]
+    labels = np.array([int(i % 4 == 0) for i in range(400)])
+    found = bags(pa.array(texts))
+    model = fit(found, labels)
+    long = " ".join(line() for _ in range(50_000))
+    clean, toxic = model.scores(bags(pa.array([long, long + " w1 vile w2 nasty w3."])))
+    assert clean < 0.7 <= toxic
+
+
+def test_long_labelled_texts_are_learnt_from(spark):
+    texts = ["clean words. " * 20_000, *["short text."] * 30]
+    learnt = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1][: len(texts)]
+    docs = spark.createDataFrame(list(zip(learnt, texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in learnt], "doc_id long, toxic int")
+    assert labelled_sample(docs, labels).where("length(text) > 200000").count() == 1
+    few = labelled_sample(docs, labels, most_bytes=200)
+    assert few.count() == 18 and few.where("length(text) > 200").count() == 0
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     scored = score_documents(docs, train(docs, labels))

@@ -3,13 +3,14 @@
 A document is a bag of sentences.  A sentence's probability is logistic in its hashed words; the
 document's is the noisy-or of its sentences, 1 - prod(1 - p).  Only documents have labels: the
 gradient of the document's likelihood passes through the noisy-or to the sentences, so that the
-fitted model also tells which sentences offend.
+fitted model also tells which sentences offend.  Sentences below ``FLOOR`` are clean and add nothing
+to a score, so that many clean sentences are never toxic by their number alone.
 
-The model is fitted on at most ``sample`` labelled documents (the lowest hashes of doc_id), which
-is all that reaches the driver; every document is scored.  Null and empty texts are one sentence
+The model is fitted on at most ``sample`` labelled documents (the lowest hashes of doc_id, as many
+as fit into ``SAMPLE_BYTES``), which is all that reaches the driver; every document is scored.  Null and empty texts are one sentence
 without words, scored by the bias; rows without a label, and labels without a document, are not
 learnt from; of repeated labels the highest counts; duplicated rows are scored alike; without any
-labels every score is that of the starting bias; extra columns are ignored by ``score_documents``
+labels every sentence is clean and every score 0; extra columns are ignored by ``score_documents``
 and kept by ``drop_toxic``.
 """
 
@@ -31,8 +32,10 @@ PREFIXES = (4, 5, 6)
 FOLDS, HELD_OUT = 3, 1
 #: Greatest number of labelled documents that the model is fitted on.
 SAMPLE = 8000
-#: Longer texts are scored but not learnt from.
-SAMPLE_CHARS = 200_000
+#: Bytes of all texts that the model is fitted on.
+SAMPLE_BYTES = 32 << 20
+#: Probability below which a sentence counts as clean.
+FLOOR = 0.01
 THRESHOLD = 0.7
 START_BIAS = -6.0
 _TRIM = np.zeros(256, bool)
@@ -117,7 +120,8 @@ class NoisyOr:
         return 1.0 / (1.0 + np.exp(-np.clip(logits, -30, 30)))
 
     def documents(self, found: Bags) -> np.ndarray:
-        return 1.0 - np.exp(_sentence_sums(np.log1p(-self.sentences(found)), found.documents))
+        p = self.sentences(found)
+        return 1.0 - np.exp(_sentence_sums(np.log1p(-np.where(p < FLOOR, 0.0, p)), found.documents))
 
     def scores(self, found: Bags) -> np.ndarray:
         return np.interp(self.documents(found), [0.0, self.cut, 1.0], [0.0, THRESHOLD, 1.0])
@@ -173,13 +177,24 @@ def best_cut(found: Bags, labels: np.ndarray, part: int = 4) -> float:
     return float(np.median(cuts[f1 == f1.max()]))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """At most ``sample`` labelled texts outside the held-out fold: (doc_id, toxic, text)."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """At most ``sample`` labelled texts outside the held-out fold: (doc_id, toxic, text).
+
+    By hash of doc_id, each text that still fits into ``most_bytes`` is taken, however long it is.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    found = texts.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    sizes = found.groupBy("doc_id").agg(F.sum(F.octet_length("text").cast("long")).alias("size"))
+    left, over = most_bytes, []
+    for row in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if row["size"] <= left:
+            left -= row["size"]
+        else:
+            over.append(row.doc_id)
+    return found.where(~F.col("doc_id").isin(over)) if over else found
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> NoisyOr:
