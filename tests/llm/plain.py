@@ -137,7 +137,7 @@ def leaks(text, item):
     """Greatest weighted similarity of a window as long as the item."""
     own, size = words((text or "").translate(LOWER)), len(words((item or "").translate(LOWER)))
     want, best = shingles(item), 0.0
-    if not size or not own or not (shingles(text) & want):
+    if not size or not own or (size >= 5 and not (shingles(text) & want)):  # shorter items have shorter shingles
         return 0.0
     for i in range(max(1, len(own) - size + 1)):
         got = shingles(" ".join(own[i : i + size]))
