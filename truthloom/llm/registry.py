@@ -13,6 +13,7 @@ from truthloom.llm.decontaminate import find_leaks
 from truthloom.llm.jaccard import JACCARD_SQL, jaccard_components
 from truthloom.llm.packing import pack
 from truthloom.llm.personal import find_personal
+from truthloom.llm.pieces import piece_digest
 from truthloom.llm.quality import quality_rules
 from truthloom.llm.secrets import scan_secrets
 from truthloom.llm.substrings import SUBSTRING_SQL, drop_repeats
@@ -73,6 +74,10 @@ def op10_quality(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op13_pieces(spark, sf_dir):
+    return piece_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substrings": op8_substrings,
         "op9_jaccard": op9_jaccard,
         "op10_quality": op10_quality,
+        "op13_pieces": op13_pieces,
     }
 
 
