@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 from hashlib import sha256
+from zlib import crc32
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -162,3 +163,42 @@ def strip(rows, window=20):
         kept = " ".join(w for j, w in enumerate(own) if j not in gone)
         out[i] = (len(own), len(gone), sha256(kept.encode()).hexdigest())
     return out
+
+
+# --- periodic runs ---
+
+def runs(own, shortest=12):
+    """(start, length, smallest period) of every run, lag by lag."""
+    found = {}
+    for lag in range(1, len(own) // 2 + 1):
+        at = 0
+        while at + lag < len(own):
+            end = at
+            while end + lag < len(own) and own[end] == own[end + lag]:
+                end += 1
+            if end > at and end + lag - at >= max(shortest, 2 * lag):
+                found.setdefault((at, end + lag), lag)
+            at = end + 1
+    return sorted(((a, b - a, lag) for (a, b), lag in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def planted(doc, own):
+    h = crc32(str(doc).encode()) if doc is not None else 1
+    g, n = h // 10, len(own)
+    if h % 10 or not n:
+        return own
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [own[i] if i < a else own[a + (i - a) % p] for i in range(n)]
+
+
+def run_row(doc, text):
+    """All columns of operator 12."""
+    own = planted(doc, words(text))
+    found = runs(own)
+    gone = {i for start, length, lag in found for i in range(start + lag, start + length)}
+    best = min(found, key=lambda r: (-r[1], r[0], r[2])) if found else (None,) * 3
+    lines = "".join(f"{a},{b},{c}\n" for a, b, c in found)
+    rest = " ".join(w for i, w in enumerate(own) if i not in gone)
+    milli = 1000 * best[1] // best[2] if found else None
+    return (len(found), *best, milli, sha256(lines.encode()).hexdigest(), sha256(rest.encode()).hexdigest())

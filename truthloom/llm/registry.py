@@ -12,6 +12,7 @@ from truthloom.llm.chat import CHAT_SQL, chat_digest
 from truthloom.llm.decontaminate import find_leaks
 from truthloom.llm.jaccard import JACCARD_SQL, jaccard_components
 from truthloom.llm.packing import pack
+from truthloom.llm.periodic import plant_runs, run_digest
 from truthloom.llm.personal import find_personal
 from truthloom.llm.pieces import piece_digest
 from truthloom.llm.quality import quality_rules
@@ -74,6 +75,10 @@ def op10_quality(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic(spark, sf_dir):
+    return run_digest(plant_runs(table(spark, sf_dir, "documents")))
+
+
 def op13_pieces(spark, sf_dir):
     return piece_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substrings": op8_substrings,
         "op9_jaccard": op9_jaccard,
         "op10_quality": op10_quality,
+        "op12_periodic": op12_periodic,
         "op13_pieces": op13_pieces,
     }
 
