@@ -202,3 +202,41 @@ def run_row(doc, text):
     rest = " ".join(w for i, w in enumerate(own) if i not in gone)
     milli = 1000 * best[1] // best[2] if found else None
     return (len(found), *best, milli, sha256(lines.encode()).hexdigest(), sha256(rest.encode()).hexdigest())
+
+
+# --- alignment ---
+
+def alignment(texts, encode_a, encode_b):
+    """Per text the columns of operator 11; the encoders give (id, bytes) of every token."""
+    held = []
+    for text in texts:
+        whole = b" " + (text or "").encode()
+        a, b = (encode_a(text), encode_b(text)) if text else ([], [])
+        if not text or b"".join(x for _, x in a) != whole or b"".join(x for _, x in b) != whole:
+            held.append(([], [], []))
+            continue
+        ends = []
+        for side in (a, b):
+            at, own = 0, {}
+            for i, (_, x) in enumerate(side):
+                at += len(x)
+                own[at] = i + 1
+            ends.append(own)
+        groups, i, j = [], 0, 0
+        for cut in sorted(ends[0].keys() & ends[1].keys()):
+            groups.append(([t for t, _ in a[i : ends[0][cut]]], [t for t, _ in b[j : ends[1][cut]]]))
+            i, j = ends[0][cut], ends[1][cut]
+        held.append((a, b, groups))
+    counts = Counter()
+    for _, _, groups in held:
+        counts.update({(x, y) for own_a, own_b in groups for x in own_a for y in own_b})
+    most = {}
+    for (x, _), n in counts.items():
+        most[x] = max(n, most.get(x, 0))
+    out = []
+    for a, b, groups in held:
+        links = [(x, y) for own_a, own_b in groups for x in own_a for y in own_b]
+        told = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        out.append((len(a), len(b), len(groups), len(links), sum(counts[k] == most[k[0]] for k in links),
+                    sum(counts[k] for k in links), sha256(told.encode()).hexdigest() if a else ""))
+    return out

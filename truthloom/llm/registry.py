@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from truthloom.llm.align import alignment_digest
 from truthloom.llm.chat import CHAT_SQL, chat_digest
 from truthloom.llm.decontaminate import find_leaks
 from truthloom.llm.jaccard import JACCARD_SQL, jaccard_components
@@ -75,6 +76,11 @@ def op10_quality(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark, sf_dir):
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment_digest(table(spark, sf_dir, "documents"), *paths)
+
+
 def op12_periodic(spark, sf_dir):
     return run_digest(plant_runs(table(spark, sf_dir, "documents")))
 
@@ -95,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substrings": op8_substrings,
         "op9_jaccard": op9_jaccard,
         "op10_quality": op10_quality,
+        "op11_alignment": op11_alignment,
         "op12_periodic": op12_periodic,
         "op13_pieces": op13_pieces,
     }
