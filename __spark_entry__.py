@@ -126,6 +126,21 @@ def truth_csv_roundtrip(spark, sf_dir):
     return read_truth(spark, path).select(*FACT)
 
 
+def truth_false_roundtrip(spark, sf_dir):
+    """Truth with wrong values: those that other sources claim, and whole texts as textual wrong values."""
+    claims = claims_of(spark, sf_dir)
+    truth = chosen_truth(claims)
+    claimed = claims.groupBy(*ITEM).agg(F.array_sort(F.collect_set("value")).alias("claimed"))
+    items = truth.join(claimed, ITEM).select(*FACT, F.array_remove("claimed", F.col("value")).alias("false_values"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    texts = docs.select(F.col("doc_id").cast("string").alias("object"), F.lit("text").alias("property"), F.col("lang").alias("value"),
+                        F.array("text", "source", F.lit("")).alias("false_values"))
+    path = f"{Workspace(spark).path}/truth-csv"
+    write_truth(items.unionByName(texts), path)
+    back = read_truth(spark, path, with_false=True)
+    return back.select(*FACT, F.array_join("false_values", "\x1f").alias("false_values"))
+
+
 def vote_counts_query(spark, sf_dir):
     return vote_counts(claims_of(spark, sf_dir))
 
@@ -370,6 +385,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "claims_dedupe": claims_dedupe,
         "claims_csv_roundtrip": claims_csv_roundtrip,
         "truth_csv_roundtrip": truth_csv_roundtrip,
+        "truth_false_roundtrip": truth_false_roundtrip,
         "vote_counts": vote_counts_query,
         "majority_vote": majority_vote_query,
         "majority_vote_ties": majority_vote_ties,

@@ -108,6 +108,11 @@ UNION ALL SELECT doc_id::VARCHAR, 'text', ' ' || text || ' ', source FROM docume
 UNION ALL SELECT doc_id::VARCHAR, 'blank', '', source FROM documents""")
     out["truth_csv_roundtrip"] = statement([*BASE, TRUTH], "SELECT object, property, value FROM truth")
 
+    out["truth_false_roundtrip"] = statement([*BASE, TRUTH], """SELECT object, property, t.value,
+  coalesce((SELECT string_agg(DISTINCT c.value, chr(31) ORDER BY c.value) FROM claims c
+    WHERE c.object = t.object AND c.property = t.property AND c.value <> t.value), '') AS false_values FROM truth t
+UNION ALL SELECT doc_id::VARCHAR, 'text', lang, text || chr(31) || source || chr(31) FROM documents WHERE text IS NOT NULL""")
+
     out["vote_counts"] = statement([*BASE, VOTES], "SELECT * FROM votes")
     out["majority_vote"] = statement([*BASE, VOTES, VOTED], "SELECT * FROM voted")
     ties = ("ties", """SELECT object, property, value, votes, count(*) OVER (PARTITION BY object, property) AS n_tied,

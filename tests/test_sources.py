@@ -35,7 +35,48 @@ def test_claims_csv_with_commas_and_quotes(spark, tmp_path):
     assert rows(read_claims(spark, str(tmp_path / "odd"))) == rows(odd)
 
 
-ODD = [" lead", "trail ", "x\ny", "", 'q"q', "a,b", "b\\", "\\", '"', '""', "\r\n", "a\rb", "\t", "'", "\\N", "null", "#c", "é"]
+def split_small(spark, size=4096):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path):
+    """Lines break inside values, quotes hold separators, and still every task finds its own rows."""
+    claims = spark.range(3000).select(
+        F.concat(F.lit("o\n"), "id").alias("object"), F.when(F.col("id") % 7 == 0, 'p,"\r\n').otherwise("p").alias("property"),
+        F.concat(F.lit('say "'), "id", F.lit('"\n\\n,\r')).alias("value"), F.lit("\n").alias("source"))
+    write_claims(claims.coalesce(1), str(tmp_path / "one"))
+    assert len(list((tmp_path / "one").glob("*.csv"))) == 1
+    truth = claims.select(*FACT, F.array(F.col("value"), F.lit("x, y"), F.lit("]")).alias("false_values"))
+    write_truth(truth.coalesce(1), str(tmp_path / "truth"))
+    try:
+        split_small(spark)
+        for back, out in ((read_claims(spark, str(tmp_path / "one")), claims), (read_truth(spark, str(tmp_path / "truth"), with_false=True), truth)):
+            assert back.rdd.getNumPartitions() > 8
+            assert back.count() == 3000 and back.exceptAll(out).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_line_breaks_in_quotes_need_multi_line(spark, tmp_path):
+    path = tmp_path / "foreign.csv"
+    path.write_text('ID,Object,Property,Value,Source\n0,O1,P1,"two\nlines",S1\n0,O2,P1,C:\\new,S1\n')
+    assert rows(read_claims(spark, str(path), multi_line=True)) == [("O1", "P1", "two\nlines", "S1"), ("O2", "P1", "C:\\new", "S1")]
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_claims(spark, str(path)).collect()
+    path.write_text('ID,Object,Property,Value,Source\n0,O1,P1,V1,"S\n1"\n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_claims(spark, str(path)).collect()
+
+
+def test_files_without_line_breaks_keep_the_exchange_format(spark, example, tmp_path):
+    write_claims(example.where("source = 's1' AND object = 'o1' AND property = 'p1'").coalesce(1), str(tmp_path / "plain"))
+    written = [p.read_text() for p in (tmp_path / "plain").glob("*.csv")]
+    assert [w for w in written if w] == ['"ID","Object","Property","Value","Source"\n"0","o1","p1","abc","s1"\n']
+
+
+ODD = [" lead", "trail ", "x\ny", "", 'q"q', "a,b", "b\\", "\\", '"', '""', "\r\n", "a\rb", "\t", "'", "\\N", "null", "#c", "é", "\u0002", "\u0002x", "\\n", "\\b\\r", "\u0002\\b\n\\", "a\u2028b\x85c", "\n\n", "x\r"]
 
 
 def test_claims_csv_keeps_every_text(spark, tmp_path):
@@ -111,6 +152,27 @@ def test_truth_file_with_false_values(spark, tmp_path):
     assert back.exceptAll(truth.select("object", "property", "value", "false_values")).isEmpty()
 
 
+WRONG = [["red", "blue, dark"], ["x]"], ["it's", 'say "x"'], ["a\nb", "c\\"], [], None, ["1", "-20", "0"], ["007", "1"], ["1", None], ["1.0"], [""], ["123456789012345678901234567890"]]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_wrong_values_of_any_kind(spark, tmp_path, fmt):
+    truth = spark.createDataFrame([(f"o{i}", "p", "v", w) for i, w in enumerate(WRONG)], "object string, property string, value string, false_values array<string>")
+    write_truth(truth, str(tmp_path / "truth"), fmt)
+    back = {r.object: r.false_values for r in read_truth(spark, str(tmp_path / "truth"), fmt, with_false=True).collect()}
+    assert back == {f"o{i}": w for i, w in enumerate(WRONG)}
+
+
+def test_wrong_values_of_other_origin(spark, tmp_path):
+    path = tmp_path / "truth.csv"
+    path.write_text("Object,Property,Value,False\nO1,P1,1,\"['red', 'blue, dark']\"\n")
+    assert read_truth(spark, str(path), with_false=True).first().false_values == ["red", "blue, dark"]
+    for broken in ("[red, blue]", "5", "[1, 2", '"x"'):
+        path.write_text(f"Object,Property,Value,False\nO1,P1,1,\"{broken}\"\n")
+        with pytest.raises(Exception, match="(?i)malformed|no list of wrong values"):
+            read_truth(spark, str(path), with_false=True).collect()
+
+
 @pytest.mark.parametrize("n_groups", [None, 1, 2, 4, 6])
 def test_property_groups(spark, n_groups):
     groups = split_properties(spark, PROPERTIES, n_groups, "x").collect()
