@@ -29,11 +29,10 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +53,8 @@ SLICE_BYTES = 4 << 20
 RADIXES = 128
 #: Compressed bytes of the runs that one task reads.
 PIECE_BYTES = 8 << 20
+#: Tokens of both sides in a group above which its distinct ids are counted before they are paired.
+MANY = 64
 #: Heads merged by one task.
 FAN_IN = 64
 
@@ -105,21 +106,17 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def cut_groups(a: list[int], b: list[int], sizes_a: list[int], sizes_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Ids of both sides per group; both sides have the same number of bytes."""
-    ends_a, ends_b = list(accumulate(sizes_a)), list(accumulate(sizes_b))
-    common = set(ends_a).intersection(ends_b)
+def decimals(size: int) -> Flat:
+    """The decimal digits of every number below ``size``, and room for a separator."""
+    shown = Flat(np.uint8)
+    text = [f"{i};".encode() for i in range(size)]
+    shown.add(np.frombuffer(b"".join(text), np.uint8), np.array([len(t) for t in text]))
+    return shown
 
-    def split(ids: list[int], ends: list[int]) -> list[list[int]]:
-        found, own = [], []
-        for i, end in zip(ids, ends):
-            own.append(i)
-            if end in common:
-                found.append(own)
-                own = []
-        return found
 
-    return list(zip(split(a, ends_a), split(b, ends_b)))
+def first_of(sizes: np.ndarray) -> np.ndarray:
+    """Where each of the consecutive lists of these sizes begins."""
+    return np.cumsum(sizes) - sizes
 
 
 class Aligner:
@@ -132,12 +129,13 @@ class Aligner:
         self.a.encode_special_tokens = True
         letters = byte_letters()
         vocab = self.a.get_vocab(with_added_tokens=False)
-        self.bytes_a = [b""] * (max(vocab.values()) + 1)
+        held = [b""] * (max(vocab.values()) + 1)
         for name, i in vocab.items():
-            self.bytes_a[i] = bytes(letters[c] for c in name)
-        stops, held = self.b.surface.stops.tolist(), self.b.surface.values.tobytes()
-        self.bytes_b = [held[x:y] for x, y in zip(stops, stops[1:])]
-        if len(self.bytes_a) > 1 << 16 or len(self.bytes_b) > 1 << 16:
+            held[i] = bytes(letters[c] for c in name)
+        self.surface = Flat(np.uint8)
+        self.surface.add(np.frombuffer(b"".join(held), np.uint8), np.array([len(h) for h in held]))
+        self.decimals = decimals(max(len(held), self.b.inner.get_piece_size()))
+        if len(self.decimals.stops) > 1 << 16:
             raise ValueError("vocabularies of more than 65,536 ids are not supported")
         self.pairs, self.times, self.shown, self.figures = Flat(np.uint32), Flat(np.int64), Flat(np.uint8), Flat(np.int64)
         self.table = ChunkTable(self._learn, self._forget)
@@ -146,34 +144,63 @@ class Aligner:
         for flat in (self.pairs, self.times, self.shown, self.figures):
             flat.clear()
 
-    def _align(self, part: bytes, a: list[int], b: list[int]) -> tuple[list[int], Counter, str]:
-        shown_a, shown_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(shown_a) != part or b"".join(shown_b) != part:
-            return [0, 0, 0, 0, 0], Counter(), ""
-        groups = cut_groups(a, b, [len(x) for x in shown_a], [len(x) for x in shown_b])
-        links, n_links, told = Counter(), 0, []
-        for own_a, own_b in groups:
-            n_links += len(own_a) * len(own_b)
-            if len(own_a) == len(own_b) == 1:
-                links[own_a[0] << 16 | own_b[0]] += 1
-            else:
-                times_b = Counter(own_b).items()
-                for i, n in Counter(own_a).items():
-                    for j, m in times_b:
-                        links[i << 16 | j] += n * m
-            told.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))};")
-        return [1, len(a), len(b), len(groups), n_links], links, "".join(told)
-
     def _learn(self, parts: list[bytes]) -> None:
-        found_a = [e.ids for e in self.a.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
-        done = [self._align(*each) for each in zip(parts, found_a, self.b.segment(parts))]
-        links = [pair for _, own, _ in done for pair in own.items()]
-        sizes = np.array([len(own) for _, own, _ in done])
-        self.pairs.add(np.array([p for p, _ in links], np.uint32), sizes)
-        self.times.add(np.array([n for _, n in links], np.int64), sizes)
-        told = [text.encode() for _, _, text in done]
-        self.shown.add(np.frombuffer(b"".join(told), np.uint8), np.array([len(t) for t in told]))
-        self.figures.add(np.array([f for f, _, _ in done], np.int64).ravel(), np.full(len(done), 5))
+        ids, sizes = [], []
+        for found in ([e.ids for e in self.a.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)], self.b.segment(parts)):
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.int64, int(sizes[-1].sum())))
+        good = self._whole(parts, ids, sizes)
+        if not good.all():  # these have no tokens
+            ids = [own[np.repeat(good, size)] for own, size in zip(ids, sizes)]
+            sizes = [np.where(good, size, 0) for size in sizes]
+        group_sizes, group_part = self._groups(ids, sizes)
+        figures = np.zeros((len(parts), 5), np.int64)
+        figures[:, 0], figures[:, 1], figures[:, 2] = good, *sizes
+        figures[:, 3] = np.bincount(group_part, minlength=len(parts))
+        np.add.at(figures[:, 4], group_part, group_sizes[0] * group_sizes[1])
+        self.figures.add(figures.ravel(), np.full(len(parts), 5))
+        self._add_shown(ids, group_sizes, group_part, len(parts))
+        keys, times = linked(ids, group_sizes, group_part)
+        self.pairs.add((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(parts)))
+        self.times.add(times, np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(parts)))
+
+    def _whole(self, parts: list[bytes], ids: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
+        """Which parts are given back by the tokens of both sides."""
+        length = np.fromiter(map(len, parts), np.int64, len(parts))
+        data, good = np.frombuffer(b"".join(parts), np.uint8), np.ones(len(parts), bool)
+        for surface, own, size in zip((self.surface, self.b.surface), ids, sizes):
+            row = np.repeat(np.arange(len(parts)), size)
+            held = np.zeros(len(parts), np.int64)
+            np.add.at(held, row, surface.sizes(own))
+            same = held == length
+            shown, want = surface.take(own[same[row]]), data[np.repeat(same, length)]
+            same[np.repeat(np.flatnonzero(same), length[same])[shown != want]] = False
+            good &= same
+        return good
+
+    def _groups(self, ids: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Number of tokens of every group on both sides, and its part; groups in order of their bytes."""
+        ends = [np.cumsum(surface.sizes(own)) for surface, own in zip((self.surface, self.b.surface), ids)]
+        shared = [np.isin(ends[0], ends[1], assume_unique=True), np.isin(ends[1], ends[0], assume_unique=True)]
+        stops = [np.flatnonzero(own) + 1 for own in shared]
+        part = np.repeat(np.arange(len(sizes[0])), sizes[0])[stops[0] - 1]
+        return [np.diff(own, prepend=0) for own in stops], part
+
+    def _add_shown(self, ids: list[np.ndarray], group_sizes: list[np.ndarray], group_part: np.ndarray, parts: int) -> None:
+        """The groups as text: ids of A with commas, a bar, ids of B with commas, a semicolon."""
+        sizes_a, sizes_b = group_sizes
+        merged = np.zeros(len(ids[0]) + len(ids[1]), np.int64)
+        mark = np.full(len(merged), ord(","), np.uint8)
+        begin = first_of(sizes_a + sizes_b)
+        merged[ranges(begin, sizes_a)] = ids[0]
+        merged[ranges(begin + sizes_a, sizes_b)] = ids[1]
+        mark[begin + sizes_a - 1], mark[begin + sizes_a + sizes_b - 1] = ord("|"), ord(";")
+        width = self.decimals.sizes(merged)
+        shown = self.decimals.take(merged)
+        shown[np.cumsum(width) - 1] = mark
+        held = np.zeros(parts, np.int64)
+        np.add.at(held, np.repeat(group_part, sizes_a + sizes_b), width)
+        self.shown.add(shown, held)
 
     def align(self, texts: pa.Array, with_groups: bool = False) -> dict:
         """Per text the figures and the digest; sorted (pair, text, times) records of all texts."""
@@ -214,6 +241,25 @@ class Aligner:
         }
 
 
+def linked(ids: list[np.ndarray], group_sizes: list[np.ndarray], group_part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys part << 32 | A << 16 | B of all links of the groups, in order, and how often each occurs."""
+    many = np.flatnonzero(np.minimum(*group_sizes) > MANY)  # long runs of few ids: count the ids first
+    few = np.ones(len(group_part), bool)
+    few[many] = False
+    begin = [first_of(own) for own in group_sizes]
+    turn = np.repeat(np.arange(len(few)), group_sizes[0])  # the group of every token A
+    wide = np.where(few, group_sizes[1], 0)[turn]
+    a = np.repeat(ids[0], wide)
+    b = ids[1][ranges(begin[1][turn], wide)]
+    part = np.repeat(group_part[turn], wide)
+    keys, times = [part << 32 | a << 16 | b], [np.ones(len(a), np.int64)]
+    for group in many.tolist():
+        own = [np.unique(ids[i][begin[i][group] : begin[i][group] + group_sizes[i][group]], return_counts=True) for i in (0, 1)]
+        keys.append((int(group_part[group]) << 32 | own[0][0][:, None] << 16 | own[1][0]).ravel())
+        times.append((own[0][1][:, None] * own[1][1]).ravel())
+    return added(np.concatenate(keys).astype(np.uint64), np.concatenate(times))
+
+
 def added(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of the values of each."""
     if not len(keys):
