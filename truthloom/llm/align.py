@@ -48,7 +48,7 @@ from truthloom.llm.words import chunks, ranges, text_bytes
 from truthloom.plans.workspace import Workspace
 
 #: Bytes of text of a slice.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Parts that the records are cut into by A id.
 RADIXES = 128
 #: Compressed bytes of the runs that one task reads.
