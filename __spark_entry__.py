@@ -25,7 +25,7 @@ from truthloom.operators.votes import best_values, restrict_properties, tied_val
 from truthloom.plans.accuracy import majority_sets
 from truthloom.plans.claimbase import BLOCK, ClaimBase
 from truthloom.plans.clustered import clustered_truth
-from truthloom.plans.exhaustive import partition_report
+from truthloom.plans.exhaustive import best_partitions, continue_report, partition_report
 from truthloom.plans.rounds import convergence
 from truthloom.plans.workspace import Workspace
 from truthloom.schema import CLAIM, FACT, ITEM
@@ -378,6 +378,24 @@ def partition_report_query(spark, sf_dir, limit=None):
     return r6(ratios6(report.withColumn("partition", text)), "accuracy_max", "accuracy_avg")
 
 
+def partition_best(spark, sf_dir):
+    """The best row of the report by each aim, found without the report."""
+    base = prepared(spark, sf_dir)
+    best = best_partitions(base, chosen_truth(base.claims), aims=("accuracy_avg", "accuracy_max", "accuracy"))
+    text = F.array_join(F.transform("partition", lambda block: F.array_join(block, ",")), ";")
+    return r6(ratios6(best.withColumn("partition", text)), "accuracy_max", "accuracy_avg")
+
+
+def partition_report_resumed(spark, sf_dir):
+    """The report in two shares: the second takes up the folder of the first."""
+    base = prepared(spark, sf_dir)
+    folder = f"{base.work.path}/resumed"
+    continue_report(base, folder, chosen_truth(base.claims), share=20)
+    report = continue_report(base, folder, chosen_truth(base.claims))
+    text = F.array_join(F.transform("partition", lambda block: F.array_join(block, ",")), ";")
+    return r6(ratios6(report.withColumn("partition", text)), "accuracy_max", "accuracy_avg")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every job and operator, over the whole tables of ``sf_dir``."""
     found = {
@@ -431,6 +449,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "partition_report": partition_report_query,
         "partition_report_first_ten": partial(partition_report_query, limit=10),
         "partition_report_file": partition_report_file,
+        "partition_report_resumed": partition_report_resumed,
+        "partition_best": partition_best,
     }
     for algo in ("DEPEN", "ACCU", "ACCUSIM"):
         name = algo.lower()

@@ -239,6 +239,12 @@ FROM part_blocks JOIN block_trust USING (block_id) JOIN block_counts USING (bloc
   {r6('mean_trust')} AS accuracy_avg, {counts}, {ratio_columns()} FROM summed"""
     out["partition_report"] = statement(report, columns)
     out["partition_report_first_ten"] = statement(report, f"{columns} ORDER BY partition_id LIMIT 10")
+    out["partition_report_resumed"] = statement(report, columns)
+    aims = {"accuracy_avg": "mean_trust", "accuracy_max": "best_trust", "accuracy": "coalesce((tp + tn)::DOUBLE / nullif(tp + fp + fn + tn, 0), 0)"}
+    ranked = "\nUNION ALL\n".join(
+        f"(SELECT '{aim}' AS aim, * FROM summed ORDER BY round({key}, 9) DESC, partition_id LIMIT 1)" for aim, key in aims.items())
+    best = ("best_rows", ranked)
+    out["partition_best"] = statement([*report, best], columns.replace("SELECT partition_id", "SELECT aim, partition_id").replace("FROM summed", "FROM best_rows"))
     quote = "chr(39)"
     listed = (f"replace(replace(partition, ',', {quote} || ', ' || {quote}), ';', {quote} || '], [' || {quote})")
     out["partition_report_file"] = statement(report, f"""SELECT '[[' || {quote} || {listed} || {quote} || ']]' AS partition,

@@ -8,10 +8,13 @@ import pytest
 from truthloom import accuracy_model, majority_vote, truth_finder
 from truthloom.operators.cluster import best_blocks, best_k, kmeans_sweep, labels_to_partition, silhouette_by_k
 from truthloom.operators.matrix import property_distance, property_names, truth_matrix
-from truthloom.operators.partitions import partition_blocks, partition_lists, set_partitions
+from truthloom.operators.partitions import (
+    AIMS, best_partition_of, completions, partition_blocks, partition_lists, partitions_at, set_partitions, subset_splits,
+)
 from truthloom.plans.claimbase import ClaimBase
 from truthloom.plans.clustered import clustered_truth
-from truthloom.plans.exhaustive import partition_report
+from truthloom.plans import exhaustive
+from truthloom.plans.exhaustive import best_partitions, continue_report, partition_report
 from truthloom.plans.rounds import convergence
 from truthloom.plans.workspace import Workspace
 
@@ -100,10 +103,75 @@ def test_set_partitions(spark, n, bell):
     assert blocks.select("block_id").distinct().count() == 2**n - 1
 
 
+def all_labels(n):
+    grown = [[0]]
+    for _ in range(n - 1):
+        grown = [[*labels, following] for labels in grown for following in range(max(labels) + 2)]
+    return grown
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 7, 11])
+def test_numbers_are_turned_into_labels(spark, n):
+    """Partition i has the i-th list of labels; ids sort like labels, also with labels of two digits."""
+    names = [f"p{i:02d}" for i in range(n)]
+    total = completions(n, 0)
+    numbers = list(range(total)) if n < 9 else [0, 1, 500, 77_777, total // 2, total - 2, total - 1]
+    rows = partitions_at(spark.createDataFrame([(i,) for i in numbers], "id long"), names).collect()
+    found, ids = {}, {}
+    for row in rows:
+        found.setdefault(row.number, {})[row.property] = row.label
+        ids[row.number] = row.partition_id
+    labels = [[found[i][p] for p in names] for i in numbers]
+    assert labels == sorted(labels) and [ids[i] for i in numbers] == sorted(ids.values())
+    if n < 9:
+        assert labels == all_labels(n)
+    assert labels[0] == [0] * n and labels[-1] == list(range(n))
+
+
 def test_partition_limits(spark):
     assert set_partitions(spark, list("abcd"), limit=4).select("partition_id").distinct().count() == 4
     with pytest.raises(ValueError):
-        set_partitions(spark, [f"p{i}" for i in range(9)])
+        set_partitions(spark, [f"p{i}" for i in range(13)])
+    with pytest.raises(ValueError):
+        set_partitions(spark, [f"p{i}" for i in range(26)], limit=1)
+    names = [f"p{i:02d}" for i in range(25)]
+    first = set_partitions(spark, names, limit=10)
+    assert first.count() == 250  # 4.6e18 partitions, of which ten are formed
+    assert first.where("property < 'p21'").select("label").distinct().count() == 1
+
+
+def test_subsets_are_split_once(spark):
+    rows = [(r.whole, r.first, r.rest) for r in subset_splits(spark, 5).collect()]
+    assert len(set(rows)) == len(rows) == (3**5 - 1) // 2
+    assert all(a & b == 0 and a | b == whole and a & (whole & -whole) for whole, a, b in rows)
+
+
+@pytest.mark.parametrize("n, places", [(1, 12), (3, 1), (5, 12), (5, 1), (6, 1)])
+def test_best_partition_against_all(spark, n, places):
+    """Rounded to one place, scores tie very often: the smallest id wins."""
+    draw = random.Random(n * 100 + places)
+    score = {block: round(draw.random(), places) for block in range(1, 1 << n)}
+    table = spark.createDataFrame(list(score.items()), "block_id long, score double")
+    work = Workspace(spark)
+    value = {"mean": lambda v: sum(v) / len(v), "greatest": max, "sum": sum}
+    for aim in AIMS:
+        ranked = []
+        for labels in all_labels(n):
+            own = [score[sum(1 << i for i in range(n) if labels[i] == k)] for k in range(max(labels) + 1)]
+            ranked.append((-round(value[aim](own) * 1e9), labels, len(own), value[aim](own)))
+        _, labels, n_blocks, best = min(ranked)
+        row = best_partition_of(table, n, work, aim).first()
+        assert (row.labels, row.n_blocks, row.value) == (labels, n_blocks, pytest.approx(best, abs=1e-9))
+    with pytest.raises(ValueError):
+        best_partition_of(table, n, work, "least")
+
+
+def test_best_partition_of_twelve_properties(spark):
+    """The best split is planted: three blocks score 1, all others less."""
+    planted = [0b000000001111, 0b000011110000, 0b111100000000]
+    rows = [(b, 1.0 if b in planted else 0.5 + b / 100_000) for b in range(1, 1 << 12)]
+    row = best_partition_of(spark.createDataFrame(rows, "block_id long, score double"), 12, Workspace(spark)).first()
+    assert row.partition_id == "00-00-00-00-01-01-01-01-02-02-02-02" and row.value == pytest.approx(1.0)
 
 
 def test_blocks_are_independent(spark, example, example_rows):
@@ -176,3 +244,50 @@ def test_partition_report_without_truth(spark, example):
     model = partial(accuracy_model, algo="DEPEN", max_iterations=1)
     rows = partition_report(example, None, model, limit=2, deduped=True).collect()
     assert len(rows) == 2 and all(r.precision is None and r.accuracy_avg > 0 for r in rows)
+
+
+ONE_ROUND = partial(accuracy_model, algo="DEPEN", max_iterations=1, threshold=0.0)
+
+
+def report_of(rows):
+    return sorted((tuple(r[c] for c in exhaustive.REPORT) for r in rows), key=str)
+
+
+def test_best_rows_of_the_report(spark, example, example_truth):
+    rows = partition_report(example, example_truth, ONE_ROUND, deduped=True).collect()
+    found = {r.aim: r for r in best_partitions(example, example_truth, ONE_ROUND, ("accuracy_avg", "accuracy_max", "accuracy"), deduped=True).collect()}
+    for aim in exhaustive.AIMS:
+        best = min(rows, key=lambda r: (-round(r[aim], 9), r.partition_id))
+        assert report_of([found[aim]]) == report_of([best])
+    with pytest.raises(ValueError):
+        best_partitions(example, None, ONE_ROUND, ("accuracy",), deduped=True)
+
+
+def test_report_is_taken_up_where_it_ended(spark, example, example_truth, tmp_path, monkeypatch):
+    whole = report_of(partition_report(example, example_truth, ONE_ROUND, deduped=True).collect())
+    folder, resolved, inner = str(tmp_path / "report"), [], exhaustive.block_outcomes
+
+    def outcomes(base, blocks, truth, model):
+        resolved.extend(r.block_id for r in blocks.select("block_id").distinct().collect())
+        return inner(base, blocks, truth, model)
+
+    monkeypatch.setattr(exhaustive, "block_outcomes", outcomes)
+    first = continue_report(example, folder, example_truth, ONE_ROUND, share=2, deduped=True)
+    assert report_of(first.collect()) == whole[:2] and len(resolved) == 3
+    # the run ends after the blocks of a share are written and before its report rows are
+    monkeypatch.setattr(exhaustive, "report_rows", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        continue_report(example, folder, example_truth, ONE_ROUND, share=2, deduped=True)
+    monkeypatch.undo()
+    monkeypatch.setattr(exhaustive, "block_outcomes", outcomes)
+    # and another loses a row of the report that was written already
+    rows = spark.createDataFrame(spark.read.parquet(f"{folder}/report").where("number <> 0").collect(), spark.read.parquet(f"{folder}/report").schema)
+    rows.write.parquet(f"{folder}/held")
+    spark.read.parquet(f"{folder}/held").write.mode("overwrite").parquet(f"{folder}/report")
+    while (rows := continue_report(example, folder, example_truth, ONE_ROUND, share=2, deduped=True)).count() < 5:
+        pass
+    assert report_of(rows.collect()) == whole
+    assert sorted(resolved) == list(range(1, 8))  # no block twice
+    assert report_of(continue_report(example, folder, example_truth, ONE_ROUND, deduped=True).collect()) == whole
+    with pytest.raises(ValueError, match="other properties"):
+        continue_report(example.where("property <> 'p1'"), folder, example_truth, ONE_ROUND, deduped=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from truthloom.functions.text import char_weights, numeric_similarity, weights_dot
@@ -52,6 +53,17 @@ def value_similarity(claims: DataFrame, kind: str = "char", work: Workspace | No
     return half.select(*ITEM, F.inline(both), "sim").select(*ITEM, "v1", "v2", "sim")
 
 
+def _implied_in_place(scored: DataFrame, rho: float, keys: list[str]) -> DataFrame:
+    """Character similarity for facts dealt by ``group_id``: windows and groups that need no shuffle."""
+    rest = [c for c in scored.columns if c != "weights"]
+    spelled = scored.select(*rest, F.inline_outer("weights"))
+    item_weight = F.sum(F.col("w") * F.col("score")).over(W.partitionBy("group_id", *keys, "ch"))
+    dots = spelled.withColumn("dot", F.col("w") * item_weight).groupBy(*rest).agg(F.sum("dot").alias("dot"))
+    others = F.col("dot") - F.when(F.length("value") > 0, F.col("score")).otherwise(0.0)
+    boosted = F.when(F.col("dot").isNull(), F.col("score")).otherwise(F.col("score") + rho * others)
+    return dots.withColumn("score", boosted).drop("dot")
+
+
 def implied_scores(scored: DataFrame, rho: float, kind: str, group: list[str] = (),
                    hot_items: DataFrame | None = None, biggest: int | None = None) -> DataFrame:
     """Add to each score ``rho`` times the similarity-weighted scores of the item's other values.
@@ -70,6 +82,8 @@ def implied_scores(scored: DataFrame, rho: float, kind: str, group: list[str] =
     if kind == "char":
         if "weights" not in scored.columns:
             scored = scored.withColumn("weights", char_weights(F.col("value")))
+        if "group_id" in scored.columns:
+            return _implied_in_place(scored, rho, keys)
         weighted = scored.select(*keys, "score", F.inline("weights"))
         by_char = weighted.groupBy(*keys, "ch").agg(F.sum(F.col("w") * F.col("score")).alias("w"))
         vector = by_char.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("ch", "w"))).alias("vector"))

@@ -83,11 +83,18 @@ def accuracy_model(
         scores = base.work.keep(discounted_votes(base, factors), f"scores-{number}")
         spelled = algo == "ACCUSIM" and similarity == "char"
         facts = base.scored_facts(scores, spelled)
-        if not spelled:  # read several times
-            facts = base.work.keep(facts, f"scored-{number}")
         if algo == "ACCUSIM":
-            facts = base.work.keep(implied_scores(facts, rho, similarity, BLOCK, base.hot_items, biggest), f"facts-{number}")
-        sets = with_outcome(facts, base.hot_items, tie, seed).groupBy(*BLOCK, *SET).agg(
+            if similarity == "numeric" or base.hot_items is not None:  # read several times
+                facts = base.work.keep(facts, f"scored-{number}")
+            facts = implied_scores(facts, rho, similarity, BLOCK, base.hot_items, biggest)
+            if base.hot_items is not None or tie != "min":
+                facts = base.work.keep(facts, f"implied-{number}")
+            judged = facts = base.work.keep(with_outcome(facts, base.hot_items, tie, seed), f"facts-{number}")
+        else:
+            if base.hot_items is not None or tie != "min":
+                facts = base.work.keep(facts, f"scored-{number}")
+            judged = with_outcome(facts, base.hot_items, tie, seed)
+        sets = judged.groupBy(*BLOCK, *SET).agg(
             F.count(F.lit(1)).alias("n_facts"),
             F.sum("probability").alias("total"),
             F.sum(F.col("is_best").cast("bigint")).alias("n_true"),

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from truthloom.functions.text import char_weights
@@ -18,6 +19,38 @@ from truthloom.plans.workspace import Workspace
 from truthloom.schema import CLAIM, FACT, ITEM, as_claims, dedupe_claims
 
 BLOCK = ["block_id"]
+#: Facts that one task of a round takes, and groups of items that they are numbered in.
+PLACED_ROWS = 200_000
+GROUPS_PER_TASK = 16
+
+
+@dataclass
+class Placed:
+    """Facts dealt by item once for all rounds, so that rounds move scores of sets and never facts.
+
+    ``facts``  group_id, block, object, property, value, SET, at   bucketed by ``group_id``, a hash of the item
+    ``sets``   group_id, block, SET, at   bucketed by block and SET: the sets of each group, numbered from 1
+    """
+
+    facts: DataFrame
+    sets: DataFrame
+    tasks: int
+
+    def scored(self, set_scores: DataFrame) -> DataFrame:
+        """Facts with the score of their set; facts of blocks without scores are left out.
+
+        The scores go to the groups that hold their sets, one array per group in the order of the sets'
+        numbers: the only rows shuffled are distinct sets of groups.
+        """
+        scores = set_scores.select(*BLOCK, *SET, "score")
+        wanted = self.sets.join(scores, [*BLOCK, *SET], "left").select("group_id", "at", "score")
+        # as many partitions as buckets: else Spark deals the facts anew
+        wanted = wanted.repartition(self.tasks, "group_id").groupBy("group_id").agg(
+            F.array_sort(F.collect_list(F.struct("at", "score"))).alias("known")
+        )
+        arrays = wanted.select("group_id", F.col("known.score").alias("known"))
+        joined = self.facts.join(arrays.hint("shuffle_hash"), "group_id").withColumn("score", F.get("known", F.col("at") - 1))
+        return joined.drop("known", "at").where(F.col("score").isNotNull())
 
 
 @dataclass
@@ -38,6 +71,7 @@ class ClaimBase:
     work: Workspace
     blocks: DataFrame | None = None
     shared: dict = field(default_factory=dict)
+    _placed: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def of(cls, claims: DataFrame | ClaimBase, blocks: DataFrame | None = None, deduped: bool = False) -> ClaimBase:
@@ -218,8 +252,33 @@ class ClaimBase:
         start = seen.withColumn("trust", F.lit(float(trust))).withColumn("old_trust", F.lit(float(trust)))
         return self.work.keep(start, "trust-0")
 
+    def placed(self, spelled: bool = False) -> Placed | None:
+        """Facts of every block dealt by item; ``None`` if some item has more facts than a task may take."""
+        if self.hot_items is not None:
+            return None
+        if spelled not in self._placed:
+            self._placed[spelled] = self._place(self.in_blocks(self.spelled_facts if spelled else self.facts))
+        return self._placed[spelled]
+
+    def _place(self, facts: DataFrame) -> Placed:
+        rows = self.size.facts if self.blocks is None else self.block_sets.agg(F.sum("n_facts")).first()[0] or 0
+        tasks = max(self.work.spark.sparkContext.defaultParallelism, -(-rows // PLACED_ROWS))
+        group = F.pmod(F.xxhash64(*ITEM), F.lit(tasks * GROUPS_PER_TASK)).cast("int")
+        number = F.dense_rank().over(W.partitionBy("group_id").orderBy(*BLOCK, *SET))
+        numbered = facts.withColumn("group_id", group).withColumn("at", number)
+        dealt = self.work.keep_bucketed(numbered, "placed-facts", tasks, "group_id")
+        sets = dealt.groupBy("group_id", *BLOCK, *SET).agg(F.min("at").alias("at"))
+        return Placed(dealt, self.work.keep_bucketed(sets, "placed-sets", tasks, *BLOCK, *SET), tasks)
+
     def scored_facts(self, set_scores: DataFrame, spelled: bool = False) -> DataFrame:
-        """Facts of every block with the score of their supporter set."""
+        """Facts of every block with the score of their supporter set.
+
+        With a ``group_id``, by which the rows are dealt, unless an item is hot: then facts are joined
+        with the scores by set.
+        """
+        placed = self.placed(spelled)
+        if placed is not None:
+            return placed.scored(set_scores)
         scores = set_scores.select(*BLOCK, *SET, "score")
         facts = self.spelled_facts if spelled else self.facts
         return spread_join(self.in_blocks(facts), scores, [*BLOCK, *SET], self.hot_fact_sets, SET, F.struct(*FACT))

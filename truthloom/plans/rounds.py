@@ -20,6 +20,11 @@ from truthloom.schema import FACT, ITEM
 TIES = ("min", "seeded")
 
 
+def item_keys(facts: DataFrame) -> list[str]:
+    """Columns that tell the items of all blocks apart, led by the one the facts are dealt by, if they are."""
+    return [*[c for c in ("group_id",) if c in facts.columns], *BLOCK, *ITEM]
+
+
 def convergence(trust: DataFrame, group: list[str] = BLOCK) -> DataFrame:
     """Cosine and greatest difference between the trust vectors before and after a round.
 
@@ -171,7 +176,7 @@ def with_outcome(scored: DataFrame, hot_items: DataFrame | None = None, tie: str
         return joined.withColumn("probability", F.exp(F.col("score") - F.col("log_mass"))).withColumn(
             "is_best", F.col("value") == F.col("best_value")
         )
-    item = W.partitionBy(*keys)
+    item = W.partitionBy(*item_keys(scored))
     topped = scored.withColumn("tie", tie_key(F.col("score"))).withColumn("top", F.max("score").over(item))
     topped = topped.withColumn("tied_value", F.when(F.col("tie") == tie_key(F.col("top")), F.col("value")))
     weighed = topped.withColumn("weight", F.exp(F.col("score") - F.col("top")))
@@ -209,7 +214,7 @@ def result_of(base: ClaimBase, state: Round, rounds: int, tie: str = "min", seed
     """The result is read off the facts that the last round wrote."""
     confidence = state.facts.select(*BLOCK, *FACT, "score")
     if tie == "min":
-        truths = item_outcome_best(confidence)
+        truths = item_outcome_best(state.facts)
     else:
         picked = seeded_winners(confidence, base.hot_items, seed)
         truths = confidence.join(picked, [*BLOCK, *FACT], "left_semi").withColumnRenamed("score", "confidence")
@@ -223,6 +228,6 @@ def result_of(base: ClaimBase, state: Round, rounds: int, tie: str = "min", seed
 
 def item_outcome_best(scored: DataFrame) -> DataFrame:
     won = F.min(F.struct((-tie_key(F.col("score"))).alias("below"), F.col("value"), F.col("score"))).alias("won")
-    return scored.groupBy(*BLOCK, *ITEM).agg(won).select(
+    return scored.groupBy(*item_keys(scored)).agg(won).select(
         *BLOCK, *ITEM, F.col("won.value").alias("value"), F.col("won.score").alias("confidence")
     )

@@ -37,22 +37,45 @@ class Workspace:
         self.path = f"{(folder or shared_folder(spark)).rstrip('/')}/truthloom/{app}/{uuid.uuid4().hex}"
         self._count = 0
         self._marked = False
+        self._tables: list[str] = []
 
     def _folder(self):
         folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return the table that was written."""
+    def _next(self, name: str) -> str:
         self._count += 1
-        path = f"{self.path}/{self._count:03d}-{name}"
-        df.write.parquet(path)
+        return f"{self.path}/{self._count:03d}-{name}"
+
+    def _mark(self) -> None:
         if not self._marked:
             folder, system = self._folder()
             self._marked = system.deleteOnExit(folder.getParent())
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` once and return the table that was written."""
+        path = self._next(name)
+        df.write.parquet(path)
+        self._mark()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_bucketed(self, df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
+        """Write ``df`` once, dealt by ``keys``; joins and groups on them need no shuffle of this table.
+
+        Spark knows the buckets of catalog tables only, so the table has a name in the session's
+        catalog until ``drop``; its files lie in the folder like all others.
+        """
+        path = self._next(name)
+        table = f"truthloom_{uuid.uuid4().hex}"
+        df.repartition(buckets, *keys).write.option("path", path).bucketBy(buckets, *keys).saveAsTable(table, format="parquet")
+        self._tables.append(table)
+        self._mark()
+        return self.spark.table(table)
+
     def drop(self) -> None:
         """Delete the folder; only after the results have been written elsewhere."""
+        for table in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self._tables.clear()
         folder, system = self._folder()
         system.delete(folder, True)
