@@ -33,7 +33,7 @@ def library(text):
     return ids, inner.decode(ids)
 
 
-@pytest.mark.parametrize("long, remembered", [(4096, 400_000), (2, 50)])
+@pytest.mark.parametrize("long, remembered", [(4096, 200_000), (2, 50)])
 def test_ids_and_texts_are_the_library_s(monkeypatch, long, remembered):
     monkeypatch.setattr(pieces, "LONG", long)
     monkeypatch.setattr(chunktable, "REMEMBERED", remembered)

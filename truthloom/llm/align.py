@@ -29,8 +29,8 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import os
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
 
@@ -49,6 +49,8 @@ from truthloom.plans.workspace import Workspace
 
 #: Bytes of text of a slice.
 SLICE_BYTES = 2 << 20
+#: Bytes of text whose groups are written out at a time.
+STRETCH_BYTES = 512 << 10
 #: Parts that the records are cut into by A id.
 RADIXES = 128
 #: Compressed bytes of the runs that one task reads.
@@ -123,6 +125,7 @@ class Aligner:
     """Groups and linked pairs of texts through those of their distinct parts."""
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives each task one core
         from tokenizers import Tokenizer
 
         self.a, self.b = Tokenizer.from_file(path_a), PieceTokenizer(path_b)
@@ -212,7 +215,7 @@ class Aligner:
         totals, good = np.zeros((len(texts), 4), np.int64), np.ones(len(texts), bool)
         hashes, told = [sha256() for _ in range(len(texts))], [[] for _ in range(len(texts))]
         records = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for lo, hi in stretches(ends):
+        for lo, hi in stretches(ends, STRETCH_BYTES):
             rows, own = self.table.lookup(data, starts[lo:hi], ends[lo:hi]), row[lo:hi]
             figures = self.figures.values.reshape(-1, 5)[rows]
             good[own[figures[:, 0] == 0]] = False
@@ -270,11 +273,6 @@ def added(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[begin], np.add.reduceat(values, begin)
 
 
-@lru_cache(maxsize=1)
-def aligner(path_a: str, path_b: str) -> Aligner:
-    return Aligner(path_a, path_b)
-
-
 # --- blocks ---
 
 def block(*columns: np.ndarray) -> bytes:
@@ -344,7 +342,7 @@ def spill(docs: DataFrame, path_a: str, path_b: str, with_groups: bool = False)
     """Rows of documents (radix -1) and runs of linked pairs of every slice."""
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, ids = aligner(path_a, path_b), slice_ids()
+        both, ids = Aligner(path_a, path_b), slice_ids()
         schema = pa.schema([(f.split(" ")[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}[f.split(" ")[1]])
                             for f in SPILLED.split(", ")])
 

@@ -14,8 +14,10 @@ import numpy as np
 from truthloom.llm.words import member, ranges, span_hashes
 
 #: Distinct parts, and their bytes, that a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 REMEMBERED_BYTES = 32 << 20
+#: Parts that are worked out at a time.
+LEARNT = 8192
 #: Bytes that are hashed, or gathered, at a time.
 STRETCH = 4 << 20
 
@@ -57,13 +59,14 @@ class ChunkTable:
         if len(self.keys) + len(fresh) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self._clear()
         new = ~member(fresh, self.keys)
-        begin, end = starts[first[new]].tolist(), ends[first[new]].tolist()
-        if begin:
-            self.learn([data[a:b].tobytes() for a, b in zip(begin, end)])
+        begin, end = starts[first[new]], ends[first[new]]
+        for lo in range(0, len(begin), LEARNT):
+            self.learn([data[a:b].tobytes() for a, b in zip(begin[lo : lo + LEARNT].tolist(), end[lo : lo + LEARNT].tolist())])
+        if len(begin):
             at = np.searchsorted(self.keys, fresh[new])
             self.rows = np.insert(self.rows, at, np.arange(len(self.keys), len(self.keys) + len(begin)))
             self.keys = np.insert(self.keys, at, fresh[new])
-            self.held += sum(end) - sum(begin)
+            self.held += int((end - begin).sum())
         return self.rows[np.searchsorted(self.keys, fresh)][which]
 
 
@@ -75,15 +78,31 @@ class Flat:
         self.clear()
 
     def clear(self) -> None:
-        self.values, self.stops = np.zeros(0, self.kind), np.zeros(1, np.int64)
+        self._values, self._sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        self._stops: np.ndarray | None = None
 
     def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self.values = np.concatenate([self.values, values.astype(self.kind)])
-        self.stops = np.concatenate([self.stops, self.stops[-1] + np.cumsum(sizes, dtype=np.int64)])
+        self._values.append(values.astype(self.kind))
+        self._sizes.append(sizes.astype(np.int64))
+        self._stops = None
+
+    @property
+    def stops(self) -> np.ndarray:
+        """Where each list begins, and the end of the last one."""
+        if self._stops is None:
+            self._values, self._sizes = [np.concatenate(self._values)], [np.concatenate(self._sizes)]
+            self._stops = np.concatenate([[0], np.cumsum(self._sizes[0])])
+        return self._stops
+
+    @property
+    def values(self) -> np.ndarray:
+        _ = self.stops  # joins what was added
+        return self._values[0]
 
     def sizes(self, rows: np.ndarray) -> np.ndarray:
         return self.stops[rows + 1] - self.stops[rows]
 
     def take(self, rows: np.ndarray) -> np.ndarray:
         """The lists of ``rows``, one after another."""
-        return self.values[ranges(self.stops[rows], self.sizes(rows))]
+        sizes = self.sizes(rows)
+        return self._values[0][ranges(self._stops[rows], sizes)]
