@@ -15,10 +15,10 @@ from truthloom import (
     value_similarity, vote_counts,
 )
 from truthloom.operators.cluster import (
-    best_blocks, kmeans_sweep, labels_to_partition, silhouette_by_k,
+    best_blocks, kmeans_starts, kmeans_sweep, labels_to_partition, silhouette_by_k,
 )
 from truthloom.operators.dependence import agreement, dependence, max_dependence, ranked_before
-from truthloom.operators.matrix import property_distance, property_names, truth_matrix
+from truthloom.operators.matrix import property_distance, property_table, truth_matrix
 from truthloom.operators.quality import source_stats
 from truthloom.operators.skew import use_all_cores
 from truthloom.operators.votes import best_values, restrict_properties, tied_values
@@ -324,7 +324,7 @@ def truth_matrix_query(spark, sf_dir):
 
 def distances_of(spark, sf_dir):
     base = prepared(spark, sf_dir)
-    names = property_names(base.facts)
+    names = base.work.keep(property_table(base.facts), "names")
     matrix = truth_matrix(base.claims, best_values(base.votes_per_value()), base.hot_facts)
     return base.work.keep(property_distance(matrix, names, base.work), "distances"), names, base.work
 
@@ -337,9 +337,14 @@ def kmeans_query(spark, sf_dir):
     return kmeans_sweep(*distances_of(spark, sf_dir))
 
 
+def kmeans_starts_query(spark, sf_dir):
+    """Ten drawn starts of every k in ten rounds each, the best one of them."""
+    return r6(kmeans_starts(*distances_of(spark, sf_dir), max_iter=10), "inertia")
+
+
 def kmeans_partitions(spark, sf_dir):
     distances, names, work = distances_of(spark, sf_dir)
-    lists = labels_to_partition(kmeans_sweep(distances, names, work, k_max=len(names)))
+    lists = labels_to_partition(kmeans_sweep(distances, names, work, k_max=names.count()))
     text = F.array_join(F.transform("partition", lambda block: F.array_join(block, ",")), ";")
     return lists.select("k", text.alias("partition"))
 
@@ -442,6 +447,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "truth_matrix": truth_matrix_query,
         "property_distance": property_distance_query,
         "kmeans_sweep": kmeans_query,
+        "kmeans_starts": kmeans_starts_query,
         "kmeans_partitions": kmeans_partitions,
         "silhouette_by_k": silhouette_query,
         "best_partition": best_partition,

@@ -302,6 +302,48 @@ QUALIFY row_number() OVER (PARTITION BY m.k, m.p ORDER BY round(m.mean - i.inner
     return ctes
 
 
+def kmeans_drawn(starts: int = 10, seed: str = "10", rounds: int = 10, k_max: int = len(PROPERTIES) - 1) -> list[tuple[str, str]]:
+    """``drawn_labels`` (start, k, property, cluster) and ``drawn_best`` (k, start, inertia); seeds by weighted hash draws."""
+    def u(cluster: int, point: str) -> str:
+        return f"(('0x' || substr(md5('{seed}|' || start::VARCHAR || '|{cluster}|' || {point}), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+
+    ctes = [
+        ("begun", f"SELECT unnest(range(0, {starts}))::INT AS start"),
+        ("drawn_0", f"""SELECT start, 0 AS cluster, property AS q FROM begun CROSS JOIN names
+QUALIFY row_number() OVER (PARTITION BY start ORDER BY {u(0, 'property')}, property) = 1"""),
+    ]
+    for j in range(1, k_max):
+        ctes.append((f"drawn_{j}", f"""SELECT * FROM drawn_{j - 1} UNION ALL
+(SELECT start, {j}, p FROM (SELECT s.start, d.p, min(d2) AS w FROM d2 d JOIN drawn_{j - 1} s USING (q)
+  WHERE NOT EXISTS (SELECT 1 FROM drawn_{j - 1} o WHERE o.start = s.start AND o.q = d.p) GROUP BY ALL)
+ QUALIFY row_number() OVER (PARTITION BY start ORDER BY CASE WHEN w > 0 THEN -ln({u(j, 'p')}) / w ELSE 'inf'::DOUBLE END, p) = 1)"""))
+    ctes.append(("placed_0", f"""SELECT s.start, k, d.p AS property, s.cluster
+FROM (SELECT unnest(range(2, {k_max + 1}))::INT AS k) JOIN (SELECT d.p, d.d2, s.start, s.cluster FROM d2 d JOIN drawn_{k_max - 1} s USING (q)) d
+  ON cluster < k JOIN drawn_{k_max - 1} s ON s.start = d.start AND s.cluster = d.cluster
+QUALIFY row_number() OVER (PARTITION BY s.start, k, d.p ORDER BY d.d2, s.cluster) = 1"""))
+
+    def centres(r: int) -> list[tuple[str, str]]:
+        return [
+            (f"mean_d{r}", f"""SELECT l.start, l.k, d.p, l.cluster, avg(d.d2) AS mean
+FROM placed_{r} l JOIN d2 d ON d.q = l.property GROUP BY ALL"""),
+            (f"inner_d{r}", f"""SELECT m.start, m.k, m.cluster, avg(m.mean) AS inner_mean FROM mean_d{r} m
+JOIN placed_{r} l ON l.start = m.start AND l.k = m.k AND l.property = m.p AND l.cluster = m.cluster GROUP BY ALL"""),
+        ]
+
+    for r in range(rounds):
+        ctes += [*centres(r), (f"placed_{r + 1}", f"""SELECT m.start, m.k, m.p AS property, m.cluster
+FROM mean_d{r} m JOIN inner_d{r} i USING (start, k, cluster)
+QUALIFY row_number() OVER (PARTITION BY m.start, m.k, m.p ORDER BY round(m.mean - i.inner_mean / 2, 9), m.cluster) = 1""")]
+    return ctes + [
+        *centres(rounds),
+        ("inertias", f"""SELECT m.start, m.k, sum(m.mean - i.inner_mean / 2) AS inertia
+FROM mean_d{rounds} m JOIN inner_d{rounds} i USING (start, k, cluster)
+JOIN placed_{rounds} l ON l.start = m.start AND l.k = m.k AND l.property = m.p AND l.cluster = m.cluster GROUP BY ALL"""),
+        ("drawn_best", "SELECT k, start, inertia FROM inertias QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(inertia, 9), start) = 1"),
+        ("drawn_labels", f"SELECT * FROM placed_{rounds}"),
+    ]
+
+
 def silhouettes() -> list[tuple[str, str]]:
     """``sil`` (k, silhouette), ``best`` (k) and ``blocks`` (block_id, property)."""
     return [

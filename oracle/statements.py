@@ -5,7 +5,7 @@ from __future__ import annotations
 from oracle.parts import (
     BASE, CLAIMS, LONG, ONE_BLOCK, PROPERTIES, SEEDED_PICK, TRUTH, VOTED, VOTES, WIDE,
     accuracy_rounds, char_similarity, common_items, confusion, dependence_of, distances, frozen,
-    kmeans, numeric_similarity, r6, ratio_columns, renamed, silhouettes, start_trust, statement, stopping,
+    kmeans, kmeans_drawn, numeric_similarity, r6, ratio_columns, renamed, silhouettes, start_trust, statement, stopping,
     truthfinder_rounds,
 )
 
@@ -213,6 +213,8 @@ FROM (SELECT 1 AS round, {cosine} AS cosine, max(abs(trust - old_trust)) AS delt
     out["property_distance"] = statement(matrix, "SELECT p, q, d2 FROM d2")
     clustered = [*matrix, *kmeans(), *silhouettes()]
     out["kmeans_sweep"] = statement(clustered, "SELECT k, property, cluster FROM labels")
+    out["kmeans_starts"] = statement([*matrix, *kmeans_drawn()], f"""SELECT k, property, cluster, start, {r6('inertia')} AS inertia
+FROM drawn_labels JOIN drawn_best USING (k, start)""")
     out["kmeans_partitions"] = statement([*matrix, *kmeans(len(PROPERTIES))], """SELECT k, string_agg(block, ';' ORDER BY block) AS partition
 FROM (SELECT k, cluster, string_agg(property, ',' ORDER BY property) AS block FROM labels GROUP BY ALL) GROUP BY k""")
     out["silhouette_by_k"] = statement(clustered, f"SELECT k, {r6('silhouette')} AS silhouette FROM sil")

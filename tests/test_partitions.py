@@ -1,13 +1,15 @@
 import math
 import random
 from functools import partial
+from hashlib import md5
 
 import plain
 import pytest
+from pyspark.sql import functions as F
 
 from truthloom import accuracy_model, majority_vote, truth_finder
-from truthloom.operators.cluster import best_blocks, best_k, kmeans_sweep, labels_to_partition, silhouette_by_k
-from truthloom.operators.matrix import property_distance, property_names, truth_matrix
+from truthloom.operators.cluster import best_blocks, best_k, kmeans_starts, kmeans_sweep, labels_to_partition, silhouette_by_k
+from truthloom.operators.matrix import property_distance, property_names, property_table, truth_matrix
 from truthloom.operators.partitions import (
     AIMS, best_partition_of, completions, partition_blocks, partition_lists, partitions_at, set_partitions, subset_splits,
 )
@@ -23,7 +25,7 @@ SCHEMA = "object string, property string, value string, source string"
 
 def distances(spark, claims, found):
     work = Workspace(spark)
-    names = property_names(claims, 100)
+    names = work.keep(property_table(claims), "names")
     return work.keep(property_distance(truth_matrix(claims, found), names, work), "d"), names, work
 
 
@@ -39,7 +41,7 @@ def test_matrix_and_distance(spark, example):
 @pytest.mark.parametrize("labels,score", [((0, 0, 1), -.195992), ((0, 1, 0), .146302), ((0, 1, 1), .049690)])
 def test_silhouette(spark, example, labels, score):
     d, names, _ = distances(spark, example, majority_vote(example))
-    rows = [(2, p, c) for p, c in zip(names, labels)]
+    rows = [(2, r.property, c) for r, c in zip(names.orderBy("property").collect(), labels)]
     assigned = spark.createDataFrame(rows, "k int, property string, cluster int")
     assert silhouette_by_k(assigned, d).first().silhouette == pytest.approx(score, abs=1e-6)
 
@@ -77,7 +79,7 @@ def test_kmeans_against_coordinates(spark):
     points = {f"p{i}": [draw.gauss(3 * (i % 3), 1) for _ in range(4)] for i in range(9)}
     rows = [(p, q, math.dist(x, y) ** 2) for p, x in points.items() for q, y in points.items()]
     d = spark.createDataFrame(rows, "p string, q string, d2 double").cache()
-    got = {(r.k, r.property): r.cluster for r in kmeans_sweep(d, sorted(points), Workspace(spark), k_max=5).collect()}
+    got = {(r.k, r.property): r.cluster for r in kmeans_sweep(d, d.select(d.p.alias("property")).distinct(), Workspace(spark), k_max=5).collect()}
     seeds = ["p0"]
     while len(seeds) < 5:
         rest = [p for p in points if p not in seeds]
@@ -87,6 +89,63 @@ def test_kmeans_against_coordinates(spark):
         assert {p: got[k, p] for p in points} == want
 
 
+def drawn_seeds(points, start, count, seed="7"):
+    def u(cluster, p):
+        return (int(md5(f"{seed}|{start}|{cluster}|{p}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+
+    seeds = [min(points, key=lambda p: (u(0, p), p))]
+    for cluster in range(1, count):
+        weight = {p: min(math.dist(points[p], points[s]) ** 2 for s in seeds) for p in points if p not in seeds}
+        seeds.append(min(weight, key=lambda p: (-math.log(u(cluster, p)) / weight[p] if weight[p] else math.inf, p)))
+    return seeds
+
+
+@pytest.mark.parametrize("max_iter", [300, 1])
+def test_kmeans_with_drawn_starts(spark, max_iter):
+    """Seeds, rounds and the choice among the starts, with coordinates and plain loops."""
+    draw = random.Random(8)
+    points = {f"p{i}": [draw.gauss(2 * (i % 4), 1) for _ in range(3)] for i in range(12)}
+    points["p12"] = points["p0"]  # no weight beside p0
+    rows = [(p, q, math.dist(x, y) ** 2) for p, x in points.items() for q, y in points.items()]
+    d = spark.createDataFrame(rows, "p string, q string, d2 double").cache()
+    names = spark.createDataFrame([(p,) for p in points], "property string")
+    found = kmeans_starts(d, names, Workspace(spark), k_max=6, starts=4, seed="7", max_iter=max_iter).collect()
+    for k in range(2, 7):
+        ends = []
+        for start in range(4):
+            label = lloyd(points, drawn_seeds(points, start, k), 30 if max_iter > 30 else max_iter)
+            spent = 0.0
+            for c in set(label.values()):
+                inside = [points[p] for p in points if label[p] == c]
+                centre = [sum(x) / len(inside) for x in zip(*inside)]
+                spent += sum(math.dist(x, centre) ** 2 for x in inside)
+            ends.append((round(spent, 9), start, label))
+        spent, start, label = min(ends, key=lambda e: e[:2])
+        own = [r for r in found if r.k == k]
+        assert {r.start for r in own} == {start} and own[0].inertia == pytest.approx(spent)
+        assert {r.property: r.cluster for r in own} == label
+
+
+def test_clustering_with_drawn_starts(spark, example):
+    d, names, work = distances(spark, example, majority_vote(example))
+    assert sorted(map(tuple, best_blocks(d, names, work, starts=3).collect())) == [("p1", "p1"), ("p1", "p3"), ("p2", "p2")]
+    assert kmeans_starts(d, names.where("property = 'p1'"), work).first().cluster == 0
+
+
+def test_many_properties(spark):
+    """A table of names: nothing in the plan grows with their number."""
+    claims = spark.range(3000).select(F.lit("o").alias("object"), F.concat(F.lit("p"), "id").alias("property"), F.lit("v").alias("value"),
+                                      F.concat(F.lit("s"), F.col("id") % 50).alias("source"))
+    work = Workspace(spark)
+    names = work.keep(property_table(claims), "names")
+    found = property_distance(truth_matrix(claims, claims.select("object", "property", "value")), names, work)
+    assert len(found._jdf.queryExecution().logical().toString()) < 20_000
+    assert found.count() == 9_000_000
+    assert found.where("p <> q AND d2 = 0").count() == 3000 * 59 and found.where("d2 = 2").count() == 9_000_000 - 3000 * 60
+    with pytest.raises(ValueError):
+        property_names(claims, 100)
+
+
 def test_best_k_prefers_the_smallest(spark):
     rows = [(2, 0.5), (3, 0.5 + 1e-12), (4, 0.4)]
     assert best_k(spark.createDataFrame(rows, "k int, silhouette double")).first().k == 2

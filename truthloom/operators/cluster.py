@@ -7,9 +7,13 @@ Points are properties, so these tables are tiny next to the claims they come fro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from truthloom.functions.draws import draw
 from truthloom.functions.scores import tie_key
 from truthloom.plans.workspace import Workspace
 
@@ -18,60 +22,123 @@ from truthloom.plans.workspace import Workspace
 MAX_ITER = 300
 
 
-def spread_out_seeds(distances: DataFrame, first: str, count: int) -> list[str]:
-    """Farthest-first seeds: each next one is farthest from those chosen, ties by name.
+def farthest(d2: Column, start: Column, cluster: int, point: Column) -> Column:
+    """Farthest-first: the next seed is farthest from those chosen; the same in every start."""
+    return -d2
+
+
+def drawn(seed: str) -> Callable:
+    """The next seed is drawn with a chance in proportion to its squared distance from those chosen.
+
+    Of points with weights w and uniform draws u, the one with the smallest -ln(u) / w is such a draw; u is a hash
+    of its key, so all starts draw at once and a lost task draws the same.  Points without weight come last.
+    """
+    def order(d2: Column, start: Column, cluster: int, point: Column) -> Column:
+        u = (draw(seed, start.cast("string"), str(cluster), point) + 0.5) / F.lit(float(2**32))
+        return F.when(d2 > 0, -F.log(u) / d2).otherwise(F.lit(float("inf")))
+
+    return order
+
+
+def seed_table(distances: DataFrame, first: DataFrame, count: int, work: Workspace, order: Callable) -> DataFrame:
+    """``start, cluster, q``: ``count`` seeds of every start, numbered from the one in ``first`` (start, q) on.
 
-    One name per step comes to the driver.
+    The seeds of fewer clusters are the first ones of this list.  Seeds stay in tables: a step reads the
+    squared distance of every other point to its nearest seed and takes the first one by ``order``, ties by name.
     """
-    seeds = [first]
-    while len(seeds) < count:
-        nearest = (
-            distances.where(F.col("q").isin(seeds) & ~F.col("p").isin(seeds))
-            .groupBy("p").agg(F.min("d2").alias("d2"))
-        )
-        seeds.append(nearest.orderBy(F.desc("d2"), "p").first().p)
+    first = work.keep(first, "seed-0")
+    seeds = first.select("start", F.lit(0).alias("cluster"), "q")
+    near = distances.where("p <> q").join(first, "q").select("start", "p", "d2")
+    for cluster in range(1, count):
+        near = work.keep(near, f"nearest-{cluster}")
+        rank = order(F.col("d2"), F.col("start"), cluster, F.col("p"))
+        picked = near.groupBy("start").agg(F.min(F.struct(rank.alias("rank"), F.col("p"))).alias("pick")).select("start", F.col("pick.p").alias("q"))
+        seeds = seeds.unionByName(picked.withColumn("cluster", F.lit(cluster)))
+        others = near.join(picked, "start").where("p <> q")
+        fresh = distances.withColumnRenamed("d2", "new")
+        near = others.join(fresh, ["p", "q"]).select("start", "p", F.least("d2", "new").alias("d2"))
     return seeds
 
 
+def _nearest_seeds(distances: DataFrame, seeds: DataFrame, k_max: int) -> DataFrame:
+    """``start, k, property, cluster``: every point with its nearest seed, for every number of seeds."""
+    ks = F.explode(F.sequence(F.greatest(F.col("cluster") + 1, F.lit(2)), F.lit(k_max)))
+    nearest = F.min(F.struct("d2", "cluster")).alias("nearest")
+    return distances.join(seeds, "q").withColumn("k", ks).groupBy("start", "k", "p").agg(nearest).select(
+        "start", "k", F.col("p").alias("property"), F.col("nearest.cluster").alias("cluster")
+    )
+
+
+def _to_centres(assigned: DataFrame, distances: DataFrame) -> DataFrame:
+    """``start, k, p, cluster, was, to_centre``: squared distance of every point to every centre, and its cluster."""
+    members = assigned.select("start", "k", F.col("property").alias("q"), "cluster")
+    mean = members.join(distances, "q").groupBy("start", "k", "p", "cluster").agg(F.avg("d2").alias("mean"))
+    own = assigned.select("start", "k", F.col("property").alias("p"), F.col("cluster").alias("was"))
+    placed = mean.join(own, ["start", "k", "p"])
+    inner = placed.where(F.col("was") == F.col("cluster")).groupBy("start", "k", "cluster").agg(F.avg("mean").alias("inner"))
+    return placed.join(inner, ["start", "k", "cluster"]).withColumn("to_centre", F.col("mean") - F.col("inner") / 2)
+
+
 def _reassign(assigned: DataFrame, distances: DataFrame) -> DataFrame:
     """One round: every point to the nearest cluster centre, ties to the lower cluster."""
-    members = assigned.select("k", F.col("property").alias("q"), "cluster")
-    mean = members.join(distances, "q").groupBy("k", "p", "cluster").agg(F.avg("d2").alias("mean"))
-    own = assigned.select("k", F.col("property").alias("p"), F.col("cluster").alias("was"))
-    placed = mean.join(own, ["k", "p"])
-    inner = placed.where(F.col("was") == F.col("cluster")).groupBy("k", "cluster").agg(F.avg("mean").alias("inner"))
-    to_centre = F.col("mean") - F.col("inner") / 2
-    nearest = F.min(F.struct(tie_key(to_centre).alias("d"), F.col("cluster"))).alias("nearest")
-    return placed.join(inner, ["k", "cluster"]).groupBy("k", "p").agg(nearest, F.first("was").alias("was")).select(
-        "k", F.col("p").alias("property"), F.col("nearest.cluster").alias("cluster"),
+    nearest = F.min(F.struct(tie_key(F.col("to_centre")).alias("d"), F.col("cluster"))).alias("nearest")
+    return _to_centres(assigned, distances).groupBy("start", "k", "p").agg(nearest, F.first("was").alias("was")).select(
+        "start", "k", F.col("p").alias("property"), F.col("nearest.cluster").alias("cluster"),
         (F.col("nearest.cluster") != F.col("was")).alias("moved"),
     )
 
 
-def kmeans_sweep(distances: DataFrame, properties: list[str], work: Workspace,
-                 k_max: int | None = None, max_iter: int = MAX_ITER) -> DataFrame:
-    """``k, property, cluster`` for every k from 2 to ``k_max`` (by default one less than the points),
-    each repeated until no point moves."""
-    k_max = len(properties) - 1 if k_max is None else k_max
-    if k_max < 2:
-        return distances.select(F.lit(1).alias("k"), F.col("p").alias("property"), F.lit(0).alias("cluster")).distinct()
-    seeds = spread_out_seeds(distances, min(properties), k_max)
-    numbered = F.array(*[F.struct(F.lit(i).alias("cluster"), F.lit(s).alias("q")) for i, s in enumerate(seeds)])
-    seed_table = distances.sparkSession.range(1).select(F.inline(numbered))
-    ks = F.explode(F.sequence(F.greatest(F.col("cluster") + 1, F.lit(2)), F.lit(k_max)))
-    nearest = F.min(F.struct("d2", "cluster")).alias("nearest")
-    start = (
-        distances.join(F.broadcast(seed_table), "q").withColumn("k", ks)
-        .groupBy("k", "p").agg(nearest)
-        .select("k", F.col("p").alias("property"), F.col("nearest.cluster").alias("cluster"))
-    )
-    assigned = work.keep(start, "clusters-0")
+def _settle(assigned: DataFrame, distances: DataFrame, work: Workspace, max_iter: int) -> tuple[DataFrame, bool]:
+    """Reassign points until none moves, ``max_iter`` times at most; and whether they have come to rest."""
+    assigned = work.keep(assigned, "clusters-0")
     for number in range(1, max_iter + 1):
         following = work.keep(_reassign(assigned, distances), f"clusters-{number}")
         assigned = following.drop("moved")
         if following.where("moved").isEmpty():
-            return assigned
-    raise RuntimeError(f"points still move after {max_iter} rounds")
+            return assigned, True
+    return assigned, False
+
+
+def _one_cluster(names: DataFrame) -> DataFrame:
+    return names.select(F.lit(1).alias("k"), "property", F.lit(0).alias("cluster"))
+
+
+def kmeans_sweep(distances: DataFrame, names: DataFrame, work: Workspace,
+                 k_max: int | None = None, max_iter: int = MAX_ITER) -> DataFrame:
+    """``k, property, cluster`` for every k from 2 to ``k_max`` (by default one less than the points),
+    each repeated until no point moves."""
+    k_max = names.count() - 1 if k_max is None else k_max
+    if k_max < 2:
+        return _one_cluster(names)
+    first = names.agg(F.min("property").alias("q")).select(F.lit(0).alias("start"), "q")
+    seeds = seed_table(distances, first, k_max, work, farthest)
+    assigned, settled = _settle(_nearest_seeds(distances, seeds, k_max), distances, work, max_iter)
+    if not settled:
+        raise RuntimeError(f"points still move after {max_iter} rounds")
+    return assigned.drop("start")
+
+
+def kmeans_starts(distances: DataFrame, names: DataFrame, work: Workspace, k_max: int | None = None,
+                  starts: int = 10, seed: str = "10", max_iter: int = MAX_ITER) -> DataFrame:
+    """``k, property, cluster, start, inertia``: of several starts with drawn seeds the one with the least inertia.
+
+    Inertia is the sum of squared distances to the centres; equal ones (to nine places) go to the first start.  All
+    starts and all k are worked on in the same jobs.  After ``max_iter`` rounds points stay where they
+    are, moving or not.  A cluster that loses all its points stays empty.
+    """
+    k_max = names.count() - 1 if k_max is None else k_max
+    if k_max < 2:
+        return _one_cluster(names).withColumns({"start": F.lit(0), "inertia": F.lit(None).cast("double")})
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))
+    each = names.select(numbers.alias("start"), "property")
+    key = F.struct(draw(seed, F.col("start").cast("string"), "0", F.col("property")).alias("u"), F.col("property").alias("q"))
+    first = each.groupBy("start").agg(F.min(key).alias("first")).select("start", "first.q")
+    seeds = seed_table(distances, first, k_max, work, drawn(seed))
+    assigned, _ = _settle(_nearest_seeds(distances, seeds, k_max), distances, work, max_iter)
+    spent = _to_centres(assigned, distances).where("was = cluster").groupBy("start", "k").agg(F.sum("to_centre").alias("inertia"))
+    least = F.min(F.struct(tie_key(F.col("inertia")).alias("rank"), "start", "inertia")).alias("least")
+    chosen = spent.groupBy("k").agg(least).select("k", "least.start", "least.inertia")
+    return assigned.join(chosen, ["k", "start"]).select("k", "property", "cluster", "start", "inertia")
 
 
 def silhouette_by_k(assigned: DataFrame, distances: DataFrame) -> DataFrame:
@@ -109,15 +176,17 @@ def labels_to_partition(assigned: DataFrame) -> DataFrame:
     return blocks.groupBy("k").agg(F.array_sort(F.collect_list("block")).alias("partition"))
 
 
-def best_blocks(distances: DataFrame, properties: list[str], work: Workspace,
-                max_iter: int = MAX_ITER, k_max: int | None = None) -> DataFrame:
+def best_blocks(distances: DataFrame, names: DataFrame, work: Workspace, max_iter: int = MAX_ITER,
+                k_max: int | None = None, starts: int | None = None, seed: str = "10") -> DataFrame:
     """``block_id, property`` of the clustering with the best silhouette.
 
-    Two or fewer properties leave nothing to compare: they form one block.
+    Seeds are farthest-first, or drawn in several ``starts``.  Two or fewer properties leave nothing to compare: they form one block.
     """
-    if len(properties) <= 2:
-        only = F.array(*[F.lit(p) for p in properties])
-        return distances.sparkSession.range(1).select(F.lit(min(properties)).alias("block_id"), F.explode(only).alias("property"))
-    assigned = kmeans_sweep(distances, properties, work, k_max, max_iter)
+    if names.count() <= 2:
+        return names.select(F.min("property").over(W.partitionBy(F.lit(0))).alias("block_id"), "property")
+    if starts is None:
+        assigned = kmeans_sweep(distances, names, work, k_max, max_iter)
+    else:
+        assigned = work.keep(kmeans_starts(distances, names, work, k_max, starts, seed, max_iter).select("k", "property", "cluster"), "chosen")
     chosen = best_k(silhouette_by_k(assigned, distances))
     return labels_to_blocks(assigned).join(chosen, "k").select("block_id", "property")

@@ -23,40 +23,38 @@ def truth_matrix(claims: DataFrame, found: DataFrame, hot_facts: DataFrame | Non
     return joined.select("property", *CELL)
 
 
-def property_names(claims: DataFrame, limit: int | None = None) -> list[str]:
-    """The distinct property names, sorted; with ``limit`` refuses to list more than that.
+def property_table(claims: DataFrame) -> DataFrame:
+    """``property``: every name once."""
+    return claims.select("property").distinct()
 
-    Properties are the columns of the data, and the distance table has a row per pair of them.
-    """
-    names = claims.select("property").distinct()
-    rows = (names if limit is None else names.limit(limit + 1)).collect()
-    if limit is not None and len(rows) > limit:
+
+def property_names(claims: DataFrame, limit: int) -> list[str]:
+    """The property names, sorted, if there are no more than ``limit``."""
+    rows = property_table(claims).limit(limit + 1).collect()
+    if len(rows) > limit:
         raise ValueError(f"more than {limit} properties")
     return sorted(row.property for row in rows)
 
 
-def property_distance(matrix: DataFrame, properties: list[str], work: Workspace) -> DataFrame:
+def property_distance(matrix: DataFrame, names: DataFrame, work: Workspace) -> DataFrame:
     """``p, q, d2``: squared Euclidean distance of every ordered pair of matrix rows.
 
     d2 = ones(p) + ones(q) - 2 * both(p, q).  Cells with the same set of properties are
-    counted together (at most 2^properties sets), so pairs are formed per set, not per cell.
+    counted together, so pairs are formed per set, not per cell.  ``names`` has a row per property; the
+    result has one per pair, so the rows of the names table are paired with each other.
     """
     matrix = work.keep(matrix, "matrix")
     cells = units_with_sets(matrix, CELL, "property")
     sets = work.keep(distinct_sets(cells, CELL), "cell-sets")
     members = work.keep(set_members(matrix, sets, CELL, "property"), "cell-properties")
     sets = sets.drop("unit")
-    both = pair_counts(members, sets, "property", [], biggest=len(properties))
-    ones = members.join(sets, SET).groupBy("property").agg(F.sum("n").alias("ones"))
-    names = F.array(*[F.lit(name) for name in properties])
-    grid = matrix.sparkSession.range(1).select(F.explode(names).alias("p")).select("p", F.explode(names).alias("q"))
+    both = pair_counts(members, sets, "property", [])
+    counted = members.join(sets, SET).groupBy("property").agg(F.sum("n").alias("ones"))
+    ones = work.keep(names.join(counted, "property", "left").fillna(0, ["ones"]), "ones")
     ones_p = ones.select(F.col("property").alias("p"), F.col("ones").alias("ones_p"))
     ones_q = ones.select(F.col("property").alias("q"), F.col("ones").alias("ones_q"))
     shared = both.select(F.col("m1").alias("lo"), F.col("m2").alias("hi"), F.col("n").alias("both"))
-    keyed = grid.withColumns({"lo": F.least("p", "q"), "hi": F.greatest("p", "q")})
-    joined = (
-        keyed.join(ones_p, "p", "left").join(ones_q, "q", "left").join(shared, ["lo", "hi"], "left")
-        .fillna(0, ["ones_p", "ones_q", "both"])
-    )
+    keyed = ones_p.crossJoin(ones_q).withColumns({"lo": F.least("p", "q"), "hi": F.greatest("p", "q")})
+    joined = keyed.join(shared, ["lo", "hi"], "left").fillna(0, ["both"])
     d2 = F.when(F.col("p") == F.col("q"), F.lit(0)).otherwise(F.col("ones_p") + F.col("ones_q") - 2 * F.col("both"))
     return joined.select("p", "q", d2.cast("double").alias("d2"))

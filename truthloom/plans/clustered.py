@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from truthloom.operators.cluster import MAX_ITER, best_blocks
-from truthloom.operators.matrix import property_distance, property_names, truth_matrix
+from truthloom.operators.matrix import property_distance, property_table, truth_matrix
 from truthloom.operators.votes import best_values
 from truthloom.plans.accuracy import depen
 from truthloom.plans.claimbase import ClaimBase
@@ -48,24 +48,27 @@ def clustered_truth(
     threshold: float = 1e-6,
     max_iter: int = MAX_ITER,
     k_max: int | None = None,
+    starts: int | None = None,
+    seed: str = "10",
     deduped: bool = False,
 ) -> ClusteredResult:
     """Vote, cluster the properties by their truth-matrix rows, resolve each cluster on its
     own, and repeat with the new truths.
 
     Stops when the partition comes back unchanged or when the matrix has moved less than
-    ``threshold`` from the first one.
+    ``threshold`` from the first one.  The seeds of the clustering are farthest-first, or drawn in several
+    ``starts``.
     """
     base = ClaimBase.of(claims, deduped=deduped)
     work = base.work
-    names = property_names(base.facts)
+    names = work.keep(property_table(base.facts), "names")
     votes = base.votes_per_value()
     truths = first = work.keep(best_values(votes).select(*FACT), "voted")
     partition, result, blocks, rounds = None, None, None, 0
     for _ in range(max_iter_part_check):
         matrix = truth_matrix(base.claims, truths, base.hot_facts)
         distances = work.keep(property_distance(matrix, names, work), "distances")
-        blocks_now = work.keep(best_blocks(distances, names, work, max_iter, k_max), "blocks")
+        blocks_now = work.keep(best_blocks(distances, names, work, max_iter, k_max, starts, seed), "blocks")
         partition_now = sorted((row.block_id, row.property) for row in blocks_now.collect())
         if partition is not None and (
             partition_now == partition or matrix_distance(votes, truths, first) < threshold
