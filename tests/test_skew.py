@@ -5,9 +5,14 @@ import random
 import plain
 import pytest
 
+from pyspark.sql import functions as F
+
 from truthloom import accuracy_model, truth_finder
-from truthloom.operators import skew
+from truthloom.operators import dependence, skew
+from truthloom.operators.selection import at_positions
+from truthloom.operators.votes import best_values
 from truthloom.plans.claimbase import ClaimBase
+from truthloom.plans.workspace import Workspace
 
 SCHEMA = "object string, property string, value string, source string"
 
@@ -98,6 +103,54 @@ def test_hot_pairs_count_sets(spark, monkeypatch):
     assert sorted((r.s1, r.s2) for r in base.hot_pairs.collect()) == [("c", "d"), ("d", "c")]
 
 
+def largest_groups(df, keys):
+    """Rows that meet in one task at most, were every join key a task of its own."""
+    return max(r["count"] for r in df.groupBy(*keys).count().collect())
+
+
+def test_a_hub_source_is_cut(spark, monkeypatch):
+    """One source shares an item with each of 120 others, which share none among themselves."""
+    claims = [(f"x{i}", "p", v, s) for i in range(120) for v, s in (("a", "hub"), ("a" if i % 3 else "b", f"s{i:03d}"))]
+    frame = spark.createDataFrame(claims, SCHEMA)
+    want_trust, want_truths = plain.accuracy(claims, "ACCU", 2)
+    joined, inner = [], skew.spread_join
+
+    def spy(big, small, keys, hot, hot_on, by, how="inner"):
+        if hot is not None and hot_on in (["s1"], ["s2"]):
+            pieces = F.coalesce(F.col("pieces"), F.lit(1))
+            joined.append(big.join(hot, hot_on, "left").withColumn("piece", F.pmod(F.xxhash64(by), pieces)).select(*hot_on, "piece"))
+        return inner(big, small, keys, hot, hot_on, by, how)
+
+    monkeypatch.setattr(skew, "FLOOR", 20)
+    monkeypatch.setattr(dependence, "spread_join", spy)
+    base = ClaimBase.of(frame, deduped=True)
+    trust, truths = found(accuracy_model(base, "ACCU", max_iterations=2, threshold=0.0))
+    assert trust == pytest.approx(want_trust, abs=1e-9) and truths == want_truths
+    assert [(r.s1, r.pieces) for r in base.hub_sources.collect()] == [("hub", 6)]
+    assert len(joined) >= 6 and all(largest_groups(rows, rows.columns) <= 40 for rows in joined)
+
+
+@pytest.mark.parametrize("floor", [10**6, 50])
+def test_row_at_a_position(spark, monkeypatch, floor):
+    """Places in groups of very different sizes, and the sizes of what is ranked."""
+    monkeypatch.setattr(skew, "FLOOR", floor)
+    sizes = {"big": 3000, "mid": 70, "one": 1, "two": 2}
+    rows = [(k, f"v{i:05d}", (n * 7) // 10) for k, n in sizes.items() for i in range(n)] + [(None, "v", 0), ("none", "v", 5)]
+    random.Random(2).shuffle(rows)
+    frame = spark.createDataFrame(rows, "key string, value string, position long").where("key IS NOT NULL")
+    got = at_positions(frame, ["key"], "value", "position", Workspace(spark))
+    assert {r.key: r.value for r in got.collect()} == {k: f"v{n * 7 // 10:05d}" for k, n in sizes.items()}
+    assert got.columns == frame.columns
+
+
+def test_an_item_with_very_many_tied_values(spark, monkeypatch):
+    """A million values with one vote each: ranges are counted, one of them is ranked."""
+    claims = spark.range(1_000_000).select(F.lit("o").alias("object"), F.lit("p").alias("property"),
+                                           F.format_string("v%07d", "id").alias("value"), F.col("id").cast("string").alias("source"))
+    row = best_values(claims.select("object", "property", "value", F.lit(1).alias("votes")), tie="seeded").collect()
+    assert [r.value for r in row] == [f"v{random.Random(10).choice(range(1_000_000)):07d}"]
+
+
 def test_a_model_needs_a_round(table):
     with pytest.raises(ValueError, match="round"):
         truth_finder(table, max_iterations=0)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from truthloom.functions.scores import accuracy_log_odds, dependence_posterior, tie_key
+from truthloom.operators.skew import spread_join
 
 
 def agreement(pairs: DataFrame, true_pairs: DataFrame, group: list[str]) -> DataFrame:
@@ -34,14 +35,16 @@ def both_directions(pairs: DataFrame) -> DataFrame:
     return pairs.select(*rest, F.inline(ends)).select("s1", "s2", *rest)
 
 
-def dependence(pairs: DataFrame, trust: DataFrame, group: list[str],
-               c: float = 0.3, n: float = 100, alpha: float = 0.5) -> DataFrame:
-    """Directed dependence ``dep`` of s1 on s2, judged by the error rate of s1."""
+def dependence(pairs: DataFrame, trust: DataFrame, group: list[str], c: float = 0.3, n: float = 100,
+               alpha: float = 0.5, hubs: DataFrame | None = None) -> DataFrame:
+    """Directed dependence ``dep`` of s1 on s2, judged by the error rate of s1.
+
+    ``hubs`` (s1, pieces) names sources with more pairs than a task may take, here and below.
+    """
     mine = trust.select(*group, F.col("source").alias("s1"), "trust")
     posterior = dependence_posterior(F.col("trust"), F.col("kt"), F.col("kf"), F.col("kd"), c, n, alpha)
     return (
-        both_directions(pairs)
-        .join(mine, [*group, "s1"])
+        spread_join(both_directions(pairs), mine, [*group, "s1"], hubs, ["s1"], F.col("s2"))
         .select(*group, "s1", "s2", "kt", "kf", "kd", posterior.alias("dep"))
     )
 
@@ -50,7 +53,7 @@ def max_dependence(dep: DataFrame, group: list[str] = ()) -> DataFrame:
     return dep.groupBy(*group, F.col("s1").alias("source")).agg(F.max("dep").alias("max_dep"))
 
 
-def ranked_before(dep: DataFrame, group: list[str], order: str) -> DataFrame:
+def ranked_before(dep: DataFrame, group: list[str], order: str, hubs: DataFrame | None = None) -> DataFrame:
     """Keep the rows of ``dep`` whose s2 ranks before s1.
 
     ``order="dependence"``: by greatest dependence, descending, then by name.
@@ -66,18 +69,20 @@ def ranked_before(dep: DataFrame, group: list[str], order: str) -> DataFrame:
     earlier = (F.col("max2") > F.col("max1")) | (
         (F.col("max2") == F.col("max1")) & (F.col("s2") < F.col("s1"))
     )
-    return dep.join(first, [*group, "s1"]).join(second, [*group, "s2"]).where(earlier).drop("max1", "max2")
+    from_s1 = spread_join(dep, first, [*group, "s1"], hubs, ["s1"], F.col("s2"))
+    to_s2 = None if hubs is None else hubs.withColumnRenamed("s1", "s2")
+    return spread_join(from_s1, second, [*group, "s2"], to_s2, ["s2"], F.col("s1")).where(earlier).drop("max1", "max2")
 
 
 def vote_factors(dep: DataFrame, trust: DataFrame, group: list[str], algo: str,
-                 c: float, n: float, order: str) -> DataFrame:
+                 c: float, n: float, order: str, hubs: DataFrame | None = None) -> DataFrame:
     """``group, s1, s2, factor`` whose product over s2 is the discounted vote of s1.
 
     A predecessor s2 contributes 1 - c * dep(s1, s2); the row with s2 = s1 contributes the
     undiscounted vote: 1 for DEPEN, the log-odds of the source's trust for the others.
     Pairs that never agree never meet inside a value and are left out.
     """
-    before = ranked_before(dep, group, order).where(F.col("kt") + F.col("kf") > 0)
+    before = ranked_before(dep, group, order, hubs).where(F.col("kt") + F.col("kf") > 0)
     vote = F.lit(1.0) if algo == "DEPEN" else accuracy_log_odds(F.col("trust"), n)
     own = trust.select(*group, F.col("source").alias("s1"), F.col("source").alias("s2"), vote.alias("factor"))
     return before.select(*group, "s1", "s2", (1 - F.lit(float(c)) * F.col("dep")).alias("factor")).unionByName(own)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from truthloom.functions.draws import seeded_index
+from truthloom.operators.selection import at_positions
+from truthloom.operators.skew import hot_keys, spread_join
+from truthloom.plans.workspace import Workspace
 from truthloom.schema import FACT, ITEM
 
 
@@ -15,15 +17,23 @@ def vote_counts(claims: DataFrame) -> DataFrame:
     return claims.groupBy(*FACT).agg(F.count(F.lit(1)).alias("votes"))
 
 
-def tied_values(scored: DataFrame, score: str = "votes") -> DataFrame:
+def _hot_items(scored: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame | None]:
+    """The scores as a table, and its items with more values than a task may take."""
+    scored = work.keep(scored, "scores")
+    sizes = scored.groupBy(*ITEM).agg(F.count(F.lit(1)).alias("n_values"))
+    return scored, hot_keys(lambda: sizes, ITEM, "n_values", scored.count())
+
+
+def tied_values(scored: DataFrame, score: str = "votes", work: Workspace | None = None) -> DataFrame:
     """One row per value that reaches the top score of its item, with the tie size.
 
     Ties are rows, not an array: an item may have any number of tied values.
     """
+    scored, hot = _hot_items(scored.select(*FACT, score), work or Workspace(scored.sparkSession))
     top = scored.groupBy(*ITEM).agg(F.max(score).alias("top"))
-    tied = scored.join(top, ITEM).where(F.col(score) == F.col("top"))
+    tied = spread_join(scored, top, ITEM, hot, ITEM, F.col("value")).where(F.col(score) == F.col("top"))
     size = tied.groupBy(*ITEM).agg(F.count(F.lit(1)).alias("n_tied"))
-    return tied.join(size, ITEM).select(*FACT, score, "n_tied")
+    return spread_join(tied, size, ITEM, hot, ITEM, F.col("value")).select(*FACT, score, "n_tied")
 
 
 def best_values(scored: DataFrame, score: str = "votes", tie: str = "min", seed: int = 10) -> DataFrame:
@@ -38,10 +48,9 @@ def best_values(scored: DataFrame, score: str = "votes", tie: str = "min", seed:
         return won.select(*ITEM, F.col("best.value").alias("value"), (-F.col("best.below")).alias(score))
     if tie != "seeded":
         raise ValueError(f"unknown tie policy {tie!r}")
-    tied = tied_values(scored, score)
-    place = F.row_number().over(W.partitionBy(*ITEM).orderBy("value")) - 1
-    picked = seeded_index(F.col("n_tied"), seed)
-    return tied.withColumn("place", place).where(F.col("place") == picked).select(*FACT, score)
+    work = Workspace(scored.sparkSession)
+    tied = tied_values(scored, score, work).withColumn("pick", seeded_index(F.col("n_tied"), seed))
+    return at_positions(tied, ITEM, "value", "pick", work).select(*FACT, score)
 
 
 def majority_vote(claims: DataFrame, tie: str = "min", seed: int = 10) -> DataFrame:

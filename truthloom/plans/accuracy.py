@@ -20,14 +20,14 @@ ALGORITHMS = ("DEPEN", "ACCU", "ACCUSIM")
 def majority_sets(base: ClaimBase, tie: str = "min", seed: int = 10) -> DataFrame:
     """``block, SET, n_true`` when the majority value of each item is taken as true."""
     votes = base.facts.withColumns({"block_id": F.lit(0), "score": F.col("set_size").cast("double")})
-    true_facts = with_outcome(votes, base.hot_items, tie, seed).where("is_best").select(*ITEM, *SET)
+    true_facts = with_outcome(votes, base.hot_items, tie, seed, base.work).where("is_best").select(*ITEM, *SET)
     return base.in_blocks(true_facts).groupBy(*BLOCK, *SET).agg(F.count(F.lit(1)).alias("n_true"))
 
 
 def source_dependence(base: ClaimBase, sets: DataFrame, trust: DataFrame, c: float, n: float, alpha: float) -> DataFrame:
     """Dependence of every ordered pair of sources that share an item."""
     counts = agreement(base.pairs, base.true_pairs(sets), BLOCK)
-    return dependence(counts, trust, BLOCK, c, n, alpha)
+    return dependence(counts, trust, BLOCK, c, n, alpha, base.hub_sources)
 
 
 def discounted_votes(base: ClaimBase, factors: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def accuracy_model(
     biggest = base.biggest_item if similarity == "numeric" else None
 
     def step(state: Round, number: int) -> Round:
-        factors = vote_factors(state.dependence, state.trust, BLOCK, algo, c, n, order)
+        factors = vote_factors(state.dependence, state.trust, BLOCK, algo, c, n, order, base.hub_sources)
         scores = base.work.keep(discounted_votes(base, factors), f"scores-{number}")
         spelled = algo == "ACCUSIM" and similarity == "char"
         facts = base.scored_facts(scores, spelled)
@@ -89,11 +89,11 @@ def accuracy_model(
             facts = implied_scores(facts, rho, similarity, BLOCK, base.hot_items, biggest)
             if base.hot_items is not None or tie != "min":
                 facts = base.work.keep(facts, f"implied-{number}")
-            judged = facts = base.work.keep(with_outcome(facts, base.hot_items, tie, seed), f"facts-{number}")
+            judged = facts = base.work.keep(with_outcome(facts, base.hot_items, tie, seed, base.work), f"facts-{number}")
         else:
             if base.hot_items is not None or tie != "min":
                 facts = base.work.keep(facts, f"scored-{number}")
-            judged = with_outcome(facts, base.hot_items, tie, seed)
+            judged = with_outcome(facts, base.hot_items, tie, seed, base.work)
         sets = judged.groupBy(*BLOCK, *SET).agg(
             F.count(F.lit(1)).alias("n_facts"),
             F.sum("probability").alias("total"),

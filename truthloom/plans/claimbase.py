@@ -246,6 +246,16 @@ class ClaimBase:
         found = hot_keys(lambda: sizes, ["s1", "s2"], "n", total)
         return None if found is None else self.work.keep(found, "hot-pairs")
 
+    @cached_property
+    def hub_sources(self) -> DataFrame | None:
+        """Sources that share items with very many others; ``None`` while no source can."""
+        total = 2 * self.pairs.count()
+        if total <= skew.FLOOR:
+            return None
+        met = both_directions(self.pairs.select(*BLOCK, "s1", "s2")).groupBy("s1").agg(F.count(F.lit(1)).alias("n"))
+        found = hot_keys(lambda: met, ["s1"], "n", total)
+        return None if found is None else self.work.keep(found, "hub-sources")
+
     def initial_trust(self, trust: float) -> DataFrame:
         """Every source of every block starts with the same trust."""
         seen = self.block_members().select(*BLOCK, "source").distinct()

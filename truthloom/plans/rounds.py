@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from truthloom.functions.draws import seeded_index
 from truthloom.functions.scores import log_bucket, log_of_buckets, scaled_exp, tie_key
-from truthloom.operators.skew import spread_join
+from truthloom.operators.selection import at_positions
 from truthloom.operators.sets import SET
+from truthloom.operators.skew import spread_join
 from truthloom.plans.claimbase import BLOCK, ClaimBase
+from truthloom.plans.workspace import Workspace
 from truthloom.schema import FACT, ITEM
 
 TIES = ("min", "seeded")
@@ -140,21 +142,19 @@ def item_outcome(scored: DataFrame) -> DataFrame:
     return whole.select(*keys, "log_mass", F.col("won.value").alias("best_value"))
 
 
-def seeded_winners(scored: DataFrame, hot_items: DataFrame | None, seed: int) -> DataFrame:
-    """``block, item, value`` at the position that a seeded choice picks among the tied values.
-
-    Only tied values are ranked, within their item.
-    """
+def seeded_winners(scored: DataFrame, hot_items: DataFrame | None, seed: int, work: Workspace) -> DataFrame:
+    """``block, item, value`` at the position that a seeded choice picks among the tied values."""
     keys = [*BLOCK, *ITEM]
     tie = tie_key(F.col("score"))
     top = scored.groupBy(*keys).agg(F.max(tie).alias("top"))
-    tied = spread_join(scored, top, keys, hot_items, ITEM, F.col("value")).where(tie == F.col("top"))
-    item = W.partitionBy(*keys)
-    placed = tied.select(*keys, "value", F.count(F.lit(1)).over(item).alias("n"), F.row_number().over(item.orderBy("value")).alias("place"))
-    return placed.where(F.col("place") - 1 == seeded_index(F.col("n"), seed)).select(*keys, "value")
+    tied = spread_join(scored, top, keys, hot_items, ITEM, F.col("value")).where(tie == F.col("top")).select(*keys, "value")
+    sizes = tied.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tied")).withColumn("pick", seeded_index(F.col("n_tied"), seed))
+    placed = spread_join(tied, sizes, keys, hot_items, ITEM, F.col("value")).select(*keys, "value", "pick")
+    return at_positions(placed, keys, "value", "pick", work).select(*keys, "value")
 
 
-def with_outcome(scored: DataFrame, hot_items: DataFrame | None = None, tie: str = "min", seed: int = 10) -> DataFrame:
+def with_outcome(scored: DataFrame, hot_items: DataFrame | None = None, tie: str = "min", seed: int = 10,
+                 work: Workspace | None = None) -> DataFrame:
     """Add the softmax probability of each fact and whether it wins its item.
 
     ``tie="min"`` prefers the smallest tied value, ``tie="seeded"`` a seeded choice; then
@@ -168,7 +168,7 @@ def with_outcome(scored: DataFrame, hot_items: DataFrame | None = None, tie: str
         raise ValueError(f"unknown tie policy {tie!r}")
     keys = [*BLOCK, *ITEM]
     if tie == "seeded":
-        picked = seeded_winners(scored, hot_items, seed).withColumn("picked", F.lit(True))
+        picked = seeded_winners(scored, hot_items, seed, work or Workspace(scored.sparkSession)).withColumn("picked", F.lit(True))
         judged = with_outcome(scored, hot_items).drop("is_best").join(picked, [*keys, "value"], "left")
         return judged.withColumn("is_best", F.coalesce("picked", F.lit(False))).drop("picked")
     if hot_items is not None:
@@ -216,7 +216,7 @@ def result_of(base: ClaimBase, state: Round, rounds: int, tie: str = "min", seed
     if tie == "min":
         truths = item_outcome_best(state.facts)
     else:
-        picked = seeded_winners(confidence, base.hot_items, seed)
+        picked = seeded_winners(confidence, base.hot_items, seed, base.work)
         truths = confidence.join(picked, [*BLOCK, *FACT], "left_semi").withColumnRenamed("score", "confidence")
     named = confidence.withColumnRenamed("score", "confidence")
     tables, history = [truths, named, state.trust, state.dependence], state.history
