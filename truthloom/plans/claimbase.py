@@ -19,7 +19,7 @@ from truthloom.plans.workspace import Workspace
 from truthloom.schema import CLAIM, FACT, ITEM, as_claims, dedupe_claims
 
 BLOCK = ["block_id"]
-#: Facts that one task of a round takes, and groups of items that they are numbered in.
+#: Facts, or members of sets, that one task of a round takes, and groups of items that facts are numbered in.
 PLACED_ROWS = 200_000
 GROUPS_PER_TASK = 16
 
@@ -117,9 +117,22 @@ class ClaimBase:
         """Distinct supporter sets with the number of facts that have them."""
         return self._table("sets", lambda: distinct_sets(self.facts, FACT))
 
+    @property
+    def n_members(self) -> int:
+        return self._once("n_members", lambda: self.sets.agg(F.sum("set_size")).first()[0] or 0)
+
     @property
     def members(self) -> DataFrame:
-        return self._table("members", lambda: set_members(self.claims, self.sets, FACT, "source", self.hot_facts))
+        """The members of every set lie in one bucket, so pairs of them and sums over them need no shuffle."""
+        def make() -> DataFrame:
+            found = set_members(self.claims, self.sets, FACT, "source", self.hot_facts)
+            return self.work.keep_bucketed(found, "members", self.tasks(self.n_members), *SET)
+
+        return self._once("members", make)
+
+    def tasks(self, rows: int) -> int:
+        """Buckets for so many rows: work for all cores, and no more rows than a task may take."""
+        return max(self.work.spark.sparkContext.defaultParallelism, -(-rows // PLACED_ROWS))
 
     @property
     def items(self) -> DataFrame:
@@ -145,10 +158,6 @@ class ClaimBase:
         hot = self._hot("item-claims", lambda: self.items, ITEM, "set_size", self.size.claims)
         return self._table("claimants", lambda: set_members(self.claims, self.item_sets, ITEM, "source", hot))
 
-    @property
-    def n_members(self) -> int:
-        return self._once("n_members", self.members.count)
-
     @property
     def hot_facts(self) -> DataFrame | None:
         return self._hot("facts", lambda: self.facts, FACT, "set_size", self.size.claims)
@@ -272,7 +281,7 @@ class ClaimBase:
 
     def _place(self, facts: DataFrame) -> Placed:
         rows = self.size.facts if self.blocks is None else self.block_sets.agg(F.sum("n_facts")).first()[0] or 0
-        tasks = max(self.work.spark.sparkContext.defaultParallelism, -(-rows // PLACED_ROWS))
+        tasks = self.tasks(rows)
         group = F.pmod(F.xxhash64(*ITEM), F.lit(tasks * GROUPS_PER_TASK)).cast("int")
         number = F.dense_rank().over(W.partitionBy("group_id").orderBy(*BLOCK, *SET))
         numbered = facts.withColumn("group_id", group).withColumn("at", number)
