@@ -9,13 +9,13 @@ from truthloom.operators.votes import vote_counts
 from truthloom.schema import FACT, ITEM, as_truth
 
 
-def confusion(claims: DataFrame, truth: DataFrame, found: DataFrame, group: list[str] = ()) -> DataFrame:
+def confusion(claims: DataFrame, truth: DataFrame, found: DataFrame, group: list[str] = (), counted: bool = False) -> DataFrame:
     """Per-claim confusion counts; ``n_unmatched`` counts claims on items without truth or result.
 
     Only three numbers per item matter: all its votes, those for the true value and those for
     the found value.  So every join has at most one row per item on each side, however many
     claims or values an item has.  ``claims`` may already be vote counts; ``found`` may hold
-    several results told apart by ``group``.
+    several results told apart by ``group``, and with ``counted`` the ``votes`` for its values among ``claims``.
     """
     counts = claims if "votes" in claims.columns else vote_counts(claims)
     totals = counts.groupBy(*ITEM).agg(F.sum("votes").alias("all_votes"))
@@ -26,7 +26,11 @@ def confusion(claims: DataFrame, truth: DataFrame, found: DataFrame, group: list
             *keys, *ITEM, F.col("value").alias(f"{name}_value"), votes
         )
 
-    joined = totals.join(supported(as_truth(truth), "true", []), ITEM, "left").join(supported(found, "found", group), ITEM, "left")
+    if counted:
+        chosen = found.select(*group, *ITEM, F.col("value").alias("found_value"), F.col("votes").alias("found_votes"))
+    else:
+        chosen = supported(found, "found", group)
+    joined = totals.join(supported(as_truth(truth), "true", []), ITEM, "left").join(chosen, ITEM, "left")
     matched = F.col("true_value").isNotNull() & F.col("found_value").isNotNull()
     right = F.col("true_value") == F.col("found_value")
     true_votes, found_votes, all_votes = F.col("true_votes"), F.col("found_votes"), F.col("all_votes")

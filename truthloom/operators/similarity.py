@@ -57,7 +57,7 @@ def _implied_in_place(scored: DataFrame, rho: float, keys: list[str]) -> DataFra
     """Character similarity for facts dealt by ``group_id``: windows and groups that need no shuffle."""
     rest = [c for c in scored.columns if c != "weights"]
     spelled = scored.select(*rest, F.inline_outer("weights"))
-    item_weight = F.sum(F.col("w") * F.col("score")).over(W.partitionBy("group_id", *keys, "ch"))
+    item_weight = F.sum(F.col("w") * F.col("score")).over(W.partitionBy("item_hash", "group_id", *keys, "ch"))
     dots = spelled.withColumn("dot", F.col("w") * item_weight).groupBy(*rest).agg(F.sum("dot").alias("dot"))
     others = F.col("dot") - F.when(F.length("value") > 0, F.col("score")).otherwise(0.0)
     boosted = F.when(F.col("dot").isNull(), F.col("score")).otherwise(F.col("score") + rho * others)

@@ -28,7 +28,7 @@ GROUPS_PER_TASK = 16
 class Placed:
     """Facts dealt by item once for all rounds, so that rounds move scores of sets and never facts.
 
-    ``facts``  group_id, block, object, property, value, SET, at   bucketed by ``group_id``, a hash of the item
+    ``facts``  item_hash, group_id, block, object, property, value, SET, at   bucketed by ``group_id``, a hash of the item
     ``sets``   group_id, block, SET, at   bucketed by block and SET: the sets of each group, numbered from 1
     """
 
@@ -284,7 +284,8 @@ class ClaimBase:
         tasks = self.tasks(rows)
         group = F.pmod(F.xxhash64(*ITEM), F.lit(tasks * GROUPS_PER_TASK)).cast("int")
         number = F.dense_rank().over(W.partitionBy("group_id").orderBy(*BLOCK, *SET))
-        numbered = facts.withColumn("group_id", group).withColumn("at", number)
+        # sorts by item compare this number first, and texts only where it is equal
+        numbered = facts.withColumns({"group_id": group, "item_hash": F.xxhash64(*BLOCK, *ITEM)}).withColumn("at", number)
         dealt = self.work.keep_bucketed(numbered, "placed-facts", tasks, "group_id")
         sets = dealt.groupBy("group_id", *BLOCK, *SET).agg(F.min("at").alias("at"))
         return Placed(dealt, self.work.keep_bucketed(sets, "placed-sets", tasks, *BLOCK, *SET), tasks)

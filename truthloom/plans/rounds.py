@@ -23,8 +23,8 @@ TIES = ("min", "seeded")
 
 
 def item_keys(facts: DataFrame) -> list[str]:
-    """Columns that tell the items of all blocks apart, led by the one the facts are dealt by, if they are."""
-    return [*[c for c in ("group_id",) if c in facts.columns], *BLOCK, *ITEM]
+    """Columns that tell the items of all blocks apart, with those that facts are sorted and dealt by, if they are."""
+    return [*[c for c in ("item_hash", "group_id") if c in facts.columns], *BLOCK, *ITEM]
 
 
 def convergence(trust: DataFrame, group: list[str] = BLOCK) -> DataFrame:
@@ -191,7 +191,7 @@ def with_outcome(scored: DataFrame, hot_items: DataFrame | None = None, tie: str
 class TruthResult:
     """What a model found.  Every table has ``block_id`` when blocks were given.
 
-    ``truths``      object, property, value, confidence
+    ``truths``      object, property, value, confidence, votes (sources that claim the value)
     ``confidence``  object, property, value, confidence for every claimed value
     ``trust``       source, trust, old_trust
     ``dependence``  s1, s2, kt, kf, kd, dep (copy-aware models only)
@@ -212,13 +212,13 @@ class TruthResult:
 
 def result_of(base: ClaimBase, state: Round, rounds: int, tie: str = "min", seed: int = 10) -> TruthResult:
     """The result is read off the facts that the last round wrote."""
-    confidence = state.facts.select(*BLOCK, *FACT, "score")
     if tie == "min":
         truths = item_outcome_best(state.facts)
     else:
-        picked = seeded_winners(confidence, base.hot_items, seed, base.work)
-        truths = confidence.join(picked, [*BLOCK, *FACT], "left_semi").withColumnRenamed("score", "confidence")
-    named = confidence.withColumnRenamed("score", "confidence")
+        confidence = state.facts.select(*BLOCK, *FACT, F.col("score").alias("confidence"), F.col("set_size").alias("votes"))
+        picked = seeded_winners(state.facts.select(*BLOCK, *FACT, "score"), base.hot_items, seed, base.work)
+        truths = confidence.join(picked, [*BLOCK, *FACT], "left_semi")
+    named = state.facts.select(*BLOCK, *FACT, F.col("score").alias("confidence"))
     tables, history = [truths, named, state.trust, state.dependence], state.history
     if base.blocks is None:
         tables = [t if t is None else t.drop("block_id") for t in tables]
@@ -227,7 +227,7 @@ def result_of(base: ClaimBase, state: Round, rounds: int, tie: str = "min", seed
 
 
 def item_outcome_best(scored: DataFrame) -> DataFrame:
-    won = F.min(F.struct((-tie_key(F.col("score"))).alias("below"), F.col("value"), F.col("score"))).alias("won")
+    won = F.min(F.struct((-tie_key(F.col("score"))).alias("below"), F.col("value"), F.col("score"), F.col("set_size"))).alias("won")
     return scored.groupBy(*item_keys(scored)).agg(won).select(
-        *BLOCK, *ITEM, F.col("won.value").alias("value"), F.col("won.score").alias("confidence")
+        *BLOCK, *ITEM, F.col("won.value").alias("value"), F.col("won.score").alias("confidence"), F.col("won.set_size").alias("votes")
     )
