@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tests.llm import plain
-from truthloom.llm import jaccard, substrings
+from truthloom.llm import decontaminate, jaccard, substrings
 from truthloom.llm.decontaminate import drop_leaks, find_leaks
 from truthloom.llm.fmindex import FMIndex
 from truthloom.llm.graph import components
@@ -182,6 +183,34 @@ def items_repeat():
     return "la la la la la la la la na na hey hey good bye " * 2
 
 
+def test_page_with_the_whole_benchmark():
+    draw = random.Random(16)
+    items = [" ".join(f"w{draw.randrange(20_000)}" for _ in range(13)) for _ in range(4000)]
+    texts = pa.array([" ".join(items), "w1 w2", " ".join(edit(item, 0) for item in items[:50])])
+    index = decontaminate.Index.of(list(range(len(items))), items)
+    tracemalloc.start()
+    found = index.leaks(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [row[:5] for row in found[:4000]] == [(0, i, 13 * i, 13, 0) for i in range(4000)]
+    assert [row[:2] for row in found[4000:]] == [(2, i) for i in range(50)]
+    assert peak < 200 << 20
+
+
+@pytest.mark.parametrize("pairs", [1, 5, 100])
+def test_leaks_in_many_stretches(monkeypatch, pairs):
+    draw = random.Random(pairs)
+    items = [" ".join(f"q{draw.randrange(6)}" for _ in range(draw.choice([1, 3, 5, 9, 9, 9, 30]))) for _ in range(40)]
+    texts = [" ".join(draw.choice(items) for _ in range(draw.randint(0, 5))) for _ in range(25)] + [None, ""] + items
+    index = decontaminate.Index.of(list(range(len(items))), items)
+    whole = index.leaks(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert {row[1]: row[5] for row in whole if row[0] == i} == pytest.approx(
+            {j: alike for j, item in enumerate(items) if (alike := plain.leaks(text, item)) >= 0.75})
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    assert decontaminate.Index.of(list(range(len(items))), items).leaks(pa.array(texts)) == whole
+
+
 def test_leaks_of_empty_tables(spark):
     none, items = spark.createDataFrame([], plain.COLUMNS), spark.createDataFrame([], "item_id long, text string")
     some = plain.frame(spark, plain.edge_texts())
