@@ -197,11 +197,19 @@ def test_long_labelled_texts_are_learnt_from(spark):
 
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    scored = score_documents(docs, train(docs, labels))
+    model = train(docs, labels)
+    scored = score_documents(docs, model)
     assert scored.count() == docs.count()
     rows = scored.where("held_out").join(labels, "doc_id").select("predicted", "toxic", "score").collect()
     hits = sum(r.predicted and r.toxic for r in rows)
-    assert hits / sum(r.predicted for r in rows) > 0.9 and hits / sum(r.toxic for r in rows) > 0.6
+    assert hits / sum(r.predicted for r in rows) > 0.9 and hits / sum(r.toxic for r in rows) > 0.9
+    # clean documents put together stay clean, and none scores 0 for being short of a floor
+    clean = scored.where("held_out").join(labels.where("toxic = 0"), "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    texts = [r.text or "" for r in clean.orderBy("doc_id").limit(320).collect()]
+    glued = spark.createDataFrame([(1, "\n".join(texts)), (2, "\n".join(texts[:50]))], "doc_id long, text string")
+    assert bags(pa.array(["\n".join(texts)])).documents[-1] > 10_000
+    assert score_documents(glued, model).where("score >= 0.7").count() == 0
+    assert all(r.score > 0 for r in rows)
     assert all(0 <= r.score <= 1 for r in rows)
 
 
@@ -211,6 +219,7 @@ def test_toxicity_of_odd_rows(spark):
     model = train(docs, labels)
     assert score_documents(docs, model).where("score IS NULL OR score < 0 OR score > 1").count() == 0
     assert drop_toxic(docs, model, threshold=1.1).count() == docs.count()
+    assert {r.score for r in score_documents(docs, train(docs, labels.where("false"))).collect()} == {0.0}
     assert drop_toxic(docs, model).columns == docs.columns
     # labels of held-out documents change nothing
     import zlib

@@ -3,11 +3,12 @@
 A document is a bag of sentences.  A sentence's probability is logistic in its hashed words; the
 document's is the noisy-or of its sentences, 1 - prod(1 - p).  Only documents have labels: the
 gradient of the document's likelihood passes through the noisy-or to the sentences, so that the
-fitted model also tells which sentences offend.  Sentences below ``FLOOR`` are clean and add nothing
-to a score, so that many clean sentences are never toxic by their number alone.
+fitted model also tells which sentences offend: those that would be toxic as a text of their own.
+A document has a bias of its own, -``LENGTH`` times the logarithm of its number of sentences, in
+fitting and in scoring alike, so that the odds of clean sentences don't add up in long texts.
 
 The model is fitted on at most ``sample`` labelled documents (the lowest hashes of doc_id, as many
-as fit into ``SAMPLE_BYTES``), which is all that reaches the driver; every document is scored.  Null and empty texts are one sentence
+as fit into ``most_bytes``), which is all that reaches the driver; every document is scored.  Null and empty texts are one sentence
 without words, scored by the bias; rows without a label, and labels without a document, are not
 learnt from; of repeated labels the highest counts; duplicated rows are scored alike; without any
 labels every sentence is clean and every score 0; extra columns are ignored by ``score_documents``
@@ -34,10 +35,12 @@ FOLDS, HELD_OUT = 3, 1
 SAMPLE = 8000
 #: Bytes of all texts that the model is fitted on.
 SAMPLE_BYTES = 32 << 20
-#: Probability below which a sentence counts as clean.
-FLOOR = 0.01
+#: Fall of a sentence's logit with the logarithm of the number of sentences in its document.
+LENGTH = 0.55
 THRESHOLD = 0.7
-START_BIAS = -6.0
+START_BIAS = -5.0
+#: Bias of a model that was fitted on nothing: all its probabilities are 0.
+NOTHING = -700.0
 _TRIM = np.zeros(256, bool)
 _TRIM[list(b".,;:!?\"'()[]{}*|")] = True
 _STOP = np.zeros(256, bool)
@@ -106,6 +109,10 @@ def _sentence_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, NOTHING, 30)))
+
+
 @dataclass
 class NoisyOr:
     """``cut`` is the probability that becomes the score ``THRESHOLD``; scores rise with probabilities."""
@@ -114,24 +121,28 @@ class NoisyOr:
     bias: float
     cut: float = THRESHOLD
 
+    def logits(self, found: Bags) -> np.ndarray:
+        """Logit of every sentence as a text of its own."""
+        return _sentence_sums(self.weights[found.features], found.sentences) + self.bias
+
     def sentences(self, found: Bags) -> np.ndarray:
-        """Probability of every sentence."""
-        logits = _sentence_sums(self.weights[found.features], found.sentences) + self.bias
-        return 1.0 / (1.0 + np.exp(-np.clip(logits, -30, 30)))
+        """Probability of every sentence within its document."""
+        counts = np.diff(found.documents)
+        return _logistic(self.logits(found) - np.repeat(LENGTH * np.log(counts), counts))
 
     def documents(self, found: Bags) -> np.ndarray:
-        p = self.sentences(found)
-        return 1.0 - np.exp(_sentence_sums(np.log1p(-np.where(p < FLOOR, 0.0, p)), found.documents))
+        return 1.0 - np.exp(_sentence_sums(np.log1p(-self.sentences(found)), found.documents))
 
     def scores(self, found: Bags) -> np.ndarray:
         return np.interp(self.documents(found), [0.0, self.cut, 1.0], [0.0, THRESHOLD, 1.0])
 
 
-def fit(found: Bags, labels: np.ndarray, steps: int = 600, rate: float = 0.3, decay: float = 1e-3,
+def fit(found: Bags, labels: np.ndarray, steps: int = 1200, rate: float = 0.3, decay: float = 5e-4,
         batch: int = 192, bits: int = BITS, bias: float = START_BIAS, seed: int = 7) -> NoisyOr:
     """AdaGrad on the likelihood of the documents' labels, with an L1 shrinkage of the weights."""
     model = NoisyOr(np.zeros(1 << bits), bias)
     if not len(labels):
+        model.bias = NOTHING
         return model
     seen, seen_bias = np.full(1 << bits, 1e-2), 1e-2
     order = np.random.default_rng(seed)
@@ -197,7 +208,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mo
     return found.where(~F.col("doc_id").isin(over)) if over else found
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> NoisyOr:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> NoisyOr:
     """Fit on the sample.  The driver receives word features of the sampled documents only."""
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,9 +226,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> NoisyOr:
                 })
 
     schema = "doc_id long, toxic int, features binary, sizes binary"
-    rows = labelled_sample(docs, labels, sample).mapInArrow(extract, schema).toArrow().sort_by("doc_id")
+    rows = labelled_sample(docs, labels, sample, most_bytes).mapInArrow(extract, schema).toArrow().sort_by("doc_id")
     if not rows.num_rows:
-        return NoisyOr(np.zeros(1 << BITS), START_BIAS)
+        return NoisyOr(np.zeros(1 << BITS), NOTHING)
     features = np.frombuffer(b"".join(rows["features"].to_pylist()), "<u4").astype(np.int64)
     sizes = [np.frombuffer(s, "<u4").astype(np.int64) for s in rows["sizes"].to_pylist()]
     inner = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
@@ -238,9 +249,9 @@ def score_documents(docs: DataFrame, model: NoisyOr, threshold: float = THRESHOL
         for batch in batches:
             for part in chunks(batch):
                 found = bags(part.column("text"))
-                each, scores = own.sentences(found), own.scores(found)
+                each, scores = _logistic(own.logits(found)), own.scores(found)
                 offends = [
-                    ",".join(f"{a}:{b}" for a, b in found.places[lo:hi][each[lo:hi] >= 0.5].tolist())
+                    ",".join(f"{a}:{b}" for a, b in found.places[lo:hi][each[lo:hi] >= own.cut].tolist())
                     for lo, hi in zip(found.documents[:-1].tolist(), found.documents[1:].tolist())
                 ]
                 yield pa.RecordBatch.from_pydict({
