@@ -5,7 +5,8 @@ document's is the noisy-or of its sentences, 1 - prod(1 - p).  Only documents ha
 gradient of the document's likelihood passes through the noisy-or to the sentences, so that the
 fitted model also tells which sentences offend: those that would be toxic as a text of their own.
 A document has a bias of its own, -``LENGTH`` times the logarithm of its number of sentences, in
-fitting and in scoring alike, so that the odds of clean sentences don't add up in long texts.
+fitting and in scoring alike, so that the odds of clean sentences add up much more slowly than their
+number; a bound on them for texts of any length this is not.
 
 The model is fitted on at most ``sample`` labelled documents (the lowest hashes of doc_id, as many
 as fit into ``most_bytes``), which is all that reaches the driver; every document is scored.  Null and empty texts are one sentence
