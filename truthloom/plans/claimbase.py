@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from truthloom.functions.text import char_weights
 from truthloom.operators import skew
 from truthloom.operators.dependence import both_directions
-from truthloom.operators.sets import SET, distinct_sets, pair_counts, set_members, units_with_sets
+from truthloom.operators.sets import SET, distinct_sets, pair_counts, set_key, set_members, units_with_sets
 from truthloom.operators.skew import hot_keys, spread_join
+from truthloom.plans import packed
 from truthloom.plans.workspace import Workspace
 from truthloom.schema import CLAIM, FACT, ITEM, as_claims, dedupe_claims
 
@@ -99,9 +100,56 @@ class ClaimBase:
 
         return self._once(f"hot-{name}", find)
 
+    @property
+    def sources(self) -> DataFrame | None:
+        """``source, number`` in the order of the names; ``None`` if there are more than fit the masks."""
+        def make() -> DataFrame | None:
+            names = self.work.keep(self.claims.select("source").distinct(), "sources")
+            if not 0 < names.count() <= packed.MOST_SOURCES:
+                return None
+            ranked = names.withColumn("number", F.row_number().over(W.orderBy("source")) - 1)
+            return self.work.keep(ranked.coalesce(1), "source-numbers")
+
+        return self._once("source-numbers", make)
+
+    @property
+    def masked_facts(self) -> DataFrame:
+        """Facts, with the numbers of their supporters as bit masks if there are few sources."""
+        def make() -> DataFrame:
+            if self.sources is None:
+                return units_with_sets(self.claims, FACT, "source")
+            masks = packed.mask_columns(F.col("number"), self.sources.count())
+            return self.claims.join(F.broadcast(self.sources), "source").groupBy(*FACT).agg(*set_key("source"), *masks)
+
+        return self._table("facts", make)
+
     @property
     def facts(self) -> DataFrame:
-        return self._table("facts", lambda: units_with_sets(self.claims, FACT, "source"))
+        return self.masked_facts.select(*FACT, *SET)
+
+    def packed(self) -> packed.Packed | None:
+        """Facts in packed groups; ``None`` if they are few, or the sources many, or an item is hot."""
+        if self.size.facts < packed.PACKED_FACTS or self.sources is None or self.hot_items is not None:
+            return None
+        n_sources, blocks, n_blocks = self.sources.count(), None, 1
+        if self.blocks is not None:
+            n_blocks = self.blocks.select(*BLOCK).distinct().count()
+        if n_blocks * n_sources * n_sources > packed.MOST_PAIRS:
+            return None
+        if self.blocks is not None:
+            ids = self.blocks.select(*BLOCK).distinct().withColumn("block", F.row_number().over(W.orderBy(*BLOCK)) - 1)
+            blocks = self.work.keep(self.blocks.select(*BLOCK, "property").distinct().join(ids, BLOCK).coalesce(1), "numbered-blocks")
+        return packed.Packed(self.packed_groups, self.sources, n_sources, blocks)
+
+    @property
+    def packed_groups(self) -> DataFrame:
+        def make() -> DataFrame:
+            tasks = self.tasks(self.size.facts)
+            group = F.pmod(F.xxhash64(*ITEM), F.lit(max(4 * tasks, -(-self.size.facts // packed.GROUP_FACTS)))).cast("int")
+            dealt = self.masked_facts.drop(*SET).withColumn("group_id", group).repartition(tasks, "group_id")
+            return dealt.groupBy("group_id").applyInArrow(packed.pack_group, packed.PACKED)
+
+        return self._table("packed", make)
 
     @property
     def size(self) -> Row:

@@ -16,6 +16,7 @@ from truthloom.operators.selection import at_positions
 from truthloom.operators.sets import SET
 from truthloom.operators.skew import spread_join
 from truthloom.plans.claimbase import BLOCK, ClaimBase
+from truthloom.plans.packed import Packed
 from truthloom.plans.workspace import Workspace
 from truthloom.schema import FACT, ITEM
 
@@ -48,7 +49,7 @@ class Round:
     """Tables after one round: source trust, scored facts (none at the start) and, if used, dependence."""
 
     trust: DataFrame
-    facts: DataFrame | None = None
+    facts: DataFrame | Packed | None = None
     dependence: DataFrame | None = None
     history: tuple[DataFrame, ...] = ()
 
@@ -106,7 +107,7 @@ def _merge(parts: list[Round]) -> Round:
     has_dep = parts[0].dependence is not None
     return Round(
         reduce(DataFrame.unionByName, [p.trust for p in parts]),
-        reduce(DataFrame.unionByName, [p.facts for p in parts]),
+        reduce(type(parts[0].facts).unionByName, [p.facts for p in parts]),
         reduce(DataFrame.unionByName, [p.dependence for p in parts]) if has_dep else None,
     )
 
@@ -212,13 +213,16 @@ class TruthResult:
 
 def result_of(base: ClaimBase, state: Round, rounds: int, tie: str = "min", seed: int = 10) -> TruthResult:
     """The result is read off the facts that the last round wrote."""
-    if tie == "min":
+    packed = isinstance(state.facts, Packed)
+    if packed:
+        truths = state.facts.truths()
+    elif tie == "min":
         truths = item_outcome_best(state.facts)
     else:
         confidence = state.facts.select(*BLOCK, *FACT, F.col("score").alias("confidence"), F.col("set_size").alias("votes"))
         picked = seeded_winners(state.facts.select(*BLOCK, *FACT, "score"), base.hot_items, seed, base.work)
         truths = confidence.join(picked, [*BLOCK, *FACT], "left_semi")
-    named = state.facts.select(*BLOCK, *FACT, F.col("score").alias("confidence"))
+    named = state.facts.confidence() if packed else state.facts.select(*BLOCK, *FACT, F.col("score").alias("confidence"))
     tables, history = [truths, named, state.trust, state.dependence], state.history
     if base.blocks is None:
         tables = [t if t is None else t.drop("block_id") for t in tables]
