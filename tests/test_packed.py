@@ -4,7 +4,7 @@ import numpy as np
 import plain
 import pytest
 
-from truthloom import accuracy_model
+from truthloom import accuracy_model, truth_finder
 from truthloom.plans import packed
 from truthloom.plans.claimbase import ClaimBase
 from truthloom.plans.workspace import Workspace
@@ -37,6 +37,14 @@ def test_packed_rounds(many, algo):
     assert found(result) == truths
 
 
+def test_packed_truth_finder(spark, many):
+    rows = [(o, p, ("" if v == "v3" else v * 2 + "\U0001f600é"), s) for o, p, v, s in many[1]]
+    trust, truths = plain.truth_finder(rows, 2)[:2]
+    result = truth_finder(spark.createDataFrame(rows, SCHEMA), max_iterations=2, threshold=0.0, deduped=True)
+    assert {r.source: r.trust for r in result.trust.collect()} == pytest.approx(trust, abs=1e-9)
+    assert found(result) == truths
+
+
 def test_masks_of_two_words(spark, many):
     rows = claims(70, 6)
     result = accuracy_model(spark.createDataFrame(rows, SCHEMA), "ACCU", max_iterations=1, threshold=0.0, deduped=True)

@@ -101,6 +101,22 @@ def pairs_within(bits: np.ndarray, weights: np.ndarray | None = None) -> np.ndar
     return total
 
 
+def implied(score: np.ndarray, item: np.ndarray, values: pa.Array, rho: float) -> np.ndarray:
+    """Scores with ``rho`` times those of the item's other values, weighed by the cosine of their character counts.
+
+    As in :func:`truthloom.operators.similarity.implied_scores`: a dot product with one vector per item.
+    """
+    lengths = pc.utf8_length(values).to_numpy()
+    chars = np.frombuffer("".join(values.to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64)
+    spelled, counts = np.unique(np.repeat(np.arange(len(score)), lengths) << 21 | chars, return_counts=True)
+    fact, char = spelled >> 21, spelled & ((1 << 21) - 1)
+    weight = counts / np.sqrt(np.bincount(fact, counts.astype(float) ** 2, len(score)))[fact]
+    _, slot = np.unique(item[fact] << 21 | char, return_inverse=True)
+    vector = np.bincount(slot, weight * score[fact])
+    dot = np.bincount(fact, weight * vector[slot], len(score))
+    return np.where(lengths > 0, score + rho * (dot - score), score)
+
+
 @dataclass
 class Group:
     """The facts of one block in one group: value order within items, items in order."""
@@ -112,9 +128,13 @@ class Group:
     rows: np.ndarray
     items: np.ndarray
 
-    def scores(self, factors: np.ndarray | None) -> np.ndarray:
-        """Of every fact; without factors its votes."""
-        return (self.bits.sum(1).astype(float) if factors is None else set_scores(self.bits, factors))[self.at]
+    def scores(self, factors: np.ndarray | None, finder: tuple[float, float] | None = None, values: pa.Array | None = None) -> np.ndarray:
+        """Of every fact; without factors its votes, with ``finder`` (rho, theta) the confidence of TruthFinder."""
+        score = (self.bits.sum(1).astype(float) if factors is None else set_scores(self.bits, factors))[self.at]
+        if finder is None or factors is None:
+            return score
+        rho, theta = finder
+        return 1 / (1 + np.exp(-theta * implied(score, self.item, values.take(pa.array(self.rows)), rho)))
 
     def winners(self, score: np.ndarray, top: np.ndarray) -> np.ndarray:
         """The first fact of each item whose score equals the highest one to nine places."""
@@ -169,7 +189,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(i)[at] for i, name in enumerate(batch.schema.names)}
 
 
-def _sums(n_sources: int, first: bool):
+def _sums(n_sources: int, first: bool, finder: tuple[float, float] | None):
     """Sums per block and source (s2 is -1), and per block and pair of sources, of a whole task."""
     def sums(batches):
         totals: dict = {}
@@ -180,10 +200,12 @@ def _sums(n_sources: int, first: bool):
             for block, names in blocks.items():
                 if (not first and block not in factors) or (facts := group.block(names)) is None:
                     continue
-                score = facts.scores(None if first else factors[block])
+                score = facts.scores(None if first else factors[block], finder, None if finder is None else row["values"].values)
                 top = np.maximum.reduceat(score, facts.starts)
-                weight = np.exp(score - top[facts.item])
-                weight /= np.add.reduceat(weight, facts.starts)[facts.item]
+                weight = score
+                if finder is None:
+                    weight = np.exp(score - top[facts.item])
+                    weight /= np.add.reduceat(weight, facts.starts)[facts.item]
                 size = len(facts.bits)
                 n = np.bincount(facts.at, minlength=size)
                 n_true = np.bincount(facts.at[facts.winners(score, top)], minlength=size)
@@ -216,7 +238,7 @@ def _sums(n_sources: int, first: bool):
     return sums
 
 
-def _facts(n_sources: int, best: bool):
+def _facts(n_sources: int, best: bool, finder: tuple[float, float] | None):
     """The facts of all blocks with their scores, or the winner of each item."""
     def facts(batches):
         known = None
@@ -228,7 +250,7 @@ def _facts(n_sources: int, best: bool):
             for block in factors:
                 if (own := group.block(blocks[block])) is None:
                     continue
-                score = own.scores(factors[block])
+                score = own.scores(factors[block], finder, values)
                 chosen = own.winners(score, np.maximum.reduceat(score, own.starts)) if best else np.arange(len(score))
                 items = own.items[own.item[chosen]]
                 yield pa.record_batch([
@@ -247,6 +269,7 @@ class Packed:
     ``groups``   one row per group of items
     ``sources``  source, number   in the order of their names
     ``blocks``   block_id, block, property; ``None``: one block of all properties
+    ``finder``   rho and theta of TruthFinder; ``None``: the softmax of DEPEN and ACCU
     """
 
     groups: DataFrame
@@ -254,6 +277,7 @@ class Packed:
     n_sources: int
     blocks: DataFrame | None
     factors: DataFrame | None = None
+    finder: tuple[float, float] | None = None
 
     def _run(self, work, columns: list[str], schema: str) -> DataFrame:
         one = self.groups.sparkSession.range(1).select(F.lit(0).alias("one"))
@@ -295,7 +319,8 @@ class Packed:
 
         Without factors: of the majority vote.  Common and same pairs are counted only then.
         """
-        made = self._run(_sums(self.n_sources, self.factors is None), ["names", "item_names", "starts", "at", "masks"], SUMS)
+        columns = ["names", "item_names", "starts", "at", "masks", *(["values"] if self.finder else [])]
+        made = self._run(_sums(self.n_sources, self.factors is None, self.finder), columns, SUMS)
         summed = made.groupBy("block", "s1", "s2").agg(*[F.sum(c).alias(c) for c in ("n", "total", "n_common", "n_same", "n_true")])
         kept = work.keep(self._named(summed).coalesce(1), name)
         first = F.broadcast(self.sources.select(F.col("source").alias("a"), F.col("number").alias("s1")))
@@ -307,7 +332,7 @@ class Packed:
 
     def _listed(self, best: bool) -> DataFrame:
         columns = ["names", "item_names", "starts", "at", "masks", "objects", "values"]
-        return self._named(self._run(_facts(self.n_sources, best), columns, FACTS)).select("block_id", *FACT, "confidence", "votes")
+        return self._named(self._run(_facts(self.n_sources, best, self.finder), columns, FACTS)).select("block_id", *FACT, "confidence", "votes")
 
     def truths(self) -> DataFrame:
         return self._listed(True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,30 @@ from truthloom.operators.sets import SET
 from truthloom.operators.similarity import implied_scores
 from truthloom.operators.skew import spread_join
 from truthloom.plans.claimbase import BLOCK, ClaimBase
+from truthloom.plans.packed import Packed
 from truthloom.plans.rounds import Round, TruthResult, result_of, run_rounds, trust_from_sets
 
 
+def packed_rounds(base: ClaimBase, groups: Packed, max_iterations: int, initial_trust: float, threshold: float, stop: str) -> TruthResult:
+    """The rounds of :func:`truth_finder` on packed groups: a source's one factor is what its claims count."""
+    work = base.work
+
+    def step(state: Round, number: int) -> Round:
+        own = F.col("source")
+        factors = state.trust.select(*BLOCK, own.alias("s1"), own.alias("s2"), trust_score(F.col("trust")).alias("factor"))
+        facts = groups.with_factors(factors, work, f"factors-{number}")
+        sums, _ = facts.sums(work, f"sums-{number}")
+        before = state.trust.select(*BLOCK, "source", F.col("trust").alias("old_trust"))
+        trust = sums.withColumn("raw", F.col("total") / F.col("n")).join(before, [*BLOCK, "source"])
+        trust = trust.select(*BLOCK, "source", clamp_trust(F.col("raw")).alias("trust"), "old_trust")
+        return Round(work.keep(trust.coalesce(1), f"trust-{number}"), facts)
+
+    seen, first = groups.sums(work, "first-sums")[0], F.lit(float(initial_trust))
+    start = work.keep(seen.select(*BLOCK, "source", first.alias("trust"), first.alias("old_trust")).coalesce(1), "trust-0")
+    state, rounds = run_rounds(Round(start), step, max_iterations, threshold, stop)
+    return result_of(base, state, rounds)
+
+
 def truth_finder(
     claims: DataFrame | ClaimBase,
     rho: float = 0.5,
@@ -30,6 +53,10 @@ def truth_finder(
     """Iterate: score values by the trust of their sources, let similar values support each
     other, squash to a confidence, and set each source's trust to its mean confidence."""
     base = ClaimBase.of(claims, blocks, deduped)
+    groups = base.packed() if tie == "min" and similarity == "char" else None
+    if groups is not None:
+        groups = replace(groups, finder=(rho, theta))
+        return packed_rounds(base, groups, max_iterations, initial_trust, threshold, stop)
     biggest = base.biggest_item if similarity == "numeric" else None
 
     def set_scores(trust: DataFrame) -> DataFrame:
