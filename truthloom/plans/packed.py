@@ -47,6 +47,10 @@ def mask_columns(number: Column, n_sources: int) -> list[Column]:
     return [bit(word) for word in range(words(n_sources))]
 
 
+def one_list(strings: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(strings)], pa.int32()), strings)
+
+
 def pack_group(key: tuple, table: pa.Table) -> pa.Table:
     """One row for a group: items in order, their values in order, and the distinct supporter sets."""
     table = table.take(pc.sort_indices(table, [(c, "ascending") for c in FACT])).combine_chunks()
@@ -58,7 +62,10 @@ def pack_group(key: tuple, table: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.concatenate(([True], ~same)))
     coded = columns["property"].dictionary_encode()
     masks = np.stack([table.column(c).to_numpy() for c in table.column_names if c.startswith("mask")], 1).astype("<i8")
-    masks, at = np.unique(masks, axis=0, return_inverse=True)
+    if masks.shape[1] == 1:
+        masks, at = np.unique(masks[:, 0], return_inverse=True)
+    else:
+        masks, at = np.unique(masks, axis=0, return_inverse=True)
     return pa.table({
         "group_id": pa.array([key[0].as_py()], pa.int32()),
         "names": pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())),
@@ -66,8 +73,8 @@ def pack_group(key: tuple, table: pa.Table) -> pa.Table:
         "starts": pa.array([first.astype("<i4").tobytes()], pa.binary()),
         "at": pa.array([at.reshape(-1).astype("<i4").tobytes()], pa.binary()),
         "masks": pa.array([masks.tobytes()], pa.binary()),
-        "objects": pa.array([columns["object"].take(pa.array(first)).to_pylist()], pa.list_(pa.string())),
-        "values": pa.array([columns["value"].to_pylist()], pa.list_(pa.string())),
+        "objects": one_list(columns["object"].take(pa.array(first))),
+        "values": one_list(columns["value"]),
     })
 
 
