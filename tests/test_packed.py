@@ -1,10 +1,14 @@
 """Rounds on packed groups: the same results as plain loops, and nothing of the size of the facts is written."""
 
+import random
+
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 
 from truthloom import accuracy_model, truth_finder
+from truthloom.functions.draws import seeded_place
 from truthloom.plans import packed
 from truthloom.plans.claimbase import ClaimBase
 from truthloom.plans.workspace import Workspace
@@ -45,6 +49,54 @@ def test_packed_truth_finder(spark, many):
     assert found(result) == truths
 
 
+@pytest.fixture
+def only_packed(monkeypatch):
+    monkeypatch.setattr(ClaimBase, "scored_facts", lambda *_: 1 / 0)
+
+
+def test_packed_accusim(spark, many, only_packed):
+    rows = [(o, p, v * 2 + "x" * (i % 3), s) for i, (o, p, v, s) in enumerate(many[1])]
+    trust, truths = plain.accuracy(rows, "ACCUSIM", 2)
+    result = accuracy_model(spark.createDataFrame(rows, SCHEMA), "ACCUSIM", max_iterations=2, threshold=0.0, deduped=True)
+    assert {r.source: r.trust for r in result.trust.collect()} == pytest.approx(trust, abs=1e-9)
+    assert found(result) == truths
+
+
+@pytest.mark.parametrize("stretch", [2, 2_000_000])
+def test_packed_numbers(spark, many, only_packed, monkeypatch, stretch):
+    texts = ["1", "1.0", "2.5", "none", "", "-3e1", " 7 "]
+    rows = [(o, p, texts[(i * 5 + int(s[1])) % 7], s) for i, (o, p, v, s) in enumerate(many[1])]
+    trust, truths = plain.truth_finder(rows, 2, sim=plain.numeric)
+    score = truth_finder(spark.createDataFrame(rows, SCHEMA), similarity="numeric", max_iterations=2, threshold=0.0, deduped=True)
+    assert {r.source: r.trust for r in score.trust.collect()} == pytest.approx(trust, abs=1e-9)
+    assert found(score) == truths
+    monkeypatch.setattr(packed, "STRETCH", stretch)
+    starts, x = np.array([0, 1, 4]), pa.array([5.0, 1.0, None, 3.0, 2.0, 2.0, 4.0])
+    wanted = [1, 2 + 0.5 * 4 / 2, 3, 4 + 0.5 * 2 / 2, 5 + 0.5 * (6 + 7 / 2), 6 + 0.5 * (5 + 7 / 2), 7 + 0.5 * (5 + 6) / 2]
+    assert packed.implied_by_numbers(np.arange(1.0, 8.0), starts, x, 0.5) == pytest.approx(wanted)
+
+
+def test_packed_seeded_ties(spark, many, monkeypatch):
+    tied = [(f"t{i}", "p0", f"w{s}", f"s{s}") for i in range(9) for s in range(2 + i % 2)]
+    data = spark.createDataFrame(many[1] + tied, SCHEMA)
+    options = dict(tie="seeded", seed=0, max_iterations=2, threshold=0.0, deduped=True)
+    monkeypatch.setattr(packed, "PACKED_FACTS", 10**6)
+    other = accuracy_model(data, "DEPEN", **options)
+    wanted, trust = found(other), {r.source: r.trust for r in other.trust.collect()}
+    assert wanted != found(accuracy_model(data, "DEPEN", **{**options, "tie": "min"}))
+    monkeypatch.setattr(packed, "PACKED_FACTS", 1)
+    monkeypatch.setattr(ClaimBase, "scored_facts", lambda *_: 1 / 0)
+    result = accuracy_model(data, "DEPEN", **options)
+    assert found(result) == wanted
+    assert {r.source: r.trust for r in result.trust.collect()} == pytest.approx(trust, abs=1e-9)
+
+
+@pytest.mark.parametrize("seed", [0, 4, 10])
+def test_seeded_place_follows_python(seed):
+    for size in range(1, 300):
+        assert seeded_place(size, seed) == random.Random(seed).choice(range(size))
+
+
 def test_masks_of_two_words(spark, many):
     rows = claims(70, 6)
     result = accuracy_model(spark.createDataFrame(rows, SCHEMA), "ACCU", max_iterations=1, threshold=0.0, deduped=True)

@@ -39,3 +39,11 @@ def seeded_index(size: Column, seed: int, words: int = 64) -> Column:
     return F.when(size <= 1, F.lit(0).cast("bigint")).otherwise(
         F.element_at(F.filter(candidates, lambda pick: pick < size), 1)
     )
+
+
+def seeded_place(size: int, seed: int, words: int = 64) -> int:
+    """:func:`seeded_index` of one size, outside of Spark's expressions."""
+    if size <= 1:
+        return 0
+    source, shift = random.Random(seed), 32 - size.bit_length()
+    return next(pick for pick in (source.getrandbits(32) >> shift for _ in range(words)) if pick < size)

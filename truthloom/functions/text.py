@@ -32,6 +32,11 @@ def weights_dot(left: Column, right: Column) -> Column:
     )
 
 
+def number_of(value: Column) -> Column:
+    """The number that a value spells; null if it spells none."""
+    return value.try_cast("double")
+
+
 def numeric_similarity(a: Column, b: Column) -> Column:
     """1 / |a - b|; equal numbers give 1, a value that is no number gives 0."""
     gap = F.abs(a - b)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from truthloom.functions.text import char_weights, numeric_similarity, weights_dot
+from truthloom.functions.text import char_weights, number_of, numeric_similarity, weights_dot
 from truthloom.operators.skew import hot_keys, pair_join, spread_join
 from truthloom.plans.workspace import Workspace
 from truthloom.schema import FACT, ITEM
@@ -14,10 +14,6 @@ from truthloom.schema import FACT, ITEM
 KINDS = ("char", "numeric")
 
 
-def _number(value: Column) -> Column:
-    return value.try_cast("double")
-
-
 def _with_size(values: DataFrame, keys: list[str]) -> DataFrame:
     """Values with the number of values of their item; items with very many are spread.
 
@@ -41,7 +37,7 @@ def value_similarity(claims: DataFrame, kind: str = "char", work: Workspace | No
         values = values.withColumn("feature", char_weights(F.col("value")))
         sim = weights_dot(F.col("l.feature"), F.map_from_entries(F.col("r.feature")))
     else:
-        values = values.withColumn("feature", _number(F.col("value")))
+        values = values.withColumn("feature", number_of(F.col("value")))
         sim = numeric_similarity(F.col("l.feature"), F.col("r.feature"))
     values = (work or Workspace(claims.sparkSession)).keep(values, "values")
     sized = _with_size(values, ITEM)
@@ -95,7 +91,7 @@ def implied_scores(scored: DataFrame, rho: float, kind: str, group: list[str] =
         return joined.withColumn("score", boosted).drop("vector", "weights")
     if kind != "numeric":
         raise ValueError(f"unknown similarity {kind!r}")
-    numbers = _with_size(scored.select(*keys, "value", "score", _number(F.col("value")).alias("x")), keys)
+    numbers = _with_size(scored.select(*keys, "value", "score", number_of(F.col("value")).alias("x")), keys)
     gap = numeric_similarity(F.col("l.x"), F.col("r.x"))
     sums = (
         pair_join(numbers, numbers, keys, "n_values", "value", F.col("l.value") != F.col("r.value"), biggest)

@@ -11,8 +11,8 @@ from truthloom.operators.sets import SET
 from truthloom.operators.similarity import implied_scores
 from truthloom.operators.skew import pair_join, spread_join
 from truthloom.plans.claimbase import BLOCK, ClaimBase
-from truthloom.plans.packed import Packed
-from truthloom.plans.rounds import Round, TruthResult, result_of, run_rounds, trust_from_sets, with_outcome
+from truthloom.plans.packed import Packed, Rule
+from truthloom.plans.rounds import TIES, Round, TruthResult, result_of, run_rounds, trust_from_sets, with_outcome
 from truthloom.schema import ITEM
 
 ALGORITHMS = ("DEPEN", "ACCU", "ACCUSIM")
@@ -51,7 +51,7 @@ def discounted_votes(base: ClaimBase, factors: DataFrame) -> DataFrame:
 
 def packed_rounds(base: ClaimBase, groups: Packed, algo: str, max_iterations: int, initial_trust: float, threshold: float,
                   c: float, n: float, alpha: float, order: str, stop: str) -> TruthResult:
-    """The rounds of DEPEN and ACCU on packed groups; the tables of sources and pairs stay as in :func:`accuracy_model`."""
+    """The rounds on packed groups; the tables of sources and pairs stay as in :func:`accuracy_model`."""
     work = base.work
     seen, pairs = groups.sums(work, "first-sums")
     pairs = pairs.where("n_common > 0")
@@ -108,7 +108,10 @@ def accuracy_model(
     if algo not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algo!r}")
     base = ClaimBase.of(claims, blocks, deduped)
-    groups = base.packed() if tie == "min" and algo != "ACCUSIM" else None
+    if tie not in TIES:
+        raise ValueError(f"unknown tie policy {tie!r}")
+    rule = Rule(rho if algo == "ACCUSIM" else None, seed=seed if tie == "seeded" else None)
+    groups = base.packed(rule) if algo != "ACCUSIM" or similarity == "char" else None
     if groups is not None:
         return packed_rounds(base, groups, algo, max_iterations, initial_trust, threshold, c, n, alpha, order, stop)
     biggest = base.biggest_item if similarity == "numeric" else None

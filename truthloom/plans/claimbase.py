@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from truthloom.functions.text import char_weights
+from truthloom.functions.text import char_weights, number_of
 from truthloom.operators import skew
 from truthloom.operators.dependence import both_directions
 from truthloom.operators.sets import SET, distinct_sets, pair_counts, set_key, set_members, units_with_sets
@@ -127,8 +127,8 @@ class ClaimBase:
     def facts(self) -> DataFrame:
         return self.masked_facts.select(*FACT, *SET)
 
-    def packed(self) -> packed.Packed | None:
-        """Facts in packed groups; ``None`` if they are few, or the sources many, or an item is hot."""
+    def packed(self, rule: packed.Rule = packed.Rule()) -> packed.Packed | None:
+        """Facts in packed groups for rounds by ``rule``; ``None`` if they are few, or the sources many, or an item is hot."""
         if self.size.facts < packed.PACKED_FACTS or self.sources is None or self.hot_items is not None:
             return None
         n_sources, blocks, n_blocks = self.sources.count(), None, 1
@@ -139,17 +139,19 @@ class ClaimBase:
         if self.blocks is not None:
             ids = self.blocks.select(*BLOCK).distinct().withColumn("block", F.row_number().over(W.orderBy(*BLOCK)) - 1)
             blocks = self.work.keep(self.blocks.select(*BLOCK, "property").distinct().join(ids, BLOCK).coalesce(1), "numbered-blocks")
-        return packed.Packed(self.packed_groups, self.sources, n_sources, blocks)
+        return packed.Packed(self.packed_groups(rule.numeric), self.sources, n_sources, blocks, rule=rule)
 
-    @property
-    def packed_groups(self) -> DataFrame:
+    def packed_groups(self, numbered: bool = False) -> DataFrame:
+        """With ``numbered`` the values as numbers too."""
         def make() -> DataFrame:
             tasks = self.tasks(self.size.facts)
             group = F.pmod(F.xxhash64(*ITEM), F.lit(max(4 * tasks, -(-self.size.facts // packed.GROUP_FACTS)))).cast("int")
             dealt = self.masked_facts.drop(*SET).withColumn("group_id", group).repartition(tasks, "group_id")
-            return dealt.groupBy("group_id").applyInArrow(packed.pack_group, packed.PACKED)
+            if numbered:
+                dealt = dealt.withColumn("x", number_of(F.col("value")))
+            return dealt.groupBy("group_id").applyInArrow(packed.pack_group, packed.NUMBERED if numbered else packed.PACKED)
 
-        return self._table("packed", make)
+        return self._table("packed-numbers" if numbered else "packed", make)
 
     @property
     def size(self) -> Row:

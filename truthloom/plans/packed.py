@@ -9,7 +9,7 @@ back sums per source and per pair of sources.  No fact, supporter set or score i
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from truthloom.functions.draws import seeded_place
 from truthloom.schema import FACT, ITEM
 
 #: Facts from which the rounds of a model are packed; below, starting Python costs more than it saves.
@@ -30,10 +31,36 @@ STRETCH = 2_000_000
 
 PACKED = """group_id int, names array<string>, item_names binary, starts binary, at binary, masks binary,
     objects array<string>, values array<string>"""
+NUMBERED = f"{PACKED}, numbers array<double>"
 SUMS = "block int, s1 int, s2 int, n bigint, total double, n_common bigint, n_same bigint, n_true bigint"
 FACTS = "block int, object string, property string, value string, confidence double, votes bigint"
 
 
+@dataclass(frozen=True)
+class Rule:
+    """What a round makes of the scores of supporter sets.
+
+    ``rho``    weight of the similar values of the item, by their characters or ``numeric``; ``None``: they don't count
+    ``theta``  if given, scores become the confidence of TruthFinder; else the weights of claims are a softmax
+    ``seed``   if given, a seeded choice among the tied values of an item; else the smallest one
+    """
+
+    rho: float | None = None
+    theta: float | None = None
+    numeric: bool = False
+    seed: int | None = None
+
+    @property
+    def reads(self) -> list[str]:
+        """The packed column that similarity needs."""
+        return [] if self.rho is None else ["numbers" if self.numeric else "values"]
+
+    def confidence(self, score: np.ndarray, item: np.ndarray, starts: np.ndarray, read: pa.Array | None) -> np.ndarray:
+        if self.rho is not None:
+            score = implied_by_numbers(score, starts, read, self.rho) if self.numeric else implied(score, item, read, self.rho)
+        return score if self.theta is None else 1 / (1 + np.exp(-self.theta * score))
+
+
 def words(n_sources: int) -> int:
     return -(-n_sources // 64)
 
@@ -66,6 +93,7 @@ def pack_group(key: tuple, table: pa.Table) -> pa.Table:
         masks, at = np.unique(masks[:, 0], return_inverse=True)
     else:
         masks, at = np.unique(masks, axis=0, return_inverse=True)
+    numbers = {"numbers": one_list(table.column("x").combine_chunks())} if "x" in table.column_names else {}
     return pa.table({
         "group_id": pa.array([key[0].as_py()], pa.int32()),
         "names": pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())),
@@ -75,6 +103,7 @@ def pack_group(key: tuple, table: pa.Table) -> pa.Table:
         "masks": pa.array([masks.tobytes()], pa.binary()),
         "objects": one_list(columns["object"].take(pa.array(first))),
         "values": one_list(columns["value"]),
+        **numbers,
     })
 
 
@@ -124,6 +153,27 @@ def implied(score: np.ndarray, item: np.ndarray, values: pa.Array, rho: float) -
     return np.where(lengths > 0, score + rho * (dot - score), score)
 
 
+def implied_by_numbers(score: np.ndarray, starts: np.ndarray, numbers: pa.Array, rho: float) -> np.ndarray:
+    """Scores with ``rho`` times those of the item's other values, weighed by 1 / gap; a value that is no number has no weight.
+
+    As in :func:`truthloom.functions.text.numeric_similarity`.  Items with as many values are worked on together, a stretch of pairs at a time.
+    """
+    x, known = numbers.to_numpy(zero_copy_only=False), numbers.is_valid().to_numpy(zero_copy_only=False)
+    lengths, others = np.diff(starts, append=len(score)), np.zeros(len(score))
+    for k in np.unique(lengths[lengths > 1]):
+        begins, place = starts[lengths == k], np.arange(k)
+        for own in np.array_split(place, min(k, -(-k * k // STRETCH))):
+            step = max(1, STRETCH // (k * len(own)))
+            for at in range(0, len(begins), step):
+                left, right = begins[at:at + step, None] + own, begins[at:at + step, None] + place
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gap = np.abs(x[left][:, :, None] - x[right][:, None, :])
+                    near = np.where(gap == 0, 1.0, 1 / gap)
+                counted = known[left][:, :, None] & known[right][:, None, :] & (own[:, None] != place)
+                others[left] = np.where(counted, near * score[right][:, None, :], 0.0).sum(2)
+    return score + rho * others
+
+
 @dataclass
 class Group:
     """The facts of one block in one group: value order within items, items in order."""
@@ -135,18 +185,22 @@ class Group:
     rows: np.ndarray
     items: np.ndarray
 
-    def scores(self, factors: np.ndarray | None, finder: tuple[float, float] | None = None, values: pa.Array | None = None) -> np.ndarray:
-        """Of every fact; without factors its votes, with ``finder`` (rho, theta) the confidence of TruthFinder."""
+    def scores(self, factors: np.ndarray | None, rule: Rule, read: pa.Array | None = None) -> np.ndarray:
+        """Of every fact; without factors its votes.  ``read`` has what similarity needs of all facts of the packed row."""
         score = (self.bits.sum(1).astype(float) if factors is None else set_scores(self.bits, factors))[self.at]
-        if finder is None or factors is None:
+        if factors is None:
             return score
-        rho, theta = finder
-        return 1 / (1 + np.exp(-theta * implied(score, self.item, values.take(pa.array(self.rows)), rho)))
+        return rule.confidence(score, self.item, self.starts, None if read is None else read.take(pa.array(self.rows)))
 
-    def winners(self, score: np.ndarray, top: np.ndarray) -> np.ndarray:
-        """The first fact of each item whose score equals the highest one to nine places."""
-        tied = np.flatnonzero(np.rint(score * 1e9) == np.rint(top * 1e9)[self.item])
-        return tied[np.flatnonzero(np.diff(self.item[tied], prepend=-1))]
+    def winners(self, score: np.ndarray, rule: Rule) -> np.ndarray:
+        """The fact of each item that is chosen among those whose score equals the highest one to nine places."""
+        top = np.rint(np.fmax.reduceat(score, self.starts) * 1e9)[self.item]
+        tied = np.flatnonzero((np.rint(score * 1e9) == top) | np.isnan(top))
+        first = np.flatnonzero(np.diff(self.item[tied], prepend=-1))
+        if rule.seed is None:
+            return tied[first]
+        sizes, which = np.unique(np.diff(first, append=len(tied)), return_inverse=True)
+        return tied[first + np.array([seeded_place(int(n), rule.seed) for n in sizes])[which]]
 
 
 class Unpacked:
@@ -196,7 +250,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(i)[at] for i, name in enumerate(batch.schema.names)}
 
 
-def _sums(n_sources: int, first: bool, finder: tuple[float, float] | None):
+def _sums(n_sources: int, first: bool, rule: Rule):
     """Sums per block and source (s2 is -1), and per block and pair of sources, of a whole task."""
     def sums(batches):
         totals: dict = {}
@@ -207,15 +261,14 @@ def _sums(n_sources: int, first: bool, finder: tuple[float, float] | None):
             for block, names in blocks.items():
                 if (not first and block not in factors) or (facts := group.block(names)) is None:
                     continue
-                score = facts.scores(None if first else factors[block], finder, None if finder is None else row["values"].values)
-                top = np.maximum.reduceat(score, facts.starts)
+                score = facts.scores(None if first else factors[block], rule, *[row[c].values for c in rule.reads])
                 weight = score
-                if finder is None:
-                    weight = np.exp(score - top[facts.item])
+                if rule.theta is None:
+                    weight = np.exp(score - np.maximum.reduceat(score, facts.starts)[facts.item])
                     weight /= np.add.reduceat(weight, facts.starts)[facts.item]
                 size = len(facts.bits)
                 n = np.bincount(facts.at, minlength=size)
-                n_true = np.bincount(facts.at[facts.winners(score, top)], minlength=size)
+                n_true = np.bincount(facts.at[facts.winners(score, rule)], minlength=size)
                 new = [n @ facts.bits.astype(float), np.bincount(facts.at, weight, size) @ facts.bits.astype(float)]
                 if first:
                     claimed = bits_of(np.bitwise_or.reduceat(group.masks[group.at[facts.rows]], facts.starts, axis=0), n_sources)
@@ -245,7 +298,7 @@ def _sums(n_sources: int, first: bool, finder: tuple[float, float] | None):
     return sums
 
 
-def _facts(n_sources: int, best: bool, finder: tuple[float, float] | None):
+def _facts(n_sources: int, best: bool, rule: Rule):
     """The facts of all blocks with their scores, or the winner of each item."""
     def facts(batches):
         known = None
@@ -257,8 +310,8 @@ def _facts(n_sources: int, best: bool, finder: tuple[float, float] | None):
             for block in factors:
                 if (own := group.block(blocks[block])) is None:
                     continue
-                score = own.scores(factors[block], finder, values)
-                chosen = own.winners(score, np.maximum.reduceat(score, own.starts)) if best else np.arange(len(score))
+                score = own.scores(factors[block], rule, *[row[c].values for c in rule.reads])
+                chosen = own.winners(score, rule) if best else np.arange(len(score))
                 items = own.items[own.item[chosen]]
                 yield pa.record_batch([
                     pa.array(np.full(len(chosen), block, np.int32)), objects.take(pa.array(items)),
@@ -276,7 +329,7 @@ class Packed:
     ``groups``   one row per group of items
     ``sources``  source, number   in the order of their names
     ``blocks``   block_id, block, property; ``None``: one block of all properties
-    ``finder``   rho and theta of TruthFinder; ``None``: the softmax of DEPEN and ACCU
+    ``rule``     what a round makes of the scores of sets
     """
 
     groups: DataFrame
@@ -284,7 +337,7 @@ class Packed:
     n_sources: int
     blocks: DataFrame | None
     factors: DataFrame | None = None
-    finder: tuple[float, float] | None = None
+    rule: Rule = field(default_factory=Rule)
 
     def _run(self, work, columns: list[str], schema: str) -> DataFrame:
         one = self.groups.sparkSession.range(1).select(F.lit(0).alias("one"))
@@ -326,8 +379,8 @@ class Packed:
 
         Without factors: of the majority vote.  Common and same pairs are counted only then.
         """
-        columns = ["names", "item_names", "starts", "at", "masks", *(["values"] if self.finder else [])]
-        made = self._run(_sums(self.n_sources, self.factors is None, self.finder), columns, SUMS)
+        columns = ["names", "item_names", "starts", "at", "masks", *self.rule.reads]
+        made = self._run(_sums(self.n_sources, self.factors is None, self.rule), columns, SUMS)
         summed = made.groupBy("block", "s1", "s2").agg(*[F.sum(c).alias(c) for c in ("n", "total", "n_common", "n_same", "n_true")])
         kept = work.keep(self._named(summed).coalesce(1), name)
         first = F.broadcast(self.sources.select(F.col("source").alias("a"), F.col("number").alias("s1")))
@@ -338,8 +391,8 @@ class Packed:
         return single, pairs
 
     def _listed(self, best: bool) -> DataFrame:
-        columns = ["names", "item_names", "starts", "at", "masks", "objects", "values"]
-        return self._named(self._run(_facts(self.n_sources, best, self.finder), columns, FACTS)).select("block_id", *FACT, "confidence", "votes")
+        columns = list(dict.fromkeys(["names", "item_names", "starts", "at", "masks", "objects", "values", *self.rule.reads]))
+        return self._named(self._run(_facts(self.n_sources, best, self.rule), columns, FACTS)).select("block_id", *FACT, "confidence", "votes")
 
     def truths(self) -> DataFrame:
         return self._listed(True)

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from truthloom.functions.scores import clamp_trust, sigmoid, trust_score
 from truthloom.operators.sets import SET
-from truthloom.operators.similarity import implied_scores
+from truthloom.operators.similarity import KINDS, implied_scores
 from truthloom.operators.skew import spread_join
 from truthloom.plans.claimbase import BLOCK, ClaimBase
-from truthloom.plans.packed import Packed
-from truthloom.plans.rounds import Round, TruthResult, result_of, run_rounds, trust_from_sets
+from truthloom.plans.packed import Packed, Rule
+from truthloom.plans.rounds import TIES, Round, TruthResult, result_of, run_rounds, trust_from_sets
 
 
 def packed_rounds(base: ClaimBase, groups: Packed, max_iterations: int, initial_trust: float, threshold: float, stop: str) -> TruthResult:
@@ -53,9 +51,12 @@ def truth_finder(
     """Iterate: score values by the trust of their sources, let similar values support each
     other, squash to a confidence, and set each source's trust to its mean confidence."""
     base = ClaimBase.of(claims, blocks, deduped)
-    groups = base.packed() if tie == "min" and similarity == "char" else None
+    if tie not in TIES:
+        raise ValueError(f"unknown tie policy {tie!r}")
+    if similarity not in KINDS:
+        raise ValueError(f"unknown similarity {similarity!r}")
+    groups = base.packed(Rule(rho, theta, similarity == "numeric", seed if tie == "seeded" else None))
     if groups is not None:
-        groups = replace(groups, finder=(rho, theta))
         return packed_rounds(base, groups, max_iterations, initial_trust, threshold, stop)
     biggest = base.biggest_item if similarity == "numeric" else None
 
