@@ -33,7 +33,7 @@ from truthloom.sources import (
     assign_sources, generate_claims, generate_truth, read_claims, read_truth, split_properties,
     write_claims, write_partition_report, write_truth,
 )
-from truthloom.sources.generate import Accuracy
+from truthloom.sources.generate import Accuracy, item_tasks
 
 try:  # the training-data operators are optional; nothing else needs them
     import corpus_pipeline
@@ -297,8 +297,9 @@ def gen_sources(spark, sf_dir):
 
 def gen_both(spark, sf_dir):
     objects, sources, groups = gen_tables(spark, sf_dir)
-    truth = generate_truth(objects, GEN_PROPERTIES)
-    return truth, generate_claims(truth, groups, sources, objects.count(), GEN_ACCURACY)
+    n_objects = objects.count()
+    truth = generate_truth(objects, GEN_PROPERTIES, n_objects=n_objects)
+    return truth, generate_claims(truth, groups, sources, n_objects, GEN_ACCURACY)
 
 
 def gen_claims(spark, sf_dir):
@@ -307,7 +308,10 @@ def gen_claims(spark, sf_dir):
 
 def gen_evaluate_vote(spark, sf_dir):
     truth, claims = gen_both(spark, sf_dir)
-    votes = Workspace(spark).keep(vote_counts(claims), "votes")
+    # in as many buckets as items ask for: a task reads no more of them when there are more, and Spark knows their size
+    work, tasks = Workspace(spark), item_tasks(spark, truth.count())
+    truth = work.keep_bucketed(truth.select(*FACT), "truth", tasks, *ITEM)
+    votes = work.keep_bucketed(vote_counts(claims), "votes", tasks, *ITEM)
     return ratios6(evaluate(votes, truth, best_values(votes)))
 
 

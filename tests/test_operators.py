@@ -13,7 +13,9 @@ from truthloom.functions.scores import log_bucket, log_of_buckets, scaled_exp
 from truthloom.functions.text import char_weights, weights_dot
 from truthloom.operators.quality import source_stats
 from truthloom.operators.sets import distinct_sets, pair_counts, set_members, units_with_sets
-from truthloom.operators.votes import restrict_properties, tied_values
+from truthloom.operators.votes import best_values, restrict_properties, tied_values
+from truthloom.plans.workspace import Workspace
+from truthloom.schema import FACT, ITEM
 
 
 def test_majority_vote_and_evaluation(example, example_truth, example_rows):
@@ -165,3 +167,20 @@ def test_vote_ignores_row_order(example):
     one = sorted(map(tuple, majority_vote(example).collect()))
     other = sorted(map(tuple, majority_vote(example.orderBy(F.rand(3)).repartition(5)).collect()))
     assert one == other
+
+
+def test_evaluation_keeps_votes_dealt_by_item(spark, example, example_truth, example_rows):
+    """Votes in buckets of their items are judged where they are, also values that nobody claims."""
+    truth = example_truth.unionByName(spark.createDataFrame([("o3", "p1", "x")], "object string, property string, value string"))
+    truth = truth.withColumn("value", F.when(F.col("property") == "p3", "unclaimed").otherwise(F.col("value")))
+    votes = vote_counts(example)
+    found = majority_vote(example).select(*FACT)
+    work = Workspace(spark)
+    dealt = work.keep_bucketed(votes, "votes", 5, *ITEM)
+    judged = evaluate(dealt, truth, best_values(dealt))
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "value" in line.split("hashpartitioning")[1]]
+    assert judged.collect() == evaluate(example, truth, found).collect()
+    row, true = judged.first(), {(r.object, r.property): r.value for r in truth.collect()}
+    assert [row.tp, row.fp, row.fn, row.tn, row.n_unmatched] == plain.confusion(example_rows, true, plain.vote(example_rows))
+    work.drop()

@@ -279,3 +279,15 @@ def test_shared_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared_folder(Session())
+
+
+def test_tasks_of_generated_items_keep_their_size(spark, monkeypatch):
+    """More objects are dealt to more tasks, with the same rows, so that no task holds more."""
+    from truthloom.sources import generate
+
+    objects = named_range(spark, "Object", "object", 60)
+    expected = rows(generate_truth(objects, PROPERTIES))
+    monkeypatch.setattr(generate, "ITEMS_PER_TASK", 10)
+    truth = generate_truth(objects, PROPERTIES)
+    assert truth.rdd.getNumPartitions() == 36
+    assert rows(truth) == expected

@@ -13,24 +13,28 @@ def confusion(claims: DataFrame, truth: DataFrame, found: DataFrame, group: list
     """Per-claim confusion counts; ``n_unmatched`` counts claims on items without truth or result.
 
     Only three numbers per item matter: all its votes, those for the true value and those for
-    the found value.  So every join has at most one row per item on each side, however many
-    claims or values an item has.  ``claims`` may already be vote counts; ``found`` may hold
+    the found value.  Values meet the true and the found one of their item, so all joins and sums deal by
+    item: vote counts that are dealt by item already are not shuffled.  ``claims`` may already be vote counts; ``found`` may hold
     several results told apart by ``group``, and with ``counted`` the ``votes`` for its values among ``claims``.
     """
     counts = claims if "votes" in claims.columns else vote_counts(claims)
-    totals = counts.groupBy(*ITEM).agg(F.sum("votes").alias("all_votes"))
-
-    def supported(values: DataFrame, name: str, keys: list[str]) -> DataFrame:
-        votes = F.coalesce("votes", F.lit(0)).alias(f"{name}_votes")
-        return values.select(*keys, *FACT).join(counts, FACT, "left").select(
-            *keys, *ITEM, F.col("value").alias(f"{name}_value"), votes
-        )
-
-    if counted:
-        chosen = found.select(*group, *ITEM, F.col("value").alias("found_value"), F.col("votes").alias("found_votes"))
-    else:
-        chosen = supported(found, "found", group)
-    joined = totals.join(supported(as_truth(truth), "true", []), ITEM, "left").join(chosen, ITEM, "left")
+
+    def supported(name: str) -> Column:
+        return F.sum(F.when(F.col("value") == F.col(f"{name}_value"), F.col("votes")).otherwise(0)).alias(f"{name}_votes")
+
+    def valued(values: DataFrame, name: str) -> DataFrame:
+        return values.select(*ITEM, F.col("value").alias(f"{name}_value"))
+
+    judged, names = counts.join(valued(as_truth(truth), "true"), ITEM, "left"), ["true"]
+    if not group and not counted:
+        judged, names = judged.join(valued(found, "found"), ITEM, "left"), ["true", "found"]
+    joined = judged.groupBy(*ITEM, *[f"{name}_value" for name in names]).agg(
+        F.sum("votes").alias("all_votes"), *[supported(name) for name in names]
+    )
+    if "found" not in names:
+        chosen = found.select(*group, *FACT, "votes") if counted else (
+            found.select(*group, *FACT).join(counts.select(*FACT, "votes"), FACT, "left").fillna(0, ["votes"]))
+        joined = joined.join(chosen.withColumnsRenamed({"value": "found_value", "votes": "found_votes"}), ITEM, "left")
     matched = F.col("true_value").isNotNull() & F.col("found_value").isNotNull()
     right = F.col("true_value") == F.col("found_value")
     true_votes, found_votes, all_votes = F.col("true_votes"), F.col("found_votes"), F.col("all_votes")

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from truthloom.functions.draws import draw, uniform
-from truthloom.operators.skew import use_all_cores
 from truthloom.schema import CLAIM
 
 # Fixed values of the data format: true values start at 100000 (399,999 of them), wrong
@@ -22,6 +21,9 @@ TRUE_START, TRUE_COUNT = 100000, 399999
 FALSE_START, FALSE_COUNT = 500000, 499999
 N_FALSE = 20
 
+# Items of generated truth that one task takes.
+ITEMS_PER_TASK = 20_000
+
 # An answer plan (properties x sources) up to this many rows is broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -41,13 +43,23 @@ def named_range(spark: SparkSession, prefix: str, column: str, count: int) -> Da
     return names.withColumn(column, F.concat(F.lit(prefix), F.col(f"{column}_idx") + 1))
 
 
-def generate_truth(objects: DataFrame, properties: list[str], seed: str = "0") -> DataFrame:
+def item_tasks(spark: SparkSession, n_items: int) -> int:
+    """Tasks for so many generated items: work for all cores, and no more items than a task takes."""
+    return max(spark.sparkContext.defaultParallelism, -(-n_items // ITEMS_PER_TASK))
+
+
+def generate_truth(objects: DataFrame, properties: list[str], seed: str = "0", n_objects: int | None = None) -> DataFrame:
     """One true value and 20 distinct wrong values per (object, property).
 
+    Objects are dealt to as many tasks as their number (counted if not given) asks for: what one task generates,
+    and votes of it, does not grow with the data.
+
     Wrong values step through the 499,999 candidates by a constant stride.  499,999 is
     31 * 127 * 127, so no stride repeats within the first 31 steps.
     """
-    items = use_all_cores(objects, "object").withColumn("property", F.explode(F.array(*[F.lit(p) for p in properties])))
+    n_objects = objects.count() if n_objects is None else n_objects
+    tasks = item_tasks(objects.sparkSession, n_objects * len(properties))
+    items = objects.repartition(tasks, "object").withColumn("property", F.explode(F.array(*[F.lit(p) for p in properties])))
     name = ["object", "property"]
     true_value = F.lit(TRUE_START) + F.pmod(draw(F.lit(seed), F.lit("true"), *map(F.col, name)), F.lit(TRUE_COUNT))
     start = F.pmod(draw(F.lit(seed), F.lit("start"), *map(F.col, name)), F.lit(FALSE_COUNT))
