@@ -154,3 +154,18 @@ def test_not_packed(spark, monkeypatch, number, value):
     trust, _ = plain.accuracy(rows, "ACCU", 1)
     result = accuracy_model(base, "ACCU", max_iterations=1, threshold=0.0)
     assert {r.source: r.trust for r in result.trust.collect()} == pytest.approx(trust, abs=1e-9)
+
+
+def test_claims_are_shuffled_once(spark, many, monkeypatch):
+    """Facts, items and packed groups are made where the claims were dealt."""
+    shuffles, keep = {}, Workspace.keep
+
+    def spy(self, df, name):
+        shuffles[name] = df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        return keep(self, df, name)
+
+    monkeypatch.setattr(Workspace, "keep", spy)
+    base = ClaimBase.of(many[0], deduped=True)
+    base.packed()
+    assert base.items.count() == 150 and base.packed_groups().count() > 8
+    assert shuffles["items"] == 0 and shuffles["packed"] == 0

@@ -23,6 +23,8 @@ BLOCK = ["block_id"]
 #: Facts, or members of sets, that one task of a round takes, and groups of items that facts are numbered in.
 PLACED_ROWS = 200_000
 GROUPS_PER_TASK = 16
+#: Claims that one task makes facts of.
+DEALT_CLAIMS = 1_000_000
 
 
 @dataclass
@@ -114,14 +116,23 @@ class ClaimBase:
 
     @property
     def masked_facts(self) -> DataFrame:
-        """Facts, with the numbers of their supporters as bit masks if there are few sources."""
+        """Facts; with few sources also the numbers of their supporters as bit masks, and a ``group_id`` they are dealt by.
+
+        With few sources no item has many claims.  Claims are then shuffled once, by a hash of their item;
+        facts, items and packed groups are made where the claims are.
+        """
         def make() -> DataFrame:
             if self.sources is None:
-                return units_with_sets(self.claims, FACT, "source")
+                return self.work.keep(units_with_sets(self.claims, FACT, "source"), "facts")
+            rows = self.claims.count()
+            tasks = max(self.work.spark.sparkContext.defaultParallelism, -(-rows // DEALT_CLAIMS))
+            group = F.pmod(F.xxhash64(*ITEM), F.lit(max(4 * tasks, -(-rows // packed.GROUP_CLAIMS)))).cast("int")
+            dealt = self.claims.select(group.alias("group_id"), *CLAIM).repartition(tasks, "group_id")
             masks = packed.mask_columns(F.col("number"), self.sources.count())
-            return self.claims.join(F.broadcast(self.sources), "source").groupBy(*FACT).agg(*set_key("source"), *masks)
+            made = dealt.join(F.broadcast(self.sources), "source").groupBy("group_id", *FACT).agg(*set_key("source"), *masks)
+            return self.work.keep_bucketed(made, "facts", tasks, "group_id", dealt=True)
 
-        return self._table("facts", make)
+        return self._once("facts", make)
 
     @property
     def facts(self) -> DataFrame:
@@ -144,9 +155,7 @@ class ClaimBase:
     def packed_groups(self, numbered: bool = False) -> DataFrame:
         """With ``numbered`` the values as numbers too."""
         def make() -> DataFrame:
-            tasks = self.tasks(self.size.facts)
-            group = F.pmod(F.xxhash64(*ITEM), F.lit(max(4 * tasks, -(-self.size.facts // packed.GROUP_FACTS)))).cast("int")
-            dealt = self.masked_facts.drop(*SET).withColumn("group_id", group).repartition(tasks, "group_id")
+            dealt = self.masked_facts.drop(*SET)
             if numbered:
                 dealt = dealt.withColumn("x", number_of(F.col("value")))
             return dealt.groupBy("group_id").applyInArrow(packed.pack_group, packed.NUMBERED if numbered else packed.PACKED)
@@ -187,12 +196,13 @@ class ClaimBase:
     @property
     def items(self) -> DataFrame:
         """The sets of an item's values are disjoint, so their XOR sums add up to the item's."""
-        return self._table("items", lambda: self.facts.groupBy(*ITEM).agg(
+        dealt = [c for c in ("group_id",) if c in self.masked_facts.columns]
+        return self._table("items", lambda: self.masked_facts.groupBy(*dealt, *ITEM).agg(
             F.bit_xor("set_hi").alias("set_hi"),
             F.bit_xor("set_lo").alias("set_lo"),
             F.sum("set_size").alias("set_size"),
             F.count(F.lit(1)).alias("n_values"),
-        ))
+        ).drop(*dealt))
 
     @property
     def biggest_item(self) -> int:

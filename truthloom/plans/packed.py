@@ -25,8 +25,8 @@ PACKED_FACTS = 100_000
 #: Sources that fit the bit masks of facts, and pairs of sources of all blocks that a task counts.
 MOST_SOURCES = 256
 MOST_PAIRS = 1_000_000
-#: Facts of a group, and numbers that are worked on at a time.
-GROUP_FACTS = 50_000
+#: Claims of a group, and numbers that are worked on at a time.
+GROUP_CLAIMS = 150_000
 STRETCH = 2_000_000
 
 PACKED = """group_id int, names array<string>, item_names binary, starts binary, at binary, masks binary,

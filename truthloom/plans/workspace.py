@@ -59,15 +59,17 @@ class Workspace:
         self._mark()
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def keep_bucketed(self, df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
+    def keep_bucketed(self, df: DataFrame, name: str, buckets: int, *keys: str, dealt: bool = False) -> DataFrame:
         """Write ``df`` once, dealt by ``keys``; joins and groups on them need no shuffle of this table.
 
+        ``dealt``: it is in ``buckets`` partitions by ``keys`` already.
+
         Spark knows the buckets of catalog tables only, so the table has a name in the session's
         catalog until ``drop``; its files lie in the folder like all others.
         """
         path = self._next(name)
         table = f"truthloom_{uuid.uuid4().hex}"
-        df.repartition(buckets, *keys).write.option("path", path).bucketBy(buckets, *keys).saveAsTable(table, format="parquet")
+        (df if dealt else df.repartition(buckets, *keys)).write.option("path", path).bucketBy(buckets, *keys).saveAsTable(table, format="parquet")
         self._tables.append(table)
         self._mark()
         return self.spark.table(table)
