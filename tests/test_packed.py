@@ -11,6 +11,7 @@ from truthloom import accuracy_model, truth_finder
 from truthloom.functions.draws import seeded_place
 from truthloom.plans import packed
 from truthloom.plans.claimbase import ClaimBase
+from truthloom.plans.exhaustive import partition_report
 from truthloom.plans.workspace import Workspace
 
 SCHEMA = "object string, property string, value string, source string"
@@ -169,3 +170,57 @@ def test_claims_are_shuffled_once(spark, many, monkeypatch):
     base.packed()
     assert base.items.count() == 150 and base.packed_groups().count() > 8
     assert shuffles["items"] == 0 and shuffles["packed"] == 0
+
+
+def report_truth(spark, items=150):
+    """Truth that is claimed, that nobody claims, that contradicts itself or is null, and of items without claims."""
+    rows = [(f"o{i}", f"p{i % 3}", f"v{(i * 7 + i % 2) % 4}" if i % 7 else "none") for i in range(items) if i % 5]
+    rows += [("o1", "p1", "v0"), ("o2", "p2", "zz"), ("o3", "p0", None), ("o0", "p2", "v1"), ("elsewhere", "p0", "v1"), ("o4", "p9", "v1")]
+    return spark.createDataFrame(rows, "object string, property string, value string")
+
+
+@pytest.mark.parametrize("limit", [None, 3])
+def test_report_lists_no_truths(spark, many, monkeypatch, limit):
+    """Truths of all blocks are judged in the groups; they were listed and joined with the truth before."""
+    truth = report_truth(spark)
+    monkeypatch.setattr(packed, "PACKED_FACTS", 10**6)
+    wanted = {r.partition_id: r for r in partition_report(many[0], truth, limit=limit, deduped=True).collect()}
+    monkeypatch.setattr(packed, "PACKED_FACTS", 1)
+    monkeypatch.setattr(packed, "_facts", lambda *_: lambda batches: 1 / 0)
+    report = partition_report(many[0], truth, limit=limit, deduped=True).collect()
+    assert len(report) == len(wanted) == (limit or 5) and any(r.fp and r.fn and r.tp and r.tn and r.n_unmatched for r in report)
+    for row in report:
+        other = wanted[row.partition_id]
+        assert row.partition == other.partition
+        assert row[2:] == pytest.approx(other[2:], abs=1e-9)
+
+
+def test_factors_of_many_blocks():
+    """Sets look up the factors of all blocks at once; each block's scores are those of its own matrix."""
+    rng = np.random.default_rng(2)
+    bits, factors = rng.integers(0, 2, (40, 7)).astype(np.uint8), rng.random((7, 7, 5))
+    found = packed.set_scores(bits, factors)
+    assert found.shape == (40, 5)
+    for block in range(5):
+        assert found[:, block] == pytest.approx(packed.set_scores(bits, factors[:, :, block]))
+
+
+def test_majority_is_counted_once_per_property(spark, many, monkeypatch):
+    """Of seven blocks of three properties: the vote and its pairs do not depend on the block."""
+    masks = np.array([[3], [6], [5], [3]])
+    row = dict(names=pa.scalar(["p0", "p1", "p2"]), masks=pa.scalar(masks.astype("<i8").tobytes()))
+    for name, numbers in dict(item_names=[0, 1, 2], starts=[0, 1, 2], at=[0, 1, 2, 3]).items():
+        row[name] = pa.scalar(np.array(numbers, "<i4").tobytes())
+    pairs = [(b, f"p{p}") for b in range(1, 8) for p in range(3) if b >> p & 1]
+    row["members"] = pa.scalar([dict(block=b, property=p) for b, p in pairs], pa.list_(pa.struct([("block", pa.int32()), ("property", pa.string())])))
+    row["factors"] = pa.scalar(None, pa.list_(pa.int32()))
+    calls, winners = [], packed.Group.winners
+    monkeypatch.setattr(packed.Group, "winners", lambda self, *a: calls.append(1) or winners(self, *a))
+    batch = pa.RecordBatch.from_arrays([pa.array([v.as_py()], v.type) for v in row.values()], names=list(row))
+    sums = next(packed._sums(3, True, packed.Rule())([batch]))
+    assert len(calls) == 3
+    n = {}
+    for block, s2, count in zip(*[sums.column(c).to_pylist() for c in ("block", "s2", "n")]):
+        n[block] = n.get(block, 0) + (count if s2 < 0 else 0)
+    claims_of = [2, 2, 4]
+    assert n == {b: sum(claims_of[p] for p in range(3) if b >> p & 1) for b in range(1, 8)}

@@ -114,6 +114,16 @@ class ClaimBase:
 
         return self._once("source-numbers", make)
 
+    @property
+    def dealing(self) -> tuple[int, int]:
+        """Numbers of groups of items and of the tasks that these are dealt to, with few sources."""
+        def count() -> tuple[int, int]:
+            rows = self.claims.count()
+            tasks = max(self.work.spark.sparkContext.defaultParallelism, -(-rows // DEALT_CLAIMS))
+            return max(4 * tasks, -(-rows // packed.GROUP_CLAIMS)), tasks
+
+        return self._once("dealing", count)
+
     @property
     def masked_facts(self) -> DataFrame:
         """Facts; with few sources also the numbers of their supporters as bit masks, and a ``group_id`` they are dealt by.
@@ -124,10 +134,8 @@ class ClaimBase:
         def make() -> DataFrame:
             if self.sources is None:
                 return self.work.keep(units_with_sets(self.claims, FACT, "source"), "facts")
-            rows = self.claims.count()
-            tasks = max(self.work.spark.sparkContext.defaultParallelism, -(-rows // DEALT_CLAIMS))
-            group = F.pmod(F.xxhash64(*ITEM), F.lit(max(4 * tasks, -(-rows // packed.GROUP_CLAIMS)))).cast("int")
-            dealt = self.claims.select(group.alias("group_id"), *CLAIM).repartition(tasks, "group_id")
+            n_groups, tasks = self.dealing
+            dealt = self.claims.select(packed.group_of(n_groups).alias("group_id"), *CLAIM).repartition(tasks, "group_id")
             masks = packed.mask_columns(F.col("number"), self.sources.count())
             made = dealt.join(F.broadcast(self.sources), "source").groupBy("group_id", *FACT).agg(*set_key("source"), *masks)
             return self.work.keep_bucketed(made, "facts", tasks, "group_id", dealt=True)

@@ -29,7 +29,10 @@ def block_outcomes(base: ClaimBase, blocks: DataFrame, truth: DataFrame | None,
     outcome = result.summary().select("block_id", "mean_trust")
     if truth is None:
         return outcome.select("*", *[F.lit(None).cast("bigint").alias(c) for c in COUNTS])
-    judged = confusion(base.votes_per_value(), truth, result.truths, ["block_id"], counted=True)
+    if result.groups is not None:
+        judged = result.groups.confusion(truth, base.dealing, base.work)
+    else:
+        judged = confusion(base.votes_per_value(), truth, result.truths, ["block_id"], counted=True)
     return outcome.join(judged, "block_id", "left").select("block_id", "mean_trust", *COUNTS)
 
 

@@ -33,6 +33,7 @@ PACKED = """group_id int, names array<string>, item_names binary, starts binary,
     objects array<string>, values array<string>"""
 NUMBERED = f"{PACKED}, numbers array<double>"
 SUMS = "block int, s1 int, s2 int, n bigint, total double, n_common bigint, n_same bigint, n_true bigint"
+JUDGED = "block int, tp bigint, fp bigint, fn bigint, tn bigint, n_unmatched bigint"
 FACTS = "block int, object string, property string, value string, confidence double, votes bigint"
 
 
@@ -61,6 +62,11 @@ class Rule:
         return score if self.theta is None else 1 / (1 + np.exp(-self.theta * score))
 
 
+def group_of(n_groups: int) -> Column:
+    """The group of an item."""
+    return F.pmod(F.xxhash64(*ITEM), F.lit(n_groups)).cast("int")
+
+
 def words(n_sources: int) -> int:
     return -(-n_sources // 64)
 
@@ -78,15 +84,22 @@ def one_list(strings: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(strings)], pa.int32()), strings)
 
 
+def ranked(strings: pa.Array) -> np.ndarray:
+    """The place of each string among the distinct ones in order; only these are compared as strings."""
+    coded = strings.dictionary_encode()
+    ranks = np.empty(len(coded.dictionary), np.int64)
+    ranks[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(ranks))
+    return ranks[coded.indices.to_numpy()]
+
+
 def pack_group(key: tuple, table: pa.Table) -> pa.Table:
     """One row for a group: items in order, their values in order, and the distinct supporter sets."""
-    table = table.take(pc.sort_indices(table, [(c, "ascending") for c in FACT])).combine_chunks()
+    ranks = [ranked(table.column(c).combine_chunks()) for c in FACT]
+    order = np.lexsort(ranks[::-1])
+    table = table.take(pa.array(order)).combine_chunks()
     columns = {c: table.column(c).combine_chunks() for c in FACT}
-    n = table.num_rows
-    same = np.ones(max(n - 1, 0), bool)
-    for c in ITEM:
-        same &= pc.equal(columns[c][1:], columns[c][:-1]).to_numpy(zero_copy_only=False)
-    first = np.flatnonzero(np.concatenate(([True], ~same)))
+    items = np.stack(ranks[:2])[:, order]
+    first = np.flatnonzero(np.concatenate(([True], (items[:, 1:] != items[:, :-1]).any(0))))
     coded = columns["property"].dictionary_encode()
     masks = np.stack([table.column(c).to_numpy() for c in table.column_names if c.startswith("mask")], 1).astype("<i8")
     if masks.shape[1] == 1:
@@ -113,27 +126,33 @@ def bits_of(masks: np.ndarray, n_sources: int) -> np.ndarray:
 
 
 def set_scores(bits: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """Per set: the sum over its sources of the product of their factors for all sources of the set."""
+    """Per set: the sum over its sources of the product of their factors for all sources of the set.
+
+    With a third axis of ``factors`` for every matrix along it: sets of a size look up all of them at once.
+    """
+    n_sources, more = bits.shape[1], factors.shape[2:]
+    flat = np.ascontiguousarray(factors).reshape(n_sources * n_sources, *more)
     sizes = bits.sum(1, dtype=np.int64)
-    scores = np.zeros(len(bits))
+    scores = np.zeros((len(bits), *more))
     order = np.argsort(sizes, kind="stable")
     edges = np.flatnonzero(np.diff(sizes[order], prepend=-1, append=-1))
     for low, high in zip(edges[:-1], edges[1:]):
         k = int(sizes[order[low]])
-        step = max(1, STRETCH // max(1, k * k))
+        step = max(1, STRETCH // max(1, k * k * int(np.prod(more))))
         for begin in range(low, high if k else low, step):
             rows = order[begin:min(high, begin + step)]
-            own = np.nonzero(bits[rows])[1].reshape(len(rows), k)
-            scores[rows] = factors[own[:, :, None], own[:, None, :]].prod(2).sum(1)
+            own = np.nonzero(bits[rows])[1].reshape(len(rows), k).T
+            scores[rows] = flat.take(own[:, None] * n_sources + own[None], 0).prod(1).sum(0)
     return scores
 
 
 def pairs_within(bits: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-    """Per pair of sources: the total weight of the rows that hold both; whole numbers, exact in doubles."""
+    """Per pair of sources: the total weight of the rows that hold both; whole numbers, exact in doubles, small ones in floats too."""
     total = np.zeros((bits.shape[1],) * 2)
+    exact = np.float32 if (len(bits) if weights is None else weights.sum()) < 1 << 24 else np.float64
     for begin in range(0, len(bits), step := max(1, STRETCH // max(1, bits.shape[1]))):
-        part = bits[begin:begin + step].astype(float)
-        total += (part if weights is None else part * weights[begin:begin + step, None]).T @ part
+        part = bits[begin:begin + step].astype(exact)
+        total += (part if weights is None else part * weights[begin:begin + step, None].astype(exact)).T @ part
     return total
 
 
@@ -176,7 +195,7 @@ def implied_by_numbers(score: np.ndarray, starts: np.ndarray, numbers: pa.Array,
 
 @dataclass
 class Group:
-    """The facts of one block in one group: value order within items, items in order."""
+    """Facts of one group, those of the properties that the same blocks have: value order within items, items in order."""
 
     item: np.ndarray
     starts: np.ndarray
@@ -185,12 +204,16 @@ class Group:
     rows: np.ndarray
     items: np.ndarray
 
-    def scores(self, factors: np.ndarray | None, rule: Rule, read: pa.Array | None = None) -> np.ndarray:
-        """Of every fact; without factors its votes.  ``read`` has what similarity needs of all facts of the packed row."""
-        score = (self.bits.sum(1).astype(float) if factors is None else set_scores(self.bits, factors))[self.at]
-        if factors is None:
-            return score
-        return rule.confidence(score, self.item, self.starts, None if read is None else read.take(pa.array(self.rows)))
+    def votes(self) -> np.ndarray:
+        return self.bits.sum(1, dtype=np.int64)[self.at]
+
+    def scores(self, factors: list[np.ndarray], rule: Rule, read: pa.Array | None = None) -> Iterator[np.ndarray]:
+        """Of every fact, by one matrix of factors after another.  ``read`` has what similarity needs of all facts of the packed row."""
+        own = None if read is None else read.take(pa.array(self.rows))
+        step = max(1, STRETCH // max(1, len(self.bits)))
+        for begin in range(0, len(factors), step):
+            for score in np.ascontiguousarray(set_scores(self.bits, np.stack(factors[begin:begin + step], 2)).T):
+                yield rule.confidence(score[self.at], self.item, self.starts, own)
 
     def winners(self, score: np.ndarray, rule: Rule) -> np.ndarray:
         """The fact of each item that is chosen among those whose score equals the highest one to nine places."""
@@ -212,17 +235,32 @@ class Unpacked:
         self.masks = np.frombuffer(row["masks"].as_py(), "<i8").reshape(-1, words(n_sources))
         self.bits = bits_of(self.masks, n_sources)
         self.lengths = np.diff(self.starts, append=len(self.at))
+        self.votes = self.bits.sum(1, dtype=np.int64)[self.at]
 
-    def block(self, properties: set[str] | None) -> Group | None:
+    def part(self, properties: set[str] | None) -> Group | None:
         inside = np.array([properties is None or name in properties for name in self.names], bool)[self.item_names]
         items = np.flatnonzero(inside)
         if not len(items):
             return None
         lengths, rows = self.lengths[items], np.flatnonzero(np.repeat(inside, self.lengths))
-        present, at = np.unique(self.at[rows], return_inverse=True)
+        present = np.zeros(len(self.masks), bool)
+        present[self.at[rows]] = True
+        at = (np.cumsum(present) - 1)[self.at[rows]]
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         return Group(np.repeat(np.arange(len(items)), lengths), starts, at, self.bits[present], rows, items)
 
+    def parts(self, blocks: dict) -> Iterator[tuple[tuple, Group]]:
+        """The facts in parts that the same ones of ``blocks`` (number: properties, ``None``: all) hold, with the numbers of these.
+
+        What does not depend on the block is worked out once for all blocks of a part.
+        """
+        held: dict = {}
+        for name in self.names:
+            held.setdefault(tuple(b for b, own in blocks.items() if own is None or name in own), set()).add(name)
+        for numbers, properties in held.items():
+            if numbers:
+                yield numbers, self.part(properties)
+
 
 def parameters(row: dict, n_sources: int) -> tuple[dict, dict]:
     """Properties of every block (``None``: all), and the matrix of factors of the blocks that have some."""
@@ -258,26 +296,24 @@ def _sums(n_sources: int, first: bool, rule: Rule):
         for row in _rows(batches):
             blocks, factors = known = known or parameters(row, n_sources)
             group = Unpacked(row, n_sources)
-            for block, names in blocks.items():
-                if (not first and block not in factors) or (facts := group.block(names)) is None:
-                    continue
-                score = facts.scores(None if first else factors[block], rule, *[row[c].values for c in rule.reads])
-                weight = score
-                if rule.theta is None:
-                    weight = np.exp(score - np.maximum.reduceat(score, facts.starts)[facts.item])
-                    weight /= np.add.reduceat(weight, facts.starts)[facts.item]
-                size = len(facts.bits)
+            for numbers, facts in group.parts(blocks if first else {b: blocks[b] for b in factors}):
+                size, bits = len(facts.bits), facts.bits.astype(float)
                 n = np.bincount(facts.at, minlength=size)
-                n_true = np.bincount(facts.at[facts.winners(score, rule)], minlength=size)
-                new = [n @ facts.bits.astype(float), np.bincount(facts.at, weight, size) @ facts.bits.astype(float)]
+                pairs = [np.zeros((n_sources, n_sources))] * 2
                 if first:
                     claimed = bits_of(np.bitwise_or.reduceat(group.masks[group.at[facts.rows]], facts.starts, axis=0), n_sources)
-                    new += [pairs_within(claimed), pairs_within(facts.bits, n)]
-                else:
-                    new += [np.zeros((n_sources, n_sources))] * 2
-                won = n_true > 0
-                new.append(pairs_within(facts.bits[won], n_true[won]))
-                totals[block] = [a + b for a, b in zip(totals[block], new)] if block in totals else new
+                    pairs = [pairs_within(claimed), pairs_within(facts.bits, n)]
+                scores = [facts.votes().astype(float)] if first else facts.scores(
+                    [factors[b] for b in numbers], rule, *[row[c].values for c in rule.reads])
+                for at, score in enumerate(scores):
+                    weight = score
+                    if rule.theta is None:
+                        weight = np.exp(score - np.maximum.reduceat(score, facts.starts)[facts.item])
+                        weight /= np.add.reduceat(weight, facts.starts)[facts.item]
+                    n_true = np.bincount(facts.at[facts.winners(score, rule)], minlength=size)
+                    new = [n @ bits, np.bincount(facts.at, weight, size) @ bits, *pairs, pairs_within(facts.bits, n_true)]
+                    for block in numbers if first else numbers[at:at + 1]:
+                        totals[block] = [a + b for a, b in zip(totals[block], new)] if block in totals else new
         out: dict = {name: [] for name in ("block", "s1", "s2", "n", "total", "n_common", "n_same", "n_true")}
 
         def add(block, s1, s2, *numbers):
@@ -307,21 +343,81 @@ def _facts(n_sources: int, best: bool, rule: Rule):
             group = Unpacked(row, n_sources)
             objects, values = row["objects"].values, row["values"].values
             names = pa.array(group.names, pa.string())
-            for block in factors:
-                if (own := group.block(blocks[block])) is None:
-                    continue
-                score = own.scores(factors[block], rule, *[row[c].values for c in rule.reads])
-                chosen = own.winners(score, rule) if best else np.arange(len(score))
-                items = own.items[own.item[chosen]]
-                yield pa.record_batch([
-                    pa.array(np.full(len(chosen), block, np.int32)), objects.take(pa.array(items)),
-                    names.take(pa.array(group.item_names[items])), values.take(pa.array(own.rows[chosen])),
-                    pa.array(score[chosen]), pa.array(own.bits.sum(1, dtype=np.int64)[own.at[chosen]]),
-                ], names=["block", *FACT, "confidence", "votes"])
+            for numbers, own in group.parts({b: blocks[b] for b in factors}):
+                scores = own.scores([factors[b] for b in numbers], rule, *[row[c].values for c in rule.reads])
+                votes = own.votes()
+                for block, score in zip(numbers, scores):
+                    chosen = own.winners(score, rule) if best else np.arange(len(score))
+                    items = own.items[own.item[chosen]]
+                    yield pa.record_batch([
+                        pa.array(np.full(len(chosen), block, np.int32)), objects.take(pa.array(items)),
+                        names.take(pa.array(group.item_names[items])), values.take(pa.array(own.rows[chosen])),
+                        pa.array(score[chosen]), pa.array(votes[chosen]),
+                    ], names=["block", *FACT, "confidence", "votes"])
 
     return facts
 
 
+def true_facts(columns: list[str]):
+    """A packed row with ``columns`` and, per item, the place of its true value among the facts.
+
+    -1: nobody claims the true value, -2: the item has no truth.  Of truths that contradict each other the greatest
+    value counts, as in :func:`truthloom.schema.as_truth`.
+    """
+    def find(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.combine_chunks()
+        true = [pa.array([], pa.binary())]
+        if left.num_rows:
+            row = {name: left.column(name)[0] for name in left.column_names}
+            starts, item_names = (np.frombuffer(row[c].as_py(), "<i4") for c in ("starts", "item_names"))
+            values, names = row["values"].values, pa.array(row["names"].as_py(), pa.string())
+            coded = row["objects"].values.dictionary_encode()
+            item = coded.indices.to_numpy().astype(np.int64) * len(names) + item_names
+            at = [pc.index_in(right.column(c).combine_chunks(), value_set=known).fill_null(-1).to_numpy().astype(np.int64)
+                  for c, known in zip(ITEM, (coded.dictionary, names))]
+            told = np.flatnonzero((at[0] >= 0) & (at[1] >= 0))
+            wanted, texts = (at[0] * len(names) + at[1])[told], right.column("value").combine_chunks().take(pa.array(told))
+            order = np.lexsort((ranked(texts), wanted))
+            last = order[np.flatnonzero(np.diff(wanted[order], append=-1))]
+            place = np.searchsorted(wanted[last], item)
+            has = np.concatenate((wanted[last], [-1]))[place] == item
+            own = np.repeat(np.arange(len(item)), np.diff(starts, append=len(values)))
+            claimed = pc.equal(values, texts.take(pa.array(last)).take(pa.array(place[own], mask=~has[own])))
+            found, facts = np.where(has, -1, -2).astype("<i4"), np.flatnonzero(claimed.fill_null(False).to_numpy(zero_copy_only=False))
+            found[own[facts]] = facts
+            true = [pa.array([found.tobytes()], pa.binary())]
+        return left.select(columns).append_column("true", pa.chunked_array(true))
+
+    return find
+
+
+def _confusion(n_sources: int, rule: Rule):
+    """Sums of votes per block of a whole task; see :func:`truthloom.operators.quality.confusion`."""
+    def judged(batches):
+        totals: dict = {}
+        known = None
+        for row in _rows(batches):
+            blocks, factors = known = known or parameters(row, n_sources)
+            group, true = Unpacked(row, n_sources), np.frombuffer(row["true"].as_py(), "<i4")
+            for numbers, own in group.parts({b: blocks[b] for b in factors}):
+                votes, wanted = own.votes(), true[own.items]
+                everything, matched = np.add.reduceat(votes, own.starts), wanted >= -1
+                of_true = np.where(wanted >= 0, group.votes[wanted], 0)
+                scores = own.scores([factors[b] for b in numbers], rule, *[row[c].values for c in rule.reads])
+                for block, score in zip(numbers, scores):
+                    chosen = own.winners(score, rule)
+                    right, of_found = own.rows[chosen] == wanted, votes[chosen]
+                    wrong = matched & ~right
+                    others = everything - of_true - np.where(right, 0, of_found)
+                    totals[block] = totals.get(block, 0) + np.array([
+                        of_true[matched & right].sum(), of_found[wrong].sum(), of_true[wrong].sum(), others[matched].sum(), everything[~matched].sum()])
+        table = np.array([[block, *sums] for block, sums in totals.items()], np.int64).reshape(-1, 6)
+        names = ["block", "tp", "fp", "fn", "tn", "n_unmatched"]
+        yield pa.record_batch([pa.array(c.astype(np.int32 if n == "block" else np.int64)) for n, c in zip(names, table.T)], names=names)
+
+    return judged
+
+
 @dataclass
 class Packed:
     """Packed groups with the numbers of sources and blocks.
@@ -399,3 +495,20 @@ class Packed:
 
     def confidence(self) -> DataFrame:
         return self._listed(False).drop("votes")
+
+    def confusion(self, truth: DataFrame, dealing: tuple[int, int], work) -> DataFrame:
+        """``block_id, tp, fp, fn, tn, n_unmatched`` of the truths, which are not listed for it.
+
+        The truth goes to the groups of its items, once for all blocks; ``dealing``: see ``ClaimBase.dealing``.
+        """
+        n_groups, tasks = dealing
+        columns = list(dict.fromkeys(["names", "item_names", "starts", "at", "masks", *self.rule.reads]))
+        known = truth.select(*[F.col(c).cast("string").alias(c) for c in FACT]).dropna()
+        known = known.select(group_of(n_groups).alias("group_id"), *FACT).repartition(tasks, "group_id")
+        read = list(dict.fromkeys(["group_id", *columns, "objects", "values"]))
+        groups = self.groups.select(*read).repartition(tasks, "group_id").groupBy("group_id").cogroup(known.groupBy("group_id"))
+        kinds = {f.name: f.dataType.simpleString() for f in self.groups.schema}
+        schema = ", ".join([*[f"{c} {kinds[c]}" for c in columns], "true binary"])
+        placed = replace(self, groups=work.keep(groups.applyInArrow(true_facts(columns), schema), "placed-truth"))
+        made = placed._run(_confusion(self.n_sources, self.rule), [*columns, "true"], JUDGED)
+        return self._named(made.groupBy("block").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn", "n_unmatched")]))

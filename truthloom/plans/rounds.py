@@ -197,6 +197,7 @@ class TruthResult:
     ``trust``       source, trust, old_trust
     ``dependence``  s1, s2, kt, kf, kd, dep (copy-aware models only)
     ``history``     the trust tables of all rounds, of the blocks that were still running
+    ``groups``      the packed groups that the truths are read off, if rounds were packed
     """
 
     truths: DataFrame
@@ -206,6 +207,7 @@ class TruthResult:
     rounds: int
     work: object
     history: tuple[DataFrame, ...] = ()
+    groups: Packed | None = None
 
     def summary(self) -> DataFrame:
         return trust_summary(self.trust, [c for c in BLOCK if c in self.trust.columns])
@@ -227,7 +229,7 @@ def result_of(base: ClaimBase, state: Round, rounds: int, tie: str = "min", seed
     if base.blocks is None:
         tables = [t if t is None else t.drop("block_id") for t in tables]
         history = tuple(t.drop("block_id") for t in history)
-    return TruthResult(*tables, rounds, base.work, history)
+    return TruthResult(*tables, rounds, base.work, history, state.facts if packed else None)
 
 
 def item_outcome_best(scored: DataFrame) -> DataFrame:
