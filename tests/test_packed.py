@@ -224,3 +224,12 @@ def test_majority_is_counted_once_per_property(spark, many, monkeypatch):
         n[block] = n.get(block, 0) + (count if s2 < 0 else 0)
     claims_of = [2, 2, 4]
     assert n == {b: sum(claims_of[p] for p in range(3) if b >> p & 1) for b in range(1, 8)}
+
+
+def test_few_sources_have_no_hot_items(spark, many, monkeypatch):
+    """No item has more values than there are sources, so items are not counted to see whether one is hot."""
+    monkeypatch.setattr(ClaimBase, "items", property(lambda self: 1 / 0))
+    base = ClaimBase.of(many[0], deduped=True)
+    assert base.packed() is not None
+    groups, tasks = base.dealing
+    assert tasks % spark.sparkContext.defaultParallelism == 0 and groups >= 4 * tasks

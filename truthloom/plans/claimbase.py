@@ -114,12 +114,17 @@ class ClaimBase:
 
         return self._once("source-numbers", make)
 
+    @property
+    def n_sources(self) -> int:
+        return self._once("n-sources", lambda: self.sources.count())
+
     @property
     def dealing(self) -> tuple[int, int]:
         """Numbers of groups of items and of the tasks that these are dealt to, with few sources."""
         def count() -> tuple[int, int]:
             rows = self.claims.count()
-            tasks = max(self.work.spark.sparkContext.defaultParallelism, -(-rows // DEALT_CLAIMS))
+            cores = self.work.spark.sparkContext.defaultParallelism
+            tasks = cores * max(1, -(-rows // (cores * DEALT_CLAIMS)))  # no last wave that leaves cores idle
             return max(4 * tasks, -(-rows // packed.GROUP_CLAIMS)), tasks
 
         return self._once("dealing", count)
@@ -136,7 +141,7 @@ class ClaimBase:
                 return self.work.keep(units_with_sets(self.claims, FACT, "source"), "facts")
             n_groups, tasks = self.dealing
             dealt = self.claims.select(packed.group_of(n_groups).alias("group_id"), *CLAIM).repartition(tasks, "group_id")
-            masks = packed.mask_columns(F.col("number"), self.sources.count())
+            masks = packed.mask_columns(F.col("number"), self.n_sources)
             made = dealt.join(F.broadcast(self.sources), "source").groupBy("group_id", *FACT).agg(*set_key("source"), *masks)
             return self.work.keep_bucketed(made, "facts", tasks, "group_id", dealt=True)
 
@@ -150,7 +155,7 @@ class ClaimBase:
         """Facts in packed groups for rounds by ``rule``; ``None`` if they are few, or the sources many, or an item is hot."""
         if self.size.facts < packed.PACKED_FACTS or self.sources is None or self.hot_items is not None:
             return None
-        n_sources, blocks, n_blocks = self.sources.count(), None, 1
+        n_sources, blocks, n_blocks = self.n_sources, None, 1
         if self.blocks is not None:
             n_blocks = self.blocks.select(*BLOCK).distinct().count()
         if n_blocks * n_sources * n_sources > packed.MOST_PAIRS:
@@ -232,6 +237,9 @@ class ClaimBase:
 
     @property
     def hot_items(self) -> DataFrame | None:
+        # an item has no more values than there are sources
+        if skew.SHARE is None and self.sources is not None and self.n_sources <= skew.FLOOR:
+            return None
         return self._hot("items", lambda: self.items, ITEM, "n_values", self.size.facts)
 
     @property

@@ -462,7 +462,7 @@ class Packed:
         coded = coded.withColumn("block", F.lit(0)) if self.blocks is None else coded.join(
             F.broadcast(self.blocks.select("block_id", "block").distinct()), "block_id")
         kept = coded.select("block_id", "block", F.col("n1").alias("s1"), F.col("n2").alias("s2"), "factor")
-        return replace(self, factors=work.keep(kept.coalesce(1), name))
+        return replace(self, factors=work.keep(kept.coalesce(1), name).coalesce(1))
 
     def where(self, blocks: Column) -> Packed:
         return replace(self, factors=self.factors.where(blocks))
@@ -478,7 +478,7 @@ class Packed:
         columns = ["names", "item_names", "starts", "at", "masks", *self.rule.reads]
         made = self._run(_sums(self.n_sources, self.factors is None, self.rule), columns, SUMS)
         summed = made.groupBy("block", "s1", "s2").agg(*[F.sum(c).alias(c) for c in ("n", "total", "n_common", "n_same", "n_true")])
-        kept = work.keep(self._named(summed).coalesce(1), name)
+        kept = work.keep(self._named(summed).coalesce(1), name).coalesce(1)
         first = F.broadcast(self.sources.select(F.col("source").alias("a"), F.col("number").alias("s1")))
         second = F.broadcast(self.sources.select(F.col("source").alias("b"), F.col("number").alias("s2")))
         single = kept.where("s2 < 0").join(first, "s1").select("block_id", F.col("a").alias("source"), "n", "total")
