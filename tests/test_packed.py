@@ -233,3 +233,29 @@ def test_few_sources_have_no_hot_items(spark, many, monkeypatch):
     assert base.packed() is not None
     groups, tasks = base.dealing
     assert tasks % spark.sparkContext.defaultParallelism == 0 and groups >= 4 * tasks
+
+
+def test_small_tables_of_a_round_are_one_stage(spark, many, monkeypatch):
+    """Trust, pairs and sources were joined by broadcasts, each a job: 27 jobs a round beside its sums, 198 in a report of ten partitions."""
+    exchanges, keep = {}, Workspace.keep
+
+    def spy(self, df, name):
+        exchanges[name] = df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+        return keep(self, df, name)
+
+    monkeypatch.setattr(Workspace, "keep", spy)
+    members = [(f"b{i}", f"p{p}") for i in range(6) for p in range(3)]
+    base = ClaimBase.of(many[0], spark.createDataFrame(members, "block_id string, property string"), deduped=True)
+    result = accuracy_model(base, "DEPEN", max_iterations=2, threshold=0.0)
+    assert exchanges["trust-2"] == 0 and exchanges["factors-2"] <= 4
+    assert not any(name.startswith(("dependence", "source")) for name in exchanges)
+    assert result.dependence.count() == 6 * 7 * 6
+
+
+def test_names_of_sources_are_looked_up_in_order(spark, many):
+    """Numbers follow the names as Spark sorts them, by their bytes."""
+    names = ["é", "Z", "a", "￮", "\U0001f600", "A|"]
+    rows = [("o", "p", str(i % 2), name) for i, name in enumerate(names)]
+    base = ClaimBase.of(spark.createDataFrame(rows, SCHEMA), deduped=True)
+    assert base.source_names == [r.source for r in spark.createDataFrame(rows, SCHEMA).sort("source").collect()]
+    assert {r.source: r.number for r in base.sources.collect()} == {name: at for at, name in enumerate(base.source_names)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from truthloom.functions.scores import accuracy_log_odds, dependence_posterior, tie_key
@@ -64,12 +65,15 @@ def ranked_before(dep: DataFrame, group: list[str], order: str, hubs: DataFrame
     if order != "dependence":
         raise ValueError(f"unknown source order {order!r}")
     most = max_dependence(dep, group)
-    first = most.select(*group, F.col("source").alias("s1"), tie_key(F.col("max_dep")).alias("max1"))
     second = most.select(*group, F.col("source").alias("s2"), tie_key(F.col("max_dep")).alias("max2"))
     earlier = (F.col("max2") > F.col("max1")) | (
         (F.col("max2") == F.col("max1")) & (F.col("s2") < F.col("s1"))
     )
-    from_s1 = spread_join(dep, first, [*group, "s1"], hubs, ["s1"], F.col("s2"))
+    if hubs is None:
+        from_s1 = dep.withColumn("max1", tie_key(F.max("dep").over(W.partitionBy(*group, "s1"))))
+    else:
+        first = most.select(*group, F.col("source").alias("s1"), tie_key(F.col("max_dep")).alias("max1"))
+        from_s1 = spread_join(dep, first, [*group, "s1"], hubs, ["s1"], F.col("s2"))
     to_s2 = None if hubs is None else hubs.withColumnRenamed("s1", "s2")
     return spread_join(from_s1, second, [*group, "s2"], to_s2, ["s2"], F.col("s1")).where(earlier).drop("max1", "max2")
 

@@ -102,21 +102,29 @@ class ClaimBase:
 
         return self._once(f"hot-{name}", find)
 
+    @property
+    def source_names(self) -> list[str] | None:
+        """The sources in order; ``None`` if there are none or more than fit the masks."""
+        def make() -> list[str] | None:
+            rows = self.claims.select("source").distinct().limit(packed.MOST_SOURCES + 1).collect()
+            return sorted((row.source for row in rows), key=str.encode) if 0 < len(rows) <= packed.MOST_SOURCES else None
+
+        return self._once("source-names", make)
+
     @property
     def sources(self) -> DataFrame | None:
         """``source, number`` in the order of the names; ``None`` if there are more than fit the masks."""
         def make() -> DataFrame | None:
-            names = self.work.keep(self.claims.select("source").distinct(), "sources")
-            if not 0 < names.count() <= packed.MOST_SOURCES:
+            if self.source_names is None:
                 return None
-            ranked = names.withColumn("number", F.row_number().over(W.orderBy("source")) - 1)
-            return self.work.keep(ranked.coalesce(1), "source-numbers")
+            pairs = F.array(*[F.struct(F.lit(name).alias("source"), F.lit(at).alias("number")) for at, name in enumerate(self.source_names)])
+            return self.work.spark.range(0, 1, 1, 1).select(F.inline(pairs))
 
-        return self._once("source-numbers", make)
+        return self._once("sources", make)
 
     @property
     def n_sources(self) -> int:
-        return self._once("n-sources", lambda: self.sources.count())
+        return len(self.source_names)
 
     @property
     def dealing(self) -> tuple[int, int]:
@@ -163,7 +171,8 @@ class ClaimBase:
         if self.blocks is not None:
             ids = self.blocks.select(*BLOCK).distinct().withColumn("block", F.row_number().over(W.orderBy(*BLOCK)) - 1)
             blocks = self.work.keep(self.blocks.select(*BLOCK, "property").distinct().join(ids, BLOCK).coalesce(1), "numbered-blocks")
-        return packed.Packed(self.packed_groups(rule.numeric), self.sources, n_sources, blocks, rule=rule)
+        named = self._once("sources-array", lambda: F.array(*[F.lit(name) for name in self.source_names]))
+        return packed.Packed(self.packed_groups(rule.numeric), named, n_sources, blocks, rule=rule)
 
     def packed_groups(self, numbered: bool = False) -> DataFrame:
         """With ``numbered`` the values as numbers too."""

@@ -418,18 +418,26 @@ def _confusion(n_sources: int, rule: Rule):
     return judged
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A table of sources, pairs or blocks as one partition: its joins with others of the kind are one stage, without broadcasts.
+
+    For one join only: Spark takes the size of the result for the product of both, and then deals it anew.
+    """
+    return table.coalesce(1).hint("shuffle_hash")
+
+
 @dataclass
 class Packed:
     """Packed groups with the numbers of sources and blocks.
 
     ``groups``   one row per group of items
-    ``sources``  source, number   in the order of their names
+    ``sources``  an array of the names of the sources in the order of their numbers
     ``blocks``   block_id, block, property; ``None``: one block of all properties
     ``rule``     what a round makes of the scores of sets
     """
 
     groups: DataFrame
-    sources: DataFrame
+    sources: Column
     n_sources: int
     blocks: DataFrame | None
     factors: DataFrame | None = None
@@ -440,29 +448,36 @@ class Packed:
         if self.blocks is None:
             members = one.select(F.lit(None).cast("array<struct<block:int,property:string>>").alias("members"))
         else:
-            members = self.blocks.agg(F.collect_list(F.struct("block", "property")).alias("members"))
+            members = self.blocks.coalesce(1).agg(F.collect_list(F.struct("block", "property")).alias("members"))
         if self.factors is None:
             factors = one.select(F.lit(None).cast("array<struct<block:int,s1:int,s2:int,factor:double>>").alias("factors"))
         else:
             factors = self.factors.agg(F.collect_list(F.struct("block", "s1", "s2", "factor")).alias("factors"))
-        sent = members.crossJoin(factors)
-        return self.groups.select(*columns).crossJoin(F.broadcast(sent)).mapInArrow(work, schema)
+        sent = self.groups.select(*columns).crossJoin(F.broadcast(members)).crossJoin(F.broadcast(factors))
+        return sent.mapInArrow(work, schema)
+
+    def _numbers(self) -> DataFrame:
+        """``block_id, block``."""
+        return F.broadcast(self.blocks.coalesce(1).select("block_id", "block").distinct())
 
     def _named(self, rows: DataFrame) -> DataFrame:
         """Rows with the id of their block in place of its number."""
         if self.blocks is None:
             return rows.withColumn("block_id", F.lit(0)).drop("block")
-        return rows.join(F.broadcast(self.blocks.select("block_id", "block").distinct()), "block").drop("block")
+        return rows.join(self._numbers(), "block").drop("block")
+
+    def _source(self, number: str) -> Column:
+        return F.get(self.sources, F.col(number))
+
+    def _number(self, source: str) -> Column:
+        return (F.array_position(self.sources, F.col(source)) - 1).cast("int")
 
     def with_factors(self, factors: DataFrame, work, name: str) -> Packed:
         """``factors`` has block_id, s1, s2, factor; blocks without any are left out."""
-        first = F.broadcast(self.sources.select(F.col("source").alias("s1"), F.col("number").alias("n1")))
-        second = F.broadcast(self.sources.select(F.col("source").alias("s2"), F.col("number").alias("n2")))
-        coded = factors.join(first, "s1").join(second, "s2")
-        coded = coded.withColumn("block", F.lit(0)) if self.blocks is None else coded.join(
-            F.broadcast(self.blocks.select("block_id", "block").distinct()), "block_id")
-        kept = coded.select("block_id", "block", F.col("n1").alias("s1"), F.col("n2").alias("s2"), "factor")
-        return replace(self, factors=work.keep(kept.coalesce(1), name).coalesce(1))
+        coded = factors.coalesce(1)
+        coded = coded.withColumn("block", F.lit(0)) if self.blocks is None else coded.join(self._numbers(), "block_id")
+        kept = coded.select("block_id", "block", self._number("s1").alias("s1"), self._number("s2").alias("s2"), "factor")
+        return replace(self, factors=work.keep(kept, name).coalesce(1))
 
     def where(self, blocks: Column) -> Packed:
         return replace(self, factors=self.factors.where(blocks))
@@ -479,11 +494,9 @@ class Packed:
         made = self._run(_sums(self.n_sources, self.factors is None, self.rule), columns, SUMS)
         summed = made.groupBy("block", "s1", "s2").agg(*[F.sum(c).alias(c) for c in ("n", "total", "n_common", "n_same", "n_true")])
         kept = work.keep(self._named(summed).coalesce(1), name).coalesce(1)
-        first = F.broadcast(self.sources.select(F.col("source").alias("a"), F.col("number").alias("s1")))
-        second = F.broadcast(self.sources.select(F.col("source").alias("b"), F.col("number").alias("s2")))
-        single = kept.where("s2 < 0").join(first, "s1").select("block_id", F.col("a").alias("source"), "n", "total")
-        pairs = kept.where("s2 >= 0").join(first, "s1").join(second, "s2").select(
-            "block_id", F.col("a").alias("s1"), F.col("b").alias("s2"), "n_common", "n_same", "n_true")
+        single = kept.where("s2 < 0").select("block_id", self._source("s1").alias("source"), "n", "total")
+        pairs = kept.where("s2 >= 0").select(
+            "block_id", self._source("s1").alias("s1"), self._source("s2").alias("s2"), "n_common", "n_same", "n_true")
         return single, pairs
 
     def _listed(self, best: bool) -> DataFrame:

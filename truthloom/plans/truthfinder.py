@@ -10,7 +10,7 @@ from truthloom.operators.sets import SET
 from truthloom.operators.similarity import KINDS, implied_scores
 from truthloom.operators.skew import spread_join
 from truthloom.plans.claimbase import BLOCK, ClaimBase
-from truthloom.plans.packed import Packed, Rule
+from truthloom.plans.packed import Packed, Rule, small
 from truthloom.plans.rounds import TIES, Round, TruthResult, result_of, run_rounds, trust_from_sets
 
 
@@ -23,13 +23,13 @@ def packed_rounds(base: ClaimBase, groups: Packed, max_iterations: int, initial_
         factors = state.trust.select(*BLOCK, own.alias("s1"), own.alias("s2"), trust_score(F.col("trust")).alias("factor"))
         facts = groups.with_factors(factors, work, f"factors-{number}")
         sums, _ = facts.sums(work, f"sums-{number}")
-        before = state.trust.select(*BLOCK, "source", F.col("trust").alias("old_trust"))
+        before = small(state.trust).select(*BLOCK, "source", F.col("trust").alias("old_trust"))
         trust = sums.withColumn("raw", F.col("total") / F.col("n")).join(before, [*BLOCK, "source"])
         trust = trust.select(*BLOCK, "source", clamp_trust(F.col("raw")).alias("trust"), "old_trust")
-        return Round(work.keep(trust.coalesce(1), f"trust-{number}"), facts)
+        return Round(work.keep(trust.coalesce(1), f"trust-{number}").coalesce(1), facts)
 
     seen, first = groups.sums(work, "first-sums")[0], F.lit(float(initial_trust))
-    start = work.keep(seen.select(*BLOCK, "source", first.alias("trust"), first.alias("old_trust")).coalesce(1), "trust-0")
+    start = work.keep(seen.select(*BLOCK, "source", first.alias("trust"), first.alias("old_trust")).coalesce(1), "trust-0").coalesce(1)
     state, rounds = run_rounds(Round(start), step, max_iterations, threshold, stop)
     return result_of(base, state, rounds)
 
