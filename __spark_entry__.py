@@ -26,6 +26,7 @@ from truthloom.plans.accuracy import majority_sets
 from truthloom.plans.claimbase import BLOCK, ClaimBase
 from truthloom.plans.clustered import clustered_truth
 from truthloom.plans.exhaustive import best_partitions, continue_report, partition_report
+from truthloom.plans.packed import smallest_hashes
 from truthloom.plans.rounds import convergence
 from truthloom.plans.workspace import Workspace
 from truthloom.schema import CLAIM, FACT, ITEM
@@ -85,6 +86,15 @@ def chosen_truth(claims: DataFrame) -> DataFrame:
     return claims.groupBy(*ITEM).agg(first).select(*ITEM, F.col("first.value").alias("value"))
 
 
+def truth_of(base: ClaimBase) -> DataFrame:
+    """The same truth; where facts are packed it is picked in their groups, so claims are not sorted and shuffled for it."""
+    groups = base.packed()
+    if groups is None:
+        return chosen_truth(base.claims)
+    columns = groups.groups.select("names", "item_names", "starts", "at", "masks", "objects", "values")
+    return columns.mapInArrow(smallest_hashes(base.source_names), "object string, property string, value string")
+
+
 def r6(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), 6) for c in columns})
 
@@ -370,7 +380,7 @@ def clustered_truth_query(spark, sf_dir):
 
 def report_of(spark, sf_dir, limit=None):
     base = prepared(spark, sf_dir)
-    return partition_report(base, chosen_truth(base.claims), limit=limit), base.work
+    return partition_report(base, truth_of(base), limit=limit), base.work
 
 
 def partition_report_file(spark, sf_dir):
@@ -391,7 +401,7 @@ def partition_report_query(spark, sf_dir, limit=None):
 def partition_best(spark, sf_dir):
     """The best row of the report by each aim, found without the report."""
     base = prepared(spark, sf_dir)
-    best = best_partitions(base, chosen_truth(base.claims), aims=("accuracy_avg", "accuracy_max", "accuracy"))
+    best = best_partitions(base, truth_of(base), aims=("accuracy_avg", "accuracy_max", "accuracy"))
     text = F.array_join(F.transform("partition", lambda block: F.array_join(block, ",")), ";")
     return r6(ratios6(best.withColumn("partition", text)), "accuracy_max", "accuracy_avg")
 
@@ -400,8 +410,8 @@ def partition_report_resumed(spark, sf_dir):
     """The report in two shares: the second takes up the folder of the first."""
     base = prepared(spark, sf_dir)
     folder = f"{base.work.path}/resumed"
-    continue_report(base, folder, chosen_truth(base.claims), share=20)
-    report = continue_report(base, folder, chosen_truth(base.claims))
+    continue_report(base, folder, truth_of(base), share=20)
+    report = continue_report(base, folder, truth_of(base))
     text = F.array_join(F.transform("partition", lambda block: F.array_join(block, ",")), ";")
     return r6(ratios6(report.withColumn("partition", text)), "accuracy_max", "accuracy_avg")
 

@@ -259,3 +259,14 @@ def test_names_of_sources_are_looked_up_in_order(spark, many):
     base = ClaimBase.of(spark.createDataFrame(rows, SCHEMA), deduped=True)
     assert base.source_names == [r.source for r in spark.createDataFrame(rows, SCHEMA).sort("source").collect()]
     assert {r.source: r.number for r in base.sources.collect()} == {name: at for at, name in enumerate(base.source_names)}
+
+
+@pytest.mark.parametrize("n_sources", [7, 70])
+def test_truth_is_picked_in_the_groups(spark, many, n_sources):
+    """The claims were sorted by item and shuffled once more for it."""
+    from __spark_entry__ import chosen_truth, truth_of
+    rows = [(f"{o}é" if o[-1] == "1" else o, p, v, s) for o, p, v, s in claims(n_sources, 40)]
+    data = spark.createDataFrame(rows, SCHEMA)
+    truth = truth_of(ClaimBase.of(data, deduped=True))
+    assert "Exchange" not in truth._jdf.queryExecution().executedPlan().toString()
+    assert sorted(truth.collect()) == sorted(chosen_truth(data).collect())

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -358,6 +359,30 @@ def _facts(n_sources: int, best: bool, rule: Rule):
     return facts
 
 
+def smallest_hashes(sources: list[str]):
+    """Per item of packed rows the value of the claim with the smallest MD5 of ``object|property|source``; equal ones go to the smaller source."""
+    names = [source.encode() for source in sources]
+
+    def first(batches):
+        for row in _rows(batches):
+            group = Unpacked(row, len(names))
+            supporters = [[names[number] for number in np.flatnonzero(own)] for own in group.bits]
+            objects, values, at = row["objects"].values, row["values"].values, group.at.tolist()
+            properties = pa.array(group.names, pa.string()).take(pa.array(group.item_names))
+            ends, chosen = [*group.starts[1:].tolist(), len(at)], []
+            for name, property_name, begin, end in zip(objects.to_pylist(), properties.to_pylist(), group.starts.tolist(), ends):
+                item, least, by, found = f"{name}|{property_name}|".encode(), None, b"", begin
+                for fact in range(begin, end):
+                    for source in supporters[at[fact]]:
+                        key = md5(item + source, usedforsecurity=False).digest()
+                        if least is None or key < least or (key == least and source < by):
+                            least, by, found = key, source, fact
+                chosen.append(found)
+            yield pa.record_batch([objects, properties, values.take(pa.array(chosen, pa.int64()))], names=FACT)
+
+    return first
+
+
 def true_facts(columns: list[str]):
     """A packed row with ``columns`` and, per item, the place of its true value among the facts.
 
