@@ -236,7 +236,7 @@ def test_few_sources_have_no_hot_items(spark, many, monkeypatch):
 
 
 def test_small_tables_of_a_round_are_one_stage(spark, many, monkeypatch):
-    """Trust, pairs and sources were joined by broadcasts, each a job: 27 jobs a round beside its sums, 198 in a report of ten partitions."""
+    """Trust, pairs and sources were joined by broadcasts, each a job: 27 jobs a round, 198 in a report of ten partitions."""
     exchanges, keep = {}, Workspace.keep
 
     def spy(self, df, name):
