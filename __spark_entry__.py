@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oracle import statements
@@ -20,7 +20,7 @@ from truthloom.operators.cluster import (
 from truthloom.operators.dependence import agreement, dependence, max_dependence, ranked_before
 from truthloom.operators.matrix import property_distance, property_table, truth_matrix
 from truthloom.operators.quality import source_stats
-from truthloom.operators.skew import use_all_cores
+from truthloom.operators.skew import busy_keys, use_all_cores
 from truthloom.operators.votes import best_values, restrict_properties, tied_values
 from truthloom.plans.accuracy import majority_sets
 from truthloom.plans.claimbase import BLOCK, ClaimBase
@@ -44,6 +44,7 @@ except ImportError:
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 NEWEST = ["l_shipdate", "l_orderkey", "l_linenumber"]
+LINES_PER_TASK = 250_000  # where lines are dealt by part
 GEN_PROPERTIES = [f"Property{i}" for i in range(1, 7)]
 GEN_ACCURACY = Accuracy(m1=0.8, m2=0.3, m3=0.8)
 BLOCKS = {"returnflag": 1, "linestatus": 1, "discount": 2, "tax": 2, "shipyear": 3}
@@ -68,9 +69,16 @@ def line_properties() -> dict:
     }
 
 
-def claims_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations claim properties of parts; the newest line per (part, nation) counts."""
-    return claims_from_wide(wide_lines(spark, sf_dir), "l_partkey", "s_nationkey", line_properties(), NEWEST)
+def claims_of(spark: SparkSession, sf_dir: str, **dealt) -> DataFrame:
+    """Nations claim properties of parts; the newest line per (part, nation) counts. ``dealt``: see ``dealing``."""
+    return claims_from_wide(wide_lines(spark, sf_dir), "l_partkey", "s_nationkey", line_properties(), NEWEST, **dealt)
+
+
+def dealing(spark: SparkSession, sf_dir: str, work: Workspace) -> dict:
+    """Tasks that lines are dealt to by part, in whole waves and none with more lines than it can sort, and parts with very many lines."""
+    parts = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").cast("string").alias("object"))
+    rows, cores = parts.count(), spark.sparkContext.defaultParallelism
+    return {"tasks": cores * max(1, -(-rows // (cores * LINES_PER_TASK))), "hot": busy_keys(parts, "object", rows, work)}
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> ClaimBase:
@@ -78,12 +86,13 @@ def prepared(spark: SparkSession, sf_dir: str) -> ClaimBase:
     return ClaimBase(work.keep(claims_of(spark, sf_dir), "claims"), work)
 
 
-def chosen_truth(claims: DataFrame) -> DataFrame:
-    """A fixed arbitrary truth: the claim with the smallest hash of its item and source."""
+def chosen_truth(claims: DataFrame, **also: Column) -> DataFrame:
+    """A fixed arbitrary truth: the claim with the smallest hash of its item and source; ``also`` are further sums over its item."""
     # as bytes: half as much to shuffle as the digits, in the same order
     key = F.unhex(F.md5(F.concat_ws("|", "object", "property", "source")))
     first = F.min(F.struct(key.alias("key"), "source", "value")).alias("first")
-    return claims.groupBy(*ITEM).agg(first).select(*ITEM, F.col("first.value").alias("value"))
+    sums = [total.alias(name) for name, total in also.items()]
+    return claims.groupBy(*ITEM).agg(first, *sums).select(*ITEM, F.col("first.value").alias("value"), *also)
 
 
 def truth_of(base: ClaimBase) -> DataFrame:
@@ -139,14 +148,14 @@ def truth_csv_roundtrip(spark, sf_dir):
 
 def truth_false_roundtrip(spark, sf_dir):
     """Truth with wrong values: those that other sources claim, and whole texts as textual wrong values."""
-    claims = claims_of(spark, sf_dir)
-    truth = chosen_truth(claims)
-    claimed = claims.groupBy(*ITEM).agg(F.array_sort(F.collect_set("value")).alias("claimed"))
-    items = truth.join(claimed, ITEM).select(*FACT, F.array_remove("claimed", F.col("value")).alias("false_values"))
+    work = Workspace(spark)
+    claims = claims_of(spark, sf_dir, **dealing(spark, sf_dir, work))
+    truth = chosen_truth(claims, claimed=F.array_sort(F.collect_set("value")))
+    items = truth.select(*FACT, F.array_remove("claimed", F.col("value")).alias("false_values"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
     texts = docs.select(F.col("doc_id").cast("string").alias("object"), F.lit("text").alias("property"), F.col("lang").alias("value"),
                         F.array("text", "source", F.lit("")).alias("false_values"))
-    path = f"{Workspace(spark).path}/truth-csv"
+    path = f"{work.path}/truth-csv"
     write_truth(items.unionByName(texts), path)
     back = read_truth(spark, path, with_false=True)
     return back.select(*FACT, F.array_join("false_values", "\x1f").alias("false_values"))

@@ -1,6 +1,9 @@
 """Models on lopsided claims, with and without the paths for hot keys, against plain loops."""
 
 import random
+from datetime import datetime
+from hashlib import md5
+from itertools import groupby
 
 import plain
 import pytest
@@ -13,6 +16,7 @@ from truthloom.operators.selection import at_positions
 from truthloom.operators.votes import best_values
 from truthloom.plans.claimbase import ClaimBase
 from truthloom.plans.workspace import Workspace
+from truthloom.sources import write_truth
 
 SCHEMA = "object string, property string, value string, source string"
 
@@ -169,3 +173,69 @@ def test_seeded_ties(spark, monkeypatch):
         assert {r.object: r.value for r in found.collect()} == want
     with pytest.raises(ValueError, match="tie"):
         accuracy_model(frame, "ACCU", max_iterations=1, tie="other")
+
+
+@pytest.fixture(scope="module")
+def lined(spark, tmp_path_factory):
+    """Lines, suppliers and texts: one part has most lines, dates and whole orders repeat, keys, dates and flags are missing."""
+    draw, folder = random.Random(4), tmp_path_factory.mktemp("lines")
+    days = [None, *[datetime(1995 + i, 3, 1) for i in range(3)]]
+    lines = [(draw.randrange(6), draw.choice([7] * 30 + [None, *range(40)]), draw.randrange(12), draw.randrange(2), draw.choice([None, 0.04, 0.1]),
+              draw.choice([0.0, 0.05]), draw.choice([None, "A", "N", "R"]), draw.choice(["F", "O"]), draw.choice(days)) for _ in range(3000)]
+    tables = {
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"),
+        "supplier": ([(i, None if i == 3 else i % 4) for i in range(11)], "s_suppkey long, s_nationkey int"),
+        "documents": ([(1, 'a "b"\n[c]', "en", "web"), (2, None, "de", "web")], "doc_id long, text string, lang string, source string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(2).write.parquet(f"{folder}/{name}.parquet")
+    claimed = {}
+    for order, part, supplier, number, discount, tax, flag, status, day in lines:
+        if part is None or supplier in (3, 11):
+            continue
+        values = {"returnflag": flag, "linestatus": status, "discount": discount and f"{discount:.2f}", "tax": f"{tax:.2f}", "shipyear": day and str(day.year)}
+        for name, value in values.items():
+            if value is not None:
+                key = str(part), name, str(supplier % 4)
+                claimed[key] = max(claimed.get(key, ((), "")), ((day is not None, day or 0, order, number), value))
+    return str(folder), sorted((o, p, value, s) for (o, p, s), (_, value) in claimed.items())
+
+
+@pytest.mark.parametrize("floor", [10**6, 100])
+def test_claims_dealt_by_part(spark, lined, monkeypatch, floor):
+    """All lines of a part lie in one task; of a part with very many lines only the newest values do."""
+    import __spark_entry__ as entry
+    monkeypatch.setattr(skew, "FLOOR", floor)
+    monkeypatch.setattr(skew, "KEY_HASHES", 3)
+    monkeypatch.setattr(entry, "LINES_PER_TASK", 100)
+    folder, want = lined
+    dealing = entry.dealing(spark, folder, Workspace(spark))
+    assert dealing["tasks"] == 32 and [r.object for r in dealing["hot"].collect()] == ["7"] if floor == 100 else dealing["hot"] is None
+    assert sorted(map(tuple, entry.claims_of(spark, folder).collect())) == want
+    assert sorted(map(tuple, entry.claims_of(spark, folder, **dealing).collect())) == want
+
+
+@pytest.mark.parametrize("floor", [10**6, 100])
+def test_truth_with_wrong_values_moves_lines_once(spark, lined, monkeypatch, floor):
+    """Claims were worked out twice and shuffled three times, with a copy of the order per property."""
+    import __spark_entry__ as entry
+    monkeypatch.setattr(skew, "FLOOR", floor)
+    monkeypatch.setattr(entry, "use_all_cores", lambda rows, *_: rows)
+    written = []
+
+    def spy(truth, path):
+        written.append(truth)
+        write_truth(truth, path)
+
+    monkeypatch.setattr(entry, "write_truth", spy)
+    folder, claims = lined
+    found = sorted(map(tuple, entry.truth_false_roundtrip(spark, folder).collect()))
+    want = [("1", "text", "en", 'a "b"\n[c]\x1fweb\x1f')]
+    for item, own in groupby(claims, key=lambda claim: claim[:2]):
+        own = list(own)
+        true = min((md5("|".join((*item, source)).encode()).digest(), source, value) for *_, value, source in own)[2]
+        want.append((*item, true, "\x1f".join(sorted({value for *_, value, _ in own} - {true}))))
+    assert found == sorted(want)
+    # a part with very many lines: its newest values are found first, and move once more
+    exchanges = [line for line in written[0]._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == (1 if floor > 100 else 2)

@@ -13,8 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from truthloom.plans.workspace import Workspace
+
 SHARE: int | None = None  # if set, also more than 1/SHARE of the table
 FLOOR = 200_000
+KEY_HASHES = 1 << 16  # at least so many are counted before the keys
 
 
 def hot_keys(sizes: Callable[[], DataFrame], keys: list[str], size: str, total: int,
@@ -30,6 +33,20 @@ def hot_keys(sizes: Callable[[], DataFrame], keys: list[str], size: str, total:
     return None if hot.isEmpty() else hot
 
 
+def busy_keys(rows: DataFrame, key: str, total: int, work: Workspace) -> DataFrame | None:
+    """``key, pieces`` of the hot keys of ``rows`` where keys are too many to count each; ``None`` when there are none.
+
+    Rows are counted by a hash of their key, and keys only where a hash holds as many rows as a hot key.
+    """
+    hashed = rows.select(key, F.pmod(F.xxhash64(key), F.lit(max(KEY_HASHES, 8 * total // FLOOR))).alias("hash")).where(F.col(key).isNotNull())
+    full = hot_keys(lambda: hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), ["hash"], "n", total)
+    if full is None:
+        return None
+    found = hashed.join(work.keep(full, "hot-hashes"), "hash", "left_semi")
+    hot = hot_keys(lambda: found.groupBy(key).agg(F.count(F.lit(1)).alias("n")), [key], "n", total)
+    return None if hot is None else work.keep(hot, "hot-keys")
+
+
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame | None,
                 hot_on: list[str], by: Column, how: str = "inner") -> DataFrame:
     """``big JOIN small`` on ``keys`` with the hot keys of ``big`` cut into pieces.

@@ -41,19 +41,38 @@ def dedupe_claims(claims: DataFrame, order_by: list[str] | None = None) -> DataF
     return claims.groupBy(*ITEM, "source").agg(newest.alias("value")).select(*CLAIM)
 
 
+def _thinned(wide: DataFrame, hot: DataFrame, newest: dict[str, Column], order_by: list[str]) -> DataFrame:
+    """The same rows, but of hot objects only the newest value of each property and source, in a row of its own."""
+    found = wide.join(hot, "object", "left_semi").groupBy("object", "source").agg(*[best.alias(name) for name, best in newest.items()])
+    nothing = F.lit(None).cast("string")
+    alone = [
+        F.struct(*[F.col(name)[c].alias(c) for c in order_by], *[(F.col(n)[n] if n == name else nothing).alias(n) for n in newest])
+        for name in newest
+    ]
+    return wide.join(hot, "object", "left_anti").unionByName(found.select("object", "source", F.inline(F.array(*alone))))
+
+
 def claims_from_wide(
     df: DataFrame,
     object_col: str,
     source_col: str,
     properties: dict[str, Column],
     order_by: list[str] | None = None,
+    tasks: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Turn a wide table into claims, one property per entry of ``properties``.
 
     With ``order_by`` the newest non-null value per (object, source) is taken for all
     properties in a single aggregation *before* the unpivot, so the shuffle carries one
     row per (object, source) instead of one per claim.
+
+    With ``tasks`` the rows are dealt to so many tasks by object before all else, as they are: groups
+    then need no shuffle of their own, nor do groups of claims by object, item or fact. ``hot`` names the
+    objects with very many rows; of these only the newest values are dealt. Objects have few sources.
     """
+    if tasks and hot is None:
+        df = df.repartition(tasks, F.col(object_col).cast("string"))
     keys = [F.col(object_col).cast("string").alias("object"),
             F.col(source_col).cast("string").alias("source")]
     values = [expr.cast("string").alias(name) for name, expr in properties.items()]
@@ -61,10 +80,13 @@ def claims_from_wide(
     wide = df.select(*keys, *[F.col(c) for c in order_by or []], *values)
     wide = wide.dropna(subset=["object", "source"])
     if order_by:
-        newest = [
-            F.max(F.when(F.col(name).isNotNull(), F.struct(*order_by, name)))[name].alias(name)
-            for name in names
-        ]
-        wide = wide.groupBy("object", "source").agg(*newest)
-    long = wide.unpivot(["object", "source"], names, "property", "value")
+        newest = {name: F.max(F.when(F.col(name).isNotNull(), F.struct(*order_by, name))) for name in names}
+        if hot is not None:
+            wide = _thinned(wide, hot, newest, order_by).repartition(tasks, "object")
+        wide = wide.groupBy("object", "source").agg(*[newest[name][name].alias(name) for name in names])
+    if tasks:  # Spark forgets by an unpivot how rows are dealt
+        cells = F.array(*[F.struct(F.lit(name).alias("property"), F.col(name).alias("value")) for name in names])
+        long = wide.select("object", "source", F.inline(cells))
+    else:
+        long = wide.unpivot(["object", "source"], names, "property", "value")
     return long.where(F.col("value").isNotNull()).select(*CLAIM)
