@@ -217,7 +217,7 @@ def test_claims_dealt_by_part(spark, lined, monkeypatch, floor):
 
 @pytest.mark.parametrize("floor", [10**6, 100])
 def test_truth_with_wrong_values_moves_lines_once(spark, lined, monkeypatch, floor):
-    """Claims were worked out twice and shuffled three times, with a copy of the order per property."""
+    """Claims were worked out twice, in four shuffles, with a copy of the order per property."""
     import __spark_entry__ as entry
     monkeypatch.setattr(skew, "FLOOR", floor)
     monkeypatch.setattr(entry, "use_all_cores", lambda rows, *_: rows)
